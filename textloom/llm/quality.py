@@ -20,6 +20,8 @@ from textloom.llm.common import materialize
 FEATURES = ("words", "upper", "symbols", "stops", "digits", "distinct", "repeats", "length", "spread", "top", "lines", "foreign", "entropy", "blanks")
 #: Weights of the pooled covariance and of its diagonal in each class covariance.
 POOLED, DIAGONAL = 0.2, 0.1
+#: What short texts are filled up with, in words and bytes.
+WORDS, BYTES = 16, 100
 _UPPER, _LOWER, _DIGIT = (np.zeros(256, bool) for _ in range(3))
 _UPPER[65:91], _LOWER[97:123], _DIGIT[48:58] = True, True, True
 _SPACE = np.zeros(256, bool)
@@ -45,22 +47,26 @@ def statistics(text: str | None) -> list[float]:
     p = c[c > 0] / len(data)
     counts = Counter(words)
     lines = [x for x in data.split(b"\n") if x.strip()]
-    part = lambda a, b: np.log1p(50.0 * a / b) if b else 0.0
+    # short texts say little: every ratio and mean is taken together with a few words of ordinary writing
+    part = lambda a, b, more: np.log1p(50.0 * a / (b + more))
+    mean = (lengths.sum() + 6.0 * WORDS) / (n + WORDS)
+    spread = (((lengths - mean) ** 2).sum() + 9.0 * WORDS) / (n + WORDS)
+    size = len(data)
     return [
         float(np.log1p(n)),
-        part(upper, upper + lower),
-        part(int(c[_SYMBOL].sum()), solid),
-        part(int(c[_STOP].sum()), solid),
-        part(int(c[_DIGIT].sum()), solid),
-        float(np.log1p(len(counts)) / np.log1p(n)),
-        part(sum(map(bytes.__eq__, words, words[1:])), n),
-        float(np.log(lengths.mean())),
-        float(np.log1p(lengths.std())),
-        part(max(counts.values()) - 1, n),
-        float(len(set(lines)) / len(lines)),
-        part(wide, solid),
-        float(-(p * np.log2(p)).sum()),
-        part(space, len(data)),
+        part(upper, upper + lower, BYTES),
+        part(int(c[_SYMBOL].sum()), solid, BYTES),
+        part(int(c[_STOP].sum()), solid, BYTES),
+        part(int(c[_DIGIT].sum()), solid, BYTES),
+        float(np.log1p(len(counts) + WORDS) / np.log1p(n + WORDS)),
+        part(sum(map(bytes.__eq__, words, words[1:])), n, WORDS),
+        float(np.log(mean)),
+        float(np.log(spread)) / 2,
+        part(max(counts.values()) - 1, n, WORDS),
+        float((len(set(lines)) + 4) / (len(lines) + 4)),
+        part(wide, solid, BYTES),
+        float((-(p * np.log2(p)).sum() * size + 4.2 * BYTES) / (size + BYTES)),
+        part(space, size, BYTES),
     ]
 
 
