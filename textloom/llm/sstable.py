@@ -174,7 +174,7 @@ class ShardReader:
 
 def _writer(folder: str, vocabulary: str, end: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, (fs, path), part, seq = encoder(vocabulary), opened(folder), TaskContext.get().partitionId(), 0
+        encode, (fs, path), part, seq = encoder(vocabulary).encode, opened(folder), TaskContext.get().partitionId(), 0
         shard, done = None, []
 
         def finish() -> None:
