@@ -8,10 +8,11 @@ How it runs:
    settled there and never leaves its bucket. Shingles that at least two documents hold go back to their blocks.
 3. Each block orders every set by (region, document frequency, hash), one order for all documents, and cuts the
    prefix that the threshold needs. Sets with identical prefixes and size collapse into one group.
-4. Groups meet on shared prefix shingles: first each group with the one pivot it shares most with (verified, and
-   joined into components), then every remaining pair across different components, after size and position
-   filters. Members are expanded and verified on their whole sets, so no link between different texts is lost
-   and pairs inside an already connected component are not emitted.
+4. Groups meet on shared prefix shingles. First each group joins the family of one pivot, and all members of a
+   family, expanded, are verified against each other on whole sets, in blocks that meet pairwise; that gives
+   components. Then every pair of sets across families and components that shares a prefix shingle is verified,
+   after filters on sizes, positions and unshared shingles. No link between different texts is lost, and pairs
+   are neither written out inside a family nor inside a component.
 """
 
 from __future__ import annotations
@@ -34,8 +35,8 @@ SHORT = 256
 BLOCK_SHINGLES, BUCKET_SHINGLES = 500_000, 1_000_000
 #: Rows of an assignment table up to which it is broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 400_000
-#: Leaves that are verified beside one copy of their hub.
-LEAVES = 128
+#: Documents in one block of a family, and shingles in one slice of its indicator matrix.
+LEAVES, COLUMNS = 512, 4096
 
 _BOUND = np.uint64(int(REGION * 2**64))
 
@@ -123,12 +124,17 @@ def _shared(group: pa.Table) -> pa.Table:
     return pa.table({"block": pa.array(out["block"], pa.int64()), "taus": pa.array(out["taus"], pa.binary()), "dfs": pa.array(out["dfs"], pa.binary())})
 
 
-_PREFIXES = "doc_id long, n long, fp binary, prefix long, ptoks array<long>, ppos array<int>"
+_PREFIXES = "doc_id long, n long, most long, fp binary, prefix long, ptoks array<long>, ppos array<int>"
 
 
 def _prefixes(sets: pa.Table, shared: pa.Table) -> pa.Table:
-    """Of one block: per set its prefix, and in it what other documents hold too, with positions."""
-    out: dict[str, list] = {k: [] for k in ("doc_id", "n", "fp", "prefix", "ptoks", "ppos")}
+    """Of one block: per set its prefix, and in it what other documents hold too, with positions.
+
+    `most` is the largest overlap with any other set: shingles that no other document has are in none. Where
+    partners may have kept part of their shingles to themselves, only the region counts. Sets that cannot reach
+    their least overlap are left out.
+    """
+    out: dict[str, list] = {k: [] for k in ("doc_id", "n", "most", "fp", "prefix", "ptoks", "ppos")}
     if shared.num_rows:
         taus = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in shared.column("taus")])
         dfs = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in shared.column("dfs")])
@@ -138,52 +144,100 @@ def _prefixes(sets: pa.Table, shared: pa.Table) -> pa.Table:
             own, n = np.frombuffer(toks.as_buffer(), np.uint64), n.as_py()
             at = np.minimum(np.searchsorted(taus, own), len(taus) - 1)
             df = np.where(taus[at] == own, dfs[at], 1)
+            alone = df == 1 if n <= 3 * SHORT // 4 else (df == 1) & (own < _BOUND)
+            if (most := n - int(alone.sum())) < _least_overlap(n):
+                continue
             first = np.lexsort((own, df, own >= _BOUND))[: n - _least_overlap(n) + 1]
             held = np.flatnonzero(df[first] > 1)
             if len(held):
                 out["doc_id"].append(doc_id.as_py())
                 out["n"].append(n)
+                out["most"].append(most)
                 out["fp"].append(fp.as_py())
                 out["prefix"].append(xxhash.xxh3_64_intdigest(own[first].tobytes()) - 2**63)
                 out["ptoks"].append(own[first][held].view(np.int64))
                 out["ppos"].append(held.astype(np.int32))
-    return pa.table([pa.array(out["doc_id"], pa.int64()), pa.array(out["n"], pa.int64()), pa.array(out["fp"], pa.binary()), pa.array(out["prefix"], pa.int64()), pa.array(out["ptoks"], pa.list_(pa.int64())), pa.array(out["ppos"], pa.list_(pa.int32()))], names=list(out))
+    return pa.table([pa.array(out["doc_id"], pa.int64()), pa.array(out["n"], pa.int64()), pa.array(out["most"], pa.int64()), pa.array(out["fp"], pa.binary()), pa.array(out["prefix"], pa.int64()), pa.array(out["ptoks"], pa.list_(pa.int64())), pa.array(out["ppos"], pa.list_(pa.int32()))], names=list(out))
+
+
+def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all pairwise intersections, from a product of indicator matrices in slices of columns."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    taus, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    place = np.cumsum(counts > 1) - 1
+    keep = counts[inverse] > 1  # a shingle of one set is in no intersection
+    rows, cols = owner[keep], place[inverse[keep]]
+    order = np.argsort(cols, kind="stable")
+    rows, cols = rows[order], cols[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for lo in range(0, int(cols[-1]) + 1 if len(cols) else 0, COLUMNS):
+        a, b = np.searchsorted(cols, [lo, lo + COLUMNS])
+        x = np.zeros((len(sets), COLUMNS), np.float32)
+        x[rows[a:b], cols[a:b] - lo] = 1
+        out += x @ x.T
+    return out
 
 
 def _verified(group: pa.Table) -> pa.Table:
-    """Of one hub and some leaves: the links at 0.75 or more, on whole sets."""
+    """Of some documents of one family: links at 0.75 or more on whole sets, enough of them to join what is linked."""
+    ids = group.column("doc_id").to_numpy()
     sets = shingle_hashes(group.column("text").to_pylist())
-    ids, is_hub = group.column("doc_id").to_pylist(), group.column("is_hub").to_pylist()
-    out = set()
-    for hub, s in ((i, x) for i, x, h in zip(ids, sets, is_hub) if h):
-        for leaf, x in ((i, x) for i, x, h in zip(ids, sets, is_hub) if not h):
-            low, high = sorted((len(s), len(x)))
-            if low and 4 * low >= 3 * high:
-                both = len(np.intersect1d(s, x, assume_unique=True))
-                if 100 * both >= 75 * (len(s) + len(x) - both):
-                    out.add((hub, leaf))
-    return pa.table({"u": pa.array([a for a, _ in out], pa.int64()), "v": pa.array([b for _, b in out], pa.int64())})
-
-
-def _links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of doc ids that hold at the threshold, as edges (u, v).
-
-    A hub's leaves are dealt over as many tasks as they fill; each document's text travels once per task.
+    full = [k for k, s in enumerate(sets) if len(s)]
+    ids, sets = ids[full], [sets[k] for k in full]
+    out_u, out_v = [], []
+    if sets:
+        both, n = _overlaps(sets), np.array([len(s) for s in sets])
+        linked = 100 * both >= 75 * (n[:, None] + n[None, :] - both)
+        np.fill_diagonal(linked, False)
+        open_ = np.ones(len(ids), bool)
+        while open_.any():  # breadth first: every document is reached by one link
+            front = [int(np.argmax(open_))]
+            open_[front] = False
+            while front:
+                at = front.pop()
+                new = np.flatnonzero(linked[at] & open_)
+                open_[new] = False
+                out_u += [ids[at]] * len(new)
+                out_v += ids[new].tolist()
+                front += new.tolist()
+    return pa.table({"u": pa.array(out_u, pa.int64()), "v": pa.array(out_v, pa.int64())})
+
+
+def _family_links(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """Links among the documents (family, doc_id) of every family, as edges (u, v).
+
+    A family is dealt into blocks of LEAVES documents and every pair of its blocks is one task's group, so no group
+    grows with the family.
     """
+    n = members.groupBy("family").agg(F.ceil(F.count("*") / LEAVES).cast("int").alias("blocks"), F.count("*").alias("size")).where("size > 1").drop("size")
+    placed = members.join(n, "family").withColumn("own", F.expr("cast(pmod(xxhash64(doc_id), blocks) as int)"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    dealt = placed.select("family", "doc_id", "own", other).select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id")
+    dealt = materialize(dealt, "dealt")
+    texts = docs.select("doc_id", "text").join(bounded_broadcast(dealt, dealt.count(), BROADCAST_ROWS), "doc_id")
+    return texts.groupBy("family", "i", "j").applyInArrow(_verified, "u long, v long").distinct()
+
+
+def _pair_links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Links among stated pairs (a, b): every a with up to LEAVES of its b in one group."""
     n = pairs.groupBy("a").agg(F.ceil(F.count("*") / LEAVES).alias("salts"))
     salted = pairs.join(n, "a").withColumn("salt", F.expr("pmod(xxhash64(b), salts)"))
-    leaves = salted.select("a", "salt", F.col("b").alias("doc_id"), F.lit(False).alias("is_hub"))
-    hubs = salted.select("a", "salt").distinct().select("a", "salt", F.col("a").alias("doc_id"), F.lit(True).alias("is_hub"))
-    dealt = materialize(leaves.unionByName(hubs), "dealt")
+    hubs = salted.select("a", "salt").distinct().select("a", "salt", F.col("a").alias("doc_id"))
+    dealt = materialize(salted.select("a", "salt", F.col("b").alias("doc_id")).unionByName(hubs), "dealt")
     texts = docs.select("doc_id", "text").join(bounded_broadcast(dealt, dealt.count(), BROADCAST_ROWS), "doc_id")
     return texts.groupBy("a", "salt").applyInArrow(_verified, "u long, v long").distinct()
 
 
 def _close(df: DataFrame) -> DataFrame:
-    """Rows (na, pa, nb, pb) that the size filter and the position filter leave."""
-    fits = "4 * least(na, nb) >= 3 * greatest(na, nb)"
-    # the first common prefix shingle bounds the overlap by itself and what follows it
-    return df.where(fits).where("7 * least(na - pa, nb - pb) >= 3 * (na + nb)")
+    """Pairs (a, b) whose overlap may reach the threshold, of rows with one common prefix shingle.
+
+    Per side: n size, m most that any other set shares, p position. What is behind a common shingle bounds the
+    overlap if it is the first; positions of common shingles ascend on both sides, so what is filtered stands behind
+    what stays. The shingles that stay bound the overlap by their number and what follows the last on either side.
+    """
+    fits = df.where("4 * least(na, nb) >= 3 * greatest(na, nb)").where("7 * least(na - pa, nb - pb, ma, mb) >= 3 * (na + nb)")
+    met = fits.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("hits"), F.max("pa").alias("la"), F.max("pb").alias("lb"))
+    return met.where("7 * (hits + least(na - la, nb - lb) - 1) >= 3 * (na + nb)").select("a", "b")
 
 
 def ngram_components(docs: DataFrame) -> DataFrame:
@@ -205,29 +259,38 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     reps = staged.where("n > 0").groupBy("n", "fp").agg(F.min("doc_id").alias("rep"))
     rows = materialize(prefixes, "prefixes").join(reps, ["n", "fp"])
     # one row per distinct set: copies of it in other blocks have the same prefix
-    sets = rows.groupBy("n", "fp", "prefix", "rep").agg(F.first("ptoks").alias("ptoks"), F.first("ppos").alias("ppos"))
+    sets = rows.groupBy("n", "fp", "prefix", "rep").agg(F.max("most").alias("most"), F.first("ptoks").alias("ptoks"), F.first("ppos").alias("ppos"))
     groups = materialize(sets.withColumn("gid", F.col("rep")), "distinct")
     leader = groups.groupBy("n", "prefix").agg(F.min("rep").alias("gid"))
     members = groups.drop("gid").join(leader, ["n", "prefix"])
 
-    # groups meet their best pivot: per shingle and band of sizes, the least group id
-    tokens = members.where("rep = gid").select("gid", "n", F.floor(F.log("n") / F.log(F.lit(4 / 3))).alias("band"), F.explode("ptoks").alias("tau"))
-    pivot = tokens.groupBy("tau", "band").agg(F.min("gid").alias("pivot"), F.count("*").alias("df")).where("df > 1").drop("df")
-    met = tokens.join(pivot, ["tau", "band"]).where("gid <> pivot").groupBy("gid", "pivot").agg(F.count("*").alias("hits"))
-    best = met.groupBy("gid").agg(F.max(F.struct("hits", (-F.col("pivot")).alias("pivot"))).alias("x")).select((-F.col("x.pivot")).alias("a"), F.col("gid").alias("b"))
-    inside = members.where("rep <> gid").select(F.col("gid").alias("a"), F.col("rep").alias("b"))
-    first = materialize(_links(docs, materialize(best.unionByName(inside), "pivots")), "links")
+    # groups meet their best pivot: per shingle and band of sizes, the one that has the shingle earliest in its
+    # prefix, which is the one with the fewest rare shingles of its own
+    tokens = members.where("rep = gid").select("gid", "n", F.floor(F.log("n") / F.log(F.lit(4 / 3))).alias("band"), F.explode(F.arrays_zip("ptoks", "ppos")).alias("x")).select("gid", "n", "band", F.col("x.ptoks").alias("tau"), F.col("x.ppos").alias("pos"))
+    pivot = tokens.groupBy("tau", "band").agg(F.min(F.struct(F.col("pos").alias("pivot_pos"), F.col("gid").alias("pivot"))).alias("p"), F.count("*").alias("df")).where("df > 1").select("tau", "band", "p.*")
+    met = tokens.join(pivot, ["tau", "band"]).where("gid <> pivot").groupBy("gid", "pivot").agg(F.count("*").alias("hits"), F.min("pivot_pos").alias("at"))
+    # families: every group goes with the pivot that most groups meet, of those it shares at least half as much with
+    # as with its best
+    strong = met.join(met.groupBy("gid").agg(F.max("hits").alias("best")), "gid").where("2 * hits >= best").select("gid", "pivot")
+    strong = materialize(strong, "strong")
+    liked = strong.groupBy("pivot").agg(F.count("*").alias("groups"))
+    chosen = strong.join(liked, "pivot").groupBy("gid").agg(F.max(F.struct("groups", (-F.col("pivot")).alias("p"))).alias("x")).select("gid", (-F.col("x.p")).alias("pivot"))
+    heads = chosen.select("pivot").distinct().select(F.col("pivot").alias("family"), F.col("pivot").alias("doc_id"))
+    grouped = members.join(chosen, "gid", "left").select("rep", "gid", F.coalesce("pivot", "gid").alias("family"))
+    grouped = materialize(grouped, "families")
+    family = grouped.select("family", F.col("rep").alias("doc_id")).unionByName(heads).distinct()
+    first = materialize(_family_links(docs, family), "links")
     known = connected_components(first)
 
     # what is left: pairs of sets across components that share a prefix shingle
-    placed = groups.join(known.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("comp"), "n", "ptoks", "ppos")
-    tokens = placed.select("rep", "comp", "n", F.explode(F.arrays_zip("ptoks", "ppos")).alias("x")).select("rep", "comp", "n", F.col("x.ptoks").alias("tau"), F.col("x.ppos").alias("pos"))
+    placed = groups.drop("gid").join(grouped.select("rep", "family"), "rep").join(known.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "family", F.coalesce("component", "rep").alias("comp"), "n", "most", "ptoks", "ppos")
+    tokens = placed.select("rep", "family", "comp", "n", "most", F.explode(F.arrays_zip("ptoks", "ppos")).alias("x")).select("rep", "family", "comp", "n", "most", F.col("x.ptoks").alias("tau"), F.col("x.ppos").alias("pos"))
     mixed = tokens.groupBy("tau").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("tau")
     open_ = materialize(tokens.join(mixed, "tau"), "open")
-    left = open_.select("tau", F.col("rep").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("pos").alias("pa"))
-    right = open_.select("tau", F.col("rep").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
-    across = _close(left.join(right, "tau").where("ca < cb")).groupBy("a", "b").agg(F.lit(1).alias("one")).drop("one")
-    more = _links(docs, materialize(across, "across"))
+    side = lambda k: open_.select("tau", F.col("rep").alias(k), *[F.col(c).alias(f"{n}{k}") for n, c in (("c", "comp"), ("n", "n"), ("m", "most"), ("f", "family"), ("p", "pos"))])
+    across = _close(side("a").join(side("b"), "tau").where("ca < cb AND fa <> fb AND fa <> b AND fb <> a"))
+    # each pair is a family of two; pairs of one document with many are one family in blocks
+    more = _pair_links(docs, materialize(across, "across"))
     final = connected_components(known.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
 
     of = reps.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("n", "fp", F.coalesce("component", "rep").alias("root"))
