@@ -1,0 +1 @@
+"""Registered queries of the text-evidence operators and their oracles."""
