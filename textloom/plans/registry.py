@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from textloom.plans import audit, style
+from textloom.plans import audit, facts, style
 
-MODULES = (style, audit)
+MODULES = (style, audit, facts)
 
 
 def queries() -> dict:
