@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from textloom.plans import audit, facts, style
+from textloom.plans import audit, facts, records, style
 
-MODULES = (style, audit, facts)
+MODULES = (style, audit, facts, records)
 
 
 def queries() -> dict:
