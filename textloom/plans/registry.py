@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from textloom.plans import audit, facts, records, style
+from textloom.plans import audit, facts, lexis, records, style
 
-MODULES = (style, audit, facts, records)
+MODULES = (style, audit, facts, records, lexis)
 
 
 def queries() -> dict:
