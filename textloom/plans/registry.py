@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from textloom.plans import audit, facts, lexis, records, style
+from textloom.plans import audit, facts, lexis, records, sources, style
 
-MODULES = (style, audit, facts, records, lexis)
+MODULES = (style, audit, facts, records, lexis, sources)
 
 
 def queries() -> dict:
