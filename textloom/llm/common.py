@@ -6,11 +6,16 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+# Workers live on after a task: buffers go back to the system instead of staying in Arrow's own pool.
+pa.set_memory_pool(pa.system_memory_pool())
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -43,7 +48,7 @@ def bounded_broadcast(df: DataFrame, rows: int, limit: int) -> DataFrame:
 class WordHashes(dict):
     """Word (bytes) to its 64-bit hash, kept for at most `most` words."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 200_000):
         super().__init__()
         self.most = most
 

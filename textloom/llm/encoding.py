@@ -48,7 +48,7 @@ class ChunkEncoder(dict):
     remembered.
     """
 
-    def __init__(self, path: str, most: int = 320_000):
+    def __init__(self, path: str, most: int = 270_000):
         super().__init__({"": b""})
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer

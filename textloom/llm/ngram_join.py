@@ -32,11 +32,11 @@ from textloom.llm.components import connected_components
 REGION = 0.32
 SHORT = 256
 #: Shingles after which a block of documents ends, and hashes for one bucket of the count.
-BLOCK_SHINGLES, BUCKET_SHINGLES = 500_000, 1_000_000
+BLOCK_SHINGLES, BUCKET_SHINGLES = 400_000, 700_000
 #: Rows of an assignment table up to which it is broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 400_000
 #: Documents in one block of a family, and shingles in one slice of its indicator matrix.
-LEAVES, COLUMNS = 512, 4096
+LEAVES, COLUMNS = 512, 2048
 
 _BOUND = np.uint64(int(REGION * 2**64))
 
