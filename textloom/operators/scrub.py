@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from textloom.functions import text as T
 
@@ -110,14 +111,14 @@ def line_ending(t: Column) -> Column:
     return F.when(kinds > 1, "mixed").when(crlf, "crlf").when(lf, "lf").when(cr, "cr").otherwise("none")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _composed(texts):
     import unicodedata
 
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _form(texts):
     import unicodedata
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from textloom.plans import audit, facts, lexis, records, sources, style
+from textloom.plans import audit, facts, lexis, records, reviewing, sources, style
 
-MODULES = (style, audit, facts, records, lexis, sources)
+MODULES = (style, audit, facts, records, lexis, sources, reviewing)
 
 
 def queries() -> dict:

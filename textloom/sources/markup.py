@@ -36,9 +36,8 @@ class _Page(HTMLParser):
         elif tag in ("head", "title"):
             self.head += 1
         elif tag in _BLOCKS and not self.dropped:
-            if tag in ("p", "li", "td", "th", "tr") or tag[0] == "h":
-                while self.open and self.open[-1][0] == "p":
-                    self.open.pop()
+            while self.open and self.open[-1][0] == "p":  # a block ends an open paragraph
+                self.open.pop()
             if tag == "li" and self.open and self.open[-1][0] == "li":
                 self.open.pop()
             self.open.append((tag, self._new(_BLOCKS[tag])))
