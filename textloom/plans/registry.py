@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from textloom.plans import audit, facts, lexis, records, reviewing, sources, style
+from textloom.plans import audit, facts, lexis, records, reviewing, sources, steps, style
 
-MODULES = (style, audit, facts, records, lexis, sources, reviewing)
+MODULES = (style, audit, facts, records, lexis, sources, reviewing, steps)
 
 
 def queries() -> dict:
