@@ -67,9 +67,12 @@ def starts(t: str, p: str) -> str:
     return f"list_transform(range(1, len({m}) + 1), lambda i: list_sum(list_transform({g}[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform({m}[1:i - 1], lambda x: length(x))), 0))"
 
 
-def _rows(of: str, p: str, cols: str = "doc_id") -> str:
+def _rows(of: str, p: str, cols: str = "doc_id", mark: str = "_") -> str:
+    """Matches m and offsets st. Letters beyond ASCII are looked at as `mark`, so that word boundaries fall as they do
+    with Unicode letters; m is cut from the text itself."""
     p = p.replace("'", "''")
-    return f"SELECT {cols}, unnest(regexp_extract_all(text, '{p}')) AS m, unnest({starts('text', p)})::INT AS st FROM {of}"
+    t = f"regexp_replace(text, '[À-ÖØ-öø-ſ]', '{mark}', 'g')" if mark else "text"
+    return f"SELECT {cols}, text[st + 1:st + n] AS m, st FROM (SELECT {cols}, text, unnest(list_transform(regexp_extract_all({t}, '{p}'), lambda x: length(x))) AS n, unnest({starts(t, p)})::INT AS st FROM {of})"
 
 
 _ANCHORS = f"{DX}, x AS (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS category, {i} AS o, {'m[2:-2]' if k == 'quote' else 'm'} AS text, st FROM ({_rows('dx', p)})" for i, (k, p) in enumerate(E.ANCHORS)) + "), a AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY st, o) AS seq, category, text, st AS position FROM x)"
@@ -79,11 +82,11 @@ n AS (SELECT doc_id, text, line::INT AS line, base FROM o WHERE {strip('text')}
 _C = dict(E.CITATIONS)
 _CITES = f"""{_NODES}, c0 AS (SELECT doc_id, 'doi' AS kind, 0 AS o, regexp_replace(m, '\\.+$', '') AS text, base + st AS st, base + st + length(regexp_replace(m, '\\.+$', '')) AS en FROM ({_rows('n', _C['doi'], 'doc_id, base')})
  UNION ALL SELECT doc_id, 'bracket_number', 1, m, base + st, base + st + length(m) FROM ({_rows('n', _C['bracket_number'], 'doc_id, base')})
- UNION ALL SELECT doc_id, 'author_year', 2, m[2:-2], base + st, base + st + length(m) FROM ({_rows('n', _C['author_year'], 'doc_id, base')})
- UNION ALL SELECT doc_id, 'url', 3, m, base + st, base + st + length(m) FROM ({_rows('n', _C['url'], 'doc_id, base')})),
+ UNION ALL SELECT doc_id, 'author_year', 2, m[2:-2], base + st, base + st + length(m) FROM ({_rows('n', _C['author_year'], 'doc_id, base', '')})
+ UNION ALL SELECT doc_id, 'url', 3, m, base + st, base + st + length(m) FROM ({_rows('n', _C['url'], 'doc_id, base', '')})),
 cites AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY st, o) AS citation_no, kind, text, st AS start, en AS "end" FROM c0)"""
-_ALL = f"""{_CITES}, q AS (SELECT doc_id, {strip('m[2:-2]')} AS text, base + st AS start, base + st + length(m) AS "end" FROM ({_rows('n', E.QUOTE, 'doc_id, base')} UNION ALL {_rows('n', E.CURLY_QUOTE, 'doc_id, base')}) WHERE length({strip('m[2:-2]')}) >= 20),
-nu AS (SELECT doc_id, m AS text, regexp_extract(m, '^\\d+(?:[.,]\\d+)?\\s*(.*)$', 1) AS unit, base + st AS start, base + st + length(m) AS "end" FROM ({_rows('n', E.NUMBER_UNIT, 'doc_id, base')}) WHERE NOT list_contains({lst(L.UNIT_STOPWORDS)}, lower(regexp_extract(m, '^\\d+(?:[.,]\\d+)?\\s*(.*)$', 1)))),
+_ALL = f"""{_CITES}, q AS (SELECT doc_id, {strip('m[2:-2]')} AS text, base + st AS start, base + st + length(m) AS "end" FROM ({_rows('n', E.QUOTE, 'doc_id, base', '')} UNION ALL {_rows('n', E.CURLY_QUOTE, 'doc_id, base', '')}) WHERE length({strip('m[2:-2]')}) >= 20),
+nu AS (SELECT doc_id, m AS text, regexp_extract(m, '^\\d+(?:[.,]\\d+)?\\s*(.*)$', 1) AS unit, base + st AS start, base + st + length(m) AS "end" FROM ({_rows('n', E.NUMBER_UNIT, 'doc_id, base', 'x')}) WHERE NOT list_contains({lst(L.UNIT_STOPWORDS)}, lower(regexp_extract(m, '^\\d+(?:[.,]\\d+)?\\s*(.*)$', 1)))),
 da AS (SELECT doc_id, m AS text, base + st AS start, base + st + length(m) AS "end" FROM ({_rows('n', E.DATE, 'doc_id, base')})),
 cand AS (SELECT doc_id, 'quotation' AS kind, text, '' AS label, start, "end" FROM q UNION ALL SELECT doc_id, 'citation', text, kind, start, "end" FROM cites UNION ALL SELECT doc_id, 'number', text, unit, start, "end" FROM nu UNION ALL SELECT doc_id, 'date', text, '', start, "end" FROM da)"""
 _KEPT = _ALL.replace("WITH dx", "WITH RECURSIVE dx", 1) + """, rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start, "end", kind, text, label) AS r FROM cand),
