@@ -359,6 +359,35 @@ def test_licenses(hard, empty):
     assert sum(not held & set(s) for s in shingles_) < 0.75 * len(shingles_)
 
 
+def test_licenses_cover_families_near_variants_and_notices(spark):
+    from textloom.llm.licenses import TEMPLATES, scan_licenses
+
+    rng, rows, want = random.Random(3), [], {}
+    for name, text in TEMPLATES[7:]:
+        words = text.split()
+        near = [w for k, w in enumerate(words) if k % 40 != 37]
+        for part in (words, near):
+            i = len(rows)
+            lead = [f"p{rng.randrange(900)}" for _ in range(rng.randrange(60))]
+            rows.append((i, " ".join([*lead, *part, "end"])))
+            want[i] = name
+    notices = {"Licensed under the MIT License": "MIT", "This work is shared under CC BY-NC 3.0.": "CC-BY-NC-3.0", "License: GPLv2": "GPL-2.0", "SPDX-License-Identifier: LGPL-2.1-or-later": "LGPL-2.1", "available under the AGPL-3.0 only": "AGPL-3.0", "released under the terms of the Mozilla Public License, version 2.0": "MPL-2.0", "Licensed under the ISC license": "ISC", "CC BY-SA text, licensed under Creative Commons Attribution-ShareAlike 4.0": "CC-BY-SA-4.0", "Distributed under the BSD 3-Clause License": "BSD-3-Clause"}
+    first = len(rows)
+    for text, name in notices.items():
+        want[len(rows)] = name
+        rows.append((len(rows), text))
+    rows.append((-1, "we wrote under a tree by the mit campus and gave a license plate back"))
+    found = defaultdict(dict)
+    for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect():
+        found[r.doc_id][r.license] = r
+    assert {i: n for i, n in want.items() if n not in found[i]} == {}
+    # near copies under other licenses are told apart
+    gnu = {i: [n for n in found[i] if n.split("-")[0] in ("GPL", "LGPL", "AGPL", "GFDL")] for i in want if i < first and i % 2 == 0 and "GPL" in want[i]}
+    assert {i: n for i, n in gnu.items() if n != [want[i]]} == {}
+    assert all(set(found[i]) == {want[i]} and found[i][want[i]].n_notices == 1 and found[i][want[i]].n_windows == 0 for i in range(first, len(rows) - 1))
+    assert -1 not in found
+
+
 def test_pipeline_stages(spark, duck):
     import corpus_pipeline
 

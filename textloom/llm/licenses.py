@@ -1,29 +1,42 @@
 """License scans with DataFrame functions only.
 
-Templates are cut into word shingles (five words; shorter templates are one shingle of their own length). Texts are
-read in windows of twice a template's length that step by its length, so every stretch as long as the template lies
-whole in one window. Each window and template has one minimum per band under BANDS reorderings of the shingle
-hashes. A window that holds 0.75 of a template has a Jaccard similarity of at least 1/3 with it, so with one row a
-band it meets the template with probability 1 - (2/3)**BANDS, over 0.9999. What meets is verified by exact
+Whole license texts and standard headers are held in `license_texts.json`. Templates are cut into five-word shingles.
+Texts are read in windows of twice a template's length that step by its length, so every stretch as long as the
+template lies whole in one window. Each window and template has one minimum per band under BANDS reorderings of the
+shingle hashes. A window that holds 0.75 of a template has a Jaccard similarity of at least 1/3 with it, so with one
+row a band it meets the template with probability 1 - (2/3)**BANDS, over 0.9999. What meets is verified by exact
 containment.
 
+Licenses whose texts are near copies of each other (GPL and AGPL, GPL headers of two versions) are told apart by the
+shingles that one has and the other lacks: one that shows less than half of its own, and less than the other, goes.
+
+Notices of one line are too short for shingles: they are found as phrases (NOTICES) and counted apart. Phrases that
+belong to a whole text found in the document are no notices.
+
 Only texts with one of the templates' anchor words are cut. Anchors are chosen so that a text without any of them
 lacks more than a quarter of every template's shingles: no match is lost.
 """
 
 from __future__ import annotations
 
+import json
 import re
+from collections import Counter
 from collections.abc import Sequence
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm.common import materialize
+
 BANDS, WIDTH, CONTAINED = 24, 5, 0.75
-#: Shingles of all templates, which travel inside the plan.
-MOST_SHINGLES = 20_000
+#: Shingles of all templates, which are broadcast.
+MOST_SHINGLES = 100_000
+#: Templates of fewer shingles are phrases; templates that share this part of the smaller one are near copies.
+LEAST_SHINGLES, NEAR = 4, 0.5
 
-#: Short notices by which texts name their license.
+#: Short notices by which texts name their license, then whole texts and headers.
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -32,9 +45,45 @@ TEMPLATES = (
     ("all-rights-reserved", "All rights reserved."),
     ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    *((r["license"], r["text"]) for r in json.loads(Path(__file__).with_name("license_texts.json").read_text(encoding="utf-8"))),
 )
 _WORD = "[a-z0-9]+"
 
+_UNDER = "(?:released|licen[sc]ed|relicensed|distributed|published|provided|available|covered|governed|shared|issued|offered|redistributed|used)(?: only)? (?:under|by) (?:a |an |the )?(?:terms (?:and conditions )?of (?:a |an |the )?)?"
+_LEAD = f"(?:{_UNDER}|licen[sc]e(?: is)? (?:a |an |the )?|spdx license identifier )"
+
+
+def _gnu(name: str, short: str, version: str) -> str:
+    """The GNU license's name in full or short, with a version, or with none where version is empty."""
+    major, _, minor = version.partition(".")
+    number = f"(?: ?v| version)? ?{major}{f' {minor}' if minor not in ('', '0') else '(?: 0)?'}(?! [0-9])" if version else "(?! ?v ?[0-9]| ?[0-9]| version [0-9]| as published)"
+    return f"(?:gnu )?(?:{name}(?: {short})?|{short}){number}"
+
+
+def _creative(kind: str, version: str) -> str:
+    long = {"by": "attribution", "sa": "share ?alike", "nc": "non ?commercial", "nd": "no ?deriv(?:ative)?s"}
+    parts = kind.split("-")
+    number = f" {version.replace('.', ' ')}" if version else "(?! [0-9] [0-9]| sa| nc| nd| share| non| no ?deriv)"
+    return f"(?:cc|creative commons) (?:{' '.join(parts)}|{' '.join(long[p] for p in parts)}){number}"
+
+
+#: License and regular expression over a text's words joined by single blanks.
+NOTICES = (
+    ("MIT", f"{_LEAD}mit(?: x11)?(?: license| licence)?"),
+    ("Apache-2.0", f"{_LEAD}(?:apache(?: software)?(?: license| licence)? (?:v|version )?2(?: 0)?|asl ?2(?: 0)?)"),
+    *((f"BSD-{n}-Clause", f"{_LEAD}(?:(?:new |modified |simplified )?bsd {n} clause|{n} clause bsd)") for n in (2, 3, 4)),
+    ("BSD", f"{_LEAD}(?:new |modified |simplified )?bsd(?! [234] clause)"),
+    ("ISC", f"{_LEAD}isc"), ("Unlicense", f"{_LEAD}unlicense"), ("Zlib", f"{_LEAD}zlib"), ("BSL-1.0", f"{_LEAD}(?:boost software license|bsl 1 0)"),
+    *((f"MPL-{v}", f"{_LEAD}(?:mozilla public license|mpl)(?: mpl)? ?(?:v|version )? ?{v.replace('.', ' ')}") for v in ("1.1", "2.0")),
+    *((f"GPL{v and '-' + v}", _LEAD + _gnu("general public license", "gpl", v)) for v in ("1.0", "2.0", "3.0", "")),
+    *((f"LGPL{v and '-' + v}", _LEAD + _gnu("(?:lesser|library) general public license", "lgpl", v)) for v in ("2.0", "2.1", "3.0", "")),
+    *((f"AGPL{v and '-' + v}", _LEAD + _gnu("affero general public license", "agpl", v)) for v in ("3.0", "")),
+    *((f"CC-{k.upper()}{v and '-' + v}", _LEAD + _creative(k, v)) for k in ("by", "by-sa", "by-nc", "by-nd", "by-nc-sa", "by-nc-nd") for v in ("1.0", "2.0", "2.5", "3.0", "4.0", "")),
+    ("CC0-1.0", f"{_LEAD}(?:creative commons )?cc ?0"),
+)
+#: One of these is in every text that a notice matches.
+_NOTICE_MARKS = (r"licen[sc]e", r"(?:released|distributed|published|provided|available|covered|governed|shared|issued|offered|used)(?:[^a-z0-9]+only)?[^a-z0-9]+(?:under|by)[^a-z0-9]")
+
 
 def _lower(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -44,17 +93,26 @@ def _words(text: str) -> list[str]:
     return re.findall(_WORD, text.lower())
 
 
-def anchors(words: list[str], width: int) -> list[str]:
-    """Long words such that fewer than 0.75 of the shingles hold none of them."""
-    shingles = {tuple(words[i : i + width]) for i in range(len(words) - width + 1)}
+def anchors(words: list[str], width: int, held: Sequence[str] = ()) -> list[str]:
+    """What to add to the held words such that fewer than 0.75 of the shingles hold none: what stands in most, long words first."""
+    left = {tuple(words[i : i + width]) for i in range(len(words) - width + 1)}
+    bound = CONTAINED * len(left)
+    left = {s for s in left if not set(s) & set(held)}
     chosen: list[str] = []
-    for w in sorted(set(words), key=lambda w: (-len(w), w)):
-        if sum(not set(s) & set(chosen) for s in shingles) < CONTAINED * len(shingles):
-            break
-        chosen.append(w)
+    while left and len(left) >= bound:
+        counts = Counter(w for s in left for w in set(s))
+        chosen.append(max(counts, key=lambda w: (len(w) >= 7, counts[w], len(w), w)))
+        left = {s for s in left if chosen[-1] not in s}
     return chosen
 
 
+def _rivals(held: list[tuple[str, list[str]]]) -> list[list[tuple[int, list[list[str]]]]]:
+    """Per template its near copies under other licenses, each with the shingles that this one has and the other lacks."""
+    sets = [{tuple(w[i : i + WIDTH]) for i in range(len(w) - WIDTH + 1)} for _, w in held]
+    near = lambda a, b: held[a][0] != held[b][0] and len(sets[a] & sets[b]) >= NEAR * min(len(sets[a]), len(sets[b]))
+    return [[(b, [list(s) for s in sorted(sets[a] - sets[b])]) for b in range(len(held)) if near(a, b) and sets[a] - sets[b]] for a in range(len(held))]
+
+
 def _shingles(words: Column, width: int) -> Column:
     """Hashes of the width-word shingles of an array of words, in order."""
     places = F.when(F.size(words) >= width, F.sequence(F.lit(1), F.size(words) - width + 1)).otherwise(F.array().cast("array<int>"))
@@ -67,53 +125,92 @@ def _minima(shingles: Column) -> Column:
     return F.transform(masks, lambda m: F.array_min(F.transform(shingles, lambda h: h.bitwiseXOR(m))))
 
 
-def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES) -> DataFrame:
-    """Per document and license found: doc_id, license, containment, n_windows, first_word (place of the first window).
+def _notices(cut: DataFrame, phrases: Sequence[tuple[str, str]]) -> DataFrame:
+    """doc_id, row, license, n, at (words before the first) of the phrases in the words of each row."""
+    joined = cut.select("doc_id", "row", F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")).alias("joined"))
+    hits = []
+    for name, phrase in phrases:
+        pattern = f"(?<= ){phrase}(?= )"
+        place = F.regexp_instr(F.col("joined"), F.lit(pattern))
+        at = F.length(F.regexp_replace(F.col("joined").substr(F.lit(1), place - 1), "[^ ]", "")) - 1
+        hits.append(F.when(place > 0, F.struct(F.lit(name).alias("license"), F.regexp_count(F.col("joined"), F.lit(pattern)).cast("long").alias("n"), at.cast("int").alias("at"))))
+    return joined.select("doc_id", "row", F.inline(F.array_compact(F.array(*hits))))
 
+
+def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, notices: Sequence[tuple[str, str]] | None = None) -> DataFrame:
+    """Per document and license found: doc_id, license, containment, n_windows, first_word, n_notices.
+
+    containment is the largest of a template in a window, 1 where only notices name the license; n_windows counts
+    windows that hold a template, n_notices one-line notices, first_word is the place of the first window or notice.
     Words are runs of a-z and 0-9 after lower-casing A-Z. Null, empty and wordless texts match nothing, nor do
     templates without words. Rows repeated under one doc_id are reported together; null ids likewise. Extra columns
-    are ignored. No template or no match gives no rows.
+    are ignored. No template or no match gives no rows. NOTICES belong to TEMPLATES: other templates come with none
+    unless stated.
     """
     spark = docs.sparkSession
-    shapes: dict[tuple[int, int], list[tuple[int, str, list[str]]]] = {}
-    marks: set[str] = set()
-    for k, (name, text) in enumerate(templates):
-        if words := _words(text):
-            width = min(WIDTH, len(words))
-            shapes.setdefault((width, len(words) - width + 1), []).append((k, name, words))
-            marks |= set(anchors(words, width))
-    if sum(m * len(ts) for (_, m), ts in shapes.items()) > MOST_SHINGLES:
+    notices = (NOTICES if templates is TEMPLATES else ()) if notices is None else notices
+    of = [(name, words) for name, text in templates if (words := _words(text))]
+    held = [(name, words) for name, words in of if len(words) - WIDTH + 1 >= LEAST_SHINGLES]
+    phrases = [(name, " ".join(words)) for name, words in of if len(words) - WIDTH + 1 < LEAST_SHINGLES]
+    if sum(len(words) for _, words in held) > MOST_SHINGLES:
         raise ValueError(f"templates of more than {MOST_SHINGLES} shingles: scan them in several calls")
-    rows = [(w, m, k, name, words) for (w, m), ts in shapes.items() for k, name, words in ts]
-    known = spark.createDataFrame(rows, "width int, length int, template int, license string, words array<string>")
-    of_width = F.lit(None)
-    for w in sorted({w for w, _ in shapes}):
-        of_width = F.when(F.col("width") == w, _shingles(F.col("words"), w)).otherwise(of_width)
-    known = known.withColumn("own", F.array_distinct(of_width.cast("array<long>"))).drop("words")
-    hashes: dict[tuple[int, int], list[int]] = {}
-    for r in known.select("width", "length", "own").collect():  # at most MOST_SHINGLES values
-        hashes.setdefault((r["width"], r["length"]), []).extend(r["own"])
+    marks: list[str] = list(_NOTICE_MARKS) if notices else []
+    marks += [p for _, phrase in phrases if not re.search("licen[sc]e", phrase) or not notices for p in [max(phrase.split(), key=len)]]
+    chosen: list[str] = ["license"] if notices else []
+    for _, words in held:
+        chosen += anchors(words, WIDTH, chosen)
+    marks = sorted({*marks, *chosen})
 
     able = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    able = able.where(F.col("text").rlike("(?i)" + "|".join(sorted(marks)))) if marks else able.where(F.lit(False))
-    cut = able.select("doc_id", F.regexp_extract_all(_lower(F.col("text")), F.lit(_WORD), F.lit(0)).alias("words"))
-    windows = []
-    for w in sorted({w for w, _ in shapes}):
-        cut = cut.withColumn(f"s{w}", _shingles(F.col("words"), w))
-    for (w, m), own in hashes.items():
-        s = F.col(f"s{w}")
-        starts = F.when(F.size(s) > 0, F.sequence(F.lit(0), F.size(s) - 1, F.lit(m))).otherwise(F.array().cast("array<int>"))
-        cuts = F.transform(starts, lambda a: F.struct(F.lit(w).alias("width"), F.lit(m).alias("length"), a.alias("at"), F.slice(s, a + 1, 2 * m).alias("window")))
-        held = F.array(*[F.lit(h).cast("long") for h in own])
-        windows.append(F.filter(cuts, lambda x: F.arrays_overlap(x["window"], held)))
-    if not windows:
-        return spark.createDataFrame([], "doc_id long, license string, containment double, n_windows long, first_word int")
+    able = able.where(F.col("text").rlike("(?i)" + "|".join(marks))) if marks else able.where(F.lit(False))
+    # equal rows are one: their matches are equal
+    cut = able.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.regexp_extract_all(_lower(F.col("text")), F.lit(_WORD), F.lit(0)).alias("words"))
+    out = spark.createDataFrame([], "doc_id long, row long, license string, containment double, template int, at int, n long, inside long")
+    if phrases or notices:
+        named = _notices(cut, [*phrases, *notices])
+        out = out.unionByName(named, allowMissingColumns=True)
+    if held:
+        out = out.unionByName(_windows(cut, held, notices), allowMissingColumns=True)
+    windows, left = F.countDistinct(F.when(F.col("template").isNotNull(), F.struct("template", "at"))), F.greatest(F.lit(0), F.coalesce(F.max("n"), F.lit(0)) - F.coalesce(F.max("inside"), F.lit(0)))
+    found = out.groupBy("doc_id", "row", "license").agg(F.max("containment").alias("containment"), windows.alias("n_windows"), F.min("at").alias("at"), left.cast("long").alias("n_notices"))
+    found = found.where("n_windows > 0 OR n_notices > 0")
+    return found.groupBy("doc_id", "license").agg(F.coalesce(F.max("containment"), F.lit(1.0)).alias("containment"), F.max("n_windows").alias("n_windows"), F.min("at").alias("first_word"), F.max("n_notices").alias("n_notices"))
+
+
+def _windows(cut: DataFrame, held: list[tuple[str, list[str]]], notices: Sequence[tuple[str, str]]) -> DataFrame:
+    """doc_id, row, license, containment, template, at of the templates that windows hold, and in rows of their own the
+    notices of other licenses that belong to these templates (license, inside).
+    """
+    spark = cut.sparkSession
+    own_notices = [[(name, n) for name, phrase in notices if (n := len(re.findall(f"(?<= ){phrase}(?= )", f" {' '.join(w)} ")))] for _, w in held]
+    rows = [(len(w) - WIDTH + 1, k, name, w, against, own_notices[k]) for k, ((name, w), against) in enumerate(zip(held, _rivals(held)))]
+    known = spark.createDataFrame(rows, "length int, template int, license string, words array<string>, against array<struct<rival:int,single:array<array<string>>>>, inner array<struct<license:string,n:long>>")
+    hashed = lambda xs: F.transform(xs, lambda x: F.xxhash64(*[F.element_at(x, k + 1) for k in range(WIDTH)]))
+    against = F.transform("against", lambda r: F.struct(r["rival"].alias("rival"), hashed(r["single"]).alias("single")))
+    known = known.select("length", "template", "license", "inner", F.array_distinct(_shingles(F.col("words"), WIDTH)).alias("own"), against.alias("against"))
+    known = materialize(known.withColumn("signs", _minima(F.col("own"))), "templates")
+    shapes = known.groupBy("length").agg(F.array_distinct(F.flatten(F.collect_list("own"))).alias("pool"))
+
+    # no filter on s alone: it would be pushed below and cut the text once per word
+    s = cut.select("doc_id", "row", _shingles(F.col("words"), WIDTH).alias("s"))
+    met = s.join(F.broadcast(shapes), F.arrays_overlap("s", "pool"))
+    starts = F.sequence(F.lit(0), F.size("s") - 1, F.col("length"))
+    cuts = F.transform(starts, lambda a: F.struct(a.alias("at"), F.slice(F.col("s"), a + 1, 2 * F.col("length")).alias("window")))
     # windows without any shingle of a template cannot share a minimum with one
-    one = cut.select("doc_id", F.explode(F.concat(*windows)).alias("x")).select("doc_id", "x.*")
-    banded = one.select("doc_id", "width", "length", "at", "window", F.posexplode(_minima(F.col("window"))).alias("band", "least"))
-    signs = known.select("width", "length", "template", F.posexplode(_minima(F.col("own"))).alias("band", "least"))
-    met = banded.join(F.broadcast(signs), ["width", "length", "band", "least"]).select("doc_id", "at", "window", "template").distinct()
-    exact = met.join(F.broadcast(known.select("template", "license", "own")), "template")
-    share = F.size(F.array_intersect("own", "window")) / F.size("own")
-    found = exact.withColumn("containment", share).where(F.col("containment") >= CONTAINED)
-    return found.groupBy("doc_id", "license").agg(F.max("containment").alias("containment"), F.countDistinct("template", "at").alias("n_windows"), F.min("at").cast("int").alias("first_word"))
+    cuts = F.filter(cuts, lambda x: F.arrays_overlap(x["window"], F.col("pool")))
+    one = met.select("doc_id", "row", "length", F.explode(cuts).alias("x")).select("doc_id", "row", "length", "x.*")
+    one = one.withColumn("least", _minima(F.col("window")))
+    same = F.exists(F.zip_with("least", "signs", lambda a, b: a == b), lambda x: x)
+    exact = one.join(F.broadcast(known), "length").where(same)
+    share = lambda c: F.size(F.array_intersect(c, F.col("window"))) / F.size(c)
+    exact = exact.withColumn("containment", share(F.col("own"))).where(F.col("containment") >= CONTAINED)
+    shown = F.transform("against", lambda r: F.struct(r["rival"].alias("rival"), share(r["single"]).alias("shown")))
+    exact = exact.select("doc_id", "row", "license", "template", "at", "containment", "inner", shown.alias("against"))
+    # of near copies under other licenses those go that show less of what only they have
+    seen = materialize(exact, "held")
+    best = seen.select("row", "template", F.explode("against").alias("x")).groupBy("row", "template", F.col("x.rival").alias("rival")).agg(F.max("x.shown").alias("shown"))
+    other = best.select("row", F.col("rival").alias("template"), F.col("template").alias("rival"), F.col("shown").alias("theirs"))
+    gone = best.join(other, ["row", "template", "rival"]).where((F.col("shown") < NEAR) & (F.col("shown") < F.col("theirs"))).select("row", "template").distinct()
+    told = seen.join(gone, ["row", "template"], "left_anti")
+    inside = told.select("doc_id", "row", F.inline("inner")).select("doc_id", "row", "license", F.col("n").alias("inside"))
+    return told.select("doc_id", "row", "license", "containment", "template", "at").unionByName(inside.distinct(), allowMissingColumns=True)
