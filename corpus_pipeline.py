@@ -41,10 +41,13 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix by sources: documents that the mix takes words of, once per epoch that takes some."""
-    taken = mix(docs).where("taken > 0").select("doc_id", F.ceil(F.col("taken") / F.col("size")).cast("int").alias("times"))
-    times = materialize(taken.groupBy("doc_id").agg(F.max("times").alias("times")), "times")
-    return docs.join(times.hint("merge"), "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*COLUMNS)
+    """The mix by sources: documents that the mix takes words of, once per epoch that takes some.
+
+    Every row is a document of its own, whatever its doc_id: null and repeated ids keep what is taken of each row.
+    """
+    taken = mix(docs, keep=("text", "lang", "source", "n_chars")).where("taken > 0")
+    copies = F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))
+    return taken.withColumn("copy", F.explode(copies)).select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

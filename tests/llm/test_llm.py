@@ -414,3 +414,14 @@ def test_pipeline_stages(spark, duck):
         docs = out
         seen.append(len(after))
     assert out.count() >= docs.count() and json.dumps(seen)
+
+
+def test_pipeline_mixing_takes_rows_with_null_and_repeated_ids(spark):
+    import corpus_pipeline
+    from textloom.llm.mixing import mix
+
+    rows = [(None if k % 3 == 0 else k % 7, f"text{k} " * (k + 1), "en", "ab"[k % 2], k) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    want = Counter({(r.doc_id, r.text): -(-r.taken // r["size"]) for r in mix(docs, keep=("text",)).collect() if r.taken})
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.mixing(spark, docs, DATA).collect())
+    assert got == want and any(i is None for i, _ in got) and any(k == 1 for k in got.values()) and any(k == 2 for k in got.values())

@@ -65,7 +65,9 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     sums = rows.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     ahead = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("source").alias("of"), F.col("range").alias("at"), F.coalesce(F.sum("range_size").over(ahead), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    # rows of one id and size differ in what is kept at most
+    ties = [F.xxhash64(*[c for c in keep if c not in ("doc_id", "source", "size")])] if kept else []
+    inside = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size", *ties).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     rows = rows.join(sums, F.col("source").eqNullSafe(F.col("of")) & (F.col("range") == F.col("at")))
     budget = F.round("target").cast("long")
