@@ -27,10 +27,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id; null ids stay."""
-    kept = ngram_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    # ids of a part of the documents grow with them: merged at every size, never broadcast
-    return docs.join(kept.hint("merge"), "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(*COLUMNS)
+    """One row of each group of near-duplicates: the one with the smallest id, null ids last.
+
+    Every row is a document of its own, whatever its doc_id: of copies that share an id, or have none, one stays.
+    Texts without words are no copies of each other and stay.
+    """
+    rows = materialize(docs.select(F.monotonically_increasing_id().alias("row"), *COLUMNS), "rows")
+    groups = ngram_components(rows.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id")
+    # rows grow with the documents: merged at every size, never broadcast
+    placed = rows.select("row", "doc_id").join(groups.hint("merge"), "row")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row")))
+    kept = materialize(placed.groupBy("component_id").agg(first.alias("first")).select(F.col("first.row").alias("row")), "kept")
+    return rows.join(kept.hint("merge"), "row", "left_semi").select(*COLUMNS)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

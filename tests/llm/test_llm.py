@@ -425,3 +425,14 @@ def test_pipeline_mixing_takes_rows_with_null_and_repeated_ids(spark):
     want = Counter({(r.doc_id, r.text): -(-r.taken // r["size"]) for r in mix(docs, keep=("text",)).collect() if r.taken})
     got = Counter((r.doc_id, r.text) for r in corpus_pipeline.mixing(spark, docs, DATA).collect())
     assert got == want and any(i is None for i, _ in got) and any(k == 1 for k in got.values()) and any(k == 2 for k in got.values())
+
+
+def test_pipeline_near_duplicates_keeps_one_row_of_repeated_and_null_ids(spark):
+    import corpus_pipeline
+
+    base = [f"w{k}" for k in range(60)]
+    text, near, other = " ".join(base), " ".join([*base[:59], "zz"]), " ".join(f"v{k}" for k in range(30))
+    rows = [(7, text), (7, text), (7, near), (3, near), (None, text), (5, other), (5, "quite another text of its own here"), (None, "a text that only null ids have"), (None, "a text that only null ids have"), (9, ""), (9, None)]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, DATA).collect()), key=str)
+    assert got == sorted([(3, near), (5, other), (5, "quite another text of its own here"), (None, "a text that only null ids have"), (9, ""), (9, None)], key=str)
