@@ -44,20 +44,73 @@ def occurrences(c: Column, piece: str | Column) -> Column:
     return ((F.length(c) - F.length(F.replace(c, p, F.lit("")))) / F.length(p)).cast("long")
 
 
+def bound(value: Column, f) -> Column:
+    """f of a value that is worked out once: the value becomes a lambda's variable."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+#: Elements that one step of a running sum appends to: long arrays are summed in pieces, so that copies stay short.
+_PIECE = 32
+
+
+def _sums(xs: Column) -> Column:
+    """struct(total, before): the sum of a short array and the sums before each element."""
+    start = F.struct(F.lit(0).cast("long").alias("total"), F.array().cast("array<long>").alias("before"))
+    return F.aggregate(xs, start, lambda acc, x: F.struct((acc["total"] + x).alias("total"), F.concat(acc["before"], F.array(acc["total"])).alias("before")))
+
+
+def running(xs: Column) -> Column:
+    """Sums of the elements before each element of an array of longs.
+
+    Pieces are summed one by one, then pieces of pieces, so the work grows with the length to the power 4/3.
+    """
+
+    def two(xs: Column, inner) -> Column:
+        places = F.when(F.size(xs) > 0, F.sequence(F.lit(0), F.size(xs) - 1, F.lit(_PIECE))).otherwise(F.array().cast("array<int>"))
+        pieces = F.transform(places, lambda i: _sums(F.slice(xs, i + 1, F.lit(_PIECE))))
+        return bound(pieces, lambda p: F.flatten(F.zip_with(p["before"], inner(p["total"]), lambda own, base: F.transform(own, lambda x: x + base))))
+
+    return bound(xs, lambda xs: two(xs, lambda xs: two(xs, lambda xs: _sums(xs)["before"])))
+
+
+def sweep(xs: Column, start: Column, step, kind: str) -> Column:
+    """One pass over an array in order: struct(last, out).
+
+    step takes the last value and an element and gives the new last value and what goes to out (null: nothing). Long
+    arrays are swept in pieces, so that what is appended to stays short.
+    """
+    empty = F.array().cast(f"array<{kind}>")
+
+    def one(acc: Column, x: Column) -> Column:
+        last, out = step(acc["last"], x)
+        return F.struct(last.alias("last"), F.when(out.isNotNull(), F.concat(acc["out"], F.array(out))).otherwise(acc["out"]).alias("out"))
+
+    def piece(acc: Column, ys: Column) -> Column:
+        own = F.aggregate(ys, F.struct(acc["last"].alias("last"), empty.alias("out")), one)
+        return bound(own, lambda r: F.struct(r["last"].alias("last"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
+
+    def whole(xs: Column) -> Column:
+        places = F.when(F.size(xs) > 0, F.sequence(F.lit(0), F.size(xs) - 1, F.lit(_PIECE))).otherwise(F.array().cast("array<int>"))
+        pieces = F.transform(places, lambda i: F.slice(xs, i + 1, F.lit(_PIECE)))
+        nothing = F.struct(start.alias("last"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+        return F.aggregate(pieces, nothing, piece, lambda acc: F.struct(acc["last"].alias("last"), F.flatten(acc["out"]).alias("out")))
+
+    return bound(xs, whole)
+
+
 def matches(c: Column, pattern: str) -> Column:
     """Matches of a pattern in order as structs (start, end, text), offsets in code points."""
     found = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
-    gaps = F.slice(F.transform(F.split(c, pattern, -1), F.length), 1, F.size(found))
-    empty = F.array().cast("array<struct<start:int,end:int,text:string>>")
+    gaps = F.transform(F.split(c, pattern, -1), F.length)
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + F.length(x["found"])
-        one = F.struct(start.alias("start"), end.alias("end"), x["found"].alias("text"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+    def spans(x: Column) -> Column:
+        steps = F.zip_with(F.slice(x["gaps"], 1, F.size(x["found"])), x["found"], lambda g, m: (g + F.length(m)).cast("long"))
+        return bound(steps, lambda steps: F.zip_with(
+            F.zip_with(running(steps), steps, lambda b, s: (b + s).cast("int")), x["found"],
+            lambda end, m: F.struct((end - F.length(m)).alias("start"), end.alias("end"), m.alias("text")),
+        ))
 
-    pairs = F.zip_with(gaps, found, lambda g, m: F.struct(g.alias("gap"), m.alias("found")))
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+    return bound(F.struct(gaps.alias("gaps"), found.alias("found")), spans)
 
 
 def with_distribution(df: DataFrame, values: Column, names: dict[str, str] | None = None) -> DataFrame:
@@ -93,5 +146,4 @@ def ratio(a: Column, b: Column) -> Column:
 
 def counted(c: Column, values: list[str] | tuple[str, ...]) -> Column:
     """How many elements of an array of words are in a list."""
-    held = F.array(*[F.lit(v) for v in values])
-    return F.size(F.filter(c, lambda w: F.array_contains(held, w))).cast("long")
+    return F.size(F.filter(c, lambda w: w.isin(*values))).cast("long")

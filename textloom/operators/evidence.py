@@ -55,16 +55,12 @@ def anchors(docs: DataFrame) -> DataFrame:
 
 def line_nodes(docs: DataFrame) -> DataFrame:
     """One paragraph node per line that isn't blank, with exact offsets: doc_id, node_no, start, end, line, text."""
-    lines = F.split("text", "\n")
-    empty = F.array().cast("array<struct<start:int,end:int,line:int,text:string>>")
-
-    def step(acc: Column, x: Column) -> Column:
-        one = F.struct(acc["at"].alias("start"), (acc["at"] + F.length(x)).alias("end"), acc["line"].alias("line"), x.alias("text"))
-        held = F.when(T.strip(x) != "", F.concat(acc["out"], F.array(one))).otherwise(acc["out"])
-        return F.struct((acc["at"] + F.length(x) + 1).alias("at"), (acc["line"] + 1).alias("line"), held.alias("out"))
-
-    nodes = F.aggregate(lines, F.struct(F.lit(0).alias("at"), F.lit(1).alias("line"), empty.alias("out")), step, lambda acc: acc["out"])
-    rows = docs.select("doc_id", F.posexplode(nodes).alias("k", "n"))
+    rows = docs.select("doc_id", F.split("text", "\n").alias("lines"))
+    starts = T.running(F.transform("lines", lambda x: (F.length(x) + 1).cast("long")))
+    lines = F.zip_with("lines", starts, lambda x, at: F.struct(at.cast("int").alias("start"), (at + F.length(x)).cast("int").alias("end"), x.alias("text")))
+    lines = F.transform(lines, lambda x, i: F.struct(x["start"].alias("start"), x["end"].alias("end"), (i + 1).alias("line"), x["text"].alias("text")))
+    held = F.filter(lines, lambda x: T.strip(x["text"]) != "")
+    rows = rows.select("doc_id", F.posexplode(held).alias("k", "n"))
     return rows.select("doc_id", (F.col("k") + 1).alias("node_no"), "n.start", "n.end", "n.line", "n.text")
 
 
@@ -118,13 +114,7 @@ def span_candidates(nodes: DataFrame) -> DataFrame:
 def protected_spans(candidates: DataFrame) -> DataFrame:
     """Greedy choice per document: by (start, end, kind), spans that start inside the last kept one are dropped."""
     rows = candidates.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind", "text", "label"))).alias("xs"))
-    empty = F.array().cast("array<struct<start:int,end:int,kind:string,text:string,label:string>>")
-
-    def step(acc: Column, x: Column) -> Column:
-        fits = x["start"] >= acc["last"]
-        return F.struct(F.when(fits, x["end"]).otherwise(acc["last"]).alias("last"), F.when(fits, F.concat(acc["out"], F.array(x))).otherwise(acc["out"]).alias("out"))
-
-    kept = F.aggregate("xs", F.struct(F.lit(-1).alias("last"), empty.alias("out")), step, lambda acc: acc["out"])
+    kept = T.sweep(F.col("xs"), F.lit(-1), lambda last, x: (F.when(x["start"] >= last, x["end"]).otherwise(last), F.when(x["start"] >= last, x)), "struct<start:int,end:int,kind:string,text:string,label:string>")["out"]
     return rows.select("doc_id", F.posexplode(kept).alias("k", "s")).select("doc_id", (F.col("k") + 1).alias("span_no"), "s.kind", "s.start", "s.end", "s.text", "s.label")
 
 

@@ -111,14 +111,14 @@ def apply_changes(docs: DataFrame, changes: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", "text").join(per, "doc_id", "left")
     t = F.col("text")
 
-    def step(acc: Column, x: Column) -> Column:
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
         own = F.substring(t, (x["offset"] + 1).cast("int"), x["length"].cast("int"))
-        fits = (x["offset"] >= acc["at"]) & (own == x["surface"])
-        kept = F.substring(t, (acc["at"] + 1).cast("int"), (x["offset"] - acc["at"]).cast("int"))
-        return F.struct(F.when(fits, x["offset"] + x["length"]).otherwise(acc["at"]).alias("at"), F.when(fits, F.concat(acc["out"], kept, x["target"])).otherwise(acc["out"]).alias("out"))
+        fits = (x["offset"] >= at) & (own == x["surface"])
+        kept = F.substring(t, (at + 1).cast("int"), (x["offset"] - at).cast("int"))
+        return F.when(fits, x["offset"] + x["length"]).otherwise(at), F.when(fits, F.concat(kept, x["target"]))
 
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    new = F.aggregate("xs", start, step, lambda acc: F.concat(acc["out"], F.substring(t, (acc["at"] + 1).cast("int"), F.length(t))))
+    swept = T.sweep(F.col("xs"), F.lit(0).cast("long"), step, "string")
+    new = T.bound(swept, lambda r: F.concat(F.array_join(r["out"], ""), F.substring(t, (r["last"] + 1).cast("int"), F.length(t))))
     return rows.select("doc_id", F.coalesce(new, t).alias("text"))
 
 
