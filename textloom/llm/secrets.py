@@ -1,11 +1,15 @@
 """Secret scans with DataFrame functions only.
 
 Base spans come from three patterns. The method adds spans of kind `random`: runs of 20 and more token characters
-whose encoding (hex, base32 or base64) is inferred from their characters and that pass a battery of randomness
-tests (uniform use of the alphabet by chi-squared, runs about the middle of the alphabet, lag-one correlation),
-while ordinary writing is rejected as their origin. For the latter, the changes of character class along the run are
-held against the rate that all runs of the corpus show; p-values are controlled by Benjamini and Hochberg's rule
-within bands of length, from a histogram of p-values over all documents.
+that a battery of tests takes for random over their alphabet. The encoding (hex, base32, base36, letters, base58,
+base62, base64; padding left out) is inferred from the classes of characters present. The tests: uniform use of the
+alphabet by chi-squared; runs about the mean place in the alphabet; runs of one class of characters, of which ordinary
+writing has too few; lag-one serial correlation. The least of their p-values, corrected for their number, is the run's.
+
+Random runs have even p-values, ordinary writing has small ones. So those over one half show how many random runs
+there are, and for every cut how many of the runs above it are ordinary. Within each band of lengths the lowest cut
+is taken at which that share is at most FALSE_DISCOVERY; runs with p-values under 0.001 are never reported. A string counts once
+in these figures, however often it is copied.
 """
 
 from __future__ import annotations
@@ -13,35 +17,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.functions import text as T
 from textloom.llm.common import materialize
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
-HEX = r"[0-9a-f]{32,}"
-RANDOM = r"[A-Za-z0-9+/_=-]{20,}"
-#: A run of only small letters, or words joined by marks, is no candidate.
-CANDIDATE = r"^(?=.*[0-9A-Z])(?=.*[0-9a-z]).*[0-9].*$"
-FALSE_DISCOVERY, PASS, BINS = 0.01, 0.001, 60
+#: Runs are whole, so that they can only start where no character of theirs is before.
+HEX = r"(?<![0-9a-f])[0-9a-f]{32,}"
+RANDOM = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}"
+#: Runs of one class of characters (and marks between) say nothing about randomness: at least two classes are there.
+CANDIDATE = r"[0-9].*[A-Za-z]|[A-Za-z].*[0-9]|[a-z].*[A-Z]|[A-Z].*[a-z]"
+#: Share of ordinary runs among those reported; least p-value of a reported run, as bins of a quarter of its logarithm.
+FALSE_DISCOVERY, LEAST_BIN = 0.1, 12
+#: Patterns by which an encoding is inferred, the first that holds, and its alphabet; - and _ stand for + and /.
+ENCODINGS = (
+    (r"^[0-9a-f]+$", "0123456789abcdef"),
+    (r"^[0-9A-F]+$", "0123456789ABCDEF"),
+    (r"^[A-Z2-7]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
+    (r"^[a-z2-7]+$", "abcdefghijklmnopqrstuvwxyz234567"),
+    (r"^[0-9a-z]+$", "0123456789abcdefghijklmnopqrstuvwxyz"),
+    (r"^[0-9A-Z]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
+    (r"^[A-Za-z]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
+    (r"^[1-9A-HJ-NP-Za-km-z]+$", "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"),
+    (r"^[0-9A-Za-z]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
+    ("", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
+)
 
 
 def _spans(text: Column, pattern: str, kind: int, keep=None) -> Column:
     """Structs (start, kind, end, found) of a pattern's leftmost matches that do not overlap; offsets in code points."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
-    zipped = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(g.alias("gap"), m.alias("found")))
-    empty = F.array().cast("array<struct<start:int,kind:int,end:int,found:string>>")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
-        end = begin + F.length(x["found"])
-        one = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["found"].alias("found"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
-
-    spans = F.aggregate(zipped, start, step, lambda acc: acc["out"])
+    spans = F.transform(T.matches(text, pattern), lambda m: F.struct(m["start"].alias("start"), F.lit(kind).alias("kind"), m["end"].alias("end"), m["text"].alias("found")))
     spans = F.filter(spans, keep) if keep else spans
-    return F.when(text.rlike(pattern), spans).otherwise(empty)
+    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int,found:string>>"))
 
 
 def _tail(z: Column) -> Column:
@@ -53,43 +61,79 @@ def _tail(z: Column) -> Column:
     return F.when(z >= 0, upper).otherwise(1 - upper)
 
 
-def _battery(found: Column) -> dict[str, Column]:
-    """Columns of one run: alphabet size, the three p-values, class changes and length."""
-    base32, hexa = found.rlike(r"^[A-Z2-7]+=*$"), found.rlike(r"^(?:[0-9a-f]+|[0-9A-F]+)$")
-    size = F.when(hexa, 16).when(base32, 32).otherwise(64)
-    chars = F.filter(F.split(found, ""), lambda c: c != "")
-    n = F.length(found).cast("double")
-    # places in the inferred alphabet
-    alphabet = F.when(hexa, F.lit("0123456789abcdef")).when(base32, F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")).otherwise(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"))
-    lowered = F.when(hexa, F.lower(found)).otherwise(found)
-    codes = F.transform(F.filter(F.split(lowered, ""), lambda c: c != ""), lambda c: F.instr(alphabet, c).cast("double"))
-    kinds = F.transform(chars, lambda c: F.when(c.rlike("[0-9]"), 1).when(c.rlike("[a-z]"), 2).when(c.rlike("[A-Z]"), 3).otherwise(4))
-    pairs = lambda xs: F.zip_with(F.slice(xs, 1, F.size(xs) - 1), F.slice(xs, 2, F.size(xs)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    changes = F.size(F.filter(pairs(kinds), lambda p: p["a"] != p["b"]))
-    return {"size": size.cast("double"), "len": n, "codes": codes, "changes": changes.cast("double")}
+def _pairs(xs: Column, f) -> Column:
+    """f of each two neighbours of an array."""
+    return F.zip_with(F.slice(xs, 1, F.greatest(F.size(xs) - 1, F.lit(0))), F.slice(xs, 2, F.size(xs)), f)
+
+
+def _measured(runs: DataFrame) -> DataFrame:
+    """runs (with found) and len, size of the inferred alphabet, places in it, and changes of character class."""
+    bare = F.translate(F.rtrim(F.col("found"), F.lit("=")), "-_", "+/")
+
+    def known(letters: str) -> Column:
+        """The alphabet with the chances that two and three letters are of one class."""
+        share = [sum(map(f, letters)) / len(letters) for f in (str.isdigit, str.islower, str.isupper, lambda c: not c.isalnum())]
+        return F.struct(F.lit(letters).alias("letters"), F.lit(sum(x**2 for x in share)).alias("two"), F.lit(sum(x**3 for x in share)).alias("three"))
+
+    alphabet = known(ENCODINGS[-1][1])
+    for pattern, letters in reversed(ENCODINGS[:-1]):
+        alphabet = F.when(F.col("bare").rlike(pattern), known(letters)).otherwise(alphabet)
+    runs = runs.withColumn("bare", bare).withColumn("alphabet", alphabet)
+    runs = runs.withColumn("chars", F.regexp_extract_all("bare", F.lit("."), F.lit(0)))
+    kind = lambda c: F.when(c.between("0", "9"), 1).when(c.between("a", "z"), 2).when(c.between("A", "Z"), 3).otherwise(4)
+    changes = F.size(F.filter(_pairs(F.transform("chars", kind), lambda a, b: a != b), lambda x: x))
+    codes = F.transform("chars", lambda c: F.instr(F.col("alphabet.letters"), c).cast("double"))
+    # the mean is a column of its own: inside a lambda it would be worked out for every element
+    return runs.select(
+        "found", F.length("bare").cast("double").alias("len"), F.length("alphabet.letters").cast("double").alias("size"),
+        F.col("alphabet.two").alias("two"), F.col("alphabet.three").alias("three"), codes.alias("codes"), changes.cast("double").alias("changes"),
+    ).withColumn("mean", F.aggregate("codes", F.lit(0.0), lambda acc, x: acc + x) / F.col("len"))
 
 
 def _p_values() -> dict[str, Column]:
-    """The three p-values of a run, from what _battery() made of it."""
+    """The battery's p-values of a run, from what _measured() made of it."""
     codes, n, size = F.col("codes"), F.col("len"), F.col("size")
     total = lambda xs, f: F.aggregate(xs, F.lit(0.0), lambda acc, x: acc + f(x))
-    squares = F.aggregate(F.array_distinct(codes), F.lit(0.0), lambda acc, c: acc + F.pow(F.size(F.filter(codes, lambda x: x == c)).cast("double"), F.lit(2.0)))
+
+    def counted(acc: Column, x: Column) -> Column:
+        """Sum of squared counts over sorted places: the k-th copy of a place adds 2k - 1."""
+        k = F.when(x == acc["last"], acc["k"] + 1).otherwise(F.lit(1.0))
+        return F.struct(x.alias("last"), k.alias("k"), (acc["sum"] + 2 * k - 1).alias("sum"))
+
+    squares = F.aggregate(F.array_sort(codes), F.struct(F.lit(-1.0).alias("last"), F.lit(0.0).alias("k"), F.lit(0.0).alias("sum")), counted, lambda acc: acc["sum"])
     chi, free = size / n * squares - n, size - 1
     # Wilson and Hilferty: the cube root of chi-squared over its degrees is nearly normal
     z_chi = (F.pow(F.greatest(chi, F.lit(0.0)) / free, F.lit(1 / 3)) - (1 - 2 / (9 * free))) / F.sqrt(2 / (9 * free))
-    mean = total(codes, lambda x: x) / n
-    above = F.transform(codes, lambda x: F.when(x > mean, 1).otherwise(0))
-    n1 = total(above, lambda x: x.cast("double"))
+    mean = F.col("mean")
+    above = F.transform(codes, lambda x: x > mean)
+    n1 = F.size(F.filter(above, lambda x: x)).cast("double")
     n0 = n - n1
-    pairs = lambda xs: F.zip_with(F.slice(xs, 1, F.size(xs) - 1), F.slice(xs, 2, F.size(xs)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    runs = 1 + F.size(F.filter(pairs(above), lambda p: p["a"] != p["b"]))
+    runs = 1 + F.size(F.filter(_pairs(above, lambda a, b: a != b), lambda x: x))
     expected = 1 + 2 * n0 * n1 / n
     spread = (expected - 1) * (expected - 2) / (n - 1)
     z_runs = F.when(spread > 0, (runs - expected) / F.sqrt(F.greatest(spread, F.lit(1e-9)))).otherwise(F.lit(99.0))
     var = total(codes, lambda x: (x - mean) * (x - mean))
-    serial = F.aggregate(pairs(codes), F.lit(0.0), lambda acc, p: acc + (p["a"] - mean) * (p["b"] - mean))
+    serial = total(_pairs(codes, lambda a, b: (a - mean) * (b - mean)), lambda x: x)
     z_serial = F.when(var > 0, serial / F.greatest(var, F.lit(1e-9)) * F.sqrt(n)).otherwise(F.lit(99.0))
-    return {"p_uniform": _tail(z_chi), "p_runs": 2 * _tail(F.abs(z_runs)), "p_serial": 2 * _tail(F.abs(z_serial))}
+    # changes of class between neighbours that are independent draws from the alphabet
+    two, three = F.col("two"), F.col("three")
+    change_var = (n - 1) * two * (1 - two) + 2 * (n - 2) * (three - two * two)
+    z_class = F.when(change_var > 0, ((n - 1) * (1 - two) - F.col("changes") - 0.5) / F.sqrt(F.greatest(change_var, F.lit(1e-9)))).otherwise(F.lit(0.0))
+    return {"p_uniform": _tail(z_chi), "p_runs": 2 * _tail(F.abs(z_runs)), "p_class": _tail(z_class), "p_serial": 2 * _tail(F.abs(z_serial))}
+
+
+def _cuts(tested: DataFrame) -> DataFrame:
+    """Per band of lengths the first bin that isn't reported: band, cut. tested: band, bin and p of distinct runs.
+
+    At most LEAST_BIN + 1 bins per band, and as many bands as a length has bits.
+    """
+    by = Window.partitionBy("band")
+    hist = tested.groupBy("band", "bin").agg(F.count("*").alias("n"), F.count_if(F.col("p") > 0.5).alias("upper"))
+    above = F.sum("n").over(by.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
+    upper = F.sum("upper").over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    hist = hist.withColumns({"above": above, "random": 2 * (upper + 1) * (1 - F.pow(F.lit(10.0), -(F.col("bin") + 1) / 4))})
+    fine = hist.where((F.col("bin") < LEAST_BIN) & (1 - F.col("random") / F.col("above") <= FALSE_DISCOVERY))
+    return fine.groupBy("band").agg((F.max("bin") + 1).alias("cut"))
 
 
 def _joined(spans: Column) -> Column:
@@ -102,8 +146,9 @@ def scan_secrets(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, all_spans and the columns in keep.
 
     Spans are whole matches (kind:start:end, code points, end exclusive), by start and then kind. Null and empty
-    texts have none, and the digest of the empty string. Ids may be null or repeated: rows are never joined by them.
-    all_spans is the array behind spans. Extra columns are ignored unless kept.
+    texts have none, and the digest of the empty string. Ids may be null or repeated: rows are never joined by them,
+    each is scanned by itself; an empty table gives no rows. Texts are scanned whole, in time that grows about as their
+    length. all_spans is the array behind spans. Extra columns are ignored unless kept.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     value = lambda s: F.length(F.regexp_extract(s["found"], ASSIGN, 2)) >= 8
@@ -111,26 +156,14 @@ def scan_secrets(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     base = docs.select("doc_id", *kept, _spans(text, ASSIGN, 0, value).alias("assign"), _spans(text, ACCESS, 1, lambda s: F.length(s["found"]) >= 16).alias("access"), _spans(text, HEX, 2).alias("hex"), _spans(text, RANDOM, 3, lambda s: s["found"].rlike(CANDIDATE)).alias("runs"))
     base = materialize(base.withColumn("row", F.monotonically_increasing_id()), "spans")
 
-    runs = base.where("size(runs) > 0").select("row", F.explode("runs").alias("run"))
-    runs = runs.withColumns(_battery(F.col("run.found")))
-    runs = runs.withColumns(_p_values()).withColumn("band", F.floor(F.log2(F.col("len"))))
-    runs = materialize(runs.select("row", "run", "len", "changes", "band", "p_uniform", "p_runs", "p_serial"), "runs")
-    # ordinary writing changes class at the rate of the runs that fail the battery
-    fails = F.least("p_uniform", "p_runs", "p_serial") < PASS
-    rate = runs.agg(F.coalesce(F.sum(F.when(fails, F.col("changes"))) + 1, F.lit(1.0)).alias("c"), F.coalesce(F.sum(F.when(fails, F.col("len") - 1)) + 10, F.lit(10.0)).alias("n"))
-    r = rate.first()
-    pi = min(0.5, (r["c"] or 1.0) / (r["n"] or 10.0))
-    n = F.col("len") - 1
-    p = _tail((F.col("changes") - 0.5 - n * pi) / F.sqrt(n * pi * (1 - pi)))
-    tested = runs.withColumn("bin", F.least(F.floor(-F.log10(F.greatest(p, F.lit(1e-30))) * 2), F.lit(BINS)).cast("long"))
-    # at most BINS rows per band: the largest p that Benjamini and Hochberg's rule accepts, from the top bin down
-    hist = tested.groupBy("band", "bin").agg(F.count("*").alias("n"))
-    by = Window.partitionBy("band")
-    down = by.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
-    hist = hist.withColumn("at", F.sum("n").over(down)).withColumn("m", F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    level = hist.where(F.pow(F.lit(10.0), -F.col("bin") / 2) <= F.col("at") / F.col("m") * FALSE_DISCOVERY).groupBy("band").agg(F.min("bin").alias("cut"))
-    found = tested.join(F.broadcast(level), "band").where((F.col("bin") >= F.col("cut")) & ~fails)
-    found = found.groupBy("row").agg(F.collect_list("run").alias("random"))
+    runs = base.where("size(runs) > 0").select("row", F.explode("runs").alias("run")).withColumn("found", F.col("run.found"))
+    tests = _p_values()
+    least = F.least(*map(F.col, tests))
+    tested = _measured(runs.select("found").distinct()).withColumns(tests).withColumns({"band": F.floor(F.log2("len")), "p": 1 - F.pow(1 - F.least(least, F.lit(1.0)), F.lit(float(len(tests))))})
+    place = F.floor(-4 * F.log10(F.greatest("p", F.lit(1e-9)))).cast("long")
+    tested = materialize(tested.select("found", "band", "p", F.least(place, F.lit(LEAST_BIN)).alias("bin")), "runs")
+    odd = tested.join(F.broadcast(_cuts(tested)), "band").where("bin < cut").select("found")  # one row per band
+    found = runs.join(odd, "found", "left_semi").groupBy("row").agg(F.collect_list("run").alias("random"))
 
     every = F.concat("assign", "access", "hex", F.coalesce("random", F.array().cast("array<struct<start:int,kind:int,end:int,found:string>>")))
     out = base.join(found, "row", "left").withColumn("all_spans", every)
@@ -141,11 +174,19 @@ def scan_secrets(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     """The text with every span replaced by mark; spans that overlap are replaced as one."""
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        out = F.when(fresh, F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
-
-    return F.aggregate(ordered, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    # what is kept stands between the end of all spans before and the start of the next one
+    gaps = T.sweep(ordered, F.lit(0), lambda at, s: (F.greatest(at, s["end"]), F.when(s["start"] >= at, F.struct(at.alias("from"), s["start"].alias("to")))), "struct<from:int,to:int>")
+    width = 1024  # a long text is cut from short pieces, as finding a place in it takes time by its length
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{width}}}"), F.lit(0))
+
+    def piece(chunks: Column, a: Column, b: Column) -> Column:
+        i, j = F.floor(a / width).cast("int"), F.floor(b / width).cast("int")
+        part = lambda k, x, n: F.coalesce(F.substring(F.get(chunks, k), x + 1, n), F.lit(""))
+        middle = F.array_join(F.slice(chunks, i + 2, F.greatest(j - i - 1, F.lit(0))), "")
+        return F.when(i == j, part(i, a % width, b - a)).otherwise(F.concat(part(i, a % width, F.lit(width)), middle, part(j, F.lit(0), b % width)))
+
+    def joined(x: Column) -> Column:
+        last = piece(x["chunks"], x["gaps"]["last"], F.length(text))
+        return F.array_join(F.concat(F.transform(x["gaps"]["out"], lambda g: piece(x["chunks"], g["from"], g["to"])), F.array(last)), mark)
+
+    return T.bound(F.struct(gaps.alias("gaps"), chunks.alias("chunks")), joined)
