@@ -1,6 +1,8 @@
 """Toxicity from a weighted lexicon, matched by Aho-Corasick on folded text.
 
-Folding lower-cases, maps homoglyphs to Latin letters and digit or sign substitutions to the letters they stand for.
+Folding takes compatibility forms apart (full-width letters, ligatures), drops accents and other combining marks and
+invisible characters, lower-cases, maps homoglyphs to Latin letters and digit or sign substitutions to the letters they
+stand for.
 Lexicon entries are whole words or word beginnings with weights, learnt from a bounded sample of labelled rows:
 log-odds of an entry between toxic and other documents. Matches inside exception phrases don't count. A document's
 sum of weights, normalised by its length, is turned into a probability by a logistic curve on the same sample.
@@ -10,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -26,19 +29,23 @@ HOMOGLYPHS = {"а": "a", "в": "b", "с": "c", "е": "e", "һ": "h", "і": "i",
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
 #: Phrases whose words are meant otherwise.
 EXCEPTIONS = ("trash can", "trash bin", "class clown fish", "clown fish", "pond scum", "soap scum", "stupid question")
-#: Labelled rows used for the lexicon, and entries kept.
-SAMPLE_ROWS, ENTRIES = 16_000, 4_000
+#: Labelled rows used for the lexicon; its entries all stand in these rows, so their number is bounded with them.
+SAMPLE_ROWS = 16_000
 #: A learnt entry stands in so many distinct toxic documents, with at least so much log-odds.
 LEAST_DOCUMENTS, LEAST_WEIGHT = 6, 3.0
 PREFIXES = (4, 5, 6)
 
 _FOLD = str.maketrans(HOMOGLYPHS | SUBSTITUTES)
+_DROPPED = ("Mn", "Me", "Cf")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def fold(text: str | None) -> str:
     """The folded text; digits and signs are letters then, so amounts fold to letters too, which match nothing."""
-    return (text or "").lower().translate(_FOLD)
+    text = text or ""
+    if not text.isascii():
+        text = "".join(c for c in unicodedata.normalize("NFKD", text) if c.isascii() or unicodedata.category(c) not in _DROPPED)
+    return text.lower().translate(_FOLD)
 
 
 def terms_of(text: str | None) -> tuple[set[str], int, int]:
@@ -72,8 +79,7 @@ def learn_lexicon(sample: DataFrame) -> list[tuple[str, float]]:
     rest = termed.where("label = 0").select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("neg"))
     weight = F.log((F.col("pos") + 0.5) / (toxic + 1)) - F.log((F.coalesce("neg", F.lit(0)) + 0.5) / (other + 1))
     found = able.join(rest, "term", "left").select("term", weight.alias("w"), "pos").where(F.col("w") >= LEAST_WEIGHT)
-    top = found.orderBy(F.desc("w"), F.desc("pos"), "term").limit(ENTRIES)
-    return [(r["term"], float(r["w"])) for r in top.collect()]
+    return sorted((r["term"], float(r["w"])) for r in found.collect())
 
 
 class Lexicon:
@@ -169,9 +175,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int
     entries = learn_lexicon(sample.select("text", "label"))
     measured = _densities(entries, exceptions)
     schema = "doc_id long, x double, n_matches long"
-    # the sample's densities in at most 400 bins
+    # the sample's densities, rounded: at most sample_rows bins
     own = sample.select("label", "text").mapInArrow(_densities(entries, exceptions), "doc_id int, x double, n_matches long")
-    bins = own.groupBy((F.round(F.least("x", F.lit(40.0)) * 10) / 10).alias("x")).agg(F.sum("doc_id").alias("pos"), F.count("*").alias("n"))
+    bins = own.groupBy((F.round(F.col("x") * 10) / 10).alias("x")).agg(F.sum("doc_id").alias("pos"), F.count("*").alias("n"))
     slope, intercept = _logistic([(r["x"], r["pos"], r["n"] - r["pos"]) for r in bins.collect()])
     scored = docs.mapInArrow(measured, schema)
     score = 1 / (1 + F.exp(-(F.lit(slope) * F.col("x") + F.lit(intercept))))
