@@ -51,14 +51,17 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
 
     taken counts the words that the mix takes from the document, repeats included: size times the whole epochs
     of its source, and what the last epoch takes of it. The cut falls inside one document per source, so a source's
-    taken words are its target rounded to a whole number. Null text: size 0, taken 0. Null source: a source of
-    its own, last. Repeated rows are documents of their own. Equal input gives equal output in every run.
+    taken words are its target rounded to a whole number. Null and empty texts, and texts of blanks: size 0, taken 0.
+    Null source: a source of its own, last. Repeated rows are documents of their own, null ids are ids like others.
+    Equal input gives equal output in every run; an empty table gives no rows. Other columns are ignored.
     """
     doc, kept = [F.col("doc_id"), F.col("source")], [F.col(c) for c in keep if c not in ("doc_id", "source", "size")]
-    sized = materialize(docs.select(*doc, word_count(F.col("text")).alias("size"), *kept), "sizes")
+    # rows of one id, or of none, get keys of their own by their texts, so that no range holds them all
+    own = F.xxhash64("doc_id", "text")
+    sized = materialize(docs.select(*doc, word_count(F.col("text")).alias("size"), own.alias("own"), *kept), "sizes")
     targets = materialize(source_targets(sized, weights, share, epochs), "targets")
     same = F.col("s.source").eqNullSafe(F.col("t.source"))
-    key = F.xxhash64(F.lit(seed), "doc_id")
+    key = F.xxhash64(F.lit(seed), "own")
     rows = sized.alias("s").join(targets.alias("t"), same).select("s.*", "source_size", "n_docs", "target", key.alias("key"))
     ranges = F.ceil(F.col("n_docs") / RANGE_ROWS)
     rows = rows.withColumn("range", F.least(F.floor((F.col("key") / F.lit(2.0**64) + 0.5) * ranges), ranges - 1))
@@ -67,7 +70,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     sums = sums.select(F.col("source").alias("of"), F.col("range").alias("at"), F.coalesce(F.sum("range_size").over(ahead), F.lit(0)).alias("start"))
     # rows of one id and size differ in what is kept at most
     ties = [F.xxhash64(*[c for c in keep if c not in ("doc_id", "source", "size")])] if kept else []
-    inside = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size", *ties).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size", "own", *ties).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     rows = rows.join(sums, F.col("source").eqNullSafe(F.col("of")) & (F.col("range") == F.col("at")))
     budget = F.round("target").cast("long")

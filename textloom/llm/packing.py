@@ -97,7 +97,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACIT
 
     A document is its ids and then id `end`; null and empty texts are that one id. Only documents over `capacity`
     are cut, into pieces of that length and a rest. Repeated rows are packed as often as they occur. Extra columns
-    are ignored; an empty table gives no rows. Sequence numbers are unique, not consecutive per anything.
+    are ignored; null ids are ids like others; an empty table gives no rows. Sequence numbers are unique, not consecutive per anything.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -118,7 +118,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACIT
     counts = spark.createDataFrame([(k, -(-n // RANGE_PIECES)) for k, n in histogram.items()], "length long, ranges long")
 
     # rank among equal lengths: even hash ranges, running numbers inside, sums of ranges before
-    ranged = pieces.join(F.broadcast(counts), "length").withColumn("range", F.expr("pmod(xxhash64(doc_id, piece), ranges)"))
+    ranged = pieces.join(F.broadcast(counts), "length").withColumn("range", F.expr("pmod(xxhash64(doc_id, piece, length, ids_crc32), ranges)"))
     ahead = Window.partitionBy("length").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     sums = ranged.groupBy("length", "range").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(ahead), F.lit(0))).drop("n")
     inside = Window.partitionBy("length", "range").orderBy("doc_id", "piece", "start", "ids_crc32")
