@@ -65,7 +65,7 @@ def payload_of(text: str | None) -> tuple[bytes, int]:
     return data + b" " * (-len(data) % WIDTH if data else WIDTH), len(data)
 
 
-def _writer(folder: str):
+def _writer(folder: str, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (fs, path), part, seq, out, at = opened(folder), TaskContext.get().partitionId(), 0, None, {}
         for batch in batches:
@@ -85,7 +85,7 @@ def _writer(folder: str):
                         at[digest] = (out.write(png), len(png))
                         out.write(b"\0" * (-len(png) % tarfile.BLOCKSIZE))
                     rows.append((doc_id, n, name, digest, *at[digest]))
-                    if out.size >= SHARD_BYTES:
+                    if out.size >= most:
                         out.write(b"\0" * 2 * tarfile.BLOCKSIZE)
                         out.close()
                         out = None
@@ -99,13 +99,16 @@ def _writer(folder: str):
     return run
 
 
-def write_media(docs: DataFrame, folder: str) -> DataFrame:
+def write_media(docs: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Writes every text as a medium into tar shards in folder; per document: doc_id, n_bytes, shard, digest, offset, length.
 
-    Null text is the empty text: one row of blanks. Repeated rows share their medium. Extra columns are ignored.
+    Null text is the empty text: one row of blanks. Repeated rows share their medium within a shard; a copy in another
+    shard is stored again under the same name. Null ids are kept. A very long text is one medium, held whole (payload,
+    raster and PNG) while it is written. A shard ends after shard_bytes. Extra columns are ignored; an empty table
+    writes nothing.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return materialize(docs.mapInArrow(_writer(folder), "doc_id long, n_bytes long, shard string, digest string, offset long, length long"), "media")
+    return materialize(docs.mapInArrow(_writer(folder, shard_bytes), "doc_id long, n_bytes long, shard string, digest string, offset long, length long"), "media")
 
 
 def feature(samples: bytes, width: int, height: int) -> str:

@@ -33,7 +33,7 @@ from textloom.llm.encoding import default_vocabulary, encoder
 from textloom.llm.files import Staged, opened
 
 BLOCK_BYTES = 64 * 1024
-SHARD_BYTES = 8 * 1024 * 1024
+SHARD_BYTES = 64 * 1024 * 1024
 _FOOTER = struct.Struct("<8sHHIQQQQQI")
 MAGIC = b"TLSSTv01"
 PROBES, BITS_PER_KEY = 7, 10
@@ -120,25 +120,29 @@ class ShardWriter:
 
 
 class ShardReader:
-    """Reads a shard: all entries in order, or one key by filter, binary search in the index and one block."""
+    """Reads a shard: all entries in order, or one key by filter, binary search in the index and one block.
 
-    def __init__(self, data: bytes):
-        self.data = data
-        magic, _, self.width, self.entries, self.ids, at, size, self.bloom_at, self.bloom_size, self.probes = _FOOTER.unpack(data[-_FOOTER.size :])
+    The footer is read first, then the index; the filter and blocks are read when they are asked for, each by its range.
+    """
+
+    def __init__(self, file: pa.NativeFile | bytes):
+        self.file = pa.BufferReader(file) if isinstance(file, bytes) else file
+        size = self.file.size()
+        magic, _, self.width, self.entries, self.ids, index_at, index_size, self.bloom_at, self.bloom_size, self.probes = _FOOTER.unpack(self.file.read_at(_FOOTER.size, size - _FOOTER.size))
         if magic != MAGIC:
             raise ValueError("not a shard of this format")
-        self.blocks, end = [], at + size
-        while at < end:
-            n, at = _read_varint(data, at)
-            key, at = data[at : at + n], at + n
-            where, at = _read_varint(data, at)
-            length, at = _read_varint(data, at)
+        index, at, self.blocks, self.bloom = self.file.read_at(index_size, index_at), 0, [], None
+        while at < len(index):
+            n, at = _read_varint(index, at)
+            key, at = index[at : at + n], at + n
+            where, at = _read_varint(index, at)
+            length, at = _read_varint(index, at)
             self.blocks.append((key, where, length))
         self.inflate = zstandard.ZstdDecompressor()
 
     def _entries(self, block: int) -> Iterator[tuple[bytes, np.ndarray]]:
         _, where, length = self.blocks[block]
-        data, at, key = self.inflate.decompress(self.data[where : where + length]), 0, b""
+        data, at, key = self.inflate.decompress(self.file.read_at(length, where)), 0, b""
         while at < len(data):
             shared, at = _read_varint(data, at)
             rest, at = _read_varint(data, at)
@@ -154,8 +158,9 @@ class ShardReader:
     def get(self, doc_id: int | None) -> list[np.ndarray]:
         """The ids of every document with this identifier."""
         key = key_of(doc_id)
-        bloom = self.data[self.bloom_at : self.bloom_at + self.bloom_size]
-        if not all(bloom[p >> 3] >> (p & 7) & 1 for p in _probes(key, 8 * self.bloom_size, self.probes)):
+        if self.bloom is None:
+            self.bloom = self.file.read_at(self.bloom_size, self.bloom_at)
+        if not all(self.bloom[p >> 3] >> (p & 7) & 1 for p in _probes(key, 8 * self.bloom_size, self.probes)):
             return []
         lo, hi = 0, len(self.blocks)
         while lo < hi:
@@ -172,7 +177,7 @@ class ShardReader:
         return found
 
 
-def _writer(folder: str, vocabulary: str, end: int, width: int):
+def _writer(folder: str, vocabulary: str, end: int, width: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, (fs, path), part, seq = encoder(vocabulary).encode, opened(folder), TaskContext.get().partitionId(), 0
         shard, done = None, []
@@ -191,7 +196,7 @@ def _writer(folder: str, vocabulary: str, end: int, width: int):
                         name = f"shard-{part:06d}-{seq:06d}.sst"
                         shard = ShardWriter(Staged(fs, f"{path}/{name}"), width)
                     shard.add(key_of(doc_id), np.append(np.frombuffer(ids, "<u4"), np.uint32(end)))
-                    if shard.ids * width >= SHARD_BYTES:
+                    if shard.ids * width >= most:
                         finish()
         if shard is not None:
             finish()
@@ -201,11 +206,12 @@ def _writer(folder: str, vocabulary: str, end: int, width: int):
     return run
 
 
-def write_shards(docs: DataFrame, folder: str, vocabulary: str | None = None, end: int = 1, wide: bool = False) -> DataFrame:
+def write_shards(docs: DataFrame, folder: str, vocabulary: str | None = None, end: int = 1, wide: bool = False, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Encodes the documents and writes them in ascending doc_id as shards in folder; returns one row per shard.
 
     Null and empty texts hold the end id alone; a null doc_id comes first; repeated ids are kept side by side. Extra
-    columns are ignored; an empty table writes nothing. wide: 4 bytes per id whatever the vocabulary.
+    columns are ignored; an empty table writes nothing. A very long text is one entry, held whole while it is written.
+    wide: 4 bytes per id whatever the vocabulary. A shard ends after shard_bytes of ids.
     """
     spark = docs.sparkSession
     vocabulary = vocabulary or default_vocabulary()
@@ -213,29 +219,44 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str | None = None, en
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     in_order = docs.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    return materialize(in_order.mapInArrow(_writer(folder, vocabulary, end, width), "part int, seq int, name string, entries long, ids long"), "shards")
+    return materialize(in_order.mapInArrow(_writer(folder, vocabulary, end, width, shard_bytes), "part int, seq int, name string, entries long, ids long"), "shards")
+
+
+def _reader(folder: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, path = opened(folder)
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                with fs.open_input_file(f"{path}/{name}") as file:
+                    out, at = [], 0
+                    for key, ids in ShardReader(file):
+                        out.append((id_of(key), name, at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+                        at += len(ids)
+                        if len(out) == 10_000:
+                            yield _batch(out, kinds)
+                            out = []
+                    yield _batch(out, kinds)
+
+    return run
 
 
-def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-            out, at = [], 0
-            for key, ids in ShardReader(content.as_buffer().to_pybytes()):
-                out.append((id_of(key), name, at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
-                at += len(ids)
-            cols = zip(*out)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "name", "at", "n_tokens", "ids_crc32"])
+def _batch(rows: list[tuple], kinds: tuple) -> pa.RecordBatch:
+    cols = zip(*rows) if rows else ((),) * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["doc_id", "name", "at", "n_tokens", "ids_crc32"])
 
 
 def read_shards(shards: DataFrame, folder: str) -> DataFrame:
-    """Per document of the shards: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
-    spark = shards.sparkSession
+    """Per document of the shards: doc_id, start (ids of all documents before it), n_tokens, ids_crc32.
+
+    Shards are read block by block, so a task holds one block and the index, whatever a shard's size.
+    """
     # one row per shard, so the running sum is over the shards' totals only
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
     starts = shards.select("name", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("before"))
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.sst").load(folder)
-    named = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
-    read = named.mapInArrow(_reader, "doc_id long, name string, at long, n_tokens long, ids_crc32 long")
+    tasks = max(shards.sparkSession.sparkContext.defaultParallelism, int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    named = shards.select("name").repartition(tasks, "name")
+    read = named.mapInArrow(_reader(folder), "doc_id long, name string, at long, n_tokens long, ids_crc32 long")
     return read.join(starts, "name").select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
