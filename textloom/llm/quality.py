@@ -7,6 +7,7 @@ the scoring tasks. A score is the posterior of label 1 from the difference of th
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -14,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from textloom.llm.common import materialize
 
@@ -103,6 +105,16 @@ def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(at, pa.int32()), pa.array(values, pa.float64())], names=["label", "at", "v"])
 
 
+@F.arrow_udf(ArrayType(DoubleType()))
+def _statistics(texts: pa.Array) -> pa.Array:
+    """statistics() of a column of texts."""
+    flat = np.empty((len(texts), len(FEATURES)))
+    for lo in range(0, len(texts), 512):
+        for k, t in enumerate(texts.slice(lo, 512).to_pylist(), lo):
+            flat[k] = statistics(t)
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, len(FEATURES)), pa.int32()), pa.array(flat.ravel()))
+
+
 class Discriminant:
     """Means, inverse Cholesky factors and log priors of the two classes, from their moment matrices."""
 
@@ -168,13 +180,19 @@ def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, reject_below: float = 0.7) -> DataFrame:
-    """The documents that the classifier doesn't reject, with all their columns."""
-    model, _ = quality_model(docs, labels, folds, held)
+    """The documents that the classifier doesn't reject, with all their columns (and no others).
 
-    @F.pandas_udf("double")
-    def score(texts):
-        import pandas as pd
+    Every row is judged by its own text, whatever its id; null and empty texts by zero statistics. The statistics are
+    worked out once and kept beside the documents in a table of the shared folder.
+    """
+    named = f"x_{uuid.uuid4().hex}"  # docs may have any names
+    kept = materialize(docs.withColumn(named, _statistics(F.col("text").cast("string"))), "featured")
+    train = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").alias("label")).where(crc_mod("doc_id", folds) != held)
+    model = fit(kept.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(named).alias("x")).join(train, "doc_id"))
 
-        return pd.Series(model.score(np.array([statistics(t) for t in texts], np.float64).reshape(-1, len(FEATURES))))
+    @F.arrow_udf(DoubleType())
+    def score(x: pa.Array) -> pa.Array:
+        flat = x.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
+        return pa.array(model.score(flat))
 
-    return docs.where(score(F.col("text").cast("string")) >= reject_below)
+    return kept.where(score(F.col(named)) >= reject_below).drop(named)
