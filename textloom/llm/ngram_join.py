@@ -8,11 +8,19 @@ How it runs:
    settled there and never leaves its bucket. Shingles that at least two documents hold go back to their blocks.
 3. Each block orders every set by (region, document frequency, hash), one order for all documents, and cuts the
    prefix that the threshold needs. Sets with identical prefixes and size collapse into one group.
-4. Groups meet on shared prefix shingles. First each group joins the family of one pivot, and all members of a
-   family, expanded, are verified against each other on whole sets, in blocks that meet pairwise; that gives
-   components. Then every pair of sets across families and components that shares a prefix shingle is verified,
-   after filters on sizes, positions and unshared shingles. No link between different texts is lost, and pairs
-   are neither written out inside a family nor inside a component.
+4. First each group joins the family of one pivot. A family is dealt into blocks; the expanded members of a block are
+   verified against each other, the pivot and three more members of the family, which are in every block, so texts are
+   shipped about once, however large the family. That gives components.
+5. Then groups meet on shared prefix shingles, a frequent shingle in tiles, unless both lie in one component or were
+   compared in 4. Filters on sizes, positions and unshared shingles drop pairs of groups; what is left is expanded to
+   pairs of members of different components, which are verified on whole sets. No link between different components is
+   lost, and pairs are neither written out inside a block nor inside a component.
+
+Long documents first emit only the shingles in the lowest REGION of the hash range (all documents the same range, which
+comes first in the order); where that is too few to hold a prefix they emit all. Whole sets are verified.
+
+A family whose blocks do not come together in 4, with members just under the threshold, costs a number of pairs that
+grows with its square: that is the candidates' own number, which no exact prefix join spares.
 """
 
 from __future__ import annotations
@@ -35,8 +43,10 @@ SHORT = 256
 BLOCK_SHINGLES, BUCKET_SHINGLES = 400_000, 700_000
 #: Rows of an assignment table up to which it is broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 400_000
-#: Documents in one block of a family, and shingles in one slice of its indicator matrix.
-LEAVES, COLUMNS = 512, 2048
+#: Documents and shingles in one block to be verified, and shingles in one slice of its indicator matrix.
+LEAVES, LEAF_SHINGLES, COLUMNS = 512, 400_000, 2048
+#: Groups in one tile of a frequent shingle.
+TILE = 1024
 
 _BOUND = np.uint64(int(REGION * 2**64))
 
@@ -203,49 +213,75 @@ def _verified(group: pa.Table) -> pa.Table:
     return pa.table({"u": pa.array(out_u, pa.int64()), "v": pa.array(out_v, pa.int64())})
 
 
-def _family_links(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """Links among the documents (family, doc_id) of every family, as edges (u, v).
+def _salts(leaves: int, n: str):
+    """Blocks that rows fall into, by their number and their shingles."""
+    return F.ceil(F.greatest(F.count("*") / leaves, F.sum(n) / LEAF_SHINGLES)).cast("int")
 
-    A family is dealt into blocks of LEAVES documents and every pair of its blocks is one task's group, so no group
-    grows with the family.
-    """
-    n = members.groupBy("family").agg(F.ceil(F.count("*") / LEAVES).cast("int").alias("blocks"), F.count("*").alias("size")).where("size > 1").drop("size")
-    placed = members.join(n, "family").withColumn("own", F.expr("cast(pmod(xxhash64(doc_id), blocks) as int)"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = placed.select("family", "doc_id", "own", other).select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id")
+
+def _verify(docs: DataFrame, dealt: DataFrame, keys: list[str], broadcast_rows: int) -> DataFrame:
+    """Links (u, v) among the documents that dealt (keys, doc_id) puts together."""
     dealt = materialize(dealt, "dealt")
-    texts = docs.select("doc_id", "text").join(bounded_broadcast(dealt, dealt.count(), BROADCAST_ROWS), "doc_id")
-    return texts.groupBy("family", "i", "j").applyInArrow(_verified, "u long, v long").distinct()
+    texts = docs.select("doc_id", "text").join(bounded_broadcast(dealt, dealt.count(), broadcast_rows), "doc_id")
+    return texts.groupBy(*keys).applyInArrow(_verified, "u long, v long").distinct()
+
+
+def _family_blocks(members: DataFrame, leaves: int) -> DataFrame:
+    """family, blocks, and the members that go to every block: the pivot and three with the least of three hashes."""
+    least = [F.min(F.struct(F.xxhash64(F.lit(k), "doc_id"), "doc_id"))["doc_id"] for k in range(3)]
+    return members.groupBy("family").agg(_salts(leaves, "n").alias("blocks"), F.count("*").alias("size"), F.array(F.col("family"), *least).alias("common")).where("size > 1").drop("size")
+
 
+def _family_links(docs: DataFrame, members: DataFrame, blocks: DataFrame, broadcast_rows: int) -> DataFrame:
+    """Links among the documents (family, doc_id, n) of every family, block by block."""
+    own = members.join(blocks, "family").select("family", F.expr("cast(pmod(xxhash64(doc_id), blocks) as int)").alias("block"), "doc_id")
+    common = blocks.where("blocks > 1").select("family", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), "common").select("family", "block", F.explode("common").alias("doc_id"))
+    return _verify(docs, own.unionByName(common).distinct(), ["family", "block"], broadcast_rows)
 
-def _pair_links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Links among stated pairs (a, b): every a with up to LEAVES of its b in one group."""
-    n = pairs.groupBy("a").agg(F.ceil(F.count("*") / LEAVES).alias("salts"))
+
+def _pair_links(docs: DataFrame, pairs: DataFrame, leaves: int, broadcast_rows: int) -> DataFrame:
+    """Links among stated pairs (a, b, n: shingles of b): every a with some of its b in one group."""
+    n = pairs.groupBy("a").agg(_salts(leaves, "n").alias("salts"))
     salted = pairs.join(n, "a").withColumn("salt", F.expr("pmod(xxhash64(b), salts)"))
     hubs = salted.select("a", "salt").distinct().select("a", "salt", F.col("a").alias("doc_id"))
-    dealt = materialize(salted.select("a", "salt", F.col("b").alias("doc_id")).unionByName(hubs), "dealt")
-    texts = docs.select("doc_id", "text").join(bounded_broadcast(dealt, dealt.count(), BROADCAST_ROWS), "doc_id")
-    return texts.groupBy("a", "salt").applyInArrow(_verified, "u long, v long").distinct()
+    return _verify(docs, salted.select("a", "salt", F.col("b").alias("doc_id")).unionByName(hubs), ["a", "salt"], broadcast_rows)
+
+
+def _meetings(tokens: DataFrame, tile: int) -> DataFrame:
+    """Pairs a, b (structs of a group) that share a prefix shingle and are not of one component, once per shingle.
+
+    tokens: (tau, pos, gid, n, most, family, whole, lo, hi). The groups of a frequent shingle fall into tiles, and each
+    pair of tiles is a key of its own, so that no task gets all of them.
+    """
+    some = tokens.groupBy("tau").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"), F.min("lo").alias("tau_lo"), F.max("hi").alias("tau_hi")).where("tau_lo <> tau_hi").select("tau", "tiles")
+    rows = tokens.join(some, "tau").withColumn("tile", F.expr("cast(pmod(xxhash64(gid), tiles) as int)"))
+    rows = materialize(rows.select("tau", "tiles", "tile", F.struct("gid", "n", "most", "pos", "family", "whole", "lo", "hi").alias("g")), "tiles")
+    left = rows.select("tau", F.col("tile").alias("i"), F.explode(F.expr("sequence(tile, tiles - 1)")).alias("j"), F.col("g").alias("x"))
+    right = rows.select("tau", F.explode(F.expr("sequence(0, tile)")).alias("i"), F.col("tile").alias("j"), F.col("g").alias("y"))
+    met = left.join(right, ["tau", "i", "j"]).where("(i < j OR x.gid < y.gid) AND (x.lo <> y.hi OR x.hi <> y.lo) AND NOT (x.family = y.family AND x.whole)")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
-def _close(df: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose overlap may reach the threshold, of rows with one common prefix shingle.
+def _close(met: DataFrame) -> DataFrame:
+    """Pairs of groups (a, b) whose overlap may reach the threshold, of rows with one common prefix shingle.
 
-    Per side: n size, m most that any other set shares, p position. What is behind a common shingle bounds the
+    Per side: n size, most that any other set shares, pos in the prefix. What is behind a common shingle bounds the
     overlap if it is the first; positions of common shingles ascend on both sides, so what is filtered stands behind
     what stays. The shingles that stay bound the overlap by their number and what follows the last on either side.
     """
-    fits = df.where("4 * least(na, nb) >= 3 * greatest(na, nb)").where("7 * least(na - pa, nb - pb, ma, mb) >= 3 * (na + nb)")
-    met = fits.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("hits"), F.max("pa").alias("la"), F.max("pb").alias("lb"))
-    return met.where("7 * (hits + least(na - la, nb - lb) - 1) >= 3 * (na + nb)").select("a", "b")
+    side = lambda k: [F.col(f"{k}.gid").alias(k), *[F.col(f"{k}.{c}").alias(f"{c}_{k}") for c in ("n", "most", "pos")]]
+    rows = met.select(*side("a"), *side("b"))
+    fits = rows.where("4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)").where("7 * least(n_a - pos_a, n_b - pos_b, most_a, most_b) >= 3 * (n_a + n_b)")
+    ends = fits.groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("hits"), F.max("pos_a").alias("last_a"), F.max("pos_b").alias("last_b"))
+    return ends.where("7 * (hits + least(n_a - last_a, n_b - last_b) - 1) >= 3 * (n_a + n_b)").select("a", "b")
 
 
-def ngram_components(docs: DataFrame) -> DataFrame:
+def ngram_components(docs: DataFrame, leaves: int = LEAVES, tile: int = TILE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Per document (doc_id, n_shingles, component_id) under links of Jaccard similarity 0.75 or more.
 
     Null or wordless text: n_shingles 0, its own component. Null doc_id: counted, component null, never linked.
-    Repeated doc_ids are one node, linked by any of their texts. Other columns are ignored; an empty table gives
-    no rows. Hash equality stands for shingle equality (64 bits).
+    Repeated doc_ids are one node, linked by any of their texts. Very long texts are compared whole; a block to verify
+    holds at least one text. Other columns are ignored; an empty table gives no rows. Hash equality stands for shingle
+    equality (64 bits). leaves, tile and broadcast_rows change how work is dealt, not the result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     staged = materialize(docs.mapInArrow(_staged, "block long, doc_id long, n long, fp binary, toks binary"), "sets")
@@ -259,10 +295,10 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     reps = staged.where("n > 0").groupBy("n", "fp").agg(F.min("doc_id").alias("rep"))
     rows = materialize(prefixes, "prefixes").join(reps, ["n", "fp"])
     # one row per distinct set: copies of it in other blocks have the same prefix
-    sets = rows.groupBy("n", "fp", "prefix", "rep").agg(F.max("most").alias("most"), F.first("ptoks").alias("ptoks"), F.first("ppos").alias("ppos"))
-    groups = materialize(sets.withColumn("gid", F.col("rep")), "distinct")
-    leader = groups.groupBy("n", "prefix").agg(F.min("rep").alias("gid"))
-    members = groups.drop("gid").join(leader, ["n", "prefix"])
+    sets = materialize(rows.groupBy("n", "fp", "prefix", "rep").agg(F.max("most").alias("most"), F.first("ptoks").alias("ptoks"), F.first("ppos").alias("ppos")), "distinct")
+    # sets with identical prefix and size are one group, named by its least member
+    leader = sets.groupBy("n", "prefix").agg(F.min("rep").alias("gid"), F.max("most").alias("group_most"))
+    members = sets.join(leader, ["n", "prefix"])
 
     # groups meet their best pivot: per shingle and band of sizes, the one that has the shingle earliest in its
     # prefix, which is the one with the fewest rare shingles of its own
@@ -275,22 +311,25 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     strong = materialize(strong, "strong")
     liked = strong.groupBy("pivot").agg(F.count("*").alias("groups"))
     chosen = strong.join(liked, "pivot").groupBy("gid").agg(F.max(F.struct("groups", (-F.col("pivot")).alias("p"))).alias("x")).select("gid", (-F.col("x.p")).alias("pivot"))
-    heads = chosen.select("pivot").distinct().select(F.col("pivot").alias("family"), F.col("pivot").alias("doc_id"))
-    grouped = members.join(chosen, "gid", "left").select("rep", "gid", F.coalesce("pivot", "gid").alias("family"))
-    grouped = materialize(grouped, "families")
-    family = grouped.select("family", F.col("rep").alias("doc_id")).unionByName(heads).distinct()
-    first = materialize(_family_links(docs, family), "links")
-    known = connected_components(first)
-
-    # what is left: pairs of sets across components that share a prefix shingle
-    placed = groups.drop("gid").join(grouped.select("rep", "family"), "rep").join(known.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "family", F.coalesce("component", "rep").alias("comp"), "n", "most", "ptoks", "ppos")
-    tokens = placed.select("rep", "family", "comp", "n", "most", F.explode(F.arrays_zip("ptoks", "ppos")).alias("x")).select("rep", "family", "comp", "n", "most", F.col("x.ptoks").alias("tau"), F.col("x.ppos").alias("pos"))
-    mixed = tokens.groupBy("tau").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("tau")
-    open_ = materialize(tokens.join(mixed, "tau"), "open")
-    side = lambda k: open_.select("tau", F.col("rep").alias(k), *[F.col(c).alias(f"{n}{k}") for n, c in (("c", "comp"), ("n", "n"), ("m", "most"), ("f", "family"), ("p", "pos"))])
-    across = _close(side("a").join(side("b"), "tau").where("ca < cb AND fa <> fb AND fa <> b AND fb <> a"))
-    # each pair is a family of two; pairs of one document with many are one family in blocks
-    more = _pair_links(docs, materialize(across, "across"))
+    grouped = materialize(members.join(chosen, "gid", "left").select("rep", "gid", "n", "most", "group_most", F.coalesce("pivot", "gid").alias("family"), F.when(F.col("rep") == F.col("gid"), F.col("ptoks")).alias("ptoks"), F.when(F.col("rep") == F.col("gid"), F.col("ppos")).alias("ppos")), "families")
+    heads = chosen.select("pivot").distinct().select(F.col("pivot").alias("family"), F.col("pivot").alias("doc_id")).join(grouped.select(F.col("rep").alias("doc_id"), "n"), "doc_id")
+    family = grouped.select("family", F.col("rep").alias("doc_id"), "n").unionByName(heads.select("family", "doc_id", "n")).distinct()
+    family = materialize(family, "members")
+    blocks = materialize(_family_blocks(family, leaves), "blocks")
+    known = connected_components(materialize(_family_links(docs, family, blocks, broadcast_rows), "links"))
+
+    # what is left: pairs of groups across components that share a prefix shingle
+    placed = grouped.join(known.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
+    placed = materialize(placed.join(blocks.select("family", "blocks"), "family", "left").select("rep", "gid", "n", "most", "group_most", "family", (F.coalesce("blocks", F.lit(1)) == 1).alias("whole"), "comp", "ptoks", "ppos"), "placed")
+    spans = placed.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    first = placed.where("rep = gid").select("gid", "n", F.col("group_most").alias("most"), "family", "whole", F.explode(F.arrays_zip("ptoks", "ppos")).alias("x")).join(spans, "gid")
+    met = _meetings(first.select(F.col("x.ptoks").alias("tau"), F.col("x.ppos").alias("pos"), "gid", "n", "most", "family", "whole", "lo", "hi"), tile)
+    inside = placed.where("rep = gid AND NOT whole").join(spans.where("lo <> hi"), "gid", "left_semi").select(F.col("gid").alias("a"), F.col("gid").alias("b"))
+    pairs = materialize(_close(met).unionByName(inside), "pairs")
+    # expanded to members of different components
+    side = lambda k, r: placed.select(F.col("gid").alias(k), F.col("rep").alias(r), F.col("n").alias(f"n_{r}"), F.col("most").alias(f"most_{r}"), F.col("comp").alias(f"comp_{r}"))
+    expanded = pairs.join(side("a", "u"), "a").join(side("b", "v"), "b").where("comp_u <> comp_v AND (a <> b OR u < v) AND 7 * least(most_u, most_v) >= 3 * (n_u + n_v)")
+    more = _pair_links(docs, materialize(expanded.select(F.col("u").alias("a"), F.col("v").alias("b"), F.col("n_v").alias("n")), "across"), leaves, broadcast_rows)
     final = connected_components(known.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
 
     of = reps.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("n", "fp", F.coalesce("component", "rep").alias("root"))
