@@ -147,3 +147,26 @@ def ratio(a: Column, b: Column) -> Column:
 def counted(c: Column, values: list[str] | tuple[str, ...]) -> Column:
     """How many elements of an array of words are in a list."""
     return F.size(F.filter(c, lambda w: w.isin(*values))).cast("long")
+
+
+def tenths(v: Column) -> Column:
+    """A number from 0 on with one digit after the point, rounded by its binary value, halves to even."""
+    whole = F.floor(v)
+    t = (v - whole) * 10
+    up = (t - F.floor(t) > 0.5) | ((t - F.floor(t) == 0.5) & (F.floor(t) % 2 == 1))
+    n = whole * 10 + F.floor(t) + up.cast("long")
+    return F.concat(F.floor(n / 10).cast("string"), F.lit("."), (n % 10).cast("string"))
+
+
+def whole_or_tenths(v: Column) -> Column:
+    """A number as an integer if it is whole to one digit, else with one digit."""
+    return F.regexp_replace(tenths(v), r"\.0$", "")
+
+
+def runs(xs: Column) -> Column:
+    """Structs (value, n, first) of an array of strings: how often each value occurs and where first, in linear sweeps."""
+    kind = "struct<value:string,n:int,first:int>"
+    placed = F.array_sort(F.transform(xs, lambda x, i: F.struct(x.alias("value"), i.alias("at"))))
+    # sorted by value and place: a value's first row starts a run, which ends where the next one starts
+    starts = bound(placed, lambda p: F.filter(F.transform(p, lambda x, i: F.struct(x["value"].alias("value"), x["at"].alias("first"), i.alias("i"), ((i == 0) | (x["value"] != F.get(p, i - 1)["value"])).alias("new"))), lambda x: x["new"]))
+    return bound(F.struct(starts.alias("s"), F.size(xs).alias("n")), lambda r: F.transform(r["s"], lambda x, k: F.struct(x["value"].alias("value"), (F.coalesce(F.get(r["s"], k + 1)["i"], r["n"]) - x["i"]).alias("n"), x["first"].alias("first")).cast(kind)))

@@ -103,12 +103,27 @@ def dates(nodes: DataFrame) -> DataFrame:
 
 
 def span_candidates(nodes: DataFrame) -> DataFrame:
-    """All kinds of spans together: doc_id, kind, text, label, start, end."""
-    q = quotations(nodes).select("doc_id", F.lit("quotation").alias("kind"), "text", F.lit("").alias("label"), "start", "end")
-    c = citations(nodes).select("doc_id", F.lit("citation").alias("kind"), "text", F.col("kind").alias("label"), "start", "end")
-    n = number_units(nodes).select("doc_id", F.lit("number").alias("kind"), "text", F.col("unit").alias("label"), "start", "end")
-    d = dates(nodes).select("doc_id", F.lit("date").alias("kind"), "text", F.lit("").alias("label"), "start", "end")
-    return q.unionByName(c).unionByName(n).unionByName(d)
+    """All kinds of spans together, from one scan of the nodes: doc_id, kind, text, label, start, end.
+
+    Places that a kind repeats count once. Where nodes have a node_type, quotation nodes are quotations as they are.
+    """
+    t = F.col("text")
+    inner = lambda x: F.substring(x, F.lit(2), F.length(x) - 2)
+    doi = lambda x: F.regexp_replace(x, r"\.+$", "")
+    unit = lambda x: F.regexp_extract(x, r"^\d+(?:[.,]\d+)?\s*(.*)$", 1)
+    kinds = [k for k, _ in CITATIONS]
+    each = [
+        *[_found(t, p, "quotation", text=lambda x: T.strip(inner(x)), keep=lambda s: F.length(s["text"]) >= 20) for p in (QUOTE, CURLY_QUOTE)],
+        _found(t, CITATIONS[0][1], "citation", text=doi, label=lambda x: F.lit(kinds[0]), cut=lambda m: m["start"] + F.length(doi(m["text"]))), _found(t, CITATIONS[1][1], "citation", label=lambda x: F.lit(kinds[1])),
+        _found(t, CITATIONS[2][1], "citation", text=inner, label=lambda x: F.lit(kinds[2])), _found(t, CITATIONS[3][1], "citation", label=lambda x: F.lit(kinds[3])),
+        _found(t, NUMBER_UNIT, "number", label=unit, keep=lambda s: ~F.lower(s["label"]).isin(*L.UNIT_STOPWORDS)), _found(t, DATE, "date"),
+    ]
+    found = F.concat(*each)
+    if "node_type" in nodes.columns:
+        whole = F.array(F.struct(F.lit("quotation").alias("kind"), F.lit(0).alias("start"), F.length(t).alias("end"), t.alias("text"), F.lit("").alias("label"))).cast(_SPAN)
+        found = F.when(F.col("node_type") != "quotation", found).when(T.strip(t) != "", whole).otherwise(F.array().cast(_SPAN))
+    rows = nodes.select("doc_id", F.col("start").alias("base"), F.inline(found)).select("doc_id", "kind", "text", "label", (F.col("base") + F.col("start")).alias("start"), (F.col("base") + F.col("end")).alias("end"))
+    return rows
 
 
 def protected_spans(candidates: DataFrame) -> DataFrame:
@@ -132,10 +147,11 @@ def claims(spans: DataFrame) -> DataFrame:
     return spans.select("doc_id", F.row_number().over(order).alias("claim_no"), F.col("text").alias("proposition"), modality(F.col("kind"), F.col("text")).alias("modality"), negated(F.col("text")).alias("negation"), "span_no")
 
 
-def entities(claim_rows: DataFrame, citation_rows: DataFrame, most: int = 100) -> DataFrame:
+def entities(claim_rows: DataFrame, citation_rows: DataFrame, most: int = 100, spans: DataFrame | None = None) -> DataFrame:
     """doc_id, entity_no, name, entity_type: capitalised phrases of claims, then authors of author-year citations.
 
-    Names count once, at their first place; a name inside an author-year citation is a person.
+    Names count once, at their first place; a name inside an author-year citation is a person. With spans (span_no,
+    text), evidence lists the numbers of those that mention the name.
     """
     phrases = F.regexp_extract_all("proposition", F.lit("[A-Z][a-z]+(?: [A-Z][a-z]+)+"), F.lit(0))
     a = claim_rows.select("doc_id", F.col("claim_no").alias("o1"), F.posexplode(phrases).alias("o2", "name")).withColumn("o0", F.lit(0))
@@ -145,7 +161,12 @@ def entities(claim_rows: DataFrame, citation_rows: DataFrame, most: int = 100) -
     texts = authors.groupBy("doc_id").agg(F.collect_set("text").alias("cited"))
     typed = first.join(texts, "doc_id", "left").withColumn("entity_type", F.when(F.exists(F.coalesce("cited", F.array().cast("array<string>")), lambda c: c.contains(F.col("name"))), "person").otherwise("other"))
     order = Window.partitionBy("doc_id").orderBy("at")
-    return typed.withColumn("entity_no", F.row_number().over(order)).where(F.col("entity_no") <= most).select("doc_id", "entity_no", "name", "entity_type")
+    rows = typed.withColumn("entity_no", F.row_number().over(order)).where(F.col("entity_no") <= most).select("doc_id", "entity_no", "name", "entity_type")
+    if spans is None:
+        return rows
+    held = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("span_no", "text"))).alias("xs"))
+    seen = F.transform(F.filter(F.coalesce("xs", F.array().cast("array<struct<span_no:int,text:string>>")), lambda s: s["text"].contains(F.col("name"))), lambda s: s["span_no"].cast("string"))
+    return rows.join(held, "doc_id", "left").withColumn("evidence", F.array_join(seen, ",")).drop("xs")
 
 
 def relationships(claim_rows: DataFrame, entity_rows: DataFrame, most: int = 200) -> DataFrame:
@@ -200,6 +221,28 @@ def contradictions(left: DataFrame, right: DataFrame) -> DataFrame:
     return pick(n, "number").unionByName(pick(g, "negation")).distinct()
 
 
+def _unmatched(left: DataFrame, right: DataFrame) -> DataFrame:
+    """The claims of left that no equal claim of right is left for; equal ones are matched one by one in order."""
+    numbered = lambda df: df.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id", "proposition").orderBy("claim_no")))
+    return numbered(left).join(numbered(right).select("doc_id", "proposition", "copy"), ["doc_id", "proposition", "copy"], "left_anti").drop("copy")
+
+
+def contradicted_pairs(source: DataFrame, candidate: DataFrame) -> DataFrame:
+    """doc_id, source_no, candidate_no: of the claims that exact matching leaves over, each takes its first free contradiction."""
+    return greedy_pairs(contradictions(_unmatched(source, candidate), _unmatched(candidate, source)))
+
+
+def claim_diff(source: DataFrame, candidate: DataFrame) -> DataFrame:
+    """doc_id, preserved, omitted, added, contradicted, coverage per document of either version (counts).
+
+    Coverage is known where the source has claims at all.
+    """
+    n = lambda df, name: df.groupBy("doc_id").agg(F.count("*").alias(name))
+    pairs = n(contradicted_pairs(source, candidate), "contradicted")
+    rows = n(source, "ns").join(n(candidate, "nc"), "doc_id", "full").join(n(_unmatched(source, candidate), "so"), "doc_id", "left").join(n(_unmatched(candidate, source), "co"), "doc_id", "left").join(pairs, "doc_id", "left").na.fill(0)
+    return rows.select("doc_id", (F.col("ns") - F.col("so")).alias("preserved"), (F.col("so") - F.col("contradicted")).alias("omitted"), (F.col("co") - F.col("contradicted")).alias("added"), "contradicted", F.when(F.col("ns") > 0, "known").otherwise("unknown_coverage").alias("coverage"))
+
+
 def greedy_pairs(edges: DataFrame) -> DataFrame:
     """In order of the source, each takes its first free candidate: doc_id, source_no, candidate_no."""
 
@@ -221,7 +264,8 @@ def fact_diff(source: DataFrame, candidate: DataFrame) -> DataFrame:
     """Greedy fuzzy diff of anchors per document: omissions, additions, contradictions, preservation.
 
     In order of the source, an anchor takes the free candidate of its category with the highest sequence ratio above
-    0.7; under 0.9 the two contradict. One document's anchors are one group.
+    0.7; under 0.9 the two contradict. Documents whose two versions have the same anchors are settled by comparing
+    them as wholes; only the others' anchors go to Python, one document a group.
     """
 
     def diff(key, s, c):
@@ -248,5 +292,29 @@ def fact_diff(source: DataFrame, candidate: DataFrame) -> DataFrame:
         return pd.DataFrame([(key[0], n, len(cand), n - matched, len(cand) - len(taken), contradicted, round(matched / n, 4) if n else 1.0)], columns=["doc_id", "n_source", "n_candidate", "omissions", "additions", "contradictions", "preservation"])
 
     cols = ["doc_id", "seq", "category", "text"]
+    gathered = lambda df, name: df.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("category", F.lower("text").alias("text")))).alias(name))
+    both = gathered(source, "s").join(gathered(candidate, "c"), "doc_id", "full")
+    n = F.size("s").cast("long")
+    zero = F.lit(0).cast("long")
+    same = both.where(F.col("s") == F.col("c")).select("doc_id", n.alias("n_source"), n.alias("n_candidate"), zero.alias("omissions"), zero.alias("additions"), zero.alias("contradictions"), F.lit(1.0).alias("preservation"))
+    open_ = both.where(~F.coalesce(F.col("s") == F.col("c"), F.lit(False))).select("doc_id")
+    source, candidate = source.join(open_, "doc_id", "left_semi"), candidate.join(open_, "doc_id", "left_semi")
     schema = "doc_id long, n_source long, n_candidate long, omissions long, additions long, contradictions long, preservation double"
-    return source.select(*cols).groupBy("doc_id").cogroup(candidate.select(*cols).groupBy("doc_id")).applyInPandas(diff, schema)
+    own = lambda df: df.select(*[F.col(c).alias(c) for c in cols]).groupBy("doc_id")  # noqa: E731  (both may come from one table)
+    return same.unionByName(own(source).cogroup(own(candidate)).applyInPandas(diff, schema))
+
+
+def revalidated(before: DataFrame, after: DataFrame) -> DataFrame:
+    """doc_id, ok, findings: whether two versions of documents (doc_id, text) have the same facts and citations.
+
+    Findings show counts only: fact_anchor_drift where anchors are lost, new or contradict, citation_drift where the
+    citations, in order, aren't the same.
+    """
+    a, b = anchors(before), anchors(after)
+    facts = fact_diff(a, b).withColumn("fact", F.when(F.col("omissions") + F.col("additions") + F.col("contradictions") > 0, F.format_string("fact_anchor_drift:omissions=%d,additions=%d,contradictions=%d", "omissions", "additions", "contradictions")))
+    cited = lambda df, name: df.where("category = 'citation'").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "text"))).alias(name))
+    none = F.array().cast("array<string>")
+    rows = before.select("doc_id").join(facts.select("doc_id", "fact"), "doc_id", "left").join(cited(a, "ca"), "doc_id", "left").join(cited(b, "cb"), "doc_id", "left")
+    x, y = F.coalesce("ca.text", none), F.coalesce("cb.text", none)
+    rows = rows.withColumn("cite", F.when(x != y, F.format_string("citation_drift:expected=%d,current=%d", F.size(x), F.size(y))))
+    return rows.select("doc_id", (F.col("fact").isNull() & F.col("cite").isNull()).alias("ok"), F.concat_ws(";", "fact", "cite").alias("findings"))

@@ -5,8 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: The order of workflow states.
-FLOW = ("triggered", "collecting", "evidence_ready", "proposed", "reviewed", "approved", "applied", "verified", "closed", "denied")
+#: The order of workflow states. A decision may deny any state but the last; both are final.
+FLOW = ("observed", "triaged", "researched", "verified", "proposed", "policy_reviewed", "approved", "quarantined", "validated", "release_approved")
+DENIED = "denied"
+#: Kinds of sources with their tier, kinds of proposals with their category of action, and what policy says of categories.
+SOURCE_TIERS = {"official_spec": 1, "paper": 2, "release_notes": 3, "advisory": 4, "community": 5}
+PROPOSAL_CATEGORIES = {
+    "metadata_field": "metadata_field_addition", "container_mechanism": "container_mechanism_research", "provenance_standard": "provenance_standard_research",
+    "telemetry_change": "telemetry_documentation", "parser_exporter_change": "dependency_update_proposal", "privacy_technique": "privacy_technique_research",
+    "scanner_benchmark_change": "scanner_benchmark",
+}
+ALLOWED_ACTIONS = ("metadata_field_addition", "container_mechanism_research", "provenance_standard_research", "telemetry_documentation", "privacy_technique_research", "scanner_benchmark", "dependency_update_proposal")
+BLOCKED_ACTIONS = ("upload_private_document", "detector_optimization", "provenance_destruction", "auto_merge", "auto_publish", "auto_deploy", "watermark_key_recovery", "code_change_without_review")
+RETENTION_SCOPES = ("cache", "reports")
+
+
+def _map(values: dict) -> Column:
+    return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
 
 
 def latest_decisions(decisions: DataFrame, keys: tuple[str, ...] = ("package_id", "span_id")) -> DataFrame:
@@ -41,16 +56,35 @@ def project_status(revisions: DataFrame) -> DataFrame:
 
 
 def framed_id(prefix: str, *fields: Column) -> Column:
-    """prefix and the first 24 hex digits of sha256 over the fields, framed by NUL."""
-    return F.concat(F.lit(prefix), F.substring(F.sha2(F.concat_ws("\x00", *fields), 256), 1, 24))
+    """prefix and the first hex digits of sha256 over the fields, framed by NUL: 32 of an import, else 24."""
+    return F.concat(F.lit(prefix), F.substring(F.sha2(F.concat_ws("\x00", *fields), 256), 1, 32 if prefix == "import-" else 24))
+
+
+def trigger_id(kind: Column, summary: Column, note: Column) -> Column:
+    return framed_id("trig-", kind, summary, note)
+
+
+def evidence_id(trigger: Column, tier: Column, source_kind: Column, url: Column, digest: Column, summary: Column) -> Column:
+    return framed_id("ev-", trigger, tier, source_kind, url, digest, summary)
+
+
+def proposal_id(trigger: Column, kind: Column, summary: Column, high_impact: Column, evidence_ids: Column) -> Column:
+    """evidence_ids: an array in the proposal's own order."""
+    return framed_id("prop-", trigger, kind, summary, F.when(high_impact, "high_impact").otherwise("not_high_impact"), evidence_ids)
 
 
 def evidence_problems(evidence: DataFrame) -> DataFrame:
-    """evidence_id, problem: URLs that aren't https, digests that aren't 64 hex digits, empty summaries, repeated ids."""
+    """evidence_id, problem of evidence (evidence_id, trigger_id, source_kind, url, snippet_sha256, summary).
+
+    No trigger, URLs that aren't https, digests that aren't 64 hex digits, empty summaries, unknown source kinds,
+    repeated ids.
+    """
     checks = F.array_compact(F.array(
         F.when(~F.coalesce(F.col("url").rlike("^https://"), F.lit(False)), "url"),
         F.when(~F.coalesce(F.col("snippet_sha256").rlike("^[0-9a-f]{64}$"), F.lit(False)), "digest"),
         F.when(F.coalesce(F.trim("summary"), F.lit("")) == "", "summary"),
+        F.when(F.coalesce(F.col("trigger_id").cast("string"), F.lit("")) == "", "trigger"),
+        F.when(~F.coalesce(F.col("source_kind").isin(*SOURCE_TIERS), F.lit(False)), "source_kind"),
     ))
     single = evidence.select("evidence_id", F.explode(checks).alias("problem"))
     repeated = evidence.groupBy("evidence_id").count().where("count > 1").select("evidence_id", F.lit("repeated").alias("problem"))
@@ -58,27 +92,49 @@ def evidence_problems(evidence: DataFrame) -> DataFrame:
 
 
 def sufficiency(evidence: DataFrame) -> DataFrame:
-    """Per trigger: high_impact (one of tier 1, or two URLs of tiers 2 and 3) and basic (any of tiers 1 to 4)."""
+    """Per trigger: high_impact_met (one of tier 1, or two URLs of tiers 2 and 3) and basic (any of tiers 1 to 4)."""
     urls = F.count_distinct(F.when(F.col("tier").isin(2, 3), F.col("url")))
-    return evidence.groupBy("trigger_id").agg((F.bool_or(F.col("tier") == 1) | (urls >= 2)).alias("high_impact"), F.bool_or(F.col("tier").between(1, 4)).alias("basic"))
+    return evidence.groupBy("trigger_id").agg((F.coalesce(F.bool_or(F.col("tier") == 1), F.lit(False)) | (urls >= 2)).alias("high_impact_met"), F.coalesce(F.bool_or(F.col("tier").between(1, 4)), F.lit(False)).alias("basic"))
 
 
 def policy(actions: DataFrame, blocked: DataFrame, allowed: DataFrame) -> DataFrame:
     """action, decision: blocked wins, then allowed, and what is in neither list is blocked."""
-    b, a = blocked.select("category", F.lit(True).alias("b")), allowed.select("category", F.lit(True).alias("a"))
-    decided = actions.join(F.broadcast(b), "category", "left").join(F.broadcast(a), "category", "left")  # two fixed lists
+    b, a = blocked.select("category", F.lit(True).alias("b")).distinct(), allowed.select("category", F.lit(True).alias("a")).distinct()
+    decided = actions.join(b, "category", "left").join(a, "category", "left")
     return decided.select("action", F.when(F.col("b"), "block").when(F.col("a"), "allow").otherwise("block").alias("decision"))
 
 
-def illegal_transitions(log: DataFrame, flow: tuple[str, ...] = FLOW) -> DataFrame:
-    """item_id, seq, status: steps that are neither the next state of the flow nor a denial of an open item."""
-    places = F.array(*[F.lit(s) for s in flow])
+def next_state(status: Column) -> Column:
+    """The state after a state; null for final and unknown ones."""
+    return F.try_element_at(_map(dict(zip(FLOW, FLOW[1:]))), status)
+
+
+def illegal_transitions(log: DataFrame) -> DataFrame:
+    """item_id, seq, status: steps that are neither to the next state nor a denial of an item that isn't final."""
     before = F.lag("status").over(Window.partitionBy("item_id").orderBy("seq"))
     rows = log.withColumn("before", before).where("before IS NOT NULL")
-    ahead = F.array_position(places, F.col("status")) == F.array_position(places, F.col("before")) + 1
-    denied = (F.col("status") == "denied") & ~F.col("before").isin("denied", "closed")
-    legal = (ahead & (F.col("status") != "denied") & (F.col("before") != "denied")) | denied
-    return rows.where(~legal).select("item_id", "seq", "status")
+    ahead = F.coalesce(F.col("status") == next_state(F.col("before")), F.lit(False))
+    denied = (F.col("status") == DENIED) & F.col("before").isin(*FLOW[:-1])
+    return rows.where(~(ahead | denied)).select("item_id", "seq", "status")
+
+
+def proposal_gate(proposals: DataFrame, evidence: DataFrame, decisions: DataFrame) -> DataFrame:
+    """proposal_id, category, status, blocked_action of proposals (proposal_id, trigger_id, kind, summary, high_impact).
+
+    Too little evidence for the impact or an empty summary is refused at creation. Policy marks what is blocked and
+    never approves. Then the last decision (proposal_id, seq, decision: approve or deny) counts, except that what is
+    blocked or in no list can't be approved. evidence: (trigger_id, source_kind, url).
+    """
+    held = sufficiency(evidence.withColumn("tier", F.try_element_at(_map(SOURCE_TIERS), F.col("source_kind"))))
+    last = decisions.where(F.col("decision").isin("approve", "deny")).groupBy("proposal_id").agg(F.max_by("decision", "seq").alias("decision"))
+    rows = proposals.join(held, "trigger_id", "left").join(last, "proposal_id", "left").withColumn("category", F.try_element_at(_map(PROPOSAL_CATEGORIES), F.col("kind")))
+    enough = F.coalesce(F.when(F.col("high_impact"), F.col("high_impact_met")).otherwise(F.col("basic")), F.lit(False))
+    blocked, allowed = F.coalesce(F.col("category").isin(*BLOCKED_ACTIONS), F.lit(False)), F.coalesce(F.col("category").isin(*ALLOWED_ACTIONS), F.lit(False))
+    status = (
+        F.when(F.col("category").isNull(), "refused.kind").when(~enough, "refused.evidence").when(F.coalesce(F.trim("summary"), F.lit("")) == "", "refused.summary")
+        .when(F.col("decision") == "deny", "denied").when((F.col("decision") == "approve") & allowed & ~blocked, "approved").otherwise("policy_reviewed")
+    )
+    return rows.select("proposal_id", "category", status.alias("status"), blocked.alias("blocked_action"))
 
 
 def content_store(new: DataFrame, stored: DataFrame) -> DataFrame:
@@ -104,10 +160,29 @@ def newer_versions(watched: DataFrame, locked: DataFrame, known: DataFrame) -> D
     return rows.where(parts(F.col("latest")) > parts(F.col("locked"))).select("package", "locked", "latest")
 
 
-def retention(files: DataFrame, now: Column, days: int = 30) -> DataFrame:
-    """path, age_days of files older than `days`; nothing is deleted."""
+def retention(files: DataFrame, now: Column, enabled: bool = True, days: int = 30) -> DataFrame:
+    """path, scope, age_days of files (path, scope, modified) of the kept scopes older than `days`; nothing is deleted.
+
+    Where the privacy policy doesn't enforce retention (enabled), nothing is reported.
+    """
     age = F.floor((F.unix_timestamp(now) - F.unix_timestamp("modified")) / 86400)
-    return files.select("path", age.cast("long").alias("age_days")).where(F.col("age_days") > days)
+    rows = files.where(F.col("scope").isin(*RETENTION_SCOPES)).select("path", "scope", age.cast("long").alias("age_days"))
+    return rows.where((F.col("age_days") > days) & F.lit(enabled))
+
+
+#: Names that run counters may have.
+COUNTERS = ("rewrite_attempts", "repair_attempts", "detector_calls", "cache_hits", "cache_misses", "retry_count", "duration_ms", "input_chars", "output_chars")
+
+
+def run_counters(steps: DataFrame) -> DataFrame:
+    """run_id, name, value of counter steps (run_id, seq, name, op, value): add to the value, or set it and go on.
+
+    Unknown names are left out. What was added before the last set is gone, so each counter is one sum after it.
+    """
+    rows = steps.where(F.col("name").isin(*COUNTERS))
+    reset = rows.groupBy("run_id", "name").agg(F.max(F.when(F.col("op") == "set", F.col("seq"))).alias("from"))
+    kept = rows.join(reset, ["run_id", "name"]).where("from IS NULL OR seq >= from")
+    return kept.groupBy("run_id", "name").agg(F.sum("value").alias("value"))
 
 
 def encrypted(c: Column, key: Column, provider: str = "local") -> Column:

@@ -32,9 +32,43 @@ def contexts(docs: DataFrame, window: int = 3) -> DataFrame:
     return rows.select("doc_id", "tok_no", "token", (end - F.length("token")).cast("long").alias("offset"), left.alias("left_window"), right.alias("right_window"), pos.alias("part_of_speech"))
 
 
+def covered(token_rows: DataFrame, spans: DataFrame) -> DataFrame:
+    """doc_id, tok_no, spans: the numbers of the protected spans (span_no, start, end) that cover each token's start."""
+    held = token_rows.select("doc_id", "tok_no", "offset").join(spans.select("doc_id", "span_no", F.col("start").alias("s"), F.col("end").alias("e")), "doc_id").where("s <= offset AND offset < e")
+    return held.groupBy("doc_id", "tok_no").agg(F.array_sort(F.collect_list("span_no")).alias("spans"))
+
+
+def phrases(docs: DataFrame, rule_rows: DataFrame, most_words: int = 4) -> DataFrame:
+    """Places of the rules' sources of several words: doc_id, source, token, offset, left_window, right_window.
+
+    Longer sources come first, then by name; a place that one before it overlaps falls away. Word runs of the text,
+    with what is between them, meet the sources by an equi-join, in any case; windows are 40 characters.
+    """
+    sources = rule_rows.where(F.col("source").contains(" ")).select("source").distinct()
+    keyed = sources.select("source", F.lower("source").alias("key"), F.size(F.regexp_extract_all("source", F.lit(r"(?U)\w+"), F.lit(0))).alias("k"))
+    rows = docs.select("doc_id", F.lower("text").alias("t")).select("doc_id", T.matches(F.col("t"), r"(?U)\w+").alias("m"), F.split("t", r"(?U)\w+", -1).alias("g"))
+
+    def run(k: int) -> Column:
+        places = F.when(F.size("m") >= k, F.sequence(F.lit(0), F.size("m") - k)).otherwise(F.array().cast("array<int>"))
+        piece = lambda i: F.concat(*[x for j in range(k) for x in ([F.get("g", i + j)] if j else []) + [F.get("m", i + j)["text"]]])
+        return F.transform(places, lambda i: F.struct(piece(i).alias("key"), F.get("m", i)["start"].alias("start"), F.get("m", i + (k - 1))["end"].alias("end")))
+
+    held = rows.select("doc_id", F.inline(F.concat(*[run(k) for k in range(2, most_words + 1)]))).join(keyed.drop("k"), "key")
+    per = held.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct((-F.length("source")).alias("o"), "source", "start", "end"))).alias("xs"))
+    state = F.array().cast("array<struct<o:int,source:string,start:int,end:int>>")
+    clash = lambda acc, x: F.exists(acc, lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"]))
+    kept = F.aggregate("xs", state, lambda acc, x: F.when(clash(acc, x), acc).otherwise(F.concat(acc, F.array(x))))
+    found = per.select("doc_id", F.inline(kept)).join(docs.select("doc_id", "text"), "doc_id")
+    text, s, e = F.col("text"), F.col("start"), F.col("end")
+    return found.select(
+        "doc_id", "source", F.substring(text, s + 1, e - s).alias("token"), s.cast("long").alias("offset"),
+        F.substring(text, F.greatest(s - 40, F.lit(0)) + 1, F.least(s, F.lit(40))).alias("left_window"), F.substring(text, e + 1, F.lit(40)).alias("right_window"),
+    )
+
+
 def _forms(rule_rows: DataFrame) -> DataFrame:
     """form to source: the source itself, or the one source whose -ing or -ed form it is."""
-    base = rule_rows.select("source").distinct()
+    base = rule_rows.where(~F.col("source").contains(" ")).select("source").distinct()
     silent, low = F.col("source").endswith("e"), F.lower("source")
     ing = F.concat(F.when(silent, F.expr("left(lower(source), length(source) - 1)")).otherwise(low), F.lit("ing"))
     ed = F.concat(low, F.when(silent, F.lit("d")).otherwise(F.lit("ed")))
@@ -75,7 +109,8 @@ def collocation_safe(replacement: Column, left: Column, right: Column) -> Column
 def propose(docs: DataFrame, rule_rows: DataFrame, spans: DataFrame, safe_threshold: float = 0.9) -> DataFrame:
     """Changes and declines: doc_id, offset, length, surface, target, rule_id, confidence, status.
 
-    Tokens meet rules by an equi-join on their form; the strongest origin wins, equal ones with different targets
+    Tokens meet rules by an equi-join on their form; sources of several words come before the tokens they overlap. The
+    strongest origin wins, equal ones with different targets
     are ambiguous. A token under a protected span, an unknown inflection or an unsafe neighbourhood is declined.
     """
     ranks = F.array(*[F.lit(r) for r in RANKS])
@@ -86,7 +121,12 @@ def propose(docs: DataFrame, rule_rows: DataFrame, spans: DataFrame, safe_thresh
     able = docs.select("doc_id", F.explode(words).alias("form")).join(forms, "form", "left_semi").select("doc_id").distinct()
     rows = contexts(docs.join(able, "doc_id", "left_semi")).withColumn("surface", core).where("surface <> ''")
     rows = rows.withColumn("offset", F.col("offset") + F.call_function("locate", F.col("surface"), F.col("token")) - 1).withColumn("form", F.lower("surface"))
-    rows = rows.join(forms, "form")
+    rows = rows.join(forms, "form").select("doc_id", "offset", "surface", "source", "left_window", "right_window")
+    if not rule_rows.where(F.col("source").contains(" ")).isEmpty():
+        found = phrases(docs, rule_rows)
+        place = found.select("doc_id", F.col("offset").alias("po"), (F.col("offset") + F.length("token")).alias("pe"))
+        under = rows.join(place, "doc_id").where("offset < pe AND po < offset + length(surface)").select("doc_id", "offset").distinct()
+        rows = rows.join(under, ["doc_id", "offset"], "left_anti").unionByName(found.select("doc_id", "offset", F.col("token").alias("surface"), "source", "left_window", "right_window"))
     ranked = rule_rows.withColumn("rank", F.array_position(ranks, F.col("precedence")))
     best = ranked.groupBy("source").agg(F.min(F.struct("rank", "rule_id", "target", "sense", "confidence")).alias("r"))
     ties = ranked.join(best.select("source", F.col("r.rank").alias("top")), "source").where("rank = top").groupBy("source").agg(F.count_distinct("target", "sense").alias("choices"))

@@ -9,6 +9,9 @@ from textloom.functions import lexicons as L
 from textloom.functions import text as T
 
 MATTR_WINDOW = 100
+#: Alternation takes the first phrase in the list; no letter or digit may follow.
+TRANSITION = r"(?U)^(" + "|".join(L.TRANSITIONS) + r")(?![\p{L}\p{N}])"
+INITIAL, ALL_CAPS, TITLE_CASE = "^[^a-zA-Z]*[A-Z]", "^[A-Z0-9'][A-Z0-9']+$", "^[A-Z](?=[^A-Z]*[a-z])[^A-Z]+$"
 
 
 def tokens(docs: DataFrame) -> DataFrame:
@@ -40,12 +43,28 @@ def lexical(docs: DataFrame) -> DataFrame:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    return tokens(docs).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
+    return docs.select("doc_id", F.inline(T.runs(T.words(F.col("text"))))).select("doc_id", F.col("value").alias("word"), F.col("n").cast("long").alias("n"))
+
+
+def function_words(docs: DataFrame) -> DataFrame:
+    """Counts of the function words that occur."""
+    return word_counts(docs).where(F.col("word").isin(*L.FUNCTION_WORDS))
+
+
+def contractions(docs: DataFrame) -> DataFrame:
+    """Counts of the words with an apostrophe."""
+    return word_counts(docs).where(F.col("word").contains("'"))
+
+
+def once(w: Column) -> Column:
+    """How many values of an array of strings occur once: sorted, they differ from both neighbours."""
+    return T.bound(F.array_sort(w), lambda s: F.size(F.filter(F.transform(s, lambda x, i: ~x.eqNullSafe(F.get(s, i - 1)) & ~x.eqNullSafe(F.get(s, i + 1))), lambda x: x)))
 
 
 def hapax(docs: DataFrame) -> DataFrame:
     """Share of words that occur once in their document."""
-    return word_counts(docs).groupBy("doc_id").agg((F.count_if(F.col("n") == 1) / F.sum("n")).alias("hapax_ratio"))
+    rows = docs.select("doc_id", T.words(F.col("text")).alias("w")).where(F.size("w") > 0)
+    return rows.select("doc_id", (once(F.col("w")) / F.size("w")).alias("hapax_ratio"))
 
 
 def mattr(docs: DataFrame, window: int = MATTR_WINDOW) -> DataFrame:
@@ -88,11 +107,15 @@ def sentence_openings(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.explode(grams).alias("opening")).groupBy("doc_id", "opening").agg(F.count("*").alias("n"))
 
 
+def passive_pairs(w: Column) -> Column:
+    """How many be-forms of an array of words are followed by a word that ends in -ed or -en."""
+    pairs = F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.size(w)), lambda a, b: a.isin(*L.BE_FORMS) & b.rlike("(?:ed|en)$"))
+    return F.size(F.filter(pairs, lambda x: x))
+
+
 def passives(docs: DataFrame) -> DataFrame:
     """Be-forms followed, in their sentence, by a word that ends in -ed or -en."""
-    be = F.array(*[F.lit(w) for w in L.BE_FORMS])
-    pairs = lambda w: F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.size(w)), lambda a, b: F.array_contains(be, a) & b.rlike("(?:ed|en)$"))
-    hits = F.transform(T.sentences(F.col("text")), lambda s: F.size(F.filter(pairs(T.words(s)), lambda x: x)))
+    hits = F.transform(T.sentences(F.col("text")), lambda s: passive_pairs(T.words(s)))
     return docs.select("doc_id", F.aggregate(hits, F.lit(0), lambda a, x: a + x).cast("long").alias("passive_markers"))
 
 
@@ -115,8 +138,7 @@ def paragraph_edges(docs: DataFrame) -> DataFrame:
 def transitions(docs: DataFrame) -> DataFrame:
     """Sentences by the transition phrase they begin with: doc_id, phrase, n."""
     start = F.regexp_replace(F.lower("sentence"), "^[^a-zA-Z0-9]+", "")
-    # alternation takes the first phrase in the list; no letter or digit may follow
-    phrase = F.regexp_extract(start, r"(?U)^(" + "|".join(L.TRANSITIONS) + r")(?![\p{L}\p{N}])", 1)
+    phrase = F.regexp_extract(start, TRANSITION, 1)
     rows = sentence_rows(docs).select("doc_id", phrase.alias("phrase")).where("phrase <> ''")
     return rows.groupBy("doc_id", "phrase").agg(F.count("*").alias("n"))
 
@@ -164,7 +186,7 @@ def capitalization(docs: DataFrame) -> DataFrame:
     """Shares of capitalised sentences, of all-caps words (digits count as such) and of title-case words."""
     rows = docs.select("doc_id", T.sentences(F.col("text")).alias("s"), T.cased_words(F.col("text")).alias("w"))
     some = lambda c, p: T.ratio(F.size(F.filter(c, lambda x: x.rlike(p))), F.size(c))
-    return rows.select("doc_id", some("s", "^[^a-zA-Z]*[A-Z]").alias("initial_ratio"), some("w", "^[A-Z0-9'][A-Z0-9']+$").alias("all_caps_ratio"), some("w", "^[A-Z](?=[^A-Z]*[a-z])[^A-Z]+$").alias("title_case_ratio"))
+    return rows.select("doc_id", some("s", INITIAL).alias("initial_ratio"), some("w", ALL_CAPS).alias("all_caps_ratio"), some("w", TITLE_CASE).alias("title_case_ratio"))
 
 
 def questions(docs: DataFrame) -> DataFrame:
@@ -189,18 +211,35 @@ def register(docs: DataFrame) -> DataFrame:
 
 
 def bundle(docs: DataFrame) -> DataFrame:
-    """The row-wise families side by side, in one scan and without a shuffle."""
+    """All families side by side, one row per document.
+
+    One scan works out what needs the row alone; only the moving type-token ratio looks at words one by one. Counts per
+    phrase, mark or opening are tables of their own (sentence_openings, paragraph_edges, transitions, punctuation ...).
+    """
     t, w, s = F.col("text"), F.col("w"), F.col("s")
-    rows = docs.select("doc_id", "text", T.words(t).alias("w"), T.sentences(t).alias("s"))
+    rows = docs.select("doc_id", "text", T.words(t).alias("w"), T.cased_words(t).alias("cw"), T.sentences(t).alias("s"), T.paragraphs(t).alias("p"))
+    rows = rows.withColumns({"sw": F.transform(s, T.words), "sc": F.transform(s, lambda x: F.transform(T.clauses(x), lambda c: F.size(T.words(c)))), "lp": F.transform("p", lambda x: F.size(T.sentences(x)))})
     n = F.size(w)
     marks = sum((T.occurrences(t, c) for c in L.PUNCTUATION), F.lit(0))
+    some = lambda c, f: F.size(F.filter(c, f)).cast("long")
+    share = lambda c, p: T.ratio(F.size(F.filter(c, lambda x: x.rlike(p))), F.size(c))
     own = rows.select(
-        "doc_id", n.cast("long").alias("word_count"), T.ratio(F.size(F.array_distinct(w)), n).alias("type_token_ratio"), T.ratio(T.counted(w, L.FUNCTION_WORDS), n).alias("function_word_ratio"),
-        T.ratio(F.size(F.filter(w, lambda x: x.contains("'"))), n).alias("contraction_frequency"), F.transform(s, lambda x: F.size(T.words(x))).alias("lengths"),
-        (marks / F.greatest(F.length(t), F.lit(1)) * 100.0).alias("punctuation_per_100_chars"), T.ratio(F.size(F.filter(s, lambda x: x.contains("?"))), F.size(s)).alias("question_frequency"),
-        dash_convention(t).alias("dash"), quote_convention(t).alias("quote"), formality(w).alias("formality"),
+        "doc_id", n.cast("long").alias("word_count"), T.ratio(F.length(F.array_join(w, "")), n).alias("avg_word_length"), F.size(F.array_distinct(w)).cast("long").alias("unique_words"),
+        T.ratio(F.size(F.array_distinct(w)), n).alias("type_token_ratio"), T.ratio(once(w), n).alias("hapax_ratio"), T.ratio(T.counted(w, L.FUNCTION_WORDS), n).alias("function_word_ratio"),
+        T.ratio(F.size(F.filter(w, lambda x: x.contains("'"))), n).alias("contraction_frequency"), *[T.counted(w, v).alias(k) for k, v in L.PRONOUNS.items()],
+        F.transform("sw", F.size).alias("ls"), F.flatten("sc").alias("lc"), "lp", some("sw", lambda x: F.size(x) <= 2).alias("fragments"),
+        some(F.arrays_zip("sw", "sc"), lambda x: (F.size(x["sc"]) >= 5) & (F.size(x["sw"]) >= 45)).alias("run_ons"),
+        F.aggregate(F.transform("sw", passive_pairs), F.lit(0), lambda a, x: a + x).cast("long").alias("passive_markers"),
+        (marks / F.greatest(F.length(t), F.lit(1)) * 100.0).alias("punctuation_per_100_chars"), dash_convention(t).alias("dash"), quote_convention(t).alias("quote"), apostrophe_convention(t).alias("apostrophe"),
+        share("s", INITIAL).alias("initial_ratio"), share("cw", ALL_CAPS).alias("all_caps_ratio"), share("cw", TITLE_CASE).alias("title_case_ratio"),
+        some(s, lambda x: x.contains("?")).alias("question_count"), some(s, lambda x: x.contains("!")).alias("exclamation_count"),
+        T.ratio(F.size(F.filter(s, lambda x: x.contains("?"))), F.size(s)).alias("question_frequency"), T.ratio(F.size(F.filter(s, lambda x: x.contains("!"))), F.size(s)).alias("exclamation_frequency"),
+        F.when(n > 0, formality(w)).otherwise(0.0).alias("formality"), T.counted(w, L.HEDGES).alias("hedges"), T.counted(w, L.BOOSTERS).alias("boosters"), T.ratio(F.size(F.filter(w, lambda x: F.length(x) >= 12)), n).alias("technical_ratio"),
     )
-    return T.with_distribution(own, F.col("lengths"), {"mean": "sentence_mean", "stdev": "sentence_stdev", "p10": "sentence_p10", "p90": "sentence_p90", "n": "sentence_count"}).drop("lengths")
+    for name, of in (("sentence", "ls"), ("clause", "lc"), ("paragraph", "lp")):
+        figures = ("n", "minimum", "p10", "p25", "median", "p75", "p90", "maximum", "mean", "stdev")
+        own = T.with_distribution(own, F.col(of), {f: f"{name}_{f}" for f in figures}).drop(of)
+    return own.join(mattr(docs), "doc_id", "left").withColumn("mattr", F.coalesce("mattr", F.lit(0.0)))
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:
@@ -218,28 +257,27 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     )
 
 
-def _grams(docs: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
-    """doc_id, phrase, n, first: word n-grams with their place in the list of the shorter ones, then the longer."""
-    w = F.col("w")
-    rows = docs.select("doc_id", T.words(F.col("text")).alias("w"))
+def grams(w: Column, k: int) -> Column:
+    """The k-word phrases of an array of words, in order."""
+    places = F.when(F.size(w) >= k, F.sequence(F.lit(1), F.size(w) - k + 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.concat_ws(" ", *[F.get(w, i + (j - 1)) for j in range(k)]))
 
-    def grams(k: int) -> Column:
-        places = F.when(F.size(w) >= k, F.sequence(F.lit(1), F.size(w) - k + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(places, lambda i: F.concat_ws(" ", *[F.get(w, i + (j - 1)) for j in range(k)]))
 
-    lists = [grams(k) for k in sizes]
-    rows = rows.select("doc_id", F.posexplode(F.concat(*lists)).alias("at", "phrase"))
-    return rows.groupBy("doc_id", "phrase").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+def _grams(docs: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
+    """doc_id, g: counted word n-grams (value, n, first), first being the place in the shorter ones, then the longer."""
+    rows = docs.select("doc_id", T.words(F.col("text")).alias("w"))
+    return rows.select("doc_id", T.runs(F.concat(*[grams(F.col("w"), k) for k in sizes])).alias("g"))
 
 
 def common_phrases(docs: DataFrame, top: int = 10, sizes: tuple[int, ...] = (2, 3)) -> DataFrame:
     """The `top` most frequent phrases of two and three words, ties by first appearance: doc_id, rank, phrase, n."""
-    by = Window.partitionBy("doc_id").orderBy(F.desc("n"), "first")
-    return _grams(docs, sizes).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= top).select("doc_id", "rank", "phrase", "n")
+    # one document's phrases are ranked in its row, so nothing is shuffled
+    best = F.slice(F.array_sort(F.transform("g", lambda x: F.struct((-x["n"]).alias("o"), x["first"].alias("first"), x["value"].alias("phrase")))), 1, top)
+    rows = _grams(docs, sizes).select("doc_id", F.posexplode(best).alias("k", "x"))
+    return rows.select("doc_id", (F.col("k") + 1).alias("rank"), F.col("x.phrase").alias("phrase"), (-F.col("x.o")).cast("long").alias("n"))
 
 
 def terminology(docs: DataFrame) -> DataFrame:
     """The three most frequent bigrams joined by bars: doc_id, terms, counts."""
-    top = common_phrases(docs, 3, (2,))
-    rows = top.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", "phrase", "n"))).alias("x"))
-    return rows.select("doc_id", F.array_join("x.phrase", "|").alias("terms"), F.array_join(F.transform("x", lambda r: r["n"].cast("string")), ",").alias("counts"))
+    rows = _grams(docs.where(F.size(T.words(F.col("text"))) > 1), (2,)).select("doc_id", F.slice(F.array_sort(F.transform("g", lambda x: F.struct((-x["n"]).alias("o"), x["first"].alias("first"), x["value"].alias("phrase")))), 1, 3).alias("x"))
+    return rows.select("doc_id", F.array_join("x.phrase", "|").alias("terms"), F.array_join(F.transform("x", lambda r: (-r["o"]).cast("string")), ",").alias("counts"))

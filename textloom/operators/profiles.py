@@ -7,82 +7,180 @@ from pyspark.sql import functions as F
 
 from textloom.functions import lexicons as L
 from textloom.functions import text as T
-from textloom.operators.metrics import dash_convention, quote_convention
+from textloom.operators.metrics import TRANSITION, grams
+from textloom.sources.store import materialize
 
 KEYS = ("sentence_mean", "sentence_stdev", "type_token_ratio", "function_word_ratio", "contraction_frequency", "punctuation_per_100_chars", "question_frequency")
+#: Marks whose share of all characters a fingerprint shows, and marks that make up density.
+RATIOS = {"comma": ",", "period": ".", "question": "?", "exclamation": "!", "semicolon": ";", "colon": ":", "dash": "—", "quote": '"', "apostrophe": "'", "parenthesis": "()"}
+DENSITY = r"""[.,;:!?…—–\-()\[\]{}"'’‘“”«»]"""
+COMPARED = ("dash_type", "contraction_policy", "person_policy", "quotation_convention")
 
 
-def _sums(docs: DataFrame) -> DataFrame:
-    """Per document the counts that profiles and documents' own figures are made of."""
+def _read(docs: DataFrame) -> DataFrame:
+    """docs with the words, sentence and paragraph lengths, sentences and transitions that all figures come from."""
+    t = F.col("text")
+    rows = docs.withColumns({"w": T.words(t), "s": T.sentences(t), "lp": F.transform(T.paragraphs(t), lambda p: F.size(T.sentences(p)))})
+    start = lambda x: F.regexp_extract(F.regexp_replace(F.lower(x), "^[^a-zA-Z0-9]+", ""), TRANSITION, 1)
+    return rows.withColumns({"ls": F.transform("s", lambda x: F.size(T.words(x))), "tr": F.filter(F.transform("s", start), lambda x: x != "")})
+
+
+def _counts() -> dict[str, Column]:
+    """Whole numbers of a text that add up over texts, by name."""
     t, w = F.col("text"), F.col("w")
-    rows = docs.select("doc_id", "source", "text", T.words(t).alias("w"), T.sentences(t).alias("s"))
-    rows = rows.withColumn("ls", F.transform("s", lambda x: F.size(T.words(x)).cast("double")))
-    marks = sum((T.occurrences(t, c) for c in L.PUNCTUATION), F.lit(0))
-    total = F.aggregate("ls", F.lit(0.0), lambda a, x: a + x)
-    return rows.select(
-        "doc_id", "source", F.size(w).cast("long").alias("words"), F.size(F.array_distinct(w)).cast("long").alias("types"), T.counted(w, L.FUNCTION_WORDS).alias("function_words"),
-        F.size(F.filter(w, lambda x: x.contains("'"))).cast("long").alias("contractions"), F.size("ls").cast("long").alias("sentences"), total.alias("length"), F.aggregate("ls", F.lit(0.0), lambda a, x: a + x * x).alias("squares"),
-        marks.cast("long").alias("marks"), F.length(t).cast("long").alias("chars"), F.size(F.filter("s", lambda x: x.contains("?"))).cast("long").alias("questions"), dash_convention(t).alias("dash"), quote_convention(t).alias("quote"),
-    )
+    total = lambda c, f: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + f(x))
+    has = lambda *cs: F.greatest(*[t.contains(c).cast("int") for c in cs], F.lit(0))
+    return {
+        "words": F.size(w), "letters": F.length(F.array_join(w, "")), "function_words": T.counted(w, L.FUNCTION_WORDS), "contractions": F.size(F.filter(w, lambda x: x.contains("'"))),
+        "sentences": F.size("ls"), "length": total("ls", lambda x: x), "squares": total("ls", lambda x: x * x), "paragraphs": F.size("lp"), "para_length": total("lp", lambda x: x), "para_squares": total("lp", lambda x: x * x),
+        "chars": F.length(t), "questions": F.size(F.filter("s", lambda x: x.contains("?"))), "formal": T.counted(w, L.FORMAL), "casual": T.counted(w, L.CASUAL),
+        **{k: T.counted(w, v) for k, v in L.PRONOUNS.items()}, **{f"mark_{k}": T.occurrences(t, c) for k, c in enumerate(L.PUNCTUATION)},
+        "em": has("—"), "en": has("–"), "hyphen": has("-"), "straight_quotes": has('"'), "curly_quotes": has("“", "”"), "single_curly": has("‘", "’"),
+    }
 
 
 def _figures(types: Column) -> dict[str, Column]:
+    """What the sums of a text or of many make, by name."""
     n, words = F.col("sentences"), F.col("words")
-    spread = F.greatest(F.col("squares") - F.col("length") * F.col("length") / n, F.lit(0.0)) / (n - 1)
+    spread = lambda k, total, squares: F.when(k > 1, F.sqrt(F.greatest(squares - total * total / k, F.lit(0.0)) / (k - 1))).otherwise(0.0)
+    marks = sum((F.col(f"mark_{k}") for k in range(len(L.PUNCTUATION))), F.lit(0))
+    apostrophes = F.col(f"mark_{L.PUNCTUATION.index(chr(39))}")
+    em, en, hyphen = (F.col(c) > 0 for c in ("em", "en", "hyphen"))
+    kinds = em.cast("int") + en.cast("int") + hyphen.cast("int")
+    ds, dc, ss, sc = F.col("straight_quotes") > 0, F.col("curly_quotes") > 0, apostrophes > F.col("contractions"), F.col("single_curly") > 0
     return {
-        "sentence_mean": T.ratio(F.col("length"), n), "sentence_stdev": F.when(n > 1, F.sqrt(spread)).otherwise(0.0), "type_token_ratio": T.ratio(types, words),
+        "sentence_mean": T.ratio(F.col("length"), n), "sentence_stdev": spread(n, F.col("length"), F.col("squares")), "type_token_ratio": T.ratio(types, words),
         "function_word_ratio": T.ratio(F.col("function_words"), words), "contraction_frequency": T.ratio(F.col("contractions"), words),
-        "punctuation_per_100_chars": F.col("marks") / F.greatest(F.col("chars"), F.lit(1)) * 100.0, "question_frequency": T.ratio(F.col("questions"), n),
+        "punctuation_per_100_chars": marks / F.greatest(F.col("chars"), F.lit(1)) * 100.0, "question_frequency": T.ratio(F.col("questions"), n),
+        "paragraph_mean": T.ratio(F.col("para_length"), F.col("paragraphs")), "paragraph_stdev": spread(F.col("paragraphs"), F.col("para_length"), F.col("para_squares")),
+        "dash_type": F.when(kinds == 0, "none").when(kinds > 1, "mixed").when(em, "em").when(en, "en").otherwise("hyphen"),
+        "quotation_convention": (
+            F.when((ds | dc) & (ss | sc), "mixed").when(ds & dc, "mixed").when(ds, "double_straight").when(dc, "double_curly")
+            .when(ss & sc, "mixed").when(ss, "single_straight").when(sc, "single_curly").otherwise("none")
+        ),
+        "contraction_policy": F.when(F.col("contractions") > 0, "contractions_present").otherwise("no_contractions"),
+        "person_policy": F.concat_ws("|", *[F.concat(F.lit(f"{k}="), F.when(F.col(k) > 0, "present").otherwise("absent")) for k in sorted(L.PRONOUNS)]),
     }
 
 
 def document_figures(docs: DataFrame) -> DataFrame:
-    return _sums(docs).select("doc_id", "source", "words", "dash", "quote", *[c.alias(k) for k, c in _figures(F.col("types")).items()])
+    """docs (doc_id, source, text) with their counts and figures, in one scan."""
+    rows = _read(docs).withColumns({k: c.cast("long") for k, c in _counts().items()} | {"types": F.size(F.array_distinct("w")).cast("long")})
+    return rows.withColumns(_figures(F.col("types")))
+
+
+def profile_items(docs: DataFrame) -> DataFrame:
+    """source, kind, key, n, first: all that the profile of a source adds up, from one scan and one shuffle.
+
+    Kinds: f a count by name, w a word, b a pair of words, s and p lengths of sentences and paragraphs, t a transition.
+    Each document sends every key once; sums are combined before the shuffle.
+    """
+    kind = "struct<kind:string,key:string,n:long,first:int>"
+
+    def some(name: str, values: Column) -> Column:
+        return F.transform(T.runs(values), lambda x: F.struct(F.lit(name).alias("kind"), x["value"].alias("key"), x["n"].alias("n"), x["first"].alias("first")).cast(kind))
+
+    rows = _read(docs)
+    figures = F.array(*[F.struct(F.lit("f").alias("kind"), F.lit(k).alias("key"), c.alias("n"), F.lit(0).alias("first")).cast(kind) for k, c in _counts().items()])
+    strings = lambda c: F.transform(c, lambda x: x.cast("string"))
+    items = F.concat(figures, some("w", F.col("w")), some("b", grams(F.col("w"), 2)), some("s", strings("ls")), some("p", strings("lp")), some("t", F.col("tr")))
+    each = rows.select("doc_id", "source", F.inline(items))
+    return each.groupBy("source", "kind", "key").agg(F.sum("n").alias("n"), F.min(F.struct("doc_id", "first")).alias("first"))
 
 
 def profiles(docs: DataFrame) -> DataFrame:
-    """One row per source: the seven figures over all its texts, its words, its commonest dash and quote use.
+    """One row per source: words, the figures over all its texts, its conventions, ranges, terms and top transition.
 
-    Sums are combined before the shuffle; only distinct words are counted by (source, word).
+    docs: (doc_id, source, text), the text being the voice that speaks for the source. Texts are joined by adding up
+    their counts; a sentence that runs on from one document into the next counts as two.
     """
-    sums = _sums(docs)
-    add = ("words", "function_words", "contractions", "sentences", "length", "squares", "marks", "chars", "questions")
-    by = sums.groupBy("source").agg(*[F.sum(c).alias(c) for c in add])
-    types = docs.select("source", F.explode(F.array_distinct(T.words(F.col("text")))).alias("word")).distinct().groupBy("source").agg(F.count("*").alias("types"))
+    items = materialize(profile_items(docs), "profile")
+    named = lambda k: F.coalesce(F.sum(F.when((F.col("kind") == "f") & (F.col("key") == k), F.col("n"))), F.lit(0))
+    of = lambda k: F.when(F.col("kind") == k, F.col("key").cast("int"))
+    rows = items.groupBy("source").agg(
+        *[named(k).alias(k) for k in _counts()], F.count_if(F.col("kind") == "w").alias("types"), F.percentile(of("s"), F.array(F.lit(0.1), F.lit(0.9)), F.col("n")).alias("band"),
+        F.min(of("p")).alias("paragraph_least"), F.max(of("p")).alias("paragraph_most"), F.coalesce(F.sum(F.when(F.col("kind") == "t", F.col("n"))), F.lit(0)).alias("transitions"),
+    )
+
+    def top(k: str, order: list, most: int, name: str) -> DataFrame:
+        nth = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n"), *order))
+        best = items.where(F.col("kind") == k).withColumn("nth", nth).where(F.col("nth") <= most)
+        return best.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("nth", "key", "n"))).alias(name))
+
+    rows = rows.join(top("b", ["first"], 3, "b"), "source", "left").join(top("t", ["key"], 1, "t"), "source", "left")
+    share = F.get("t.n", F.lit(0)) / F.col("transitions")
+    out = _figures(F.col("types")) | {
+        "sentence_range": F.when(F.col("sentences") > 0, F.concat(T.whole_or_tenths(F.get("band", F.lit(0))), F.lit(".."), T.whole_or_tenths(F.get("band", F.lit(1))))).otherwise("none"),
+        "paragraph_range": F.when(F.col("paragraphs") > 0, F.concat_ws("..", "paragraph_least", "paragraph_most")).otherwise("none"),
+        "terms": F.coalesce(F.array_join("b.key", "|"), F.lit("")), "top_transition": F.coalesce(F.get("t.key", F.lit(0)), F.lit("none")),
+        "transition_strength": F.when(share >= 1 / 3, "strong").when(share >= 1 / 6, "moderate").otherwise("weak"),
+    }
+    return rows.withColumns(out).drop("b", "t", "band")
+
+
+def projected_fingerprint(profile: DataFrame) -> DataFrame:
+    """The flat fingerprint of each profile; parentheses count both marks, phrases are the profile's terms."""
+    chars = F.greatest(F.col("chars"), F.lit(1))
+    raw = (F.col("formal") - F.col("casual")) / F.greatest(F.col("words"), F.lit(1))
+    ratio = lambda c: F.round(sum((F.col(f"mark_{L.PUNCTUATION.index(x)}") for x in c), F.lit(0)) / chars, 6)
+    return profile.select(
+        "source", F.round("sentence_mean", 2).alias("avg_sentence_length"), F.round(F.col("sentence_stdev") * F.col("sentence_stdev"), 2).alias("sentence_length_variance"), F.round("paragraph_mean", 2).alias("avg_paragraph_length"),
+        *[ratio(c).alias(f"r_{k}") for k, c in RATIOS.items()], F.round("type_token_ratio", 4).alias("vocabulary_richness"), F.col("terms").alias("common_phrases"),
+        F.round(F.when(F.col("words") > 0, 1 / (1 + F.exp(-5 * raw))).otherwise(0.0), 4).alias("formality"), F.round(T.ratio(F.col("letters"), F.col("words")), 2).alias("avg_word_length"),
+        F.col("sentences").alias("total_sentences"), F.col("paragraphs").alias("total_paragraphs"), F.col("words").alias("total_words"),
+    )
+
 
-    def commonest(c: str) -> DataFrame:
-        n = sums.groupBy("source", c).agg(F.count("*").alias("n"))
-        return n.groupBy("source").agg(F.max(F.struct("n", F.col(c).alias("v"))).alias("x")).select("source", F.col("x.v").alias(c))
+def _outlying(lengths: Column, mean: Column, stdev: Column, most: int, z: float = 2.0) -> Column:
+    """Structs (no, n) of the `most` lengths furthest from the mean, over z deviations, in order; none without spread."""
+    scored = F.transform(lengths, lambda x, i: F.struct((-F.abs((x - mean) / stdev)).alias("z"), (-x).alias("o"), i.alias("no"), x.alias("n")))
+    best = F.slice(F.array_sort(F.filter(scored, lambda x: x["z"] < -z)), 1, most)
+    ordered = F.array_sort(F.transform(best, lambda x: F.struct(x["no"].alias("no"), x["n"].alias("n"))))
+    return F.when(stdev > 0, ordered).otherwise(F.array().cast("array<struct<no:int,n:int>>"))
 
-    rows = by.join(types, "source", "left").join(commonest("dash"), "source").join(commonest("quote"), "source")
-    return rows.select("source", "words", "dash", "quote", *[c.alias(k) for k, c in _figures(F.coalesce("types", F.lit(0))).items()])
 
+def outliers(docs: DataFrame, profile: DataFrame) -> DataFrame:
+    """doc_id, kind, no, n: sentences (in words, at most 10) and paragraphs (in sentences, at most 5) far from the profile's mean."""
+    p = profile.select("source", *[F.col(c).alias(f"p_{c}") for c in ("sentence_mean", "sentence_stdev", "paragraph_mean", "paragraph_stdev")])
+    rows = _read(docs).join(p, "source")
+    each = lambda kind, c, most: F.transform(_outlying(F.col(c), F.col(f"p_{kind}_mean"), F.col(f"p_{kind}_stdev"), most), lambda x: F.struct(F.lit(kind).alias("kind"), x["no"].alias("no"), x["n"].alias("n")))
+    return rows.select("doc_id", F.inline(F.concat(each("sentence", "ls", 10), each("paragraph", "lp", 5))))
 
-def compare(docs: DataFrame, profile: DataFrame) -> DataFrame:
-    """Distances of documents from their source's profile: seven of them, their mean, confidence, evidence, sufficiency."""
-    own = document_figures(docs)
-    p = profile.select("source", *[F.col(k).alias(f"p_{k}") for k in KEYS], F.col("dash").alias("p_dash"), F.col("quote").alias("p_quote"))
-    rows = own.join(p, "source")
+
+def missing_terms(text: Column, terms: Column) -> Column:
+    """The preferred terms (joined by bars) that a text lacks, in any case."""
+    held = F.array_distinct(F.filter(F.transform(F.split(terms, r"\|"), T.strip), lambda x: x != ""))
+    return F.filter(held, lambda x: ~F.lower(text).contains(F.lower(x)))
+
+
+def compare(docs: DataFrame, profile: DataFrame, coverage: DataFrame | None = None) -> DataFrame:
+    """Documents against their source's profile, without a verdict on authorship.
+
+    Seven distances and their mean, confidence, evidence, sufficiency; violated invariants and formatting conflicts;
+    preferred terms that are missing; outlying sentences and paragraphs. authorship_status is resolved where the
+    profile's coverage (source, unresolved) has nothing open; without coverage it is unresolved.
+    """
+    kept = [*KEYS, *COMPARED, "paragraph_mean", "paragraph_stdev", "terms"]
+    p = profile.select("source", *[F.col(k).alias(f"p_{k}") for k in kept])
+    rows = document_figures(docs).join(p, "source")
+    open_ = F.lit(1)
+    if coverage is not None:
+        rows, open_ = rows.join(coverage.select("source", F.col("unresolved").alias("p_open")), "source", "left"), F.coalesce("p_open", F.lit(1))
     distance = lambda k: F.least(F.abs(F.col(f"p_{k}") - F.col(k)) / F.greatest(F.col(f"p_{k}"), F.col(k), F.lit(1.0)), F.lit(1.0))
     rows = rows.withColumns({f"d_{k}": distance(k) for k in KEYS})
     mean = sum((F.col(f"d_{k}") for k in KEYS), F.lit(0.0)) / len(KEYS)
     one, words = F.lit(1.0), F.col("words")
-    conflicts = F.array_join(F.array_compact(F.array(F.when(F.col("dash") != F.col("p_dash"), "dash"), F.when(F.col("quote") != F.col("p_quote"), "quotation"))), ",")
+    violated = F.array_compact(F.array(*[F.when(F.col(k) != F.col(f"p_{k}"), k) for k in COMPARED]))
+    versus = lambda name, k: F.when(F.col(k) != F.col(f"p_{k}"), F.concat(F.lit(f"{name}: "), F.col(f"p_{k}"), F.lit(" vs "), F.col(k)))
+    shown = lambda kind, c, most: F.array_join(F.transform(_outlying(F.col(c), F.col(f"p_{kind}_mean"), F.col(f"p_{kind}_stdev"), most), lambda x: x["n"].cast("string")), ",")
     return rows.select(
         "doc_id", *[f"d_{k}" for k in KEYS], mean.alias("mean_distance"), (F.least(one, words / 5000.0) * (1.0 - mean)).alias("confidence"), F.least(one, words / 1000.0).alias("evidence_coverage"),
-        F.when(words >= 1000, "sufficient").otherwise("insufficient").alias("sufficiency"), conflicts.alias("conflicts"),
+        F.when(words >= 1000, "sufficient").otherwise("insufficient").alias("sufficiency"), F.when(open_ == 0, "resolved").otherwise("unresolved").alias("authorship_status"),
+        F.array_join(violated, ",").alias("violations"), F.concat_ws(";", versus("dash", "dash_type"), versus("quotation", "quotation_convention")).alias("formatting_conflicts"),
+        F.array_join(missing_terms(F.col("text"), F.col("p_terms")), "|").alias("lexical_conflicts"), shown("sentence", "ls", 10).alias("outlier_sentences"), shown("paragraph", "lp", 5).alias("outlier_paragraphs"),
     )
 
 
-def outlier_sentences(docs: DataFrame, profile: DataFrame, most: int = 10, z: float = 2.0) -> DataFrame:
-    """doc_id, sent_no, n_words of sentences over z deviations from the profile's mean, the `most` extreme ones."""
-    rows = docs.select("doc_id", "source", F.posexplode(F.transform(T.sentences(F.col("text")), lambda s: F.size(T.words(s)))).alias("sent_no", "n_words"))
-    rows = rows.join(profile.select("source", "sentence_mean", "sentence_stdev").where("sentence_stdev > 0"), "source")
-    score = F.abs((F.col("n_words") - F.col("sentence_mean")) / F.col("sentence_stdev"))
-    order = Window.partitionBy("doc_id").orderBy(F.desc("z"), F.desc("n_words"), "sent_no")
-    return rows.withColumn("z", score).where(F.col("z") > z).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most).select("doc_id", "sent_no", "n_words")
-
-
 def band_strength(value: Column, low: float, high: float) -> Column:
     half = (high - low) / 2.0
     depth = F.least(F.greatest(F.least(value - low, high - value), F.lit(0.0)), F.lit(half)) / half
@@ -90,10 +188,9 @@ def band_strength(value: Column, low: float, high: float) -> Column:
 
 
 def tendencies(docs: DataFrame) -> DataFrame:
-    """doc_id, name, value, strength: bands of sentence length, punctuation density and richness."""
+    """doc_id, name, value, strength: bands of sentence length, density and richness, and the top transition."""
 
-    def banded(name: str, c: str, cuts: tuple[float, ...], names: tuple[str, ...]) -> Column:
-        v = F.col(c)
+    def banded(name: str, v: Column, cuts: tuple[float, ...], names: tuple[str, ...]) -> Column:
         inside = [v < cuts[1], v <= cuts[2], F.lit(True)]
         value, strength = F.lit(None).cast("string"), F.lit(None).cast("string")
         for k in (2, 1, 0):
@@ -101,9 +198,57 @@ def tendencies(docs: DataFrame) -> DataFrame:
             strength = F.when(inside[k], band_strength(v, cuts[k], cuts[k + 1])).otherwise(strength)
         return F.struct(F.lit(name).alias("name"), value.alias("value"), strength.alias("strength"))
 
-    rows = document_figures(docs)
+    rows = _read(docs).withColumns({
+        "mean": T.ratio(F.aggregate("ls", F.lit(0.0), lambda a, x: a + x), F.size("ls")), "density": F.regexp_count("text", F.lit(DENSITY)) / F.greatest(F.length("text"), F.lit(1)) * 100.0,
+        "richness": T.ratio(F.size(F.array_distinct("w")), F.size("w")), "best": F.array_min(F.transform(T.runs(F.col("tr")), lambda x: F.struct((-x["n"]).alias("o"), x["value"].alias("value")))),
+    })
+    share = -F.col("best.o") / F.size("tr")
+    transition = F.struct(F.lit("top_transition").alias("name"), F.coalesce("best.value", F.lit("none")).alias("value"), F.when(share >= 1 / 3, "strong").when(share >= 1 / 6, "moderate").otherwise("weak").alias("strength"))
     return rows.select("doc_id", F.inline(F.array(
-        banded("sentence_length_band", "sentence_mean", (0.0, 12.0, 25.0, 40.0), ("short", "medium", "long")),
-        banded("punctuation_density", "punctuation_per_100_chars", (0.0, 8.0, 16.0, 24.0), ("low", "moderate", "high")),
-        banded("lexical_richness", "type_token_ratio", (0.0, 0.35, 0.55, 1.0), ("low", "moderate", "high")),
+        banded("sentence_length_band", F.col("mean"), (0.0, 12.0, 25.0, 40.0), ("short", "medium", "long")), transition,
+        banded("punctuation_density", F.col("density"), (0.0, 8.0, 16.0, 24.0), ("low", "moderate", "high")),
+        banded("lexical_richness", F.col("richness"), (0.0, 0.35, 0.55, 1.0), ("low", "moderate", "high")),
     )))
+
+
+def invariants(docs: DataFrame) -> DataFrame:
+    """doc_id, kind, value, status, evidence: the ten conventions that a text shows, never a judgment."""
+    t = F.col("text")
+    rows = document_figures(docs.select("doc_id", F.lit("").alias("source"), "text"))
+    rows = T.with_distribution(rows, F.col("ls"), {"p10": "s10", "p90": "s90"})
+    rows = T.with_distribution(rows, F.col("lp"), {"minimum": "plo", "maximum": "phi"})
+    best = F.slice(F.array_sort(F.transform(T.runs(grams(F.col("w"), 2)), lambda x: F.struct((-x["n"]).alias("o"), x["first"].alias("first"), x["value"].alias("value")))), 1, 3)
+    rows = rows.withColumns({"terms": best, "brackets": F.regexp_count(t, F.lit(r"\[\d+(?:,\s*\d+)*\]")), "authors": F.regexp_count(t, F.lit(r"\([A-Z][A-Za-z' -]+,\s*\d{4}[a-z]?\)"))})
+    cited = F.format_string("bracket_numbers=%d,author_year=%d", "brackets", "authors")
+    span = lambda n, a, b: F.when(F.col(n) > 0, F.concat(T.whole_or_tenths(F.col(a)), F.lit(".."), T.whole_or_tenths(F.col(b)))).otherwise("none")
+    counted = lambda name, c: F.concat(F.lit(f"{name}="), F.col(c).cast("string"))
+    shown = {
+        "quotation_convention": (F.col("quotation_convention"), F.col("quotation_convention")),
+        "citation_presentation": (F.when(F.col("brackets") + F.col("authors") > 0, cited).otherwise("none"), cited),
+        "heading_capitalization": (F.lit(""), F.lit("not_extractable_from_plain_text")),
+        "contraction_policy": (F.col("contraction_policy"), F.format_string("%.4f", "contraction_frequency")),
+        "preferred_terminology": (F.array_join("terms.value", "|"), F.concat(F.lit("counts="), F.when(F.size("terms") > 0, F.array_join(F.transform("terms", lambda x: (-x["o"]).cast("string")), ",")).otherwise("0"))),
+        "prohibited_phrases": (F.lit(""), F.lit("none_configured")),
+        "paragraph_range": (span("paragraphs", "plo", "phi"), counted("paragraphs", "paragraphs")),
+        "sentence_percentile_range": (span("sentences", "s10", "s90"), counted("sentences", "sentences")),
+        "dash_type": (F.col("dash_type"), F.col("dash_type")),
+        "person_policy": (F.col("person_policy"), F.concat_ws(",", *[counted(k, k) for k in sorted(L.PRONOUNS)])),
+    }
+    one = lambda k, v, e: F.struct(F.lit(k).alias("kind"), v.alias("value"), F.lit("unknown" if k == "heading_capitalization" else "pass").alias("status"), e.alias("evidence"))
+    return rows.select("doc_id", F.inline(F.array(*[one(k, v, e) for k, (v, e) in shown.items()])))
+
+
+def profile_invariants(profile: DataFrame) -> DataFrame:
+    """source, kind, value of the invariants that comparisons look at."""
+    each = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("value")) for k in COMPARED], F.struct(F.lit("preferred_terminology").alias("kind"), F.col("terms").alias("value")))
+    return profile.select("source", F.inline(each))
+
+
+def invariant_violations(own: DataFrame, expected: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """keys, doc_id, kind, expected, found where a document's comparable invariant differs from the expected one.
+
+    own: (keys, doc_id, kind, value), expected: (keys, kind, value): of another version, or of the source's profile.
+    """
+    names = list(dict.fromkeys([*keys, "doc_id"]))
+    e = expected.where(F.col("kind").isin(*COMPARED)).select(*keys, "kind", F.col("value").alias("expected"))
+    return own.join(e, [*keys, "kind"]).where("value <> expected").select(*names, "kind", "expected", F.col("value").alias("found"))

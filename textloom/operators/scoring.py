@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import TYPE_CHECKING
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import lexicons as L
 from textloom.functions import text as T
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 WORD = "[A-Za-z0-9]+(?:['-][A-Za-z0-9]+)*"
 WEIGHTS = {"bigram": 0.15, "variance": 0.10, "pronoun": 0.20, "phrase": 0.45, "word_length": 0.10}
 
@@ -52,22 +58,47 @@ def scores(docs: DataFrame) -> DataFrame:
     return c.select("doc_id", "score", F.when(~enough, "uncertain").when(s < 0.35, "human").when(s < 0.65, "uncertain").otherwise("ai").alias("label"))
 
 
-def lookup_or_compute(docs: DataFrame, stored: DataFrame) -> DataFrame:
-    """text_sha256, score, label, hit: each distinct text once, from the stored table or newly scored."""
-    keyed = docs.withColumn("text_sha256", F.sha2("text", 256))
-    first = keyed.groupBy("text_sha256").agg(F.min("doc_id").alias("doc_id"))
-    latest = Window.partitionBy("text_sha256").orderBy(F.desc("created_at"), "score")
-    known = stored.withColumn("nth", F.row_number().over(latest)).where("nth = 1").select("text_sha256", "score", "label")
-    hits = first.join(known, "text_sha256").select("text_sha256", "score", "label", F.lit(True).alias("hit"))
-    misses = keyed.join(first.join(known, "text_sha256", "left_anti").select("doc_id"), "doc_id", "left_semi")
-    new = scores(misses).join(misses.select("doc_id", "text_sha256"), "doc_id")
-    return hits.unionByName(new.select("text_sha256", "score", "label", F.lit(False).alias("hit")))
+SCORE_KEY = ("text_sha256", "provider", "model", "schema_version")
+
+
+def lookup_or_compute(docs: DataFrame, stored: DataFrame, provider: str = "local", model: str = "heuristic", version: int = 1, now: Column | None = None, scorer: Callable[[DataFrame], DataFrame] = scores) -> DataFrame:
+    """text_sha256, provider, model, schema_version, score, label, hit: each distinct text once, stored or newly scored.
+
+    Stored rows (the key, score, label, created_at, expires_at) count if their whole key is the same; of repeated ones
+    the last. With now, rows that expired by then are misses; without it expiry is not looked at.
+    """
+    keyed = docs.select("doc_id", "text", F.sha2("text", 256).alias("text_sha256"))
+    key = {"provider": F.lit(provider), "model": F.lit(model), "schema_version": F.lit(version)}
+    first = keyed.groupBy("text_sha256").agg(F.min("doc_id").alias("doc_id")).withColumns(key)
+    if now is not None:
+        stored = stored.where(F.col("expires_at").isNull() | (F.col("expires_at") > now))
+    latest = Window.partitionBy(*SCORE_KEY).orderBy(F.desc("created_at"), "score")
+    known = stored.withColumn("nth", F.row_number().over(latest)).where("nth = 1").select(*SCORE_KEY, "score", "label")
+    hits = first.join(known, list(SCORE_KEY)).select(*SCORE_KEY, "score", "label", F.lit(True).alias("hit"))
+    misses = keyed.join(first.join(known, list(SCORE_KEY), "left_anti").select("doc_id"), "doc_id", "left_semi")
+    new = scorer(misses.select("doc_id", "text")).join(misses.select("doc_id", "text_sha256"), "doc_id").withColumns(key)
+    return hits.unionByName(new.select(*SCORE_KEY, "score", "label", F.lit(False).alias("hit")))
+
+
+def hooked(score: Callable[[pd.Series], pd.Series]) -> Callable[[DataFrame], DataFrame]:
+    """A scorer from a user's function of a column of texts (in Arrow batches) to scores; labels follow the usual bounds."""
+    from pyspark.sql.types import DoubleType
+
+    run = F.pandas_udf(score, DoubleType())
+
+    def scorer(docs: DataFrame) -> DataFrame:
+        s = F.col("score")
+        return docs.select("doc_id", run(F.col("text")).alias("score")).withColumn("label", F.when(s < 0.35, "human").when(s < 0.65, "uncertain").otherwise("ai"))
+
+    return scorer
 
 
-def corpus_scan(docs: DataFrame) -> DataFrame:
-    """source, label, n: labels of a corpus per group; what is neither human nor ai is unknown."""
-    s = scores(docs).withColumn("label", F.when(F.col("label").isin("human", "ai"), F.col("label")).otherwise("unknown"))
-    return docs.select("doc_id", "source").join(s, "doc_id").groupBy("source", "label").agg(F.count("*").alias("n"))
+def corpus_scan(docs: DataFrame, scorer: Callable[[DataFrame], DataFrame] | None = scores) -> DataFrame:
+    """doc_id, source, label, score of a corpus; what is neither human nor ai is unknown, and without a scorer all is."""
+    if scorer is None:
+        return docs.select("doc_id", "source", F.lit("unknown").alias("label"), F.lit(None).cast("double").alias("score"))
+    s = scorer(docs.select("doc_id", "text")).withColumn("label", F.when(F.col("label").isin("human", "ai"), F.col("label")).otherwise("unknown"))
+    return docs.select("doc_id", "source").join(s.select("doc_id", "label", "score"), "doc_id")
 
 
 def drift(runs: DataFrame, threshold: float = 0.1) -> DataFrame:

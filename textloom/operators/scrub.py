@@ -136,12 +136,12 @@ def normal_form(t: Column) -> Column:
 
 
 def unicode_inventory(docs: DataFrame) -> DataFrame:
-    """Control characters, first place of one, line ends, length, BOM, composed or not."""
+    """Control characters, first place of one, line ends, length, BOM, composed or not, and the normal form."""
     t = F.col("text")
     controls = F.regexp_count(t, F.lit(CONTROL))
     return docs.select(
         "doc_id", t.startswith(BOM).alias("has_bom"), controls.cast("long").alias("control_count"), (F.regexp_instr(t, F.lit(CONTROL)) - 1).cast("long").alias("first_control"),
-        line_ending(t).alias("line_ending"), F.length(t).cast("long").alias("codepoints"), (nfc(t) == t).alias("is_nfc"),
+        line_ending(t).alias("line_ending"), F.length(t).cast("long").alias("codepoints"), (normal_form(t) == "nfc").alias("is_nfc"), normal_form(t).alias("normal_form"),
     )
 
 
@@ -222,45 +222,123 @@ def masked(props: Column) -> Column:
     return F.transform_values(props, lambda k, v: F.when(secret(k), F.lit("<REDACTED>")).otherwise(v))
 
 
-def surface_statistics(docs: DataFrame) -> DataFrame:
+#: Node types that are counted, under their plural.
+COUNTED_NODES = {"paragraphs": "paragraph", "headings": "heading", "list_items": "list_item", "table_cells": "table_cell", "quotations": "quotation", "code_blocks": "code_block", "hyperlinks": "hyperlink"}
+
+
+def surface_statistics(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """doc_id, code points, bytes, lines of documents, and how many nodes (doc_id, node_type) of seven types they have."""
     t = F.col("text")
-    return docs.select("doc_id", F.length(t).cast("long").alias("codepoints"), F.octet_length(t).cast("long").alias("bytes"), F.size(F.split(t, "\n")).cast("long").alias("lines"))
+    own = docs.select("doc_id", F.length(t).cast("long").alias("codepoints"), F.octet_length(t).cast("long").alias("bytes"), F.size(F.split(t, "\n")).cast("long").alias("lines"))
+    per = nodes.groupBy("doc_id").agg(*[F.count_if(F.col("node_type") == k).alias(n) for n, k in COUNTED_NODES.items()])
+    return own.join(per, "doc_id", "left").na.fill(0, list(COUNTED_NODES))
 
 
-def limit_findings(docs: DataFrame, most_bytes: int = 4_000_000, most_nodes: int = 50_000) -> DataFrame:
-    """doc_id, code of texts beyond the limits of an import policy."""
-    nodes = F.size(F.filter(F.split("text", "\n"), lambda x: T.strip(x) != ""))
-    found = F.array_compact(F.array(F.when(F.octet_length("text") > most_bytes, "limit.bytes"), F.when(nodes > most_nodes, "limit.nodes")))
-    return docs.select("doc_id", F.explode(found).alias("code"))
+#: What an import takes of one document.
+LIMITS = {"bytes": 4_000_000, "expanded_bytes": 16_000_000, "nodes": 50_000, "depth": 32}
 
 
-def artefact_findings(docs: DataFrame, prohibited: tuple[str, ...] = (), sections: tuple[str, ...] = ()) -> DataFrame:
-    """Findings on a finished text: BOM, carriage returns, one trailing newline, prohibited terms, sections in order."""
-    t = F.col("text")
-    at = F.lit(1)
-    in_order = F.lit(True)
-    for s in sections:
-        found = F.call_function("locate", F.lit(s), t, at)
-        in_order = in_order & (found > 0)
-        at = F.when(found > 0, found + len(s)).otherwise(at)
+def limit_findings(measured: DataFrame, limits: dict[str, int] | None = None) -> DataFrame:
+    """doc_id, code, evidence of documents (doc_id, bytes, expanded_bytes, nodes, depth) beyond an import's limits."""
+    most = LIMITS | (limits or {})
+    found = F.array_compact(F.array(*[F.when(F.col(k) > n, F.struct(F.lit(f"limit.{k}").alias("code"), F.concat(F.lit(f"{k}="), F.col(k).cast("string"), F.lit(f" limit={n}")).alias("evidence"))) for k, n in most.items()]))
+    return measured.select("doc_id", F.inline(found))
+
+
+def measured_texts(docs: DataFrame) -> DataFrame:
+    """What limit_findings() looks at, of texts whose nodes are their lines that aren't blank."""
+    b = F.octet_length("text").cast("long")
+    nodes = F.size(F.filter(F.split("text", "\n"), lambda x: T.strip(x) != "")).cast("long")
+    return docs.select("doc_id", b.alias("bytes"), b.alias("expanded_bytes"), nodes.alias("nodes"), (nodes > 0).cast("long").alias("depth"))
+
+
+#: Terms that no public text may have, and patterns of content that a public Markdown text may not have.
+PROHIBITED_TERMS = ("project_id", "claim_id", "block_id", "api_key", "model:")
+PUBLIC_ACTIVE = (r"(?i)<(?:script|iframe|object|embed|link|img)\b", r"(?i)\bon[a-z]+\s*=", r"(?i)(?:javascript|vbscript|data):", r"(?i)!?\[[^\]]*\]\(\s*(?:https?:)?//")
+
+
+def _finding(when: Column, code: str, severity: str, evidence: Column | str) -> Column:
+    return F.when(when, F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), (F.lit(evidence) if isinstance(evidence, str) else evidence).alias("evidence")))
+
+
+_FINDINGS = "array<struct<code:string,severity:string,evidence:string>>"
+
+
+def collapsed(t: Column) -> Column:
+    """The text with every run of white space as one blank."""
+    return F.regexp_replace(t, r"(?U)\s+", " ")
+
+
+def missing(text: Column, parts: Column, name: str, ordered: bool = False, collapse: bool = False) -> Column:
+    """Findings on expected texts (an array) that a text lacks; ordered: each must come after the one before it."""
+    t, ps = (collapsed(text), F.transform(parts, collapsed)) if collapse else (text, parts)
+    finding = lambda i: F.struct(F.lit("audit.content.missing").alias("code"), F.lit("error").alias("severity"), F.concat(F.lit(f"{name}="), i.cast("string")).alias("evidence"))
+    if not ordered:
+        return F.filter(F.transform(ps, lambda p, i: F.when(~t.contains(p), finding(i))), lambda x: x.isNotNull())
+    placed = F.transform(ps, lambda p, i: F.struct(p.alias("p"), i.alias("i")))
+
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        found = F.call_function("locate", x["p"], t, at)
+        return F.when(found > 0, found + F.length(x["p"])).otherwise(at), F.when(found == 0, finding(x["i"]))
+
+    return T.sweep(placed, F.lit(1), step, "struct<code:string,severity:string,evidence:string>")["out"]
+
+
+def text_audit(t: Column, sections: Column | None = None) -> Column:
+    """Findings on a finished text: BOM, carriage returns, one newline at the end, prohibited terms, sections in order."""
     checks = [
-        F.when(t.startswith(BOM), "text.bom"), F.when(t.contains("\r"), "text.carriage_return"),
-        F.when(~(t.endswith("\n") & ~t.endswith("\n\n")), "text.trailing_newline"),
-        *[F.when(F.lower(t).contains(p.lower()), f"prohibited.{p}") for p in prohibited],
-        F.when(~in_order, "sections.order"),
+        _finding(t.startswith(BOM), "audit.utf8.bom", "error", "bom=utf8"), _finding(t.contains("\r"), "audit.line_endings.cr", "error", "byte=0x0d"),
+        _finding(~t.endswith("\n"), "audit.trailing_newline.missing", "error", "tail_missing"), _finding(t.endswith("\n\n"), "audit.trailing_newline.extra", "error", "tail_extra"),
+        *[_finding(F.lower(t).contains(p), "audit.metadata.prohibited", "error", f"term={p}") for p in PROHIBITED_TERMS],
     ]
-    return docs.select("doc_id", F.explode(F.array_compact(F.array(*checks))).alias("code"))
+    found = F.array_compact(F.array(*checks))
+    return found if sections is None else F.concat(found, F.coalesce(missing(t, sections, "section_index", ordered=True), F.array().cast(_FINDINGS)))
 
 
-def markdown_findings(docs: DataFrame, title: str | None = None) -> DataFrame:
-    """Findings on a Markdown text: title heading, expected title, a claims section, active content."""
-    t = F.col("text")
-    first = F.regexp_extract(t, r"(?m)\A\s*(?:﻿)?# +(.+)$", 1)
-    checks = [F.when(first == "", "markdown.no_title"), F.when(t.rlike(r"(?m)^## Claims\s*$"), "markdown.claims_section")]
+def markdown_audit(t: Column, title: Column | None = None) -> Column:
+    """Findings on a Markdown text beyond those of a text: title heading, expected title, a claims section, active content."""
+    titles = F.filter(F.split(t, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"), lambda x: x.startswith("# "))
+    checks = [_finding(F.size(titles) == 0, "audit.heading.title", "error", "heading=title")]
     if title is not None:
-        checks.append(F.when((first != "") & (first != title), "markdown.other_title"))
-    checks += [F.when(t.rlike(p), f"markdown.{k}") for k, p in ACTIVE[:4]]
-    return docs.select("doc_id", F.explode(F.array_compact(F.array(*checks))).alias("code"))
+        checks.append(_finding((F.size(titles) > 0) & (title != "") & ~F.array_contains(titles, F.concat(F.lit("# "), title)), "audit.title.missing", "error", "heading=expected_title"))
+    checks.append(_finding(t.contains("## Claims"), "audit.claims.heading", "error", "heading=claims"))
+    checks += [_finding(t.rlike(p), "audit.html.active_content", "error", f"pattern={k}") for k, p in enumerate(PUBLIC_ACTIVE)]
+    return F.array_compact(F.array(*checks))
+
+
+def unicode_audit(t: Column) -> Column:
+    """Findings on any text: not composed (a warning), control characters (an error, with the first place)."""
+    controls = "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x9f]"
+    return F.array_compact(F.array(
+        _finding(nfc(t) != t, "audit.unicode.not_nfc", "warning", "normalization=nfc"),
+        _finding(t.rlike(controls), "audit.unicode.control_chars", "error", F.concat(F.lit("first_offset="), (F.regexp_instr(t, F.lit(controls)) - 1).cast("string"))),
+    ))
+
+
+def artefact_audit(files: DataFrame) -> DataFrame:
+    """path, format, code, severity, evidence of finished files (path, text, title, sections, claims), by their suffix.
+
+    .txt is audited as text, .md and .markdown as Markdown too, and both for expected sections and claims; any other
+    suffix is audited for Unicode and marked as unknown. title, sections and claims may be null.
+    """
+    suffix = F.lower(F.regexp_extract("path", r"[^/.](\.[^./]*)$", 1))
+    kind = F.when(suffix == ".txt", "txt").when(suffix.isin(".md", ".markdown"), "md").otherwise("any")
+    t, none = F.col("text"), F.array().cast(_FINDINGS)
+    claims = F.coalesce(missing(t, F.col("claims"), "claim_index", collapse=True), none)
+    known = F.concat(text_audit(t, F.col("sections")), claims, F.when(F.col("format") == "md", markdown_audit(t, F.coalesce("title", F.lit("")))).otherwise(none))
+    unknown = F.concat(unicode_audit(t), F.array(_finding(F.lit(True), "audit.format.unknown", "warning", F.concat(F.lit("ext="), F.regexp_extract("path", r"[^/.](\.[^./]*)$", 1)))))
+    rows = files.withColumn("format", kind)
+    return rows.select("path", "format", F.inline(F.when(F.col("format") == "any", unknown).otherwise(known)))
+
+
+def artefact_findings(docs: DataFrame, sections: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, code, evidence of text_audit() with the same expected sections for all."""
+    return docs.select("doc_id", F.inline(text_audit(F.col("text"), F.array(*[F.lit(s) for s in sections]) if sections else None))).drop("severity")
+
+
+def markdown_findings(docs: DataFrame, title: str | None = None) -> DataFrame:
+    """doc_id, code, evidence of markdown_audit()."""
+    return docs.select("doc_id", F.inline(markdown_audit(F.col("text"), F.lit(title) if title is not None else None))).drop("severity")
 
 
 def verdict(findings: DataFrame) -> DataFrame:

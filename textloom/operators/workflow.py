@@ -5,45 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.functions import lexicons as L
 from textloom.functions import text as T
-from textloom.operators.metrics import dash_convention, quote_convention
+from textloom.operators import evidence as E
+from textloom.operators import lexical as X
+from textloom.operators import profiles as P
+from textloom.operators import review as V
+from textloom.sources.store import materialize
 
 EDITABLE = ("paragraph", "sentence", "text_run", "list_item", "table_cell")
 
 
-def whole_or_tenths(c: Column) -> Column:
-    """A number as an integer if it is whole to one digit, else with one digit."""
-    r = F.round(c, 1)
-    return F.when(r == F.floor(r), F.floor(r).cast("string")).otherwise(F.format_string("%.1f", r))
-
-
-def invariants(docs: DataFrame) -> DataFrame:
-    """doc_id, kind, value, status: what a text shows about quotation, citations, contractions, ranges, dashes, person."""
-    t, w = F.col("text"), F.col("w")
-    rows = docs.select("doc_id", "text", T.words(t).alias("w"), F.transform(T.sentences(t), lambda x: F.size(T.words(x))).alias("ls"), F.transform(T.paragraphs(t), lambda p: F.size(T.sentences(p))).alias("lp"))
-    rows = T.with_distribution(rows, F.col("ls"), {"n": "sn", "p10": "s10", "p90": "s90"})
-    rows = T.with_distribution(rows, F.col("lp"), {"n": "pn", "minimum": "plo", "maximum": "phi"})
-    brackets = F.regexp_count(t, F.lit(r"\[\d{1,4}(?:,\s*\d{1,4})*\]"))
-    authors = F.regexp_count(t, F.lit(r"\([A-Z][A-Za-zÀ-ſ' -]+,\s*\d{4}[a-z]?\)"))
-    cited = F.when(brackets + authors > 0, F.format_string("bracket_numbers=%d,author_year=%d", brackets, authors)).otherwise("none")
-    span = lambda n, a, b: F.when(F.col(n) > 0, F.concat(whole_or_tenths(F.col(a)), F.lit(".."), whole_or_tenths(F.col(b)))).otherwise("none")
-    person = F.concat_ws("|", *[F.concat(F.lit(f"{k}="), F.when(T.counted(w, L.PRONOUNS[k]) > 0, "present").otherwise("absent")) for k in sorted(L.PRONOUNS)])
-    shown = {
-        "quotation_convention": quote_convention(t), "citation_presentation": cited, "contraction_policy": F.when(F.exists(w, lambda x: x.contains("'")), "contractions_present").otherwise("no_contractions"),
-        "paragraph_range": span("pn", "plo", "phi"), "sentence_percentile_range": span("sn", "s10", "s90"), "dash_type": dash_convention(t), "person_policy": person,
-    }
-    one = lambda k, v, s: F.struct(F.lit(k).alias("kind"), v.alias("value"), F.lit(s).alias("status"))
-    each = [one(k, v, "pass") for k, v in shown.items()] + [one("heading_capitalization", F.lit(""), "unknown"), one("prohibited_phrases", F.lit(""), "pass")]
-    return rows.select("doc_id", F.inline(F.array(*each)))
-
-
-def invariant_violations(own: DataFrame, expected: DataFrame, kinds: tuple[str, ...] = ("dash_type", "contraction_policy", "person_policy", "quotation_convention")) -> DataFrame:
-    """doc_id, kind, expected, found where a document's invariant differs from the expected one of the same doc_id."""
-    e = expected.where(F.col("status") == "pass").select("doc_id", "kind", F.col("value").alias("expected"))
-    return own.where(F.col("kind").isin(*kinds)).join(e, ["doc_id", "kind"]).where("value <> expected").select("doc_id", "kind", "expected", F.col("value").alias("found"))
-
-
 def node_safe(changes: DataFrame, nodes: DataFrame) -> DataFrame:
     """Changes (doc_id, offset, length) with safe: inside one node whose kind may be edited."""
     n = nodes.where(F.col("node_type").isin(*EDITABLE)).select("doc_id", "start", "end")
@@ -51,13 +22,30 @@ def node_safe(changes: DataFrame, nodes: DataFrame) -> DataFrame:
     return changes.join(held, ["doc_id", "offset"], "left").withColumn("safe", F.coalesce("safe", F.lit(False)))
 
 
-def capsules(contexts: DataFrame, claims: DataFrame, most: int = 50) -> DataFrame:
-    """Per block its neighbours and the document's first `most` claims in order: one row of context."""
-    order = Window.partitionBy("doc_id").orderBy("claim_no")
-    some = claims.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most)
-    held = some.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("claim_no", "proposition"))).alias("c"))
-    rows = contexts.join(held, "doc_id", "left")
-    return rows.select("doc_id", "node_no", "before", "after", "heading", F.coalesce(F.array_join("c.proposition", " | "), F.lit("")).alias("claims"), F.coalesce(F.size("c"), F.lit(0)).cast("long").alias("n_claims"))
+def capsules(contexts: DataFrame, claims: DataFrame, spans: DataFrame, entities: DataFrame, invariants: DataFrame, tendencies: DataFrame, most: int = 50) -> DataFrame:
+    """Per block (what block_contexts() gives) the context to work on it: one row.
+
+    The document's first `most` claims, protected spans and entities, the propositions of all claims that are still
+    open (extracted ones all are), invariants and tendencies of style, prohibited changes, labels of what can't be
+    trusted (assisted or excluded text, of which extraction marks none). Lists are joined by bars.
+    """
+    def listed(rows: DataFrame, order: str, value: Column, name: str, limit: int | None) -> DataFrame:
+        rows = rows if limit is None else rows.where(F.col(order) <= limit)
+        kept = rows.select("doc_id", F.col(order).alias("o"), value.alias("v")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("o", "v"))).alias("x"))
+        return kept.select("doc_id", F.array_join("x.v", " | ").alias(name), F.size("x").cast("long").alias(f"n_{name}"))
+
+    style = invariants.select("doc_id", "kind", "value").unionByName(tendencies.select("doc_id", F.concat(F.lit("tendency_"), "name").alias("kind"), "value"))
+    named = lambda c: F.concat_ws("=", c, "value")
+    parts = (
+        listed(claims, "claim_no", F.col("proposition"), "claims", most), listed(claims, "claim_no", F.col("proposition"), "open_loops", None), listed(spans, "span_no", F.concat_ws(":", "kind", "text"), "spans", most),
+        listed(entities, "entity_no", F.col("name"), "entities", most), listed(style, "kind", named("kind"), "invariants", None),
+    )
+    prohibited = invariants.where("kind = 'prohibited_phrases'").select("doc_id", F.col("value").alias("prohibited"))
+    rows = contexts.join(prohibited, "doc_id", "left")
+    for part in parts:
+        rows = rows.join(part, "doc_id", "left")
+    lists = ("claims", "open_loops", "spans", "entities", "invariants", "prohibited")
+    return rows.select("doc_id", "node_no", "before", "after", "heading", *[F.coalesce(c, F.lit("")).alias(c) for c in lists], F.coalesce("n_claims", F.lit(0)).alias("n_claims"), F.lit("").alias("untrusted"))
 
 
 def ingest_counts(docs: DataFrame, ingested: DataFrame, **parts: DataFrame) -> DataFrame:
@@ -77,18 +65,75 @@ def manifest_problems(samples: DataFrame, present: DataFrame, groups: tuple[str,
     return bad.unionByName(twice).unionByName(gone)
 
 
-def text_free(props: Column) -> Column:
-    """Whether a map holds no text: no telling key names, no values over 64 characters or with blanks."""
-    keys = F.exists(F.map_keys(props), lambda k: F.lower(k).rlike("text|prompt|content|body"))
-    values = F.exists(F.map_values(props), lambda v: (F.length(v) > 64) | v.contains(" "))
-    return ~keys & ~values
-
-
-def gates(docs: DataFrame, **passed: DataFrame) -> DataFrame:
-    """doc_id, gate, passed: per named gate whether the document is among those that pass it."""
-    out = None
-    for name, rows in passed.items():
-        ok = rows.select("doc_id").distinct().withColumn("passed", F.lit(True))
-        one = docs.select("doc_id").join(ok, "doc_id", "left").select("doc_id", F.lit(name).alias("gate"), F.coalesce("passed", F.lit(False)).alias("passed"))
-        out = one if out is None else out.unionByName(one)
-    return out
+#: Parts of names that tell of text.
+TEXT_NAMES = ("text", "content", "prompt", "input", "source", "style", "output", "response", "message")
+
+
+def text_free(json: Column) -> Column:
+    """Whether a JSON value holds no text, at any depth: no telling names, no strings over 64 characters or with white space.
+
+    Null is free of text; what is no JSON isn't.
+    """
+    # every string with what shows that it is a name: its colon
+    strings = F.regexp_extract_all(json, F.lit(r'"(?:[^"\\\\]|\\\\.)*"(?:\s*:)?'.replace("\\\\", "\\")), F.lit(0))
+    plain = lambda x: F.get_json_object(F.concat(F.lit('{"v":'), F.regexp_replace(x, r"\s*:$", ""), F.lit("}")), "$.v")
+    telling = F.exists(F.filter(strings, lambda x: x.endswith(":")), lambda x: F.lower(plain(x)).rlike("|".join(TEXT_NAMES)))
+    loose = F.exists(F.filter(strings, lambda x: ~x.endswith(":")), lambda x: (F.length(plain(x)) > 64) | plain(x).rlike(r"(?U)\s"))
+    return F.when(json.isNull(), True).when(F.try_parse_json(json).isNull(), False).otherwise(~telling & ~loose)
+
+
+def finalized(bases: DataFrame, changes: DataFrame, decisions: DataFrame, nodes: DataFrame, spans: DataFrame, revisions: DataFrame, profile: DataFrame | None = None, coverage: DataFrame | None = None) -> DataFrame:
+    """doc_id, gate, passed of the gates between reviewed changes and a new accepted revision, in their order.
+
+    bases: (doc_id, source, text, base_token), the accepted text that the changes (doc_id, offset, length, surface,
+    target) were proposed on. review: every decision is on a known change, and none is repeated. node_safe: accepted
+    changes lie inside one editable node each. rebase: no protected span is touched, and each still has its text at
+    its new place. facts: anchors and citations stay. structure: headings and node types stay. style: the source's
+    profile is complete and no invariant is violated (passed where there is no profile). revision: the base is still
+    the accepted head. accepted: all of them.
+    """
+    # every gate looks at these: written once, not worked out by each
+    changes = materialize(changes, "changes")
+    accepted = materialize(X.review(changes, decisions), "accepted")
+    after, spans = materialize(X.apply_changes(bases, accepted), "after"), materialize(spans, "spans")
+    names = bases.select("doc_id")
+    bad = {
+        "review": X.review_problems(changes, decisions).select("doc_id"),
+        "node_safe": node_safe(accepted.select("doc_id", "offset", "length"), nodes).where("NOT safe").select("doc_id"),
+        "rebase": rebase_problems(X.rebase(spans, accepted), spans, after),
+        "facts": E.revalidated(bases.select("doc_id", "text"), after).where("NOT ok").select("doc_id"),
+        "structure": V.structure_drift(line_structure(after), line_structure(bases)).select("doc_id"),
+    }
+    if profile is not None:
+        texts = after.join(bases.select("doc_id", "source"), "doc_id")
+        bad["style"] = P.compare(texts, profile, coverage).where("violations <> ''").select("doc_id")
+        if coverage is not None:
+            bad["style"] = bad["style"].unionByName(bases.join(coverage.where("status = 'complete'").select("source"), "source", "left_anti").select("doc_id"))
+    heads = revisions.where("status = 'accepted'").groupBy(F.col("document_id").alias("doc_id")).agg(F.max("token").alias("head"))
+    bad["revision"] = bases.join(heads, "doc_id", "left").where("head IS NULL OR head <> base_token").select("doc_id")
+    failed = None
+    for gate, rows in bad.items():
+        one = rows.select("doc_id", F.lit(gate).alias("gate"))
+        failed = one if failed is None else failed.unionByName(one)
+    per = failed.groupBy("doc_id").agg(F.collect_set("gate").alias("failed"))
+    rows = names.join(per, "doc_id", "left").withColumn("failed", F.coalesce("failed", F.array().cast("array<string>")))
+    one = lambda g: F.struct(F.lit(g).alias("gate"), (~F.array_contains("failed", g)).alias("passed"))
+    return rows.select("doc_id", F.inline(F.array(*map(one, bad), F.struct(F.lit("accepted").alias("gate"), (F.size("failed") == 0).alias("passed")))))
+
+
+def rebase_problems(rebased: DataFrame, spans: DataFrame, after: DataFrame) -> DataFrame:
+    """doc_id of documents with a span that an edit touches, or whose text isn't at its new place."""
+    was = spans.select("doc_id", "span_no", F.col("start").alias("s"), F.col("end").alias("e"), F.col("text").alias("was"))
+    rows = rebased.join(was.select("doc_id", "span_no", "was", (F.col("e") - F.col("s")).alias("n")), ["doc_id", "span_no"])
+    near = rows.groupBy("doc_id").agg(F.bool_or("overlap").alias("overlap"), F.collect_list(F.struct("start", "n", "was")).alias("xs"))
+    placed = near.join(after.select("doc_id", "text"), "doc_id")
+    moved = F.exists("xs", lambda x: ~F.contains(F.substring(F.col("text"), (x["start"] + 1).cast("int"), x["n"].cast("int")), x["was"]))
+    return placed.where(F.col("overlap") | moved).select("doc_id")
+
+
+def line_structure(docs: DataFrame) -> DataFrame:
+    """doc_id, headings, signature of texts whose nodes are lines: Markdown headings, and a digest of the kinds of lines."""
+    lines = F.filter(F.split("text", "\n"), lambda x: T.strip(x) != "")
+    heading = lambda x: x.rlike(r"^ {0,3}#{1,6}\s")
+    kinds = F.transform(lines, lambda x: F.when(heading(x), F.concat(F.lit("heading"), F.lit("\x00"), x)).otherwise("paragraph"))
+    return docs.select("doc_id", F.filter(lines, heading).alias("headings"), F.sha2(F.array_join(kinds, "\x00"), 256).alias("signature"))

@@ -18,6 +18,7 @@ DECORATED = """CASE WHEN doc_id % 12 = 1 THEN '﻿' ELSE '' END
   || CASE WHEN doc_id % 12 = 6 THEN chr(10) || 'line   ' || chr(10) || chr(10) || chr(10) || chr(10) || 'end' ELSE '' END
   || CASE WHEN doc_id % 5 = 0 THEN ' However, we don' || chr(39) || 't utilize it. Is it used? It was tested!' ELSE '' END
   || CASE WHEN doc_id % 7 = 0 THEN ' See <script src="https://u:p@cdn.example.org:8443/a.js"></script> and [x](https://example.com/y).' ELSE '' END
+  || CASE WHEN doc_id % 6 = 2 THEN ' "Anna Miller met Bob Stone in Old Harbour" was said.' ELSE '' END
   || CASE WHEN doc_id % 4 = 0 THEN ' Anna Miller paid $' || CAST(doc_id * 7 AS STRING) || ' on 2024-01-'
           || lpad(CAST(1 + doc_id % 28 AS STRING), 2, '0') || ' (Smith, 2020) [1, 2].' ELSE '' END"""
 DX = f"WITH dx AS (SELECT doc_id, source, lang, {DECORATED} AS text FROM documents)"

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from textloom.functions import lexicons as L
 from textloom.operators import ledger as K
 from textloom.operators import scoring as D
-from textloom.plans.base import DX, lst, occurs, over_documents, rounded, strip, table
+from textloom.plans.base import DX, occurs, over_documents, rounded, strip, table
+from textloom.sources import store as ST
 
 
 def _decisions(spark, sf):
@@ -27,31 +28,87 @@ def _runs(spark, sf):
 
 
 def _stored(docs):
-    return docs.where("doc_id % 3 = 0").select(F.sha2("text", 256).alias("text_sha256"), (F.col("doc_id") % 10 / 10).alias("score"), F.lit("human").alias("label"), F.col("doc_id").alias("created_at"))
+    """Stored scores of a third of the texts; of other models, expired ones and repeated ones too."""
+    rows = docs.where("doc_id % 3 = 0").select(
+        F.sha2("text", 256).alias("text_sha256"), F.lit("local").alias("provider"), F.expr("CASE WHEN doc_id % 9 = 0 THEN 'other' ELSE 'heuristic' END").alias("model"), F.lit(1).alias("schema_version"),
+        (F.col("doc_id") % 10 / 10).alias("score"), F.lit("human").alias("label"), F.col("doc_id").alias("created_at"), F.expr("CASE WHEN doc_id % 6 = 0 THEN 100 ELSE 200 END").alias("expires_at"),
+    )
+    return rows
+
+
+def _length_score(texts):
+    """A user's scorer: longer texts score lower."""
+    return 1.0 / (1.0 + texts.str.len() / 1000.0)
+
+
+_KIND = "CASE doc_id % 6 WHEN 0 THEN 'official_spec' WHEN 1 THEN 'paper' WHEN 2 THEN 'release_notes' WHEN 3 THEN 'advisory' WHEN 4 THEN 'community' ELSE 'rumour' END"
+_EVIDENCE = (
+    "doc_id - doc_id % 11 % 2 AS evidence_id", "CASE WHEN doc_id % 19 = 0 THEN '' ELSE CAST(doc_id % 40 AS STRING) END AS trigger_id", f"{_KIND} AS source_kind", "CASE WHEN doc_id % 9 = 0 THEN 'http' ELSE 'https' END || '://h.example.org/' || (doc_id % 3) AS url",
+    "CASE WHEN doc_id % 13 = 0 THEN 'xyz' ELSE {digest} END AS snippet_sha256", "CASE WHEN doc_id % 17 = 0 THEN ' ' ELSE 'found' END AS summary",
+)
 
 
 def _evidence(spark, sf):
-    d = table(spark, sf, "documents")
-    return d.select((F.col("doc_id") - F.col("doc_id") % 11 % 2).alias("evidence_id"), (F.col("doc_id") % 40).alias("trigger_id"), (F.col("doc_id") % 6).cast("int").alias("tier"), F.concat(F.when(F.col("doc_id") % 9 == 0, "http").otherwise("https"), F.lit("://h.example.org/"), (F.col("doc_id") % 3).cast("string")).alias("url"),
-                    F.when(F.col("doc_id") % 13 == 0, "xyz").otherwise(F.sha2("text", 256)).alias("snippet_sha256"), F.when(F.col("doc_id") % 17 == 0, " ").otherwise("found").alias("summary"))
+    return table(spark, sf, "documents").selectExpr(*[e.replace("{digest}", "sha2(text, 256)") for e in _EVIDENCE])
+
+
+_EV = "WITH ev AS (SELECT " + ", ".join(e.replace("{digest}", "sha256(text)").replace("STRING", "VARCHAR") for e in _EVIDENCE) + " FROM documents)"
+_PROPOSALS = (
+    "doc_id AS proposal_id", "CAST(doc_id % 40 AS STRING) AS trigger_id", "CASE doc_id % 5 WHEN 0 THEN 'metadata_field' WHEN 1 THEN 'telemetry_change' WHEN 2 THEN 'scanner_benchmark_change' WHEN 3 THEN 'privacy_technique' ELSE 'unheard_of' END AS kind",
+    "CASE WHEN doc_id % 23 = 0 THEN '' ELSE lang END AS summary", "doc_id % 2 = 0 AS high_impact",
+)
+
+
+def _gate(spark, sf):
+    p = table(spark, sf, "documents").selectExpr(*_PROPOSALS)
+    decisions = table(spark, sf, "events").selectExpr("user_id AS proposal_id", "event_id AS seq", "CASE event_type WHEN 'click' THEN 'approve' WHEN 'view' THEN 'deny' ELSE 'later' END AS decision")
+    return K.proposal_gate(p, _evidence(spark, sf).where("evidence_id % 3 = 0"), decisions)
 
 
-_EV = "WITH ev AS (SELECT doc_id - doc_id % 11 % 2 AS evidence_id, doc_id % 40 AS trigger_id, (doc_id % 6)::INT AS tier, CASE WHEN doc_id % 9 = 0 THEN 'http' ELSE 'https' END || '://h.example.org/' || (doc_id % 3)::VARCHAR AS url, CASE WHEN doc_id % 13 = 0 THEN 'xyz' ELSE sha256(text) END AS snippet_sha256, CASE WHEN doc_id % 17 = 0 THEN ' ' ELSE 'found' END AS summary FROM documents)"
+_STATES = ("observed", "triaged", "researched", "verified", "proposed", "policy_reviewed", "approved", "quarantined", "validated", "release_approved", "denied", "lost")
 
 
 def _log(spark, sf):
     e = table(spark, sf, "events")
-    names = F.array(*[F.lit(s) for s in K.FLOW])
-    return e.select((F.col("user_id")).alias("item_id"), F.col("event_id").alias("seq"), F.element_at(names, (F.col("event_id") * 7 % 10 + 1).cast("int")).alias("status"))
+    names = F.array(*[F.lit(s) for s in _STATES])
+    return e.select(F.col("user_id").alias("item_id"), F.col("event_id").alias("seq"), F.element_at(names, (F.floor(F.col("event_id") / 7) % 12 + 1).cast("int")).alias("status"))
+
+
+def _ids(spark, sf):
+    c = lambda x: F.col(x).cast("string")
+    d = table(spark, sf, "documents")
+    return d.select(
+        "doc_id", K.trigger_id(c("source"), c("lang"), F.lit("")).alias("trigger"), K.evidence_id(c("doc_id"), F.lit("tier2_peer_reviewed"), F.lit("paper"), F.lit("https://h.example.org/"), F.sha2("text", 256), c("lang")).alias("evidence"),
+        K.proposal_id(c("doc_id"), F.lit("metadata_field"), c("lang"), F.col("doc_id") % 2 == 0, F.array(c("source"), c("lang"))).alias("proposal"), K.framed_id("proj-", c("source"), c("lang")).alias("project"),
+        K.framed_id("import-", c("text"), F.lit("source"), F.lit("text"), F.lit("1"), F.lit("1")).alias("import"),
+    )
 
 
 def _policy(spark, sf):
-    actions = table(spark, sf, "events").select(F.col("event_id").alias("action"), F.col("event_type").alias("category"))
-    return K.policy(actions, spark.createDataFrame([("purchase",), ("error",)], "category string"), spark.createDataFrame([("click",), ("purchase",)], "category string"))
+    names = [*K.ALLOWED_ACTIONS[:4], *K.BLOCKED_ACTIONS[:4], "unheard_of", "metadata_field_addition"]
+    actions = table(spark, sf, "events").select(F.col("event_id").alias("action"), F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("event_id") % 10 + 1).cast("int")).alias("category"))
+    one = lambda xs: spark.createDataFrame([(x,) for x in xs], "category string")
+    return K.policy(actions, one(K.BLOCKED_ACTIONS), one(K.ALLOWED_ACTIONS))
+
+
+def _counters(spark, sf):
+    names = F.array(*[F.lit(x) for x in ("cache_hits", "cache_misses", "duration_ms", "nonsense")])
+    e = table(spark, sf, "events")
+    steps = e.select(F.dayofyear("ts").alias("run_id"), F.col("event_id").alias("seq"), F.element_at(names, (F.col("event_id") % 4 + 1).cast("int")).alias("name"), F.when(F.col("event_id") % 40 == 2, "set").otherwise("add").alias("op"), (F.col("user_id") % 10).alias("value"))
+    return K.run_counters(steps)
+
+
+def _run_report(spark, sf):
+    """Scores by source, written as runs and one of them read back."""
+    path = ST.new_path(spark, "runs")
+    d = table(spark, sf, "documents")
+    for k in range(2):
+        ST.write_run(D.corpus_scan(d.where(f"doc_id % 2 = {k}")), path, f"run-{k}")
+    return rounded(ST.read_run(spark, path, "run-1").select("doc_id", "label", "score"))
 
 
 def _retention(spark, sf):
-    o = table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("path"), F.col("o_orderdate").cast("timestamp").alias("modified"))
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("path"), F.element_at(F.array(F.lit("cache"), F.lit("reports"), F.lit("originals")), (F.col("o_orderkey") % 3 + 1).cast("int")).alias("scope"), F.col("o_orderdate").cast("timestamp").alias("modified"))
     return K.retention(o, F.lit("1998-01-01 00:00:00").cast("timestamp"))
 
 
@@ -66,17 +123,22 @@ def _versions(spark, sf):
 QUERIES = {
     "d01_components": over_documents(D.components),
     "d04_scores": over_documents(D.scores),
-    "d05_lookup": over_documents(lambda d: D.lookup_or_compute(d, _stored(d))),
-    "d06_corpus_scan": over_documents(D.corpus_scan),
+    "d05_lookup": over_documents(lambda d: D.lookup_or_compute(d, _stored(d), now=F.lit(150))),
+    "d06_corpus_scan": over_documents(lambda d: D.corpus_scan(d).groupBy("source", "label").agg(F.count("*").alias("n"), F.sum("score").alias("total"))),
+    "d06_unscored": over_documents(lambda d: D.corpus_scan(d, None)),
+    "d07_run_report": _run_report,
+    "u05_scorer_hook": over_documents(lambda d: D.hooked(_length_score)(d)),
+    "k11_counters": _counters,
+    "m04_proposal_gate": _gate,
     "w01_decisions": lambda spark, sf: K.latest_decisions(_decisions(spark, sf)),
     "w02_revisions": lambda spark, sf: K.current_revisions(_revisions(spark, sf)),
     "w03_drift": lambda spark, sf: rounded(D.drift(_runs(spark, sf), 0.02)),
     "l13_proposals": lambda spark, sf: K.accept_proposals(_revisions(spark, sf), _revisions(spark, sf).where("status = 'proposed'").select("document_id", F.col("token").alias("base_token"))),
     "l13_chain_gaps": lambda spark, sf: K.chain_gaps(_revisions(spark, sf).where("token % 5 <> 2")),
     "g09_project_status": lambda spark, sf: K.project_status(_revisions(spark, sf)),
-    "g06_sufficiency": lambda spark, sf: K.sufficiency(_evidence(spark, sf)),
+    "g06_sufficiency": lambda spark, sf: K.sufficiency(_evidence(spark, sf).withColumn("tier", F.expr("CASE source_kind WHEN 'official_spec' THEN 1 WHEN 'paper' THEN 2 WHEN 'release_notes' THEN 3 WHEN 'advisory' THEN 4 WHEN 'community' THEN 5 END"))),
     "m01_transitions": lambda spark, sf: K.illegal_transitions(_log(spark, sf)),
-    "m02_ids": lambda spark, sf: table(spark, sf, "documents").select("doc_id", K.framed_id("ev-", F.col("doc_id").cast("string"), F.col("source"), F.col("lang")).alias("id")),
+    "m02_ids": _ids,
     "m03_evidence_problems": lambda spark, sf: K.evidence_problems(_evidence(spark, sf)),
     "j16_newer_versions": _versions,
     "j18_policy": _policy,
@@ -98,24 +160,32 @@ _DEC = "WITH d AS (SELECT doc_id % 50 AS package_id, doc_id AS span_id, s AS seq
 ORACLES = {
     "d01_components": f"{_D} SELECT doc_id, n_words, n_sentences, round(bigram_repeat, 6) AS bigram_repeat, round(sentence_variance, 6) AS sentence_variance, pronouns, phrases, round(avg_word_length, 6) AS avg_word_length FROM c",
     "d04_scores": f"{_D} SELECT doc_id, round(score, 6) AS score, label FROM sc",
-    "d05_lookup": f"""{_D}, h AS (SELECT sha256(text) AS text_sha256, min(doc_id) AS doc_id FROM dx GROUP BY 1), st AS (SELECT sha256(text) AS text_sha256, (doc_id % 10) / 10 AS score, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id DESC) AS nth FROM dx WHERE doc_id % 3 = 0)
-SELECT h.text_sha256, round(coalesce(st.score, sc.score), 6) AS score, CASE WHEN st.score IS NOT NULL THEN 'human' ELSE label END AS label, st.score IS NOT NULL AS hit FROM h JOIN sc ON h.doc_id = sc.doc_id LEFT JOIN st ON h.text_sha256 = st.text_sha256 AND nth = 1""",
-    "d06_corpus_scan": f"{_D} SELECT source, CASE WHEN label IN ('human', 'ai') THEN label ELSE 'unknown' END AS label, count(*) AS n FROM sc JOIN dx ON sc.doc_id = dx.doc_id GROUP BY 1, 2",
+    "d05_lookup": f"""{_D}, h AS (SELECT sha256(text) AS text_sha256, min(doc_id) AS doc_id FROM dx GROUP BY 1), st AS (SELECT sha256(text) AS text_sha256, (doc_id % 10) / 10 AS score, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id DESC) AS nth FROM dx WHERE doc_id % 3 = 0 AND doc_id % 9 <> 0 AND doc_id % 6 <> 0)
+SELECT h.text_sha256, 'local' AS provider, 'heuristic' AS model, 1 AS schema_version, round(coalesce(st.score, sc.score), 6) AS score, CASE WHEN st.score IS NOT NULL THEN 'human' ELSE label END AS label, st.score IS NOT NULL AS hit FROM h JOIN sc ON h.doc_id = sc.doc_id LEFT JOIN st ON h.text_sha256 = st.text_sha256 AND nth = 1""",
+    "d06_corpus_scan": f"{_D} SELECT source, CASE WHEN label IN ('human', 'ai') THEN label ELSE 'unknown' END AS label, count(*) AS n, round(sum(score), 6) AS total FROM sc JOIN dx ON sc.doc_id = dx.doc_id GROUP BY 1, 2",
+    "d06_unscored": f"{DX} SELECT doc_id, source, 'unknown' AS label, NULL::DOUBLE AS score FROM dx",
+    "d07_run_report": f"{_D.replace(DX, 'WITH dx AS (SELECT doc_id, source, lang, text FROM documents)')} SELECT doc_id, CASE WHEN label IN ('human', 'ai') THEN label ELSE 'unknown' END AS label, round(score, 6) AS score FROM sc WHERE doc_id % 2 = 1",
+    "u05_scorer_hook": f"{DX} SELECT doc_id, round(1 / (1 + length(text) / 1000), 6) AS score, CASE WHEN 1 / (1 + length(text) / 1000) < 0.35 THEN 'human' WHEN 1 / (1 + length(text) / 1000) < 0.65 THEN 'uncertain' ELSE 'ai' END AS label FROM dx",
+    "k11_counters": "WITH s AS (SELECT dayofyear(ts)::INT AS run_id, event_id AS seq, ['cache_hits', 'cache_misses', 'duration_ms', 'nonsense'][event_id % 4 + 1] AS name, event_id % 40 = 2 AS put, user_id % 10 AS v FROM events), m AS (SELECT run_id, name, max(CASE WHEN put THEN seq END) AS f FROM s GROUP BY ALL) SELECT s.run_id, s.name, sum(v)::BIGINT AS value FROM s JOIN m ON s.run_id = m.run_id AND s.name = m.name WHERE s.name <> 'nonsense' AND (f IS NULL OR seq >= f) GROUP BY ALL",
+    "m04_proposal_gate": _EV + ", p AS (SELECT " + ", ".join(_PROPOSALS).replace("STRING", "VARCHAR") + """ FROM documents), t AS (SELECT trigger_id, bool_or(source_kind = 'official_spec') OR count(DISTINCT CASE WHEN source_kind IN ('paper', 'release_notes') THEN url END) >= 2 AS high, bool_or(source_kind IN ('official_spec', 'paper', 'release_notes', 'advisory')) AS basic FROM ev WHERE evidence_id % 3 = 0 GROUP BY 1),
+l AS (SELECT user_id AS proposal_id, arg_max(event_type, event_id) AS e FROM events WHERE event_type IN ('click', 'view') GROUP BY 1), c(kind, category) AS (VALUES ('metadata_field', 'metadata_field_addition'), ('telemetry_change', 'telemetry_documentation'), ('scanner_benchmark_change', 'scanner_benchmark'), ('privacy_technique', 'privacy_technique_research'))
+SELECT p.proposal_id, category, CASE WHEN category IS NULL THEN 'refused.kind' WHEN NOT coalesce(CASE WHEN high_impact THEN high ELSE basic END, false) THEN 'refused.evidence' WHEN trim(summary) = '' THEN 'refused.summary' WHEN e = 'view' THEN 'denied' WHEN e = 'click' THEN 'approved' ELSE 'policy_reviewed' END AS status, false AS blocked_action FROM p LEFT JOIN t ON p.trigger_id = t.trigger_id LEFT JOIN l ON l.proposal_id = p.proposal_id LEFT JOIN c ON c.kind = p.kind""",
     "w01_decisions": f"{_DEC}, l AS (SELECT *, row_number() OVER (PARTITION BY package_id, span_id ORDER BY seq DESC) AS nth FROM d WHERE class <> 'UNKNOWN') SELECT package_id, span_id, class, class <> 'EXCLUDE' AS kept FROM l WHERE nth = 1",
     "w02_revisions": f"{_R} SELECT document_id, max(token) AS head, max(CASE WHEN status = 'accepted' THEN token END) AS accepted, count(*) AS n_revisions FROM r GROUP BY document_id",
     "w03_drift": "WITH m AS (SELECT dayofyear(ts)::INT AS run_no, avg(value / 500) AS mean_score FROM events GROUP BY 1), l AS (SELECT *, abs(mean_score - lag(mean_score) OVER (ORDER BY run_no)) AS delta FROM m) SELECT run_no, round(mean_score, 6) AS mean_score, round(delta, 6) AS delta, delta > 0.02 AS drifted FROM l WHERE delta IS NOT NULL",
     "l13_proposals": f"{_R}, h AS (SELECT document_id, max(token) AS head FROM r GROUP BY 1) SELECT r.document_id, r.token AS base_token, CASE WHEN r.token = head THEN 'accepted' ELSE 'stale' END AS state, CASE WHEN r.token = head THEN head + 1 END AS token FROM r JOIN h ON r.document_id = h.document_id WHERE status = 'proposed'",
     "l13_chain_gaps": f"{_R}, l AS (SELECT document_id, token, lag(token) OVER (PARTITION BY document_id ORDER BY token) AS before FROM r WHERE token % 5 <> 2) SELECT * FROM l WHERE before IS NOT NULL AND token <> before + 1",
     "g09_project_status": f"{_R}, d AS (SELECT document_id, count(*) AS n, max(CASE WHEN status = 'accepted' THEN token END) AS a FROM r GROUP BY 1) SELECT count(*) AS documents, sum(n)::BIGINT AS revisions, count(a) AS with_accepted FROM d",
-    "g06_sufficiency": f"{_EV} SELECT trigger_id, bool_or(tier = 1) OR count(DISTINCT CASE WHEN tier IN (2, 3) THEN url END) >= 2 AS high_impact, bool_or(tier BETWEEN 1 AND 4) AS basic FROM ev GROUP BY 1",
-    "m01_transitions": f"""WITH l AS (SELECT user_id AS item_id, event_id AS seq, {lst(K.FLOW)}[event_id * 7 % 10 + 1] AS status FROM events), b AS (SELECT *, lag(status) OVER (PARTITION BY item_id ORDER BY seq) AS before FROM l)
-SELECT item_id, seq, status FROM b WHERE before IS NOT NULL AND NOT ((list_position({lst(K.FLOW)}, status) = list_position({lst(K.FLOW)}, before) + 1 AND status <> 'denied' AND before <> 'denied') OR (status = 'denied' AND before NOT IN ('denied', 'closed')))""",
-    "m02_ids": "SELECT doc_id, 'ev-' || sha256(doc_id::VARCHAR || chr(0) || source || chr(0) || lang)[1:24] AS id FROM documents",
-    "m03_evidence_problems": f"{_EV} SELECT evidence_id, 'url' AS problem FROM ev WHERE url NOT LIKE 'https://%' UNION ALL SELECT evidence_id, 'digest' FROM ev WHERE NOT regexp_matches(snippet_sha256, '^[0-9a-f]{{64}}$') UNION ALL SELECT evidence_id, 'summary' FROM ev WHERE trim(summary) = '' UNION ALL SELECT evidence_id, 'repeated' FROM ev GROUP BY 1 HAVING count(*) > 1",
+    "g06_sufficiency": f"{_EV} SELECT trigger_id, bool_or(source_kind = 'official_spec') OR count(DISTINCT CASE WHEN source_kind IN ('paper', 'release_notes') THEN url END) >= 2 AS high_impact_met, bool_or(source_kind IN ('official_spec', 'paper', 'release_notes', 'advisory')) AS basic FROM ev GROUP BY 1",
+    "m01_transitions": """WITH l AS (SELECT user_id AS item_id, event_id AS seq, ['observed', 'triaged', 'researched', 'verified', 'proposed', 'policy_reviewed', 'approved', 'quarantined', 'validated', 'release_approved', 'denied', 'lost'][event_id // 7 % 12 + 1] AS status FROM events), b AS (SELECT *, lag(status) OVER (PARTITION BY item_id ORDER BY seq) AS before FROM l)
+SELECT item_id, seq, status FROM b WHERE before IS NOT NULL AND NOT ((status = 'denied' AND before NOT IN ('denied', 'release_approved', 'lost')) OR before || '>' || status IN ('observed>triaged', 'triaged>researched', 'researched>verified', 'verified>proposed', 'proposed>policy_reviewed', 'policy_reviewed>approved', 'approved>quarantined', 'quarantined>validated', 'validated>release_approved'))""",
+    "m02_ids": """SELECT doc_id, 'trig-' || sha256(source || chr(0) || lang || chr(0))[1:24] AS "trigger", 'ev-' || sha256(doc_id || chr(0) || 'tier2_peer_reviewed' || chr(0) || 'paper' || chr(0) || 'https://h.example.org/' || chr(0) || sha256(text) || chr(0) || lang)[1:24] AS evidence,
+'prop-' || sha256(doc_id || chr(0) || 'metadata_field' || chr(0) || lang || chr(0) || CASE WHEN doc_id % 2 = 0 THEN 'high_impact' ELSE 'not_high_impact' END || chr(0) || source || chr(0) || lang)[1:24] AS proposal, 'proj-' || sha256(source || chr(0) || lang)[1:24] AS project, 'import-' || sha256(text || chr(0) || 'source' || chr(0) || 'text' || chr(0) || '1' || chr(0) || '1')[1:32] AS "import" FROM documents""",
+    "m03_evidence_problems": f"{_EV} SELECT evidence_id, 'url' AS problem FROM ev WHERE url NOT LIKE 'https://%' UNION ALL SELECT evidence_id, 'digest' FROM ev WHERE NOT regexp_matches(snippet_sha256, '^[0-9a-f]{{64}}$') UNION ALL SELECT evidence_id, 'summary' FROM ev WHERE trim(summary) = '' UNION ALL SELECT evidence_id, 'trigger' FROM ev WHERE trigger_id = '' UNION ALL SELECT evidence_id, 'source_kind' FROM ev WHERE source_kind = 'rumour' UNION ALL SELECT evidence_id, 'repeated' FROM ev GROUP BY 1 HAVING count(*) > 1",
     "j16_newer_versions": "WITH p AS (SELECT p_partkey AS package, p_partkey % 12 AS m FROM part), v AS (SELECT package, '1.' || m || '.0' AS locked, '1.' || (m * 5 % 12) || '.3' AS latest FROM p WHERE package % 2 = 0 AND package % 3 <> 0) SELECT * FROM v WHERE list_transform(regexp_extract_all(latest, '\\d+'), lambda x: x::INT) > list_transform(regexp_extract_all(locked, '\\d+'), lambda x: x::INT)",
-    "j18_policy": "SELECT event_id AS action, CASE WHEN event_type IN ('purchase', 'error') THEN 'block' WHEN event_type = 'click' THEN 'allow' ELSE 'block' END AS decision FROM events",
+    "j18_policy": "SELECT event_id AS action, CASE WHEN event_id % 10 < 4 OR event_id % 10 = 9 THEN 'allow' ELSE 'block' END AS decision FROM events",
     "k08_content_store": f"{DX} SELECT DISTINCT sha256(text) AS id FROM dx WHERE sha256(text) NOT IN (SELECT sha256(text) FROM dx WHERE doc_id % 4 = 0)",
     "k09_integrity": f"{DX} SELECT sha256(text || 'x') AS id FROM dx WHERE doc_id % 5 = 0",
     "k10_encryption": f"{DX} SELECT doc_id, md5(text) AS digest FROM dx",
-    "x05_retention": "SELECT o_orderkey::VARCHAR AS path, (epoch(TIMESTAMP '1998-01-01') - epoch(o_orderdate::TIMESTAMP))::BIGINT // 86400 AS age_days FROM orders WHERE (epoch(TIMESTAMP '1998-01-01') - epoch(o_orderdate::TIMESTAMP))::BIGINT // 86400 > 30",
+    "x05_retention": "SELECT o_orderkey::VARCHAR AS path, ['cache', 'reports', 'originals'][o_orderkey % 3 + 1] AS scope, (epoch(TIMESTAMP '1998-01-01') - epoch(o_orderdate::TIMESTAMP))::BIGINT // 86400 AS age_days FROM orders WHERE o_orderkey % 3 < 2 AND (epoch(TIMESTAMP '1998-01-01') - epoch(o_orderdate::TIMESTAMP))::BIGINT // 86400 > 30",
 }

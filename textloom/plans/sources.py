@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from textloom.operators import evidence as E
 from textloom.operators import render as R
+from textloom.plans.audit import ORACLES as AUDIT
 from textloom.plans.audit import PX, pages_x
 from textloom.plans.base import DX, decorated, over_documents
+from textloom.plans.facts import _claims
 from textloom.sources import files as S
 from textloom.sources import markup as M
+from textloom.sources import store as ST
 
 _NAMES = ("txt", "md", "html", "pdf", "dat")
 _PATH = "'/in/' || doc_id || '.' || element_at(array('txt', 'md', 'html', 'pdf', 'dat'), cast(doc_id % 5 + 1 as int))"
@@ -16,6 +20,9 @@ _BODY = "CASE WHEN doc_id % 7 = 0 THEN '<!DOCTYPE html>' || text WHEN doc_id % 7
 _MD = "CASE WHEN doc_id % 4 = 0 THEN '# Title ' || doc_id % 3 || chr(10) || chr(10) ELSE '' END || replace(text, '. ', '.' || chr(10) || CASE doc_id % 3 WHEN 0 THEN '- ' WHEN 1 THEN '> ' ELSE '## ' END)"
 
 
+_FRONT = "CASE WHEN doc_id % 3 = 0 THEN '---' || chr(10) || 'title: T ' || doc_id || chr(10) || 'lang : ' || lang || chr(10) || '---' || chr(10) ELSE '' END || text || CASE WHEN doc_id % 2 = 0 THEN '<!-- note ' || doc_id || ' -->' ELSE '' END"
+
+
 def _files(spark, sf):
     return decorated(spark, sf).selectExpr(f"{_PATH} AS path", f"cast({_BODY} AS binary) AS content")
 
@@ -24,22 +31,50 @@ def _markdown(spark, sf):
     return M.markdown_nodes(decorated(spark, sf).selectExpr("doc_id", f"{_MD} AS text"))
 
 
+def _strict(spark, sf):
+    fine, bad = S.read_strict(_files(spark, sf))
+    return fine.select("path", F.lit("").alias("reason"), F.length("text").cast("long").alias("chars")).unionByName(bad.withColumn("chars", F.lit(None).cast("long")))
+
+
+def _public(f, *names):
+    """f over documents, their Markdown nodes, claims and citations."""
+    def run(spark, sf):
+        d = decorated(spark, sf)
+        return f(d.withColumn("title", F.col("source")), _markdown(spark, sf), _claims(d), E.citations(E.line_nodes(d))).select(*names)
+
+    return run
+
+
+def _clean_sink(spark, sf):
+    """Cleaned texts, written and read back."""
+    path = ST.new_path(spark, "clean")
+    ST.write_clean(decorated(spark, sf), path, (f"{sf}/documents.parquet",))
+    return spark.read.parquet(path).select("doc_id", F.md5("text").alias("digest"))
+
+
 QUERIES = {
+    "s01_strict": _strict,
     "s02_identity": lambda spark, sf: S.identity(_files(spark, sf)),
+    "s03_identity_findings": lambda spark, sf: S.identity_findings(_files(spark, sf)),
     "s04_bom": lambda spark, sf: _files(spark, sf).select("path", S.bom(F.col("content")).alias("bom")),
     "s05_decoded": lambda spark, sf: S.decoded(_files(spark, sf)).select("path", "status", F.length("text").cast("long").alias("chars")),
     "s08_markdown_nodes": lambda spark, sf: _markdown(spark, sf).groupBy("doc_id", "node_type").agg(F.count("*").alias("n")),
     "s09_html_nodes": lambda spark, sf: M.html_nodes(pages_x(spark, sf)),
     "s10_page_metadata": lambda spark, sf: M.page_metadata(pages_x(spark, sf)),
+    "s10_markdown_metadata": over_documents(lambda d: M.markdown_metadata(d.selectExpr("doc_id", f"{_FRONT} AS text"))),
     "s11_surface_text": lambda spark, sf: M.surface_text(M.html_nodes(pages_x(spark, sf))),
+    "s15_listing": lambda spark, sf: S.listed(spark, sf).select(F.element_at(F.split("path", "/"), -1).alias("name"), "length"),
+    "p08_page_findings": lambda spark, sf: M.page_findings(pages_x(spark, sf)).groupBy("doc_id", "code", "evidence").agg(F.count("*").alias("n")),
     "p11_tree_depth": lambda spark, sf: M.html_nodes(pages_x(spark, sf)).groupBy("doc_id").agg(F.count("*").alias("nodes"), F.max("depth").alias("depth")),
-    "g05_structure_signature": lambda spark, sf: M.structure_signature(M.html_nodes(pages_x(spark, sf))),
+    "g05_structure_signature": lambda spark, sf: M.structure_signature(M.html_nodes(pages_x(spark, sf))).withColumn("headings", F.array_join("headings", "|")),
+    "k01_clean_sink": _clean_sink,
     "k02_plain_text": over_documents(lambda d: d.select("doc_id", F.md5(R.plain_text(F.col("source"), F.array(F.col("text"), F.col("lang")))).alias("digest"))),
     "k03_markdown": over_documents(lambda d: d.select("doc_id", F.md5(R.markdown(F.col("source"), F.array(F.col("text"), F.col("lang")))).alias("digest"))),
     "k04_export_problems": over_documents(lambda d: R.export_problems(d.selectExpr("doc_id", "CASE doc_id % 4 WHEN 0 THEN '../x.md' WHEN 1 THEN 'x.txt' ELSE 'x.md' END AS path", "'md' AS format", "CASE WHEN doc_id % 6 = 0 THEN ' ' ELSE text END AS text"))),
-    "k05_projection": lambda spark, sf: R.projection(decorated(spark, sf), _markdown(spark, sf)),
-    "k06_notes": lambda spark, sf: R.notes(_markdown(spark, sf)),
-    "k06_slugs": over_documents(lambda d: d.select("doc_id", R.slug(F.substring("text", 1, 40)).alias("slug"))),
+    "k05_projection": _public(R.projection, "doc_id", "json"),
+    "k06_notes": lambda spark, sf: R.notes(_markdown(spark, sf)).drop("section"),
+    "k06_overviews": _public(R.overviews, "doc_id", "file_name", "content"),
+    "k06_slugs": over_documents(lambda d: d.select("doc_id", R.slug(F.col("text")).alias("slug"))),
 }
 
 _FILES = f"""{DX}, f AS (SELECT '/in/' || doc_id || '.' || ['txt', 'md', 'html', 'pdf', 'dat'][doc_id % 5 + 1] AS path, ['txt', 'md', 'html', 'pdf', 'dat'][doc_id % 5 + 1] AS extension, {_BODY} AS body FROM dx)"""
@@ -53,5 +88,14 @@ UNION ALL SELECT page_id, 'meta', 'author', 'A B' FROM px WHERE page_id % 4 = 1
     "k02_plain_text": f"{DX} SELECT doc_id, md5(source || chr(10) || chr(10) || text || chr(10) || chr(10) || lang || chr(10)) AS digest FROM dx",
     "k03_markdown": f"{DX} SELECT doc_id, md5('# ' || source || chr(10) || chr(10) || text || chr(10) || chr(10) || lang || chr(10)) AS digest FROM dx",
     "k04_export_problems": "SELECT doc_id, 'empty_document' AS problem FROM documents WHERE doc_id % 6 = 0 UNION ALL SELECT doc_id, 'unsafe_output_path' FROM documents WHERE doc_id % 4 = 0 UNION ALL SELECT doc_id, 'format_extension_mismatch' FROM documents WHERE doc_id % 4 = 1",
-    "k06_slugs": f"{DX} SELECT doc_id, coalesce(nullif(regexp_replace(regexp_replace(lower(text[1:40]), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'section') AS slug FROM dx",
+    "k06_slugs": f"{DX} SELECT doc_id, coalesce(nullif(regexp_replace(trim(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '-')[1:40], '-+$', ''), ''), 'untitled') AS slug FROM dx",
+    "s01_strict": f"{_FILES} SELECT path, CASE WHEN body = '' THEN 'empty' WHEN body LIKE '﻿%' THEN 'bom' ELSE '' END AS reason, CASE WHEN body <> '' AND body NOT LIKE '﻿%' THEN length(body) END AS chars FROM f",
+    "s03_identity_findings": f"{_ID}, x AS (SELECT *, 'extension=' || extension || ' magic=' || magic AS evidence FROM i) SELECT path, 'magic.mismatch' AS code, 'error' AS severity, evidence FROM x WHERE declared <> 'unknown' AND declared <> magic AND NOT (magic = 'txt' AND declared IN ('txt', 'markdown'))",
+    "s10_markdown_metadata": f"{DX} SELECT doc_id, 'front_matter' AS kind, 'title' AS key, 'T ' || doc_id AS value FROM dx WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 'front_matter', 'lang', lang FROM dx WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 'comment', 'comment', 'note ' || doc_id FROM dx WHERE doc_id % 2 = 0",
+    "k01_clean_sink": AUDIT["t01_scrub"].split(" AS digest,")[0] + " AS digest FROM b3",
+    "p08_page_findings": f"""{PX}, h AS (SELECT page_id, regexp_replace(html, '(?s)<!--.*?-->', '', 'g') AS html FROM px), a AS (SELECT page_id, html, unnest(regexp_extract_all(html, '(?i)<[a-z][^>]*>')) AS tag FROM h),
+v AS (SELECT page_id, lower(trim(coalesce(nullif(regexp_extract(x, '"([^"]*)"', 1), ''), regexp_extract(x, '=[ ]*([^ >]+)', 1)))) AS v FROM (SELECT page_id, unnest(regexp_extract_all(tag, '(?i)[ ](?:src|href)[ ]*=[ ]*(?:"[^"]*"|[^ ">]+)')) AS x FROM a)),
+f AS (SELECT page_id, 'active_content.html_script' AS code, 'html_script' AS evidence FROM a WHERE regexp_matches(tag, '(?i)^<script\\b') UNION ALL SELECT page_id, 'active_content.iframe', 'iframe' FROM a WHERE regexp_matches(tag, '(?i)^<iframe\\b') UNION ALL SELECT page_id, 'unsupported.feature', 'style_element' FROM a WHERE regexp_matches(tag, '(?i)^<style\\b')
+UNION ALL SELECT page_id, 'active_content.event_handler', 'html_event_handler' FROM (SELECT page_id, unnest(regexp_extract_all(tag, '(?i)[ ]on[a-z]+[ ]*=')) FROM a) UNION ALL SELECT page_id, 'active_content.javascript_link', 'javascript_link' FROM v WHERE starts_with(v, 'javascript:') UNION ALL SELECT page_id, 'active_content.data_uri', 'data_uri' FROM v WHERE starts_with(v, 'data:')
+UNION ALL SELECT page_id, 'external.remote_resource', coalesce(nullif(regexp_extract(v, '^([a-z][a-z0-9+.-]*://(?:[^/?#]*@)?)([^/?#:]+)', 1) || regexp_extract(v, '^([a-z][a-z0-9+.-]*://)(?:[^/?#]*@)?([^/?#:]+)', 2), ''), 'remote_resource') FROM v WHERE regexp_matches(v, '^(?:https?:)?//')) SELECT page_id AS doc_id, code, evidence, count(*) AS n FROM f GROUP BY ALL""",
 }

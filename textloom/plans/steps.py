@@ -6,29 +6,71 @@ from pyspark.sql import functions as F
 
 from textloom.functions import lexicons as L
 from textloom.operators import evidence as E
+from textloom.operators import lexical as X
+from textloom.operators import profiles as P
 from textloom.operators import review as R
 from textloom.operators import workflow as W
-from textloom.plans.base import DX, over_documents, paragraphs, rounded, sentences, table, words
-from textloom.plans.facts import _KEPT, _claims
-from textloom.plans.lexis import _changes
+from textloom.plans.base import DX, decorated, over_documents, paragraphs, rounded, sentences, table, words
+from textloom.plans.facts import _ENT, _KEPT, _claims
+from textloom.plans.lexis import _CTX, _PROF
+from textloom.plans.lexis import ORACLES as LEXIS
+from textloom.plans.reviewing import voices
 from textloom.plans.style import _CONV, _DASH, _QUOTE
+from textloom.plans.style import ORACLES as STYLE
 from textloom.streaming.logs import window_drift, window_means
 
 
-def _props(spark, sf):
-    e = table(spark, sf, "events")
-    props = F.create_map(F.when(F.col("event_id") % 5 == 0, "prompt_id").otherwise("kind"), F.when(F.col("event_id") % 7 == 0, "two words").otherwise(F.col("event_type")))
-    return e.select("event_id", W.text_free(props).alias("text_free"))
+#: Payloads of events as JSON: telling names, blanks and long strings at several depths, and some without.
+_JSON = """CASE event_id % 8 WHEN 0 THEN '{"score": 0.5, "parts": [1, 2, {"kind": "a b"}]}' WHEN 1 THEN '{"kind": "' || event_type || '", "n": ' || user_id || '}' WHEN 2 THEN '{"a": {"Prompt_ID": 3}}' WHEN 3 THEN '["' || repeat('x', 60 + CAST(user_id % 9 AS INT)) || '"]'
+WHEN 4 THEN '{"deep": [{"deeper": {"reply_message": null}}]}' WHEN 5 THEN '{"k": "one\\\\ttwo"}' WHEN 6 THEN '[true, null, "ok", "' || event_type || '"]' ELSE '{"n": "' || event_id || '"}' END"""
+
+
+def _text_free(spark, sf):
+    return table(spark, sf, "events").selectExpr("event_id", f"{_JSON} AS json").select("event_id", W.text_free(F.col("json")).alias("text_free"))
 
 
 def _other(d):
     return d.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(" — I can't."))).otherwise(F.col("text")))
 
 
+def _line_nodes(d):
+    """Nodes as the text importer makes them, with Markdown headings told apart."""
+    return E.line_nodes(d).withColumn("node_type", F.when(F.col("text").rlike(r"^ {0,3}#{1,6}\s"), "heading").otherwise("paragraph"))
+
+
+def _titled(d):
+    """Every fourth text begins with a heading that has a word with a rule."""
+    return d.withColumn("text", F.when(F.col("doc_id") % 4 == 3, F.concat(F.lit("# How to utilize it\n"), F.col("text"))).otherwise(F.col("text")))
+
+
+def _proposed(spark, sf):
+    d = _titled(decorated(spark, sf))
+    spans = E.protected_spans(E.span_candidates(E.line_nodes(d)))
+    return d, spans, X.propose(d, X.rules(spark), spans)
+
+
 def _safe(spark, sf):
-    d, _, c = _changes(spark, sf)
-    n = E.line_nodes(d).withColumn("node_type", F.when(F.col("node_no") % 2 == 0, "paragraph").otherwise("heading"))
-    return W.node_safe(c.select("doc_id", "offset", "length"), n)
+    d, _, c = _proposed(spark, sf)
+    return W.node_safe(c.select("doc_id", "offset", "length"), _line_nodes(d))
+
+
+def _final(spark, sf):
+    """The gates of a review that accepts all changes but those of some documents, on bases that are stale for others."""
+    d, spans, c = _proposed(spark, sf)
+    c = c.where("status IN ('safe', 'proposed')")
+    decisions = c.select("doc_id", "offset", (F.col("doc_id") % 9 != 0).alias("accepted"))
+    decisions = decisions.unionByName(decisions.where("doc_id % 10 = 0").withColumn("offset", F.col("offset") + 1))
+    bases = d.select("doc_id", "source", "text", F.expr("CASE WHEN doc_id % 14 = 0 THEN 1 ELSE 2 END").alias("base_token"))
+    revisions = d.select(F.col("doc_id").alias("document_id"), F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("token")).withColumn("status", F.when(F.col("token") < 3, "accepted").otherwise("proposed"))
+    return W.finalized(bases, c, decisions, _line_nodes(d), spans, revisions)
+
+
+def _capsules(d):
+    nodes = E.line_nodes(d).withColumn("node_type", F.lit("paragraph"))
+    spans = E.protected_spans(E.span_candidates(nodes))
+    claims = E.claims(spans)
+    rows = W.capsules(R.block_contexts(nodes), claims, spans, E.entities(claims, E.citations(nodes)), P.invariants(d), P.tendencies(d))
+    return rows.select("doc_id", "node_no", F.md5("claims").alias("claims"), "n_claims", F.md5("spans").alias("spans"), F.md5("entities").alias("entities"), F.md5("open_loops").alias("open_loops"), F.md5("invariants").alias("invariants"), "prohibited", "untrusted")
 
 
 def _manifest(spark, sf):
@@ -38,35 +80,51 @@ def _manifest(spark, sf):
 
 
 QUERIES = {
-    "a21_invariants": over_documents(W.invariants),
-    "j11_violations": over_documents(lambda d: W.invariant_violations(W.invariants(_other(d)), W.invariants(d))),
-    "w07_capsules": over_documents(lambda d: W.capsules(R.block_contexts(E.line_nodes(d).withColumn("node_type", F.lit("paragraph"))), _claims(d)).select("doc_id", "node_no", F.md5("claims").alias("claims"), "n_claims")),
+    "a21_invariants": over_documents(P.invariants),
+    "j11_violations": over_documents(lambda d: P.invariant_violations(P.invariants(_other(d)), P.invariants(d))),
+    "j11_profile_violations": over_documents(lambda d: P.invariant_violations(P.invariants(d).join(d.select("doc_id", "source"), "doc_id"), P.profile_invariants(P.profiles(voices(d))), ("source",))),
+    "w07_capsules": over_documents(_capsules),
     "l12_node_safe": _safe,
-    "l14_gates": over_documents(lambda d: W.gates(d, claims=_claims(d), short=d.where("length(text) < 3000"))),
+    "l14_gates": _final,
     "k07_ingest_counts": over_documents(lambda d: W.ingest_counts(d, d.where("doc_id % 4 = 0"), claims=_claims(d), citations=E.citations(E.line_nodes(d)))),
     "s12_manifest": _manifest,
-    "p14_text_free": _props,
+    "p14_text_free": _text_free,
     "e13_lanes": over_documents(lambda d: d.select("doc_id", (F.col("doc_id") % 2 == 0).alias("source_lane")).join(_claims(d.where("doc_id % 2 = 0")).groupBy("doc_id").agg(F.count("*").alias("n")), "doc_id", "left").groupBy("source_lane").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("claims"))),
     "x04_window_drift": lambda spark, sf: rounded(window_drift(window_means(table(spark, sf, "events"))).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "mean_score", "n", "delta", "drifted")),
 }
 
-_FMT = "CASE WHEN round({0}, 1) = floor(round({0}, 1)) THEN floor(round({0}, 1))::BIGINT::VARCHAR ELSE printf('%.1f', round({0}, 1)) END"
-
-
-_BASE = f"""{_CONV}, sl AS (SELECT doc_id, len({words('x')}) AS n FROM (SELECT doc_id, unnest({sentences('text')}) AS x FROM dx)), sq AS (SELECT doc_id, quantile_cont(n::DOUBLE, 0.1) AS a, quantile_cont(n::DOUBLE, 0.9) AS b FROM sl GROUP BY doc_id),
-pl AS (SELECT doc_id, len({sentences('x')}) AS n FROM (SELECT doc_id, unnest({paragraphs('text')}) AS x FROM dx)), pq AS (SELECT doc_id, min(n)::DOUBLE AS a, max(n)::DOUBLE AS b FROM pl GROUP BY doc_id),
-br AS (SELECT doc_id, len(regexp_extract_all(text, '\\[\\d{{1,4}}(?:,\\s*\\d{{1,4}})*\\]')) AS k, len(regexp_extract_all(text, '\\([A-Z][A-Za-zÀ-ſ'' -]+,\\s*\\d{{4}}[a-z]?\\)')) AS a FROM dx)"""
-_PERSON = " || '|' || ".join(f"'{k}=' || CASE WHEN len(list_filter(w, lambda x: list_contains({L.PRONOUNS[k]!r}, x))) > 0 THEN 'present' ELSE 'absent' END" for k in sorted(L.PRONOUNS))
+_REAL = lambda x: f"regexp_replace(printf('%.1f', {x}), '[.]0$', '')"
+_BASE = f"""{_CONV}, sl AS (SELECT doc_id, len({words('x')}) AS n FROM (SELECT doc_id, unnest({sentences('text')}) AS x FROM dx)), sq AS (SELECT doc_id, count(*) AS k, quantile_cont(n::DOUBLE, 0.1) AS a, quantile_cont(n::DOUBLE, 0.9) AS b FROM sl GROUP BY doc_id),
+pl AS (SELECT doc_id, len({sentences('x')}) AS n FROM (SELECT doc_id, unnest({paragraphs('text')}) AS x FROM dx)), pq AS (SELECT doc_id, count(*) AS k, min(n) AS a, max(n) AS b FROM pl GROUP BY doc_id),
+br AS (SELECT doc_id, len(regexp_extract_all(text, '\\[\\d+(?:,\\s*\\d+)*\\]')) AS k, len(regexp_extract_all(text, '\\([A-Z][A-Za-z'' -]+,\\s*\\d{{4}}[a-z]?\\)')) AS a FROM dx), te AS ({STYLE['a22_terminology']})"""
+_held = lambda k: f"len(list_filter(w, lambda x: list_contains({L.PRONOUNS[k]!r}, x)))"
+_PERSON = " || '|' || ".join(f"'{k}=' || CASE WHEN {_held(k)} > 0 THEN 'present' ELSE 'absent' END" for k in ("first_plural", "first_singular", "second_person", "third_person"))
+_PERSONS = " || ',' || ".join(f"'{k}=' || {_held(k)}" for k in ("first_plural", "first_singular", "second_person", "third_person"))
+_POLICY = "CASE WHEN st THEN 'contractions_present' ELSE 'no_contractions' END"
+_INV = f"""{_BASE}, iv AS (SELECT doc_id, 'quotation_convention' AS kind, {_QUOTE} AS value, 'pass' AS status, {_QUOTE} AS evidence FROM c UNION ALL SELECT doc_id, 'dash_type', {_DASH}, 'pass', {_DASH} FROM c UNION ALL SELECT doc_id, 'contraction_policy', {_POLICY}, 'pass', printf('%.4f', coalesce(len(list_filter(w, lambda x: contains(x, chr(39)))) / nullif(len(w), 0), 0)) FROM c UNION ALL SELECT doc_id, 'person_policy', {_PERSON}, 'pass', {_PERSONS} FROM c
+UNION ALL SELECT doc_id, 'citation_presentation', CASE WHEN k + a > 0 THEN 'bracket_numbers=' || k || ',author_year=' || a ELSE 'none' END, 'pass', 'bracket_numbers=' || k || ',author_year=' || a FROM br UNION ALL SELECT dx.doc_id, 'sentence_percentile_range', coalesce({_REAL('a')} || '..' || {_REAL('b')}, 'none'), 'pass', 'sentences=' || coalesce(k, 0) FROM dx LEFT JOIN sq ON dx.doc_id = sq.doc_id
+UNION ALL SELECT dx.doc_id, 'paragraph_range', coalesce(a || '..' || b, 'none'), 'pass', 'paragraphs=' || coalesce(k, 0) FROM dx LEFT JOIN pq ON dx.doc_id = pq.doc_id UNION ALL SELECT doc_id, 'heading_capitalization', '', 'unknown', 'not_extractable_from_plain_text' FROM dx UNION ALL SELECT doc_id, 'prohibited_phrases', '', 'pass', 'none_configured' FROM dx
+UNION ALL SELECT dx.doc_id, 'preferred_terminology', coalesce(terms, ''), 'pass', 'counts=' || coalesce(counts, '0') FROM dx LEFT JOIN te ON dx.doc_id = te.doc_id)"""
+_OTHER = _INV.replace("FROM documents)", "FROM documents), dy AS (SELECT doc_id, source, lang, CASE WHEN doc_id % 3 = 0 THEN text || ' — I can''t.' ELSE text END AS text FROM dx)", 1).replace("AS w FROM dx)", "AS w FROM dy)", 1) + " SELECT doc_id, kind, value FROM iv"
+_KINDS = "('dash_type', 'contraction_policy', 'person_policy', 'quotation_convention')"
+_TITLED = "CASE WHEN doc_id % 4 = 3 THEN '# How to utilize it' || chr(10) || text ELSE text END"
+_TX = DX.replace("WITH dx AS (", "WITH d0 AS (") + f", dx AS (SELECT doc_id, source, lang, {_TITLED} AS text FROM d0)"
+_TOK = _CTX.replace(DX, _TX, 1)
+TENDENCIES = LEXIS["a23_tendencies"]
 ORACLES = {
-    "a21_invariants": f"""{_BASE} SELECT doc_id, 'quotation_convention' AS kind, {_QUOTE} AS value, 'pass' AS status FROM c UNION ALL SELECT doc_id, 'dash_type', {_DASH}, 'pass' FROM c UNION ALL SELECT doc_id, 'contraction_policy', CASE WHEN st THEN 'contractions_present' ELSE 'no_contractions' END, 'pass' FROM c UNION ALL SELECT doc_id, 'person_policy', {_PERSON}, 'pass' FROM c
-UNION ALL SELECT doc_id, 'citation_presentation', CASE WHEN k + a > 0 THEN 'bracket_numbers=' || k || ',author_year=' || a ELSE 'none' END, 'pass' FROM br UNION ALL SELECT dx.doc_id, 'sentence_percentile_range', coalesce({_FMT.format('a')} || '..' || {_FMT.format('b')}, 'none'), 'pass' FROM dx LEFT JOIN sq ON dx.doc_id = sq.doc_id
-UNION ALL SELECT dx.doc_id, 'paragraph_range', coalesce({_FMT.format('a')} || '..' || {_FMT.format('b')}, 'none'), 'pass' FROM dx LEFT JOIN pq ON dx.doc_id = pq.doc_id UNION ALL SELECT doc_id, 'heading_capitalization', '', 'unknown' FROM dx UNION ALL SELECT doc_id, 'prohibited_phrases', '', 'pass' FROM dx""",
-    "w07_capsules": f"""{_KEPT}, nn AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS node_no FROM n), cc AS (SELECT doc_id, string_agg(proposition, ' | ' ORDER BY claim_no) AS claims, count(*) AS k FROM cl WHERE claim_no <= 50 GROUP BY doc_id)
-SELECT nn.doc_id, node_no::INT AS node_no, md5(coalesce(claims, '')) AS claims, coalesce(k, 0) AS n_claims FROM nn LEFT JOIN cc ON nn.doc_id = cc.doc_id""",
-    "l14_gates": f"{_KEPT} SELECT doc_id, 'claims' AS gate, doc_id IN (SELECT doc_id FROM cl) AS passed FROM dx UNION ALL SELECT doc_id, 'short', length(text) < 3000 FROM dx",
+    "a21_invariants": f"{_INV} SELECT * FROM iv",
+    "j11_violations": f"WITH a AS ({_OTHER}), b AS ({_INV} SELECT doc_id, kind, value FROM iv) SELECT a.doc_id, a.kind, b.value AS expected, a.value AS found FROM a JOIN b ON a.doc_id = b.doc_id AND a.kind = b.kind WHERE a.value <> b.value AND a.kind IN {_KINDS}",
+    "j11_profile_violations": f"WITH a AS ({_INV} SELECT doc_id, kind, value FROM iv), p AS ({_PROF} SELECT source, unnest(['dash_type', 'contraction_policy', 'person_policy', 'quotation_convention']) AS kind, unnest([dash_type, contraction_policy, person_policy, quotation_convention]) AS value FROM prof) SELECT d.source, a.doc_id, a.kind, p.value AS expected, a.value AS found FROM a JOIN documents d ON d.doc_id = a.doc_id JOIN p ON p.source = d.source AND p.kind = a.kind WHERE a.value <> p.value",
+    "w07_capsules": f"""{_ENT}, nn AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS node_no FROM n), cc AS (SELECT doc_id, string_agg(proposition, ' | ' ORDER BY claim_no) AS claims, count(*) AS k FROM cl WHERE claim_no <= 50 GROUP BY doc_id), ca AS (SELECT doc_id, string_agg(proposition, ' | ' ORDER BY claim_no) AS x FROM cl GROUP BY doc_id),
+cs AS (SELECT doc_id, string_agg(kind || ':' || text, ' | ' ORDER BY span_no) AS x FROM sp WHERE span_no <= 50 GROUP BY doc_id), ce AS (SELECT doc_id, string_agg(name, ' | ' ORDER BY entity_no) AS x FROM en WHERE entity_no <= 50 GROUP BY doc_id), ci AS (SELECT doc_id, string_agg(kind || '=' || value, ' | ' ORDER BY kind) AS x FROM (SELECT * FROM iv UNION ALL SELECT doc_id, 'tendency_' || name, value, strength, '' FROM td) GROUP BY doc_id)
+SELECT nn.doc_id, node_no::INT AS node_no, md5(coalesce(claims, '')) AS claims, coalesce(k, 0) AS n_claims, md5(coalesce(cs.x, '')) AS spans, md5(coalesce(ce.x, '')) AS entities, md5(coalesce(ca.x, '')) AS open_loops, md5(coalesce(ci.x, '')) AS invariants, '' AS prohibited, '' AS untrusted FROM nn LEFT JOIN cc ON nn.doc_id = cc.doc_id LEFT JOIN ca ON nn.doc_id = ca.doc_id LEFT JOIN cs ON nn.doc_id = cs.doc_id LEFT JOIN ce ON nn.doc_id = ce.doc_id LEFT JOIN ci ON nn.doc_id = ci.doc_id""".replace(", nn AS (", f", iv AS ({_INV} SELECT * FROM iv), td AS ({TENDENCIES}), nn AS (", 1),
+    "l12_node_safe": f"""{_TOK} SELECT ctx.doc_id, "offset", 7::BIGINT AS length, NOT (ctx.doc_id % 4 = 3 AND "offset" < 20) AS safe FROM ctx WHERE token = 'utilize'""",
+    "l14_gates": f"""{_TOK}, uu AS (SELECT doc_id, bool_or(doc_id % 10 = 0) AS odd, bool_or(doc_id % 4 = 3 AND "offset" < 20 AND doc_id % 9 <> 0) AS head FROM ctx WHERE token = 'utilize' GROUP BY doc_id), g AS (SELECT dx.doc_id, coalesce(odd, false) AS odd, coalesce(head, false) AS head, dx.doc_id % 14 = 0 AS stale FROM dx LEFT JOIN uu ON dx.doc_id = uu.doc_id)
+SELECT doc_id, 'review' AS gate, NOT odd AS passed FROM g UNION ALL SELECT doc_id, 'node_safe', NOT head FROM g UNION ALL SELECT doc_id, 'rebase', true FROM g UNION ALL SELECT doc_id, 'facts', true FROM g UNION ALL SELECT doc_id, 'structure', NOT head FROM g UNION ALL SELECT doc_id, 'revision', NOT stale FROM g UNION ALL SELECT doc_id, 'accepted', NOT (odd OR head OR stale) FROM g""",
     "k07_ingest_counts": f"{_KEPT} SELECT 'documents' AS \"table\", count(*) AS n FROM dx WHERE doc_id % 4 <> 0 UNION ALL SELECT 'claims', count(*) FROM cl WHERE doc_id % 4 <> 0 UNION ALL SELECT 'citations', count(*) FROM cites WHERE doc_id % 4 <> 0",
     "s12_manifest": "WITH s AS (SELECT 's' || (doc_id - CASE WHEN doc_id % 50 = 1 THEN 1 ELSE 0 END) AS sample_id, CASE WHEN doc_id % 20 = 0 THEN 'odd' ELSE 'human' END AS grp, doc_id FROM documents) SELECT sample_id, 'group' AS problem FROM s WHERE grp = 'odd' UNION ALL SELECT sample_id, 'repeated' FROM s GROUP BY 1 HAVING count(*) > 1 UNION ALL SELECT sample_id, 'missing' FROM s WHERE doc_id % 30 = 3",
-    "p14_text_free": "SELECT event_id, event_id % 5 <> 0 AND event_id % 7 <> 0 AS text_free FROM events",
+    "p14_text_free": f"""WITH j AS (SELECT event_id, ({_JSON.replace("CAST(user_id % 9 AS INT)", "(user_id % 9)").replace(chr(92) * 2, chr(92))})::JSON AS v FROM events), t AS (SELECT event_id, x.key, x.type, x.atom FROM j, json_tree(j.v) x)
+SELECT j.event_id, NOT EXISTS (SELECT 1 FROM t WHERE t.event_id = j.event_id AND (regexp_matches(lower(coalesce(t.key, '')), 'text|content|prompt|input|source|style|output|response|message') OR (t.type = 'VARCHAR' AND (length(t.atom->>'$') > 64 OR regexp_matches(t.atom->>'$', '\\s'))))) AS text_free FROM j""",
     "e13_lanes": f"{_KEPT} SELECT true AS source_lane, count(*) AS claims FROM cl WHERE doc_id % 2 = 0 UNION ALL SELECT false, 0",
     "x04_window_drift": "WITH m AS (SELECT strftime(ts, '%Y-%m-%d') AS day, avg(value / 500) AS mean_score, count(*) AS n FROM events GROUP BY 1), l AS (SELECT *, abs(mean_score - lag(mean_score) OVER (ORDER BY day)) AS delta FROM m) SELECT day, round(mean_score, 6) AS mean_score, n, round(delta, 6) AS delta, delta > 0.02 AS drifted FROM l WHERE delta IS NOT NULL",
 }

@@ -27,6 +27,8 @@ QUERIES = {
     "a03_a07_syntax": over_documents(M.syntax),
     "a04_lexical": over_documents(M.lexical),
     "a04_hapax": over_documents(M.hapax),
+    "a04_function_words": over_documents(M.function_words),
+    "a04_contractions": over_documents(M.contractions),
     "a05_mattr": over_documents(M.mattr),
     "a06_pronouns": over_documents(M.pronouns),
     "a07_clauses": over_documents(M.clause_lengths),
@@ -87,12 +89,14 @@ r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first) A
     "a22_terminology": f"""{_PHRASES}, u AS (SELECT doc_id, unnest(b) AS phrase, unnest(range(len(b))) AS k FROM g), c AS (SELECT doc_id, phrase, count(*) AS n, min(k) AS first FROM u GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first) AS rank FROM c) SELECT doc_id, string_agg(phrase, '|' ORDER BY rank) AS terms, string_agg(n::VARCHAR, ',' ORDER BY rank) AS counts FROM r WHERE rank <= 3 GROUP BY doc_id""",
 }
-_BUNDLE = f"""{_CONV}, s0 AS (SELECT doc_id, {sentences('text')} AS s FROM dx), l AS (SELECT doc_id, len({words('x')}) AS n_w FROM (SELECT doc_id, unnest(s) AS x FROM s0)),
-f AS (SELECT doc_id, avg(n_w) AS m, stddev_samp(n_w) AS d, quantile_cont(n_w::DOUBLE, 0.1) AS p10, quantile_cont(n_w::DOUBLE, 0.9) AS p90, count(*) AS k FROM l GROUP BY doc_id)"""
-ORACLES["a17_bundle"] = f"""{_BUNDLE} SELECT c.doc_id, len(w) AS word_count, round(coalesce(len(list_distinct(w)) / nullif(len(w), 0), 0), 6) AS type_token_ratio, round(coalesce({_in(L.FUNCTION_WORDS)} / nullif(len(w), 0), 0), 6) AS function_word_ratio,
-round(coalesce(len(list_filter(w, lambda x: contains(x, ''''))) / nullif(len(w), 0), 0), 6) AS contraction_frequency, round(coalesce(m, 0), 6) AS sentence_mean, round(coalesce(d, 0), 6) AS sentence_stdev, round(coalesce(p10, 0), 6) AS sentence_p10, round(coalesce(p90, 0), 6) AS sentence_p90, coalesce(k, 0) AS sentence_count,
-round(({' + '.join(occurs('text', x) for x in L.PUNCTUATION)}) / greatest(length(text), 1) * 100, 6) AS punctuation_per_100_chars, round(coalesce(len(list_filter(s, lambda x: contains(x, '?'))) / nullif(len(s), 0), 0), 6) AS question_frequency,
-{_DASH} AS dash, {_QUOTE} AS quote, round({_FORMALITY}, 6) AS formality FROM c JOIN s0 ON c.doc_id = s0.doc_id LEFT JOIN f ON c.doc_id = f.doc_id"""
+ORACLES["a04_function_words"] = f"{_T} SELECT doc_id, word, count(*) AS n FROM t WHERE list_contains({lst(L.FUNCTION_WORDS)}, word) GROUP BY ALL"
+ORACLES["a04_contractions"] = f"{_T} SELECT doc_id, word, count(*) AS n FROM t WHERE contains(word, chr(39)) GROUP BY ALL"
+_FIGURES = ("n", "minimum", "p10", "p25", "median", "p75", "p90", "maximum", "mean", "stdev")
+_spread = lambda of, name: ", ".join(f"{of}.{f} AS {name}_{f}" for f in _FIGURES)
+ORACLES["a17_bundle"] = f"""WITH lx AS ({ORACLES['a04_lexical']}), hx AS ({ORACLES['a04_hapax']}), mt AS ({ORACLES['a05_mattr']}), pn AS ({ORACLES['a06_pronouns']}), sy AS ({ORACLES['a03_a07_syntax']}), cs AS ({ORACLES['a07_clauses']}), ps AS ({ORACLES['a08_passives']}), rh AS ({ORACLES['a09_rhythm']}),
+cv AS ({ORACLES['a13_conventions']}), cp AS ({ORACLES['a14_capitalization']}), qu AS ({ORACLES['a15_questions']}), rg AS ({ORACLES['a16_register']}), mk AS ({DX} SELECT doc_id, round(({' + '.join(occurs('text', x) for x in L.PUNCTUATION)}) / greatest(length(text), 1) * 100, 6) AS punctuation_per_100_chars FROM dx)
+SELECT lx.*, coalesce(hapax_ratio, 0) AS hapax_ratio, coalesce(mattr, 0) AS mattr, pn.* EXCLUDE doc_id, sy.fragments, sy.run_ons, passive_markers, punctuation_per_100_chars, dash, quote, apostrophe, initial_ratio, all_caps_ratio, title_case_ratio, question_count, exclamation_count, question_frequency, exclamation_frequency, formality, hedges, boosters, technical_ratio, {_spread('sy', 'sentence')}, {_spread('cs', 'clause')}, {_spread('rh', 'paragraph')}
+FROM lx LEFT JOIN hx ON hx.doc_id = lx.doc_id LEFT JOIN mt ON mt.doc_id = lx.doc_id JOIN pn ON pn.doc_id = lx.doc_id JOIN sy ON sy.doc_id = lx.doc_id JOIN cs ON cs.doc_id = lx.doc_id JOIN ps ON ps.doc_id = lx.doc_id JOIN rh ON rh.doc_id = lx.doc_id JOIN cv ON cv.doc_id = lx.doc_id JOIN cp ON cp.doc_id = lx.doc_id JOIN qu ON qu.doc_id = lx.doc_id JOIN rg ON rg.doc_id = lx.doc_id JOIN mk ON mk.doc_id = lx.doc_id"""
 _MARKS = {"comma": ",", "period": ".", "question": "?", "exclamation": "!", "semicolon": ";", "colon": ":", "dash": "—", "quote": '"', "apostrophe": "'", "parenthesis": "()"}
 ORACLES["a18_fingerprint"] = f"""{_W}, l AS (SELECT doc_id, len({words('x')}) AS n FROM (SELECT doc_id, unnest({sentences('text')}) AS x FROM dx)), fs AS (SELECT doc_id, avg(n) AS m, coalesce(var_samp(n), 0) AS v, count(*) AS k FROM l GROUP BY doc_id),
 pl AS (SELECT doc_id, len({sentences('x')}) AS n FROM (SELECT doc_id, unnest({paragraphs('text')}) AS x FROM dx)), fp AS (SELECT doc_id, avg(n) AS m, count(*) AS k FROM pl GROUP BY doc_id)

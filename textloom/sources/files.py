@@ -52,3 +52,29 @@ def decoded(files: DataFrame) -> DataFrame:
     name, raw = bom(F.col("content")), F.col("content").cast("string")
     status = F.when(F.octet_length("content") == 0, "empty").when(name.isin("", "utf-8") == F.lit(False), "unsupported_encoding").when(~F.is_valid_utf8(raw), "invalid_utf8").otherwise("ok")
     return files.select("path", status.alias("status"), F.when(status == "ok", F.regexp_replace(F.try_validate_utf8(raw), "^﻿", "")).alias("text"))
+
+
+def read_strict(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Texts that may be read strictly (path, text), and the others with why not (path, reason): a mark, bad bytes, empty."""
+    rows = decoded(files).join(files.select("path", bom(F.col("content")).alias("bom")), "path")
+    reason = F.when(F.col("status") == "empty", "empty").when(F.col("bom") != "", "bom").when(F.col("status") != "ok", F.col("status"))
+    rows = rows.withColumn("reason", reason)
+    return rows.where("reason IS NULL").select("path", "text"), rows.where("reason IS NOT NULL").select("path", "reason")
+
+
+def identity_findings(files: DataFrame) -> DataFrame:
+    """path, code, severity, evidence of files whose bytes don't fit their name, aren't text, or are of no supported format."""
+    container = _starts(F.col("content"), "504B0304", "1F8B", "D0CF11E0A1B11AE1")
+    rows = identity(files).join(files.select("path", container.alias("container")), "path")
+    evidence = F.concat(F.lit("extension="), "extension", F.lit(" magic="), "magic")
+    one = lambda when, code: F.when(when, F.struct(F.lit(code).alias("code"), F.lit("error").alias("severity"), evidence.alias("evidence")))
+    found = F.array_compact(F.array(
+        one(F.col("mismatch"), "magic.mismatch"), one(~F.col("mismatch") & (F.col("magic") == "unknown") & ~F.col("container"), "encoding.binary"),
+        one(F.col("route").isin("legacy_doc"), "unsupported.format"),
+    ))
+    return rows.select("path", F.inline(found))
+
+
+def listed(spark: SparkSession, path: str) -> DataFrame:
+    """path, length, modified of every file under a folder, without reading contents."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", F.col("modificationTime").alias("modified"))
