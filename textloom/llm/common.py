@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.sources.store import materialize, scratch, shared_dir, written  # noqa: F401  (the operators take them from here)
+
 
 # Workers live on after a task: buffers go back to the system instead of staying in Arrow's own pool.
 pa.set_memory_pool(pa.system_memory_pool())
@@ -20,33 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names, which all executors share.
-
-    Where the session names none, a folder is made for it on a local master (tests on one machine); on a cluster that
-    is an error, as executors would not see each other's files.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
-        found = spark.sparkContext.getCheckpointDir()
-    return found if "://" in found or found.startswith("file:") else f"file://{found}"
-
-
-def written(df: DataFrame, name: str) -> str:
-    """Writes df as a table in the shared folder and returns its path."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return path
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and returns what reads it: lineage ends there."""
-    return df.sparkSession.read.schema(df.schema).parquet(written(df, name))
-
-
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores: as it is, or dealt anew where a small input has fewer partitions than there are cores."""
     cores = df.sparkSession.sparkContext.defaultParallelism

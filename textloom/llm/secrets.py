@@ -66,60 +66,89 @@ def _pairs(xs: Column, f) -> Column:
     return F.zip_with(F.slice(xs, 1, F.greatest(F.size(xs) - 1, F.lit(0))), F.slice(xs, 2, F.size(xs)), f)
 
 
-def _measured(runs: DataFrame) -> DataFrame:
-    """runs (with found) and len, size of the inferred alphabet, places in it, and changes of character class."""
-    bare = F.translate(F.rtrim(F.col("found"), F.lit("=")), "-_", "+/")
+def _alphabet(bare: Column) -> Column:
+    """The letters of the encoding that a run without padding shows, and the chances that two and three are of one class."""
 
     def known(letters: str) -> Column:
-        """The alphabet with the chances that two and three letters are of one class."""
         share = [sum(map(f, letters)) / len(letters) for f in (str.isdigit, str.islower, str.isupper, lambda c: not c.isalnum())]
         return F.struct(F.lit(letters).alias("letters"), F.lit(sum(x**2 for x in share)).alias("two"), F.lit(sum(x**3 for x in share)).alias("three"))
 
-    alphabet = known(ENCODINGS[-1][1])
+    out = known(ENCODINGS[-1][1])
     for pattern, letters in reversed(ENCODINGS[:-1]):
-        alphabet = F.when(F.col("bare").rlike(pattern), known(letters)).otherwise(alphabet)
-    runs = runs.withColumn("bare", bare).withColumn("alphabet", alphabet)
-    runs = runs.withColumn("chars", F.regexp_extract_all("bare", F.lit("."), F.lit(0)))
+        out = F.when(bare.rlike(pattern), known(letters)).otherwise(out)
+    return out
+
+
+def _measured(found: Column) -> Column:
+    """Of a run: its length, the size of its alphabet, places in it and their mean, chances and changes of class.
+
+    Each step binds what the next one uses more than once: inside a lambda nothing is shared by itself.
+    """
     kind = lambda c: F.when(c.between("0", "9"), 1).when(c.between("a", "z"), 2).when(c.between("A", "Z"), 3).otherwise(4)
-    changes = F.size(F.filter(_pairs(F.transform("chars", kind), lambda a, b: a != b), lambda x: x))
-    codes = F.transform("chars", lambda c: F.instr(F.col("alphabet.letters"), c).cast("double"))
-    # the mean is a column of its own: inside a lambda it would be worked out for every element
-    return runs.select(
-        "found", F.length("bare").cast("double").alias("len"), F.length("alphabet.letters").cast("double").alias("size"),
-        F.col("alphabet.two").alias("two"), F.col("alphabet.three").alias("three"), codes.alias("codes"), changes.cast("double").alias("changes"),
-    ).withColumn("mean", F.aggregate("codes", F.lit(0.0), lambda acc, x: acc + x) / F.col("len"))
+
+    def placed(x: Column) -> Column:
+        codes = F.transform(x["chars"], lambda c: F.instr(x["alphabet"]["letters"], c).cast("double"))
+        changes = F.size(F.filter(_pairs(F.transform(x["chars"], kind), lambda a, b: a != b), lambda y: y))
+        return F.struct(
+            F.size(x["chars"]).cast("double").alias("n"), F.length(x["alphabet"]["letters"]).cast("double").alias("size"), x["alphabet"]["two"].alias("two"), x["alphabet"]["three"].alias("three"),
+            codes.alias("codes"), changes.cast("double").alias("changes"),
+        )
+
+    def averaged(x: Column) -> Column:
+        mean = F.aggregate(x["codes"], F.lit(0.0), lambda acc, c: acc + c) / x["n"]
+        return T.bound(mean, lambda m: F.struct(*[x[c].alias(c) for c in ("n", "size", "two", "three", "codes", "changes")], m.alias("mean"), F.transform(x["codes"], lambda c: c > m).alias("above")))
+
+    bare = F.translate(F.rtrim(found, F.lit("=")), "-_", "+/")
+    parts = T.bound(bare, lambda b: F.struct(F.regexp_extract_all(b, F.lit("."), F.lit(0)).alias("chars"), _alphabet(b).alias("alphabet")))
+    return T.bound(T.bound(parts, placed), averaged)
 
 
-def _p_values() -> dict[str, Column]:
-    """The battery's p-values of a run, from what _measured() made of it."""
-    codes, n, size = F.col("codes"), F.col("len"), F.col("size")
-    total = lambda xs, f: F.aggregate(xs, F.lit(0.0), lambda acc, x: acc + f(x))
+def _p_value(x: Column) -> Column:
+    """The battery's p-value of a run, from what _measured() made of it: the least of four, corrected for their number."""
+    codes, n, size, mean, above = x["codes"], x["n"], x["size"], x["mean"], x["above"]
+    total = lambda xs, f: F.aggregate(xs, F.lit(0.0), lambda acc, y: acc + f(y))
 
-    def counted(acc: Column, x: Column) -> Column:
+    def counted(acc: Column, y: Column) -> Column:
         """Sum of squared counts over sorted places: the k-th copy of a place adds 2k - 1."""
-        k = F.when(x == acc["last"], acc["k"] + 1).otherwise(F.lit(1.0))
-        return F.struct(x.alias("last"), k.alias("k"), (acc["sum"] + 2 * k - 1).alias("sum"))
+        k = F.when(y == acc["last"], acc["k"] + 1).otherwise(F.lit(1.0))
+        return F.struct(y.alias("last"), k.alias("k"), (acc["sum"] + 2 * k - 1).alias("sum"))
 
     squares = F.aggregate(F.array_sort(codes), F.struct(F.lit(-1.0).alias("last"), F.lit(0.0).alias("k"), F.lit(0.0).alias("sum")), counted, lambda acc: acc["sum"])
-    chi, free = size / n * squares - n, size - 1
-    # Wilson and Hilferty: the cube root of chi-squared over its degrees is nearly normal
-    z_chi = (F.pow(F.greatest(chi, F.lit(0.0)) / free, F.lit(1 / 3)) - (1 - 2 / (9 * free))) / F.sqrt(2 / (9 * free))
-    mean = F.col("mean")
-    above = F.transform(codes, lambda x: x > mean)
-    n1 = F.size(F.filter(above, lambda x: x)).cast("double")
-    n0 = n - n1
-    runs = 1 + F.size(F.filter(_pairs(above, lambda a, b: a != b), lambda x: x))
-    expected = 1 + 2 * n0 * n1 / n
-    spread = (expected - 1) * (expected - 2) / (n - 1)
-    z_runs = F.when(spread > 0, (runs - expected) / F.sqrt(F.greatest(spread, F.lit(1e-9)))).otherwise(F.lit(99.0))
-    var = total(codes, lambda x: (x - mean) * (x - mean))
-    serial = total(_pairs(codes, lambda a, b: (a - mean) * (b - mean)), lambda x: x)
-    z_serial = F.when(var > 0, serial / F.greatest(var, F.lit(1e-9)) * F.sqrt(n)).otherwise(F.lit(99.0))
-    # changes of class between neighbours that are independent draws from the alphabet
-    two, three = F.col("two"), F.col("three")
-    change_var = (n - 1) * two * (1 - two) + 2 * (n - 2) * (three - two * two)
-    z_class = F.when(change_var > 0, ((n - 1) * (1 - two) - F.col("changes") - 0.5) / F.sqrt(F.greatest(change_var, F.lit(1e-9)))).otherwise(F.lit(0.0))
-    return {"p_uniform": _tail(z_chi), "p_runs": 2 * _tail(F.abs(z_runs)), "p_class": _tail(z_class), "p_serial": 2 * _tail(F.abs(z_serial))}
+    sums = F.struct(
+        squares.alias("squares"), F.size(F.filter(above, lambda y: y)).cast("double").alias("n1"), (1 + F.size(F.filter(_pairs(above, lambda a, b: a != b), lambda y: y))).alias("runs"),
+        total(codes, lambda y: (y - mean) * (y - mean)).alias("var"), total(_pairs(codes, lambda a, b: (a - mean) * (b - mean)), lambda y: y).alias("serial"),
+    )
+
+    def tested(v: Column) -> Column:
+        chi, free = size / n * v["squares"] - n, size - 1
+        # Wilson and Hilferty: the cube root of chi-squared over its degrees is nearly normal
+        z_chi = (F.pow(F.greatest(chi, F.lit(0.0)) / free, F.lit(1 / 3)) - (1 - 2 / (9 * free))) / F.sqrt(2 / (9 * free))
+        expected = 1 + 2 * (n - v["n1"]) * v["n1"] / n
+        spread = (expected - 1) * (expected - 2) / (n - 1)
+        z_runs = F.when(spread > 0, (v["runs"] - expected) / F.sqrt(F.greatest(spread, F.lit(1e-9)))).otherwise(F.lit(99.0))
+        z_serial = F.when(v["var"] > 0, v["serial"] / F.greatest(v["var"], F.lit(1e-9)) * F.sqrt(n)).otherwise(F.lit(99.0))
+        # changes of class between neighbours that are independent draws from the alphabet
+        two, three = x["two"], x["three"]
+        change_var = (n - 1) * two * (1 - two) + 2 * (n - 2) * (three - two * two)
+        z_class = F.when(change_var > 0, ((n - 1) * (1 - two) - x["changes"] - 0.5) / F.sqrt(F.greatest(change_var, F.lit(1e-9)))).otherwise(F.lit(0.0))
+        z = F.struct(z_chi.alias("chi"), F.abs(z_runs).alias("runs"), z_class.alias("class"), F.abs(z_serial).alias("serial"))
+        least = T.bound(z, lambda z: F.least(_tail(z["chi"]), 2 * _tail(z["runs"]), _tail(z["class"]), 2 * _tail(z["serial"]), F.lit(1.0)))
+        return 1 - F.pow(1 - least, F.lit(4.0))
+
+    return T.bound(sums, tested)
+
+
+def _random_runs(text: Column) -> Column:
+    """Structs (start, kind, end, found, band, p, bin) of the candidate runs of a text."""
+    runs = _spans(text, RANDOM, 3, lambda s: s["found"].rlike(CANDIDATE))
+
+    def scored(s: Column) -> Column:
+        return T.bound(_measured(s["found"]), lambda m: T.bound(_p_value(m), lambda p: F.struct(
+            *[s[c].alias(c) for c in ("start", "kind", "end", "found")], F.floor(F.log2(m["n"])).cast("int").alias("band"), p.alias("p"),
+            F.least(F.floor(-4 * F.log10(F.greatest(p, F.lit(1e-9)))), F.lit(LEAST_BIN)).cast("int").alias("bin"),
+        )))
+
+    return F.transform(runs, scored)
 
 
 def _cuts(tested: DataFrame) -> DataFrame:
@@ -152,21 +181,16 @@ def scan_secrets(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     value = lambda s: F.length(F.regexp_extract(s["found"], ASSIGN, 2)) >= 8
+    # first all candidate runs, for the cuts (a few rows); then every document by itself, without a join or a shuffle
+    runs = docs.where(text.rlike(RANDOM)).select(F.explode(_random_runs(text)).alias("r")).select("r.found", "r.band", "r.p", "r.bin").distinct()
+    cuts = {r["band"]: r["cut"] for r in _cuts(materialize(runs, "runs")).collect()}
     kept = [F.col(c) for c in keep if c != "doc_id"]
-    base = docs.select("doc_id", *kept, _spans(text, ASSIGN, 0, value).alias("assign"), _spans(text, ACCESS, 1, lambda s: F.length(s["found"]) >= 16).alias("access"), _spans(text, HEX, 2).alias("hex"), _spans(text, RANDOM, 3, lambda s: s["found"].rlike(CANDIDATE)).alias("runs"))
-    base = materialize(base.withColumn("row", F.monotonically_increasing_id()), "spans")
-
-    runs = base.where("size(runs) > 0").select("row", F.explode("runs").alias("run")).withColumn("found", F.col("run.found"))
-    tests = _p_values()
-    least = F.least(*map(F.col, tests))
-    tested = _measured(runs.select("found").distinct()).withColumns(tests).withColumns({"band": F.floor(F.log2("len")), "p": 1 - F.pow(1 - F.least(least, F.lit(1.0)), F.lit(float(len(tests))))})
-    place = F.floor(-4 * F.log10(F.greatest("p", F.lit(1e-9)))).cast("long")
-    tested = materialize(tested.select("found", "band", "p", F.least(place, F.lit(LEAST_BIN)).alias("bin")), "runs")
-    odd = tested.join(F.broadcast(_cuts(tested)), "band").where("bin < cut").select("found")  # one row per band
-    found = runs.join(odd, "found", "left_semi").groupBy("row").agg(F.collect_list("run").alias("random"))
-
-    every = F.concat("assign", "access", "hex", F.coalesce("random", F.array().cast("array<struct<start:int,kind:int,end:int,found:string>>")))
-    out = base.join(found, "row", "left").withColumn("all_spans", every)
+    empty = F.array().cast("array<struct<start:int,kind:int,end:int,found:string>>")
+    odd = lambda r: F.coalesce(r["bin"] < F.try_element_at(F.create_map(*[F.lit(int(x)) for kv in cuts.items() for x in kv]), r["band"]), F.lit(False))
+    plain = lambda r: F.struct(*[r[c].alias(c) for c in ("start", "kind", "end", "found")])
+    random = F.when(text.rlike(RANDOM), F.transform(F.filter(_random_runs(text), odd), plain)).otherwise(empty) if cuts else empty
+    out = docs.select("doc_id", *kept, _spans(text, ASSIGN, 0, value).alias("assign"), _spans(text, ACCESS, 1, lambda s: F.length(s["found"]) >= 16).alias("access"), _spans(text, HEX, 2).alias("hex"), random.alias("random"))
+    out = out.withColumn("all_spans", F.concat("assign", "access", "hex", "random"))
     size = lambda c: F.size(c).cast("long")
     return out.select("doc_id", size("assign").alias("n_assign"), size("access").alias("n_access"), size("hex").alias("n_hex"), F.sha2(_joined(F.concat("assign", "access", "hex")), 256).alias("base_sha256"), _joined(F.col("all_spans")).alias("spans"), "all_spans", *[c for c in keep if c != "doc_id"])
 
