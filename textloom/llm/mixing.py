@@ -25,7 +25,7 @@ def word_count(text: Column) -> Column:
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, epochs: float) -> DataFrame:
-    """One row per source of (source, size): source_size, n_docs, target.
+    """One row per source of (source, size): place (from 0), source_size, n_docs, target.
 
     Sources by code point, null last, take the weights in turn. Together they get `share` times all sizes, none
     more than `epochs` times its own; the excess goes to the others by weight. Filled sources come first by
@@ -35,7 +35,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, epo
     # one row per source: a summary, not the documents
     rank = F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")) - 1
     ws = F.array(*[F.lit(float(w)) for w in weights])
-    per = per.withColumn("weight", F.element_at(ws, (rank % len(weights) + 1).cast("int"))).withColumn("cap", epochs * F.col("source_size"))
+    per = per.withColumn("place", rank).withColumn("weight", F.element_at(ws, (F.col("place") % len(weights) + 1).cast("int"))).withColumn("cap", epochs * F.col("source_size"))
     order = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").isNull(), "source")
     before, whole = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     sofar = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0.0))
@@ -43,7 +43,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, epo
     per = per.withColumn("level", level).withColumn("open", F.col("cap") > F.col("weight") * F.col("level"))
     common = F.first(F.when(F.col("open"), F.col("level")), ignorenulls=True).over(whole)
     target = F.when(common.isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("weight") * common))
-    return per.select("source", "source_size", "n_docs", target.alias("target"))
+    return per.select("source", "place", "source_size", "n_docs", target.alias("target"))
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, epochs: float = 2.0, seed: int = 7, keep: Sequence[str] = ()) -> DataFrame:
@@ -58,21 +58,24 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     doc, kept = [F.col("doc_id"), F.col("source")], [F.col(c) for c in keep if c not in ("doc_id", "source", "size")]
     # rows of one id, or of none, get keys of their own by their texts, so that no range holds them all
     own = F.xxhash64("doc_id", "text")
-    sized = materialize(docs.select(*doc, word_count(F.col("text")).alias("size"), own.alias("own"), *kept), "sizes")
+    sized = docs.select(*doc, word_count(F.col("text")).alias("size"), own.alias("own"), *kept)
+    # what is kept (texts) isn't written again: docs is read once more instead
+    sized = sized if kept else materialize(sized, "sizes")
     targets = materialize(source_targets(sized, weights, share, epochs), "targets")
     same = F.col("s.source").eqNullSafe(F.col("t.source"))
     key = F.xxhash64(F.lit(seed), "own")
-    rows = sized.alias("s").join(targets.alias("t"), same).select("s.*", "source_size", "n_docs", "target", key.alias("key"))
+    rows = sized.alias("s").join(targets.alias("t"), same).select("s.*", "place", "source_size", "n_docs", "target", key.alias("key"))
     ranges = F.ceil(F.col("n_docs") / RANGE_ROWS)
     rows = rows.withColumn("range", F.least(F.floor((F.col("key") / F.lit(2.0**64) + 0.5) * ranges), ranges - 1))
-    sums = rows.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
-    ahead = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(F.col("source").alias("of"), F.col("range").alias("at"), F.coalesce(F.sum("range_size").over(ahead), F.lit(0)).alias("start"))
+    # sources go by their place, which is never null, so that windows and join share one partitioning of the rows
+    sums = rows.groupBy("place", "range").agg(F.sum("size").alias("range_size"))
+    ahead = Window.partitionBy("place").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("place", "range", F.coalesce(F.sum("range_size").over(ahead), F.lit(0)).alias("start"))
     # rows of one id and size differ in what is kept at most
     ties = [F.xxhash64(*[c for c in keep if c not in ("doc_id", "source", "size")])] if kept else []
-    inside = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size", "own", *ties).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("place", "range").orderBy("key", "doc_id", "size", "own", *ties).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    rows = rows.join(sums, F.col("source").eqNullSafe(F.col("of")) & (F.col("range") == F.col("at")))
+    rows = rows.join(sums, ["place", "range"])
     budget = F.round("target").cast("long")
     whole = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0))
     rest = budget - whole * F.col("source_size") - F.col("start") - F.col("within")
