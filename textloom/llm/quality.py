@@ -7,7 +7,6 @@ the scoring tasks. A score is the posterior of label 1 from the difference of th
 
 from __future__ import annotations
 
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -15,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
+from pyspark.sql.types import DoubleType
 
 from textloom.llm.common import materialize
 
@@ -74,10 +73,11 @@ def statistics(text: str | None) -> list[float]:
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for lo in range(0, batch.num_rows, 1024):
-            part = batch.slice(lo, 1024)
-            rows = [statistics(t) for t in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.list_(pa.float64()))], names=["doc_id", "x"])
+        for lo in range(0, batch.num_rows, 512):
+            part = batch.slice(lo, 512)
+            x = _statistics(part.column(1))
+            ends = pa.array(np.arange(0, x.size + 1, len(FEATURES)), pa.int32())
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends, pa.array(x.ravel()))], names=["doc_id", "x"])
 
 
 def features(docs: DataFrame) -> DataFrame:
@@ -105,14 +105,13 @@ def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(at, pa.int32()), pa.array(values, pa.float64())], names=["label", "at", "v"])
 
 
-@F.arrow_udf(ArrayType(DoubleType()))
-def _statistics(texts: pa.Array) -> pa.Array:
-    """statistics() of a column of texts."""
-    flat = np.empty((len(texts), len(FEATURES)))
-    for lo in range(0, len(texts), 512):
-        for k, t in enumerate(texts.slice(lo, 512).to_pylist(), lo):
-            flat[k] = statistics(t)
-    return pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, len(FEATURES)), pa.int32()), pa.array(flat.ravel()))
+def _parts(texts: pa.Array, rows: int = 512) -> Iterator[pa.Array]:
+    for lo in range(0, len(texts), rows):
+        yield texts.slice(lo, rows)
+
+
+def _statistics(texts: pa.Array) -> np.ndarray:
+    return np.array([statistics(t) for t in texts.to_pylist()]).reshape(-1, len(FEATURES))
 
 
 class Discriminant:
@@ -183,16 +182,12 @@ def keep_quality(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int =
     """The documents that the classifier doesn't reject, with all their columns (and no others).
 
     Every row is judged by its own text, whatever its id; null and empty texts by zero statistics. The statistics are
-    worked out once and kept beside the documents in a table of the shared folder.
+    worked out for the fit and again for the decision, so that texts are neither shuffled nor written a second time.
     """
-    named = f"x_{uuid.uuid4().hex}"  # docs may have any names
-    kept = materialize(docs.withColumn(named, _statistics(F.col("text").cast("string"))), "featured")
-    train = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").alias("label")).where(crc_mod("doc_id", folds) != held)
-    model = fit(kept.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(named).alias("x")).join(train, "doc_id"))
+    model, _ = quality_model(docs, labels, folds, held)
 
     @F.arrow_udf(DoubleType())
-    def score(x: pa.Array) -> pa.Array:
-        flat = x.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
-        return pa.array(model.score(flat))
+    def score(texts: pa.Array) -> pa.Array:
+        return pa.array(np.concatenate([model.score(_statistics(part)) for part in _parts(texts)] or [np.empty(0)]))
 
-    return kept.where(score(F.col(named)) >= reject_below).drop(named)
+    return docs.where(score(F.col("text").cast("string")) >= reject_below)
