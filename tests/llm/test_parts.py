@@ -35,8 +35,8 @@ def near_copies(rng, n, length=150, most=12, first=0):
     return out
 
 
-@pytest.mark.parametrize(("leaves", "tile"), [(8, 3), (64, 1000)])
-def test_ngram_join_in_small_blocks_and_tiles(spark, leaves, tile):
+@pytest.mark.parametrize(("leaves", "reach", "tile"), [(8, 1, 3), (64, 8, 1000)])
+def test_ngram_join_in_small_blocks_and_tiles(spark, leaves, reach, tile):
     from textloom.llm.ngram_join import ngram_components
 
     rng = random.Random(23)
@@ -45,7 +45,7 @@ def test_ngram_join_in_small_blocks_and_tiles(spark, leaves, tile):
     rows += [(2000 + i, " ".join(words + [f"d{i}_{k}" for k in range(rng.choice((5, 15, 40)))])) for i in range(50)]
     rows += [(3000 + i, rows[i % 7][1]) for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    assert {r.doc_id: r.component_id for r in ngram_components(df, leaves=leaves, tile=tile, broadcast_rows=0).collect()} == components(rows)
+    assert {r.doc_id: r.component_id for r in ngram_components(df, leaves=leaves, reach=reach, tile=tile, broadcast_rows=0).collect()} == components(rows)
 
 
 def test_discriminant_equals_densities_worked_out_directly():

@@ -8,9 +8,10 @@ How it runs:
    settled there and never leaves its bucket. Shingles that at least two documents hold go back to their blocks.
 3. Each block orders every set by (region, document frequency, hash), one order for all documents, and cuts the
    prefix that the threshold needs. Sets with identical prefixes and size collapse into one group.
-4. First each group joins the family of one pivot. A family is dealt into blocks; the expanded members of a block are
-   verified against each other, the pivot and three more members of the family, which are in every block, so texts are
-   shipped about once, however large the family. That gives components.
+4. First each group joins the family of one pivot. A family is dealt into blocks around a circle; the expanded members
+   of a block are verified against each other and against those of the REACH next blocks on either side. Up to
+   2 * REACH + 1 blocks these are all; in larger families the pivot and three more members are in every block too, and
+   no text is shipped more often than that, however large the family. That gives components.
 5. Then groups meet on shared prefix shingles, a frequent shingle in tiles, unless both lie in one component or were
    compared in 4. Filters on sizes, positions and unshared shingles drop pairs of groups; what is left is expanded to
    pairs of members of different components, which are verified on whole sets. No link between different components is
@@ -19,8 +20,9 @@ How it runs:
 Long documents first emit only the shingles in the lowest REGION of the hash range (all documents the same range, which
 comes first in the order); where that is too few to hold a prefix they emit all. Whole sets are verified.
 
-A family whose blocks do not come together in 4, with members just under the threshold, costs a number of pairs that
-grows with its square: that is the candidates' own number, which no exact prefix join spares.
+A family of more than 2 * REACH + 1 blocks that does not come together in 4, with members just under the threshold,
+costs a number of pairs that grows with its square: that is the candidates' own number, which no exact prefix join
+spares.
 """
 
 from __future__ import annotations
@@ -45,6 +47,8 @@ BLOCK_SHINGLES, BUCKET_SHINGLES = 400_000, 700_000
 BROADCAST_ROWS = 400_000
 #: Documents and shingles in one block to be verified, and shingles in one slice of its indicator matrix.
 LEAVES, LEAF_SHINGLES, COLUMNS = 512, 400_000, 2048
+#: Blocks of a family, on either side, that a block is verified against.
+REACH = 8
 #: Groups in one tile of a frequent shingle.
 TILE = 1024
 
@@ -226,16 +230,18 @@ def _verify(docs: DataFrame, dealt: DataFrame, keys: list[str], broadcast_rows:
 
 
 def _family_blocks(members: DataFrame, leaves: int) -> DataFrame:
-    """family, blocks, and the members that go to every block: the pivot and three with the least of three hashes."""
+    """family, blocks, and members that go to every block of a large one: the pivot and three by the least of a hash each."""
     least = [F.min(F.struct(F.xxhash64(F.lit(k), "doc_id"), "doc_id"))["doc_id"] for k in range(3)]
     return members.groupBy("family").agg(_salts(leaves, "n").alias("blocks"), F.count("*").alias("size"), F.array(F.col("family"), *least).alias("common")).where("size > 1").drop("size")
 
 
-def _family_links(docs: DataFrame, members: DataFrame, blocks: DataFrame, broadcast_rows: int) -> DataFrame:
-    """Links among the documents (family, doc_id, n) of every family, block by block."""
-    own = members.join(blocks, "family").select("family", F.expr("cast(pmod(xxhash64(doc_id), blocks) as int)").alias("block"), "doc_id")
-    common = blocks.where("blocks > 1").select("family", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), "common").select("family", "block", F.explode("common").alias("doc_id"))
-    return _verify(docs, own.unionByName(common).distinct(), ["family", "block"], broadcast_rows)
+def _family_links(docs: DataFrame, members: DataFrame, blocks: DataFrame, reach: int, broadcast_rows: int) -> DataFrame:
+    """Links among the documents (family, doc_id, n) of every family, by pairs of blocks that are near each other."""
+    near = F.expr(f"array_distinct(transform(sequence(-least({reach}, blocks - 1), least({reach}, blocks - 1)), k -> cast(pmod(own + k, blocks) as int)))")
+    pair = [F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")]
+    own = members.join(blocks, "family").withColumn("own", F.expr("cast(pmod(xxhash64(doc_id), blocks) as int)")).withColumn("other", F.explode(near)).select("family", *pair, "doc_id")
+    large = blocks.where(f"blocks > {2 * reach + 1}").withColumn("own", F.explode(F.expr("sequence(0, blocks - 1)"))).select("family", F.col("own").alias("i"), F.col("own").alias("j"), F.explode("common").alias("doc_id"))
+    return _verify(docs, own.unionByName(large).distinct(), ["family", "i", "j"], broadcast_rows)
 
 
 def _pair_links(docs: DataFrame, pairs: DataFrame, leaves: int, broadcast_rows: int) -> DataFrame:
@@ -275,13 +281,13 @@ def _close(met: DataFrame) -> DataFrame:
     return ends.where("7 * (hits + least(n_a - last_a, n_b - last_b) - 1) >= 3 * (n_a + n_b)").select("a", "b")
 
 
-def ngram_components(docs: DataFrame, leaves: int = LEAVES, tile: int = TILE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def ngram_components(docs: DataFrame, leaves: int = LEAVES, reach: int = REACH, tile: int = TILE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Per document (doc_id, n_shingles, component_id) under links of Jaccard similarity 0.75 or more.
 
     Null or wordless text: n_shingles 0, its own component. Null doc_id: counted, component null, never linked.
     Repeated doc_ids are one node, linked by any of their texts. Very long texts are compared whole; a block to verify
     holds at least one text. Other columns are ignored; an empty table gives no rows. Hash equality stands for shingle
-    equality (64 bits). leaves, tile and broadcast_rows change how work is dealt, not the result.
+    equality (64 bits). leaves, reach, tile and broadcast_rows change how work is dealt, not the result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     staged = materialize(docs.mapInArrow(_staged, "block long, doc_id long, n long, fp binary, toks binary"), "sets")
@@ -316,11 +322,11 @@ def ngram_components(docs: DataFrame, leaves: int = LEAVES, tile: int = TILE, br
     family = grouped.select("family", F.col("rep").alias("doc_id"), "n").unionByName(heads.select("family", "doc_id", "n")).distinct()
     family = materialize(family, "members")
     blocks = materialize(_family_blocks(family, leaves), "blocks")
-    known = connected_components(materialize(_family_links(docs, family, blocks, broadcast_rows), "links"))
+    known = connected_components(materialize(_family_links(docs, family, blocks, reach, broadcast_rows), "links"))
 
     # what is left: pairs of groups across components that share a prefix shingle
     placed = grouped.join(known.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
-    placed = materialize(placed.join(blocks.select("family", "blocks"), "family", "left").select("rep", "gid", "n", "most", "group_most", "family", (F.coalesce("blocks", F.lit(1)) == 1).alias("whole"), "comp", "ptoks", "ppos"), "placed")
+    placed = materialize(placed.join(blocks.select("family", "blocks"), "family", "left").select("rep", "gid", "n", "most", "group_most", "family", (F.coalesce("blocks", F.lit(1)) <= 2 * reach + 1).alias("whole"), "comp", "ptoks", "ppos"), "placed")
     spans = placed.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     first = placed.where("rep = gid").select("gid", "n", F.col("group_most").alias("most"), "family", "whole", F.explode(F.arrays_zip("ptoks", "ppos")).alias("x")).join(spans, "gid")
     met = _meetings(first.select(F.col("x.ptoks").alias("tau"), F.col("x.ppos").alias("pos"), "gid", "n", "most", "family", "whole", "lo", "hi"), tile)
