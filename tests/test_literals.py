@@ -217,7 +217,7 @@ def test_sinks_and_observed_counts(spark):
 def test_numbers_with_one_digit_and_long_texts(spark):
     from textloom.functions import text as T
 
-    values = [0.0, 0.25, 0.75, 2.35, 12.25, 12.35, 5.85, 9.96, 3.0, 100.05]
+    values = [0.0, 0.15, 0.95, 0.35, 0.05, 0.25, 0.75, 2.35, 12.25, 12.35, 5.85, 9.96, 3.0, 100.05]
     got = [r[0] for r in spark.createDataFrame(list(enumerate(values)), "k int, v double").orderBy("k").select(T.tenths(F.col("v"))).collect()]
     assert got == [f"{v:.1f}" for v in values]
     t = "\n".join(f"line {k}" for k in range(3000))

@@ -151,10 +151,9 @@ def counted(c: Column, values: list[str] | tuple[str, ...]) -> Column:
 
 def tenths(v: Column) -> Column:
     """A number from 0 on with one digit after the point, rounded by its binary value, halves to even."""
-    whole = F.floor(v)
-    t = (v - whole) * 10
-    up = (t - F.floor(t) > 0.5) | ((t - F.floor(t) == 0.5) & (F.floor(t) % 2 == 1))
-    n = whole * 10 + F.floor(t) + up.cast("long")
+    k = F.floor(v * 10)
+    over = (v * 16 - (2 * k + 1)) + v * 4  # 20 v against the next half tenth; each step is exact near it
+    n = k + F.when((over > 0) | ((over == 0) & (k % 2 == 1)), 1).otherwise(0)
     return F.concat(F.floor(n / 10).cast("string"), F.lit("."), (n % 10).cast("string"))
 
 

@@ -184,14 +184,14 @@ def described(fingerprints: DataFrame, phrases: DataFrame) -> DataFrame:
     top = phrases.where("rank <= 5").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", "phrase"))).alias("p"))
     rows = fingerprints.join(top, "doc_id", "left")
     f, some = F.col("formality"), F.col("total_words") > 0
-    tenths = lambda c: T.tenths(F.round(F.col(c), 2))
+    tenths = lambda c: T.tenths(F.round(F.round(c, 6), 2))
     marks = F.array_compact(F.array(
         F.when(F.col("r_comma") > 0.01, "frequent comma use"), F.when(F.col("r_semicolon") > 0.001, "semicolon use"),
         F.when(F.col("r_dash") > 0.0005, "em-dash use"), F.when(F.col("r_question") > 0.001, "rhetorical questions"),
     ))
     lines = F.array_compact(F.array(
         F.when(some, F.concat(F.lit("Average sentence length: "), tenths("avg_sentence_length"), F.lit(" words (variance: "), tenths("sentence_length_variance"), F.lit(")"))),
-        F.when(some, F.concat(F.lit("Average word length: "), tenths("avg_word_length"), F.lit(" characters"))), F.when(some, F.format_string("Vocabulary richness: %.2f%%", F.round("vocabulary_richness", 4) * 100)),
+        F.when(some, F.concat(F.lit("Average word length: "), tenths("avg_word_length"), F.lit(" characters"))), F.when(some, F.format_string("Vocabulary richness: %.2f%%", F.round(F.round("vocabulary_richness", 6), 4) * 100)),
         F.when(F.col("total_paragraphs") > 0, F.concat(F.lit("Average paragraph length: "), tenths("avg_paragraph_length"), F.lit(" sentences"))),
         F.when(f > 0.6, "Tone: formal and academic").when(f > 0.3, "Tone: neutral and balanced").otherwise("Tone: casual and conversational"),
         F.when(F.col("p").isNotNull(), F.concat(F.lit("Common phrases: "), F.array_join("p.phrase", ", "))), F.when(F.size(marks) > 0, F.concat(F.lit("Punctuation style: "), F.array_join(marks, ", "))),

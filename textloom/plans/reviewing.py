@@ -118,8 +118,8 @@ md5(last_value(CASE WHEN node_no % 7 = 0 THEN text END IGNORE NULLS) OVER (w ROW
     "p15_flags": f"{_FLAGS} SELECT event_id, e.mode AS mode, network_allowed, detector_cache_enabled, retention_enforced, encrypt_sensitive_fields, CASE WHEN m.mode IS NOT NULL THEN false END AS raw_text_logging, CASE WHEN m.mode IS NOT NULL THEN false END AS obsidian_projection_auto FROM e LEFT JOIN m ON e.mode = m.mode",
     "p16_described": f"""WITH fp AS ({STYLE['a18_fingerprint']}), ph AS ({STYLE['a19_common_phrases']}), pj AS (SELECT doc_id, string_agg(phrase, ', ' ORDER BY rank) AS p FROM ph WHERE rank <= 5 GROUP BY doc_id),
 t AS (SELECT fp.*, p, array_to_string(list_filter([CASE WHEN r_comma > 0.01 THEN 'frequent comma use' END, CASE WHEN r_semicolon > 0.001 THEN 'semicolon use' END, CASE WHEN r_dash > 0.0005 THEN 'em-dash use' END, CASE WHEN r_question > 0.001 THEN 'rhetorical questions' END], lambda x: x IS NOT NULL), ', ') AS marks FROM fp LEFT JOIN pj ON fp.doc_id = pj.doc_id)
-SELECT doc_id, '- ' || array_to_string(list_filter([CASE WHEN total_words > 0 THEN printf('Average sentence length: %.1f words (variance: %.1f)', round(avg_sentence_length, 2), round(sentence_length_variance, 2)) END, CASE WHEN total_words > 0 THEN printf('Average word length: %.1f characters', round(avg_word_length, 2)) END, CASE WHEN total_words > 0 THEN printf('Vocabulary richness: %.2f%%', round(vocabulary_richness, 4) * 100) END,
-CASE WHEN total_paragraphs > 0 THEN printf('Average paragraph length: %.1f sentences', round(avg_paragraph_length, 2)) END, CASE WHEN formality > 0.6 THEN 'Tone: formal and academic' WHEN formality > 0.3 THEN 'Tone: neutral and balanced' ELSE 'Tone: casual and conversational' END, 'Common phrases: ' || p, CASE WHEN marks <> '' THEN 'Punctuation style: ' || marks END], lambda x: x IS NOT NULL), chr(10) || '- ') AS description FROM t""",
+SELECT doc_id, '- ' || array_to_string(list_filter([CASE WHEN total_words > 0 THEN printf('Average sentence length: %.1f words (variance: %.1f)', round(avg_sentence_length::DECIMAL(18, 6), 2)::DOUBLE, round(sentence_length_variance::DECIMAL(18, 6), 2)::DOUBLE) END, CASE WHEN total_words > 0 THEN printf('Average word length: %.1f characters', round(avg_word_length::DECIMAL(18, 6), 2)::DOUBLE) END, CASE WHEN total_words > 0 THEN printf('Vocabulary richness: %.2f%%', round(vocabulary_richness::DECIMAL(18, 6), 4)::DOUBLE * 100) END,
+CASE WHEN total_paragraphs > 0 THEN printf('Average paragraph length: %.1f sentences', round(avg_paragraph_length::DECIMAL(18, 6), 2)::DOUBLE) END, CASE WHEN formality > 0.6 THEN 'Tone: formal and academic' WHEN formality > 0.3 THEN 'Tone: neutral and balanced' ELSE 'Tone: casual and conversational' END, 'Common phrases: ' || p, CASE WHEN marks <> '' THEN 'Punctuation style: ' || marks END], lambda x: x IS NOT NULL), chr(10) || '- ') AS description FROM t""",
     "s14_gazetteer": f"""{DX}, k AS (SELECT doc_id, regexp_extract_all(lower(text || CASE doc_id % 5 WHEN 0 THEN ' The plaintiff cited attorney-client privilege, due  diligence and UTF-8.' WHEN 1 THEN ' Asthma, or ASTHMA; sepsis. statute of limitations' ELSE '' END), '[a-z0-9]+') AS w FROM dx), u AS (SELECT doc_id, unnest(w) AS t FROM k UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM k UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM k),
 g(domain, term, t) AS (VALUES """ + ", ".join(f"('{k}', '{x}', '{x.lower().replace('-', ' ')}')" for k, xs in R.PROTECTED_TERMS.items() for x in xs) + ") SELECT doc_id, domain, term, count(*) AS n FROM u JOIN g ON u.t = g.t GROUP BY ALL",
 }

@@ -40,7 +40,7 @@ def _line_nodes(d):
 
 def _titled(d):
     """Every fourth text begins with a heading that has a word with a rule."""
-    return d.withColumn("text", F.when(F.col("doc_id") % 4 == 3, F.concat(F.lit("# How to utilize it\n"), F.col("text"))).otherwise(F.col("text")))
+    return d.withColumn("text", F.when(F.col("doc_id") % 4 == 3, F.concat(F.lit("# How to utilize it all now\n"), F.col("text"))).otherwise(F.col("text")))
 
 
 def _proposed(spark, sf):
@@ -107,7 +107,7 @@ UNION ALL SELECT dx.doc_id, 'paragraph_range', coalesce(a || '..' || b, 'none'),
 UNION ALL SELECT dx.doc_id, 'preferred_terminology', coalesce(terms, ''), 'pass', 'counts=' || coalesce(counts, '0') FROM dx LEFT JOIN te ON dx.doc_id = te.doc_id)"""
 _OTHER = _INV.replace("FROM documents)", "FROM documents), dy AS (SELECT doc_id, source, lang, CASE WHEN doc_id % 3 = 0 THEN text || ' — I can''t.' ELSE text END AS text FROM dx)", 1).replace("AS w FROM dx)", "AS w FROM dy)", 1) + " SELECT doc_id, kind, value FROM iv"
 _KINDS = "('dash_type', 'contraction_policy', 'person_policy', 'quotation_convention')"
-_TITLED = "CASE WHEN doc_id % 4 = 3 THEN '# How to utilize it' || chr(10) || text ELSE text END"
+_TITLED = "CASE WHEN doc_id % 4 = 3 THEN '# How to utilize it all now' || chr(10) || text ELSE text END"
 _TX = DX.replace("WITH dx AS (", "WITH d0 AS (") + f", dx AS (SELECT doc_id, source, lang, {_TITLED} AS text FROM d0)"
 _TOK = _CTX.replace(DX, _TX, 1)
 TENDENCIES = LEXIS["a23_tendencies"]
