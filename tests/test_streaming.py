@@ -36,7 +36,25 @@ def test_latest_decisions_out_of_order(spark):
     state, check = (tempfile.mkdtemp(prefix="spark-stream-") + "/t" for _ in range(2))
     logs.decision_stream(stream, state, check).awaitTermination()
     want = latest_decisions(spark.createDataFrame(rows, "package_id long, span_id long, seq int, class string"))
-    assert sorted(logs.final_decisions(spark, state, 2).collect()) == sorted(want.collect())
+    assert sorted(logs.final_decisions(spark, state).collect()) == sorted(want.collect())
+
+
+def test_later_runs_go_on_from_their_state(spark):
+    """New files after a run: texts scored before aren't scored again, though their ids repeat; only touched spans are written."""
+    root = tempfile.mkdtemp(prefix="spark-stream-")
+    put = lambda rows, schema, to: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{root}/{to}")
+    docs = ([(1, "One text. It is here."), (1, "Another text. It is there."), (2, None)], [(3, "One text. It is here."), (1, "A third text. We saw it."), (None, None)])
+    log = ([(1, 1, 5, "AUTHENTIC"), (1, 2, 1, "EXCLUDE"), (1, 2, 1, "QUOTED")], [(1, 1, 4, "EXCLUDE"), (2, 1, 1, "UNKNOWN"), (2, 2, 1, "EXCLUDE")])
+    for some, lines in zip(docs, log):
+        put(some, "doc_id long, text string", "docs")
+        put(lines, "package_id long, span_id long, seq int, class string", "log")
+        read = lambda schema, at: spark.readStream.schema(schema).parquet(f"{root}/{at}")
+        logs.score_stream(read("doc_id long, text string", "docs"), f"{root}/stored", f"{root}/c1").awaitTermination()
+        logs.decision_stream(read("package_id long, span_id long, seq int, class string", "log"), f"{root}/state", f"{root}/c2").awaitTermination()
+    stored = spark.read.parquet(f"{root}/stored")
+    assert stored.count() == 4 and stored.select("text_sha256").distinct().count() == 4 and stored.where("batch = 1").count() == 1
+    assert sorted(map(tuple, logs.final_decisions(spark, f"{root}/state").collect())) == [(1, 1, "AUTHENTIC", True), (1, 2, "QUOTED", True), (2, 2, "EXCLUDE", False)]
+    assert not spark.read.parquet(f"{root}/state").where("batch = 1 AND span_id = 2 AND package_id = 1").count()
 
 
 def test_acceptance_keeps_the_head(spark):

@@ -25,8 +25,11 @@ def _map(values: dict) -> Column:
 
 
 def latest_decisions(decisions: DataFrame, keys: tuple[str, ...] = ("package_id", "span_id")) -> DataFrame:
-    """The decision with the highest seq per key; an exclusion takes the span out until a later class restores it."""
-    order = Window.partitionBy(*keys).orderBy(F.desc("seq"))
+    """The decision with the highest seq per key, of ties the last class by name.
+
+    An exclusion takes the span out until a later class restores it.
+    """
+    order = Window.partitionBy(*keys).orderBy(F.desc("seq"), F.desc("class"))
     last = decisions.where("class <> 'UNKNOWN'").withColumn("nth", F.row_number().over(order)).where("nth = 1")
     return last.select(*keys, "class", (F.col("class") != "EXCLUDE").alias("kept"))
 

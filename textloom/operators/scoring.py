@@ -67,17 +67,18 @@ def lookup_or_compute(docs: DataFrame, stored: DataFrame, provider: str = "local
     Stored rows (the key, score, label, created_at, expires_at) count if their whole key is the same; of repeated ones
     the last. With now, rows that expired by then are misses; without it expiry is not looked at.
     """
-    keyed = docs.select("doc_id", "text", F.sha2("text", 256).alias("text_sha256"))
+    texts = docs.select(F.sha2("text", 256).alias("text_sha256"), "text")
     key = {"provider": F.lit(provider), "model": F.lit(model), "schema_version": F.lit(version)}
-    first = keyed.groupBy("text_sha256").agg(F.min("doc_id").alias("doc_id")).withColumns(key)
+    known = stored.where((F.col("provider") == provider) & (F.col("model") == model) & (F.col("schema_version") == version))
     if now is not None:
-        stored = stored.where(F.col("expires_at").isNull() | (F.col("expires_at") > now))
-    latest = Window.partitionBy(*SCORE_KEY).orderBy(F.desc("created_at"), "score")
-    known = stored.withColumn("nth", F.row_number().over(latest)).where("nth = 1").select(*SCORE_KEY, "score", "label")
-    hits = first.join(known, list(SCORE_KEY)).select(*SCORE_KEY, "score", "label", F.lit(True).alias("hit"))
-    misses = keyed.join(first.join(known, list(SCORE_KEY), "left_anti").select("doc_id"), "doc_id", "left_semi")
-    new = scorer(misses.select("doc_id", "text")).join(misses.select("doc_id", "text_sha256"), "doc_id").withColumns(key)
-    return hits.unionByName(new.select(*SCORE_KEY, "score", "label", F.lit(False).alias("hit")))
+        known = known.where(F.col("expires_at").isNull() | (F.col("expires_at") > now))
+    latest = Window.partitionBy("text_sha256").orderBy(F.desc("created_at"), "score")
+    known = known.withColumn("nth", F.row_number().over(latest)).where("nth = 1").select("text_sha256", "score", "label")
+    hits = texts.select("text_sha256").distinct().join(known, "text_sha256").withColumn("hit", F.lit(True))
+    # one shuffle by the hash serves the join and what keeps one of equal texts; the hash stands for the document, as ids may repeat
+    misses = texts.join(known.select("text_sha256"), "text_sha256", "left_anti").dropDuplicates(["text_sha256"])
+    new = scorer(misses.select(F.col("text_sha256").alias("doc_id"), "text")).select(F.col("doc_id").alias("text_sha256"), "score", "label", F.lit(False).alias("hit"))
+    return hits.unionByName(new).withColumns(key).select(*SCORE_KEY, "score", "label", "hit")
 
 
 def hooked(score: Callable[[pd.Series], pd.Series]) -> Callable[[DataFrame], DataFrame]:

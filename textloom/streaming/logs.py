@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -10,57 +12,38 @@ from textloom.operators.ledger import latest_decisions
 from textloom.operators.scoring import scores
 
 
-def _sink(stream: DataFrame, work, checkpoint: str) -> StreamingQuery:
-    return stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def _sink(stream: DataFrame, path: str, work: Callable[[DataFrame], DataFrame], mode: str, checkpoint: str) -> StreamingQuery:
+    """Writes what work makes of each batch to path/batch=<n>; a batch that runs again overwrites its own rows only."""
+    sink = stream.writeStream.outputMode(mode).foreachBatch(lambda batch, n: work(batch).write.mode("overwrite").parquet(f"{path}/batch={n}"))
+    return sink.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def score_stream(docs: DataFrame, stored: str, checkpoint: str) -> StreamingQuery:
-    """Scores arriving documents (doc_id, text) whose text is not in the stored table yet, and appends them to it.
+    """Scores arriving documents (doc_id, text), each distinct text once: text_sha256, score, label under stored/batch=<n>.
 
-    A batch that is run again appends nothing twice: it looks up what is stored, by text hash.
+    Which texts came before is the query's own state (a hash each, dealt over the executors), so a batch costs what it
+    brings, not what is stored. A store goes with one checkpoint. Null texts count as one text.
     """
-
-    def work(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        keyed = batch.select(F.sha2("text", 256).alias("text_sha256"), "doc_id", "text")
-        first = keyed.groupBy("text_sha256").agg(F.min(F.struct("doc_id", "text")).alias("d")).select("text_sha256", "d.*")
-        known = _read(spark, stored, "text_sha256 string, score double, label string")
-        new = first.join(known.select("text_sha256"), "text_sha256", "left_anti")
-        scored = scores(new).join(new.select("doc_id", "text_sha256"), "doc_id").select("text_sha256", "score", "label")
-        scored.write.mode("append").parquet(stored)
-
-    return _sink(docs, work, checkpoint)
-
-
-def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The table at path, or an empty one before the first write."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except Exception as e:  # the reader raises where nothing was written yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return spark.createDataFrame([], schema)
+    first = docs.select(F.sha2("text", 256).alias("text_sha256"), "text").dropDuplicates(["text_sha256"])
+    # the hash stands for the document: ids may repeat
+    work = lambda batch: scores(batch.withColumnRenamed("text_sha256", "doc_id")).withColumnRenamed("doc_id", "text_sha256")
+    return _sink(first, stored, work, "append", checkpoint)
 
 
 def decision_stream(decisions: DataFrame, state: str, checkpoint: str) -> StreamingQuery:
-    """Keeps the log's latest decision per span under state/<batch>; order of arrival doesn't matter, seq does.
+    """Keeps the log's latest decision per span; order of arrival doesn't matter, seq does.
 
-    Each batch writes a whole new state folder, so a repeated batch overwrites its own output only.
+    The latest ones are the query's own state. Each batch writes only the spans that it touched to state/batch=<n>;
+    final_decisions() takes the last of them.
     """
-    schema = "package_id long, span_id long, seq int, class string"
-
-    def work(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        old = _read(spark, f"{state}/batch={n - 1}", schema) if n else spark.createDataFrame([], schema)
-        order = Window.partitionBy("package_id", "span_id").orderBy(F.desc("seq"))
-        rows = old.unionByName(batch.select("package_id", "span_id", F.col("seq").cast("int").alias("seq"), "class").where("class <> 'UNKNOWN'"))
-        rows.withColumn("nth", F.row_number().over(order)).where("nth = 1").drop("nth").write.mode("overwrite").parquet(f"{state}/batch={n}")
-
-    return _sink(decisions, work, checkpoint)
+    known = decisions.where("class <> 'UNKNOWN'").groupBy("package_id", "span_id")
+    last = known.agg(F.max(F.struct(F.col("seq").cast("int").alias("seq"), "class")).alias("last")).select("package_id", "span_id", "last.*")
+    return _sink(last, state, lambda batch: batch, "update", checkpoint)
 
 
-def final_decisions(spark: SparkSession, state: str, batch: int) -> DataFrame:
-    return latest_decisions(_read(spark, f"{state}/batch={batch}", "package_id long, span_id long, seq int, class string"))
+def final_decisions(spark: SparkSession, state: str) -> DataFrame:
+    """What the decisions of all batches so far come to."""
+    return latest_decisions(spark.read.schema("package_id long, span_id long, seq int, class string").parquet(state))
 
 
 _HEAD = "head long"
