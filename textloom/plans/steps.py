@@ -14,7 +14,7 @@ from textloom.plans.base import DX, decorated, over_documents, paragraphs, round
 from textloom.plans.facts import _ENT, _KEPT, _claims
 from textloom.plans.lexis import _CTX, _PROF
 from textloom.plans.lexis import ORACLES as LEXIS
-from textloom.plans.reviewing import voices
+from textloom.plans.reviewing import PROFILE_COVERAGE, review_spans, voices
 from textloom.plans.style import _CONV, _DASH, _QUOTE
 from textloom.plans.style import ORACLES as STYLE
 from textloom.streaming.logs import window_drift, window_means
@@ -54,6 +54,15 @@ def _safe(spark, sf):
     return W.node_safe(c.select("doc_id", "offset", "length"), _line_nodes(d))
 
 
+def _profile(spark, sf):
+    """Profiles of the approved voices, and their coverage once a person has gone through the open spans of most documents."""
+    plain = decorated(spark, sf)
+    done = F.expr("class = 'unknown' AND package_id % 97 <> 7")
+    seen = review_spans(plain).withColumns({"resolved": F.col("resolved") | done, "class": F.when(done, "boilerplate").otherwise(F.col("class")), "unsupported": F.lit(None).cast("string")})
+    packages = R.coverage(seen, 100).join(plain.select(F.col("doc_id").alias("package_id"), F.col("source").alias("profile")), "package_id")
+    return P.profiles(voices(plain)), R.profile_coverage(packages, 200).withColumnRenamed("profile", "source")
+
+
 def _final(spark, sf):
     """The gates of a review that accepts all changes but those of some documents, on bases that are stale for others."""
     d, spans, c = _proposed(spark, sf)
@@ -62,7 +71,7 @@ def _final(spark, sf):
     decisions = decisions.unionByName(decisions.where("doc_id % 10 = 0").withColumn("offset", F.col("offset") + 1))
     bases = d.select("doc_id", "source", "text", F.expr("CASE WHEN doc_id % 14 = 0 THEN 1 ELSE 2 END").alias("base_token"))
     revisions = d.select(F.col("doc_id").alias("document_id"), F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("token")).withColumn("status", F.when(F.col("token") < 3, "accepted").otherwise("proposed"))
-    return W.finalized(bases, c, decisions, _line_nodes(d), spans, revisions)
+    return W.finalized(bases, c, decisions, _line_nodes(d), spans, revisions, *_profile(spark, sf))
 
 
 def _capsules(d):
@@ -110,6 +119,9 @@ _KINDS = "('dash_type', 'contraction_policy', 'person_policy', 'quotation_conven
 _TITLED = "CASE WHEN doc_id % 4 = 3 THEN '# How to utilize it all now' || chr(10) || text ELSE text END"
 _TX = DX.replace("WITH dx AS (", "WITH d0 AS (") + f", dx AS (SELECT doc_id, source, lang, {_TITLED} AS text FROM d0)"
 _TOK = _CTX.replace(DX, _TX, 1)
+_SEEN = PROFILE_COVERAGE.replace("(doc_id + node_no) % 4 <> 3 AS resolved", "((doc_id + node_no) % 4 <> 3 OR doc_id % 97 <> 7) AS resolved").replace("doc_id % 10 = 0 AND node_no = 1 AS odd", "false AS odd").replace("words >= 5000", "words >= 200").replace("words < 5000", "words < 200")
+_OFF = f"""(SELECT a.doc_id FROM ({_INV.replace(DX, _TX, 1)} SELECT doc_id, kind, value FROM iv) a JOIN documents d ON d.doc_id = a.doc_id JOIN ({_PROF} SELECT source, unnest(['dash_type', 'contraction_policy', 'person_policy', 'quotation_convention']) AS kind, unnest([dash_type, contraction_policy, person_policy, quotation_convention]) AS value FROM prof) p ON p.source = d.source AND p.kind = a.kind WHERE a.value <> p.value
+UNION SELECT doc_id FROM documents WHERE source NOT IN (SELECT profile FROM ({_SEEN} SELECT * FROM pf) WHERE status = 'complete'))"""
 TENDENCIES = LEXIS["a23_tendencies"]
 ORACLES = {
     "a21_invariants": f"{_INV} SELECT * FROM iv",
@@ -119,8 +131,8 @@ ORACLES = {
 cs AS (SELECT doc_id, string_agg(kind || ':' || text, ' | ' ORDER BY span_no) AS x FROM sp WHERE span_no <= 50 GROUP BY doc_id), ce AS (SELECT doc_id, string_agg(name, ' | ' ORDER BY entity_no) AS x FROM en WHERE entity_no <= 50 GROUP BY doc_id), ci AS (SELECT doc_id, string_agg(kind || '=' || value, ' | ' ORDER BY kind) AS x FROM (SELECT * FROM iv UNION ALL SELECT doc_id, 'tendency_' || name, value, strength, '' FROM td) GROUP BY doc_id)
 SELECT nn.doc_id, node_no::INT AS node_no, md5(coalesce(claims, '')) AS claims, coalesce(k, 0) AS n_claims, md5(coalesce(cs.x, '')) AS spans, md5(coalesce(ce.x, '')) AS entities, md5(coalesce(ca.x, '')) AS open_loops, md5(coalesce(ci.x, '')) AS invariants, '' AS prohibited, '' AS untrusted FROM nn LEFT JOIN cc ON nn.doc_id = cc.doc_id LEFT JOIN ca ON nn.doc_id = ca.doc_id LEFT JOIN cs ON nn.doc_id = cs.doc_id LEFT JOIN ce ON nn.doc_id = ce.doc_id LEFT JOIN ci ON nn.doc_id = ci.doc_id""".replace(", nn AS (", f", iv AS ({_INV} SELECT * FROM iv), td AS ({TENDENCIES}), nn AS (", 1),
     "l12_node_safe": f"""{_TOK} SELECT ctx.doc_id, "offset", 7::BIGINT AS length, NOT (ctx.doc_id % 4 = 3 AND "offset" < 20) AS safe FROM ctx WHERE token = 'utilize'""",
-    "l14_gates": f"""{_TOK}, uu AS (SELECT doc_id, bool_or(doc_id % 10 = 0) AS odd, bool_or(doc_id % 4 = 3 AND "offset" < 20 AND doc_id % 9 <> 0) AS head FROM ctx WHERE token = 'utilize' GROUP BY doc_id), g AS (SELECT dx.doc_id, coalesce(odd, false) AS odd, coalesce(head, false) AS head, dx.doc_id % 14 = 0 AS stale FROM dx LEFT JOIN uu ON dx.doc_id = uu.doc_id)
-SELECT doc_id, 'review' AS gate, NOT odd AS passed FROM g UNION ALL SELECT doc_id, 'node_safe', NOT head FROM g UNION ALL SELECT doc_id, 'rebase', true FROM g UNION ALL SELECT doc_id, 'facts', true FROM g UNION ALL SELECT doc_id, 'structure', NOT head FROM g UNION ALL SELECT doc_id, 'revision', NOT stale FROM g UNION ALL SELECT doc_id, 'accepted', NOT (odd OR head OR stale) FROM g""",
+    "l14_gates": f"""{_TOK}, uu AS (SELECT doc_id, bool_or(doc_id % 10 = 0) AS odd, bool_or(doc_id % 4 = 3 AND "offset" < 20 AND doc_id % 9 <> 0) AS head FROM ctx WHERE token = 'utilize' GROUP BY doc_id), so AS {_OFF}, g AS (SELECT dx.doc_id, coalesce(odd, false) AS odd, coalesce(head, false) AS head, dx.doc_id % 14 = 0 AS stale, so.doc_id IS NOT NULL AS off FROM dx LEFT JOIN uu ON dx.doc_id = uu.doc_id LEFT JOIN so ON dx.doc_id = so.doc_id)
+SELECT doc_id, 'review' AS gate, NOT odd AS passed FROM g UNION ALL SELECT doc_id, 'node_safe', NOT head FROM g UNION ALL SELECT doc_id, 'rebase', true FROM g UNION ALL SELECT doc_id, 'facts', true FROM g UNION ALL SELECT doc_id, 'structure', NOT head FROM g UNION ALL SELECT doc_id, 'style', NOT off FROM g UNION ALL SELECT doc_id, 'revision', NOT stale FROM g UNION ALL SELECT doc_id, 'accepted', NOT (odd OR head OR off OR stale) FROM g""",
     "k07_ingest_counts": f"{_KEPT} SELECT 'documents' AS \"table\", count(*) AS n FROM dx WHERE doc_id % 4 <> 0 UNION ALL SELECT 'claims', count(*) FROM cl WHERE doc_id % 4 <> 0 UNION ALL SELECT 'citations', count(*) FROM cites WHERE doc_id % 4 <> 0",
     "s12_manifest": "WITH s AS (SELECT 's' || (doc_id - CASE WHEN doc_id % 50 = 1 THEN 1 ELSE 0 END) AS sample_id, CASE WHEN doc_id % 20 = 0 THEN 'odd' ELSE 'human' END AS grp, doc_id FROM documents) SELECT sample_id, 'group' AS problem FROM s WHERE grp = 'odd' UNION ALL SELECT sample_id, 'repeated' FROM s GROUP BY 1 HAVING count(*) > 1 UNION ALL SELECT sample_id, 'missing' FROM s WHERE doc_id % 30 = 3",
     "p14_text_free": f"""WITH j AS (SELECT event_id, ({_JSON.replace("CAST(user_id % 9 AS INT)", "(user_id % 9)").replace(chr(92) * 2, chr(92))})::JSON AS v FROM events), t AS (SELECT event_id, x.key, x.type, x.atom FROM j, json_tree(j.v) x)
