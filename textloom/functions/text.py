@@ -119,7 +119,7 @@ def with_distribution(df: DataFrame, values: Column, names: dict[str, str] | Non
     names: which figures to add and under what name; all under their own names if left out. The array is sorted in
     a step of its own, so that its expression is evaluated once a row.
     """
-    df = df.withColumn("_xs", F.array_sort(F.transform(values, lambda x: x.cast("double"))))
+    df = df.withColumn("_xs", F.sort_array(F.transform(values, lambda x: x.cast("double"))))
     zero = F.lit(0.0)
     df = df.withColumns({"_sum": F.aggregate("_xs", zero, lambda acc, x: acc + x), "_squares": F.aggregate("_xs", zero, lambda acc, x: acc + x * x)})
     xs, n = F.col("_xs"), F.size("_xs")
@@ -165,7 +165,7 @@ def whole_or_tenths(v: Column) -> Column:
 def runs(xs: Column) -> Column:
     """Structs (value, n, first) of an array of strings: how often each value occurs and where first, in linear sweeps."""
     kind = "struct<value:string,n:int,first:int>"
-    placed = F.array_sort(F.transform(xs, lambda x, i: F.struct(x.alias("value"), i.alias("at"))))
+    placed = F.sort_array(F.transform(xs, lambda x, i: F.struct(x.alias("value"), i.alias("at"))))
     # sorted by value and place: a value's first row starts a run, which ends where the next one starts
     starts = bound(placed, lambda p: F.filter(F.transform(p, lambda x, i: F.struct(x["value"].alias("value"), x["at"].alias("first"), i.alias("i"), ((i == 0) | (x["value"] != F.get(p, i - 1)["value"])).alias("new"))), lambda x: x["new"]))
     return bound(F.struct(starts.alias("s"), F.size(xs).alias("n")), lambda r: F.transform(r["s"], lambda x, k: F.struct(x["value"].alias("value"), (F.coalesce(F.get(r["s"], k + 1)["i"], r["n"]) - x["i"]).alias("n"), x["first"].alias("first")).cast(kind)))

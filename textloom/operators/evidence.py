@@ -128,7 +128,7 @@ def span_candidates(nodes: DataFrame) -> DataFrame:
 
 def protected_spans(candidates: DataFrame) -> DataFrame:
     """Greedy choice per document: by (start, end, kind), spans that start inside the last kept one are dropped."""
-    rows = candidates.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind", "text", "label"))).alias("xs"))
+    rows = candidates.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind", "text", "label"))).alias("xs"))
     kept = T.sweep(F.col("xs"), F.lit(-1), lambda last, x: (F.when(x["start"] >= last, x["end"]).otherwise(last), F.when(x["start"] >= last, x)), "struct<start:int,end:int,kind:string,text:string,label:string>")["out"]
     return rows.select("doc_id", F.posexplode(kept).alias("k", "s")).select("doc_id", (F.col("k") + 1).alias("span_no"), "s.kind", "s.start", "s.end", "s.text", "s.label")
 
@@ -164,7 +164,7 @@ def entities(claim_rows: DataFrame, citation_rows: DataFrame, most: int = 100, s
     rows = typed.withColumn("entity_no", F.row_number().over(order)).where(F.col("entity_no") <= most).select("doc_id", "entity_no", "name", "entity_type")
     if spans is None:
         return rows
-    held = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("span_no", "text"))).alias("xs"))
+    held = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("span_no", "text"))).alias("xs"))
     seen = F.transform(F.filter(F.coalesce("xs", F.array().cast("array<struct<span_no:int,text:string>>")), lambda s: s["text"].contains(F.col("name"))), lambda s: s["span_no"].cast("string"))
     return rows.join(held, "doc_id", "left").withColumn("evidence", F.array_join(seen, ",")).drop("xs")
 
@@ -292,7 +292,7 @@ def fact_diff(source: DataFrame, candidate: DataFrame) -> DataFrame:
         return pd.DataFrame([(key[0], n, len(cand), n - matched, len(cand) - len(taken), contradicted, round(matched / n, 4) if n else 1.0)], columns=["doc_id", "n_source", "n_candidate", "omissions", "additions", "contradictions", "preservation"])
 
     cols = ["doc_id", "seq", "category", "text"]
-    gathered = lambda df, name: df.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("category", F.lower("text").alias("text")))).alias(name))
+    gathered = lambda df, name: df.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("category", F.lower("text").alias("text")))).alias(name))
     both = gathered(source, "s").join(gathered(candidate, "c"), "doc_id", "full")
     n = F.size("s").cast("long")
     zero = F.lit(0).cast("long")
@@ -312,7 +312,7 @@ def revalidated(before: DataFrame, after: DataFrame) -> DataFrame:
     """
     a, b = anchors(before), anchors(after)
     facts = fact_diff(a, b).withColumn("fact", F.when(F.col("omissions") + F.col("additions") + F.col("contradictions") > 0, F.format_string("fact_anchor_drift:omissions=%d,additions=%d,contradictions=%d", "omissions", "additions", "contradictions")))
-    cited = lambda df, name: df.where("category = 'citation'").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "text"))).alias(name))
+    cited = lambda df, name: df.where("category = 'citation'").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("seq", "text"))).alias(name))
     none = F.array().cast("array<string>")
     rows = before.select("doc_id").join(facts.select("doc_id", "fact"), "doc_id", "left").join(cited(a, "ca"), "doc_id", "left").join(cited(b, "cb"), "doc_id", "left")
     x, y = F.coalesce("ca.text", none), F.coalesce("cb.text", none)

@@ -35,7 +35,7 @@ def contexts(docs: DataFrame, window: int = 3) -> DataFrame:
 def covered(token_rows: DataFrame, spans: DataFrame) -> DataFrame:
     """doc_id, tok_no, spans: the numbers of the protected spans (span_no, start, end) that cover each token's start."""
     held = token_rows.select("doc_id", "tok_no", "offset").join(spans.select("doc_id", "span_no", F.col("start").alias("s"), F.col("end").alias("e")), "doc_id").where("s <= offset AND offset < e")
-    return held.groupBy("doc_id", "tok_no").agg(F.array_sort(F.collect_list("span_no")).alias("spans"))
+    return held.groupBy("doc_id", "tok_no").agg(F.sort_array(F.collect_list("span_no")).alias("spans"))
 
 
 def phrases(docs: DataFrame, rule_rows: DataFrame, most_words: int = 4) -> DataFrame:
@@ -54,7 +54,7 @@ def phrases(docs: DataFrame, rule_rows: DataFrame, most_words: int = 4) -> DataF
         return F.transform(places, lambda i: F.struct(piece(i).alias("key"), F.get("m", i)["start"].alias("start"), F.get("m", i + (k - 1))["end"].alias("end")))
 
     held = rows.select("doc_id", F.inline(F.concat(*[run(k) for k in range(2, most_words + 1)]))).join(keyed.drop("k"), "key")
-    per = held.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct((-F.length("source")).alias("o"), "source", "start", "end"))).alias("xs"))
+    per = held.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct((-F.length("source")).alias("o"), "source", "start", "end"))).alias("xs"))
     state = F.array().cast("array<struct<o:int,source:string,start:int,end:int>>")
     clash = lambda acc, x: F.exists(acc, lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"]))
     kept = F.aggregate("xs", state, lambda acc, x: F.when(clash(acc, x), acc).otherwise(F.concat(acc, F.array(x))))
@@ -147,7 +147,7 @@ def propose(docs: DataFrame, rule_rows: DataFrame, spans: DataFrame, safe_thresh
 
 def apply_changes(docs: DataFrame, changes: DataFrame) -> DataFrame:
     """doc_id, text with the changes (doc_id, offset, length, surface, target) made; those that don't fit are left out."""
-    per = changes.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("offset", "length", "surface", "target"))).alias("xs"))
+    per = changes.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("offset", "length", "surface", "target"))).alias("xs"))
     rows = docs.select("doc_id", "text").join(per, "doc_id", "left")
     t = F.col("text")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import lexicons as L
@@ -58,7 +58,7 @@ def contractions(docs: DataFrame) -> DataFrame:
 
 def once(w: Column) -> Column:
     """How many values of an array of strings occur once: sorted, they differ from both neighbours."""
-    return T.bound(F.array_sort(w), lambda s: F.size(F.filter(F.transform(s, lambda x, i: ~x.eqNullSafe(F.get(s, i - 1)) & ~x.eqNullSafe(F.get(s, i + 1))), lambda x: x)))
+    return T.bound(F.sort_array(w), lambda s: F.size(F.filter(F.transform(s, lambda x, i: ~x.eqNullSafe(F.get(s, i - 1)) & ~x.eqNullSafe(F.get(s, i + 1))), lambda x: x)))
 
 
 def hapax(docs: DataFrame) -> DataFrame:
@@ -67,17 +67,34 @@ def hapax(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", (once(F.col("w")) / F.size("w")).alias("hapax_ratio"))
 
 
+def moving_types(w: Column, window: int = MATTR_WINDOW) -> Column:
+    """Moving-average type-token ratio of an array of words; null without words.
+
+    Each word counts in the windows where it is its type's first. Sorted by word and place, the one before in the array
+    is the type's one before in the text, so one sort and one pass do.
+    """
+
+    def windows(p: Column) -> Column:
+        last = F.size(p) - window  # where the last window starts
+
+        def starts(x: Column, i: Column) -> Column:
+            before = F.get(p, i - 1)
+            after = F.when(before["value"] == x["value"], before["at"] + 1).otherwise(0)  # earlier windows hold the type already
+            alone = F.when(after == 0, 1).otherwise(0)
+            held = F.least(x["at"], last) - F.greatest(x["at"] - (window - 1), after) + 1
+            return F.when(last <= 0, alone).otherwise(F.greatest(held, F.lit(0)))
+
+        total = F.aggregate(F.transform(p, starts), F.lit(0).cast("long"), lambda a, x: a + x)
+        return total / F.when(last <= 0, F.size(p)).otherwise(F.lit(window).cast("long") * (last + 1))
+
+    placed = F.sort_array(F.transform(w, lambda x, i: F.struct(x.alias("value"), i.alias("at"))))
+    return F.when(F.size(w) > 0, T.bound(placed, windows))
+
+
 def mattr(docs: DataFrame, window: int = MATTR_WINDOW) -> DataFrame:
-    """Moving-average type-token ratio in one pass: each word counts in the windows where it is its type's first."""
-    rows = tokens(docs).withColumn("n", F.count("*").over(Window.partitionBy("doc_id")))
-    before = F.lag("pos").over(Window.partitionBy("doc_id", "word").orderBy("pos"))
-    first = F.greatest(F.lit(0), F.col("pos") - (window - 1), before + 1)
-    starts = F.greatest(F.lit(0), F.least(F.col("pos"), F.col("n") - window) - first + 1)
-    fresh = F.when(before.isNull(), 1).otherwise(0)
-    rows = rows.withColumns({"starts": starts, "fresh": fresh})
-    short = F.sum("fresh") / F.max("n")
-    long_ = F.sum("starts") / (F.lit(window) * (F.max("n") - (window - 1)))
-    return rows.groupBy("doc_id").agg(F.when(F.max("n") <= window, short).otherwise(long_).alias("mattr"))
+    """Moving-average type-token ratio of the documents with words, in the row."""
+    rows = docs.select("doc_id", T.words(F.col("text")).alias("w")).where(F.size("w") > 0)
+    return rows.select("doc_id", moving_types(F.col("w"), window).alias("mattr"))
 
 
 def pronouns(docs: DataFrame) -> DataFrame:
@@ -213,8 +230,8 @@ def register(docs: DataFrame) -> DataFrame:
 def bundle(docs: DataFrame) -> DataFrame:
     """All families side by side, one row per document.
 
-    One scan works out what needs the row alone; only the moving type-token ratio looks at words one by one. Counts per
-    phrase, mark or opening are tables of their own (sentence_openings, paragraph_edges, transitions, punctuation ...).
+    One scan works everything out in the row. Counts per phrase, mark or opening are tables of their own
+    (sentence_openings, paragraph_edges, transitions, punctuation ...).
     """
     t, w, s = F.col("text"), F.col("w"), F.col("s")
     rows = docs.select("doc_id", "text", T.words(t).alias("w"), T.cased_words(t).alias("cw"), T.sentences(t).alias("s"), T.paragraphs(t).alias("p"))
@@ -225,7 +242,7 @@ def bundle(docs: DataFrame) -> DataFrame:
     share = lambda c, p: T.ratio(F.size(F.filter(c, lambda x: x.rlike(p))), F.size(c))
     own = rows.select(
         "doc_id", n.cast("long").alias("word_count"), T.ratio(F.length(F.array_join(w, "")), n).alias("avg_word_length"), F.size(F.array_distinct(w)).cast("long").alias("unique_words"),
-        T.ratio(F.size(F.array_distinct(w)), n).alias("type_token_ratio"), T.ratio(once(w), n).alias("hapax_ratio"), T.ratio(T.counted(w, L.FUNCTION_WORDS), n).alias("function_word_ratio"),
+        T.ratio(F.size(F.array_distinct(w)), n).alias("type_token_ratio"), T.ratio(once(w), n).alias("hapax_ratio"), F.coalesce(moving_types(w), F.lit(0.0)).alias("mattr"), T.ratio(T.counted(w, L.FUNCTION_WORDS), n).alias("function_word_ratio"),
         T.ratio(F.size(F.filter(w, lambda x: x.contains("'"))), n).alias("contraction_frequency"), *[T.counted(w, v).alias(k) for k, v in L.PRONOUNS.items()],
         F.transform("sw", F.size).alias("ls"), F.flatten("sc").alias("lc"), "lp", some("sw", lambda x: F.size(x) <= 2).alias("fragments"),
         some(F.arrays_zip("sw", "sc"), lambda x: (F.size(x["sc"]) >= 5) & (F.size(x["sw"]) >= 45)).alias("run_ons"),
@@ -239,7 +256,7 @@ def bundle(docs: DataFrame) -> DataFrame:
     for name, of in (("sentence", "ls"), ("clause", "lc"), ("paragraph", "lp")):
         figures = ("n", "minimum", "p10", "p25", "median", "p75", "p90", "maximum", "mean", "stdev")
         own = T.with_distribution(own, F.col(of), {f: f"{name}_{f}" for f in figures}).drop(of)
-    return own.join(mattr(docs), "doc_id", "left").withColumn("mattr", F.coalesce("mattr", F.lit(0.0)))
+    return own
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:
@@ -272,12 +289,12 @@ def _grams(docs: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
 def common_phrases(docs: DataFrame, top: int = 10, sizes: tuple[int, ...] = (2, 3)) -> DataFrame:
     """The `top` most frequent phrases of two and three words, ties by first appearance: doc_id, rank, phrase, n."""
     # one document's phrases are ranked in its row, so nothing is shuffled
-    best = F.slice(F.array_sort(F.transform("g", lambda x: F.struct((-x["n"]).alias("o"), x["first"].alias("first"), x["value"].alias("phrase")))), 1, top)
+    best = F.slice(F.sort_array(F.transform("g", lambda x: F.struct((-x["n"]).alias("o"), x["first"].alias("first"), x["value"].alias("phrase")))), 1, top)
     rows = _grams(docs, sizes).select("doc_id", F.posexplode(best).alias("k", "x"))
     return rows.select("doc_id", (F.col("k") + 1).alias("rank"), F.col("x.phrase").alias("phrase"), (-F.col("x.o")).cast("long").alias("n"))
 
 
 def terminology(docs: DataFrame) -> DataFrame:
     """The three most frequent bigrams joined by bars: doc_id, terms, counts."""
-    rows = _grams(docs.where(F.size(T.words(F.col("text"))) > 1), (2,)).select("doc_id", F.slice(F.array_sort(F.transform("g", lambda x: F.struct((-x["n"]).alias("o"), x["first"].alias("first"), x["value"].alias("phrase")))), 1, 3).alias("x"))
+    rows = _grams(docs.where(F.size(T.words(F.col("text"))) > 1), (2,)).select("doc_id", F.slice(F.sort_array(F.transform("g", lambda x: F.struct((-x["n"]).alias("o"), x["first"].alias("first"), x["value"].alias("phrase")))), 1, 3).alias("x"))
     return rows.select("doc_id", F.array_join("x.phrase", "|").alias("terms"), F.array_join(F.transform("x", lambda r: (-r["o"]).cast("string")), ",").alias("counts"))

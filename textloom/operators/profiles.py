@@ -105,7 +105,7 @@ def profiles(docs: DataFrame) -> DataFrame:
     def top(k: str, order: list, most: int, name: str) -> DataFrame:
         nth = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n"), *order))
         best = items.where(F.col("kind") == k).withColumn("nth", nth).where(F.col("nth") <= most)
-        return best.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("nth", "key", "n"))).alias(name))
+        return best.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("nth", "key", "n"))).alias(name))
 
     rows = rows.join(top("b", ["first"], 3, "b"), "source", "left").join(top("t", ["key"], 1, "t"), "source", "left")
     share = F.get("t.n", F.lit(0)) / F.col("transitions")
@@ -134,8 +134,8 @@ def projected_fingerprint(profile: DataFrame) -> DataFrame:
 def _outlying(lengths: Column, mean: Column, stdev: Column, most: int, z: float = 2.0) -> Column:
     """Structs (no, n) of the `most` lengths furthest from the mean, over z deviations, in order; none without spread."""
     scored = F.transform(lengths, lambda x, i: F.struct((-F.abs((x - mean) / stdev)).alias("z"), (-x).alias("o"), i.alias("no"), x.alias("n")))
-    best = F.slice(F.array_sort(F.filter(scored, lambda x: x["z"] < -z)), 1, most)
-    ordered = F.array_sort(F.transform(best, lambda x: F.struct(x["no"].alias("no"), x["n"].alias("n"))))
+    best = F.slice(F.sort_array(F.filter(scored, lambda x: x["z"] < -z)), 1, most)
+    ordered = F.sort_array(F.transform(best, lambda x: F.struct(x["no"].alias("no"), x["n"].alias("n"))))
     return F.when(stdev > 0, ordered).otherwise(F.array().cast("array<struct<no:int,n:int>>"))
 
 
@@ -217,7 +217,7 @@ def invariants(docs: DataFrame) -> DataFrame:
     rows = document_figures(docs.select("doc_id", F.lit("").alias("source"), "text"))
     rows = T.with_distribution(rows, F.col("ls"), {"p10": "s10", "p90": "s90"})
     rows = T.with_distribution(rows, F.col("lp"), {"minimum": "plo", "maximum": "phi"})
-    best = F.slice(F.array_sort(F.transform(T.runs(grams(F.col("w"), 2)), lambda x: F.struct((-x["n"]).alias("o"), x["first"].alias("first"), x["value"].alias("value")))), 1, 3)
+    best = F.slice(F.sort_array(F.transform(T.runs(grams(F.col("w"), 2)), lambda x: F.struct((-x["n"]).alias("o"), x["first"].alias("first"), x["value"].alias("value")))), 1, 3)
     rows = rows.withColumns({"terms": best, "brackets": F.regexp_count(t, F.lit(r"\[\d+(?:,\s*\d+)*\]")), "authors": F.regexp_count(t, F.lit(r"\([A-Z][A-Za-z' -]+,\s*\d{4}[a-z]?\)"))})
     cited = F.format_string("bracket_numbers=%d,author_year=%d", "brackets", "authors")
     span = lambda n, a, b: F.when(F.col(n) > 0, F.concat(T.whole_or_tenths(F.col(a)), F.lit(".."), T.whole_or_tenths(F.col(b)))).otherwise("none")

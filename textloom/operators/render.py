@@ -33,7 +33,7 @@ def notes(nodes: DataFrame) -> DataFrame:
     nth = F.row_number().over(Window.partitionBy("doc_id", "slug").orderBy("section")) - 1
     per = per.withColumn("slug", slug(F.col("heading"))).withColumn("nth", nth)
     name = F.concat(F.col("slug"), F.when(F.col("nth") > 0, F.concat(F.lit("-"), F.col("nth").cast("string"))).otherwise(""), F.lit(".md"))
-    body = F.array_join(F.transform(F.array_sort(F.col("body")), lambda x: x["text"]), "\n\n")
+    body = F.array_join(F.transform(F.sort_array(F.col("body")), lambda x: x["text"]), "\n\n")
     return per.select("doc_id", name.alias("file_name"), "heading", "paragraphs", F.concat(body, F.lit("\n")).alias("content"), "section")
 
 
@@ -53,7 +53,7 @@ WARNING = "Vault content is plaintext unless the vault volume is encrypted."
 
 def _ordered(rows: DataFrame, order: str, name: str, *fields: Column | str) -> DataFrame:
     """doc_id and an array, by `order`, of structs of fields."""
-    kept = rows.select("doc_id", F.col(order).alias("_o"), F.struct(*fields).alias("_s")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("_o", "_s"))).alias("x"))
+    kept = rows.select("doc_id", F.col(order).alias("_o"), F.struct(*fields).alias("_s")).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("_o", "_s"))).alias("x"))
     return kept.select("doc_id", F.transform("x", lambda v: v["_s"]).alias(name))
 
 

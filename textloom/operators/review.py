@@ -32,7 +32,7 @@ def coverage(spans: DataFrame, least_words: int = 1000) -> DataFrame:
     """
     rows = spans.groupBy("package_id").agg(
         F.count_if(~is_resolved()).alias("unresolved"), F.coalesce(F.sum(F.when(is_voice(), F.col("words"))), F.lit(0)).alias("words"),
-        F.array_sort(F.collect_set("unsupported")).alias("features"), (F.sum("words") > 0).cast("double").alias("text_coverage"),
+        F.sort_array(F.collect_set("unsupported")).alias("features"), (F.sum("words") > 0).cast("double").alias("text_coverage"),
     )
     rows = rows.withColumns({"structure_coverage": F.when(F.size("features") > 0, 0.0).otherwise(1.0), "sufficiency": F.when(F.col("words") >= least_words, "sufficient").otherwise("insufficient")})
     return rows.select("package_id", "text_coverage", "structure_coverage", "unresolved", F.array_join("features", ",").alias("features"), _status("unresolved > 0 OR size(features) > 0", (F.col("sufficiency") == "sufficient") & (F.col("text_coverage") == 1.0)).alias("status"), "sufficiency", "words")
@@ -59,7 +59,7 @@ def voice_texts(spans: DataFrame) -> DataFrame:
 
     Packages without any have no row. A package is one document, so its spans fit in a row.
     """
-    rows = spans.where(is_voice()).groupBy("package_id").agg(F.array_sort(F.collect_list(F.struct("span_no", "text"))).alias("x"))
+    rows = spans.where(is_voice()).groupBy("package_id").agg(F.sort_array(F.collect_list(F.struct("span_no", "text"))).alias("x"))
     return rows.select("package_id", F.array_join("x.text", "\n\n").alias("text"))
 
 
@@ -71,7 +71,7 @@ def profile_coverage(packages: DataFrame, least_words: int = 1000) -> DataFrame:
     """
     rows = packages.groupBy("profile").agg(
         F.min("text_coverage").alias("text_coverage"), F.min("structure_coverage").alias("structure_coverage"), F.sum("unresolved").alias("unresolved"), F.sum("words").alias("words"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.filter(F.split("features", ","), lambda x: x != ""))))).alias("features"),
+        F.sort_array(F.array_distinct(F.flatten(F.collect_set(F.filter(F.split("features", ","), lambda x: x != ""))))).alias("features"),
         F.bool_or(F.col("status") == "partial").alias("partial"), F.bool_or(F.col("sufficiency") == "insufficient").alias("short"),
     )
     open_, enough = "unresolved > 0 OR size(features) > 0", F.col("words") >= least_words
@@ -181,7 +181,7 @@ def described(fingerprints: DataFrame, phrases: DataFrame) -> DataFrame:
 
     fingerprints: what metrics.fingerprint() gives; phrases: (doc_id, rank, phrase), of which the first five are named.
     """
-    top = phrases.where("rank <= 5").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", "phrase"))).alias("p"))
+    top = phrases.where("rank <= 5").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("rank", "phrase"))).alias("p"))
     rows = fingerprints.join(top, "doc_id", "left")
     f, some = F.col("formality"), F.col("total_words") > 0
     tenths = lambda c: T.tenths(F.round(F.round(c, 6), 2))

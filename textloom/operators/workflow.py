@@ -31,7 +31,7 @@ def capsules(contexts: DataFrame, claims: DataFrame, spans: DataFrame, entities:
     """
     def listed(rows: DataFrame, order: str, value: Column, name: str, limit: int | None) -> DataFrame:
         rows = rows if limit is None else rows.where(F.col(order) <= limit)
-        kept = rows.select("doc_id", F.col(order).alias("o"), value.alias("v")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("o", "v"))).alias("x"))
+        kept = rows.select("doc_id", F.col(order).alias("o"), value.alias("v")).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("o", "v"))).alias("x"))
         return kept.select("doc_id", F.array_join("x.v", " | ").alias(name), F.size("x").cast("long").alias(f"n_{name}"))
 
     style = invariants.select("doc_id", "kind", "value").unionByName(tendencies.select("doc_id", F.concat(F.lit("tendency_"), "name").alias("kind"), "value"))
