@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from textloom.llm.bpe import encode_documents, encoding_digests
+from textloom.llm.collocations import collocations
 from textloom.llm.common import table
 from textloom.llm.licenses import scan_licenses
 from textloom.llm.media import media_features, write_media
@@ -14,6 +16,7 @@ from textloom.llm.ngram_join import ngram_components
 from textloom.llm.packing import pack
 from textloom.llm.quality import score_quality
 from textloom.llm.secrets import scan_secrets
+from textloom.llm.spelling import spelling_variants
 from textloom.llm.sstable import new_folder, read_shards, write_shards
 from textloom.llm.topk import top_k
 from textloom.llm.toxicity import score_toxicity
@@ -64,9 +67,24 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding_digests(encode_documents(table(spark, sf_dir, "documents")))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_ngram_jaccard_join, op2_quality_classifier, op3_toxicity, op4_exact_topk, op5_media_columns, op6_best_fit_packing, op7_mixing, op8_secret_scans, op9_token_id_output, op10_license_scans)
+    for f in (
+        op1_ngram_jaccard_join, op2_quality_classifier, op3_toxicity, op4_exact_topk, op5_media_columns, op6_best_fit_packing, op7_mixing, op8_secret_scans, op9_token_id_output, op10_license_scans,
+        op11_phrase_collocations, op12_bpe_encoding, op13_spelling_variants,
+    )
 }
 
 ORACLES: dict[str, str] = {
@@ -78,5 +96,23 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
       FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rnk FROM s)
 SELECT query_id, CAST(rnk AS INTEGER) AS rank, vec_id, score FROM r WHERE rnk <= 5
+""",
+    "op11_phrase_collocations": r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+i AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+g AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase FROM i, (SELECT unnest(range(1, 6)) AS k) WHERE i + k - 1 <= len(ws)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+n AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1),
+x AS (SELECT *, unnest(range(1, k)) AS cut FROM c),
+y AS (SELECT x.*, array_to_string(ws[1:cut], ' ') AS first, array_to_string(ws[cut + 1:], ' ') AS rest FROM x),
+z AS (SELECT y.lang, y.k, y.phrase, y.a, y.ws, y.cut, l.f AS l, r.f AS r, n.n,
+             CAST((1000::HUGEINT * y.a * n.n) // (l.f::HUGEINT * r.f) AS BIGINT) AS score
+      FROM y JOIN f l ON l.lang = y.lang AND l.phrase = y.first JOIN f r ON r.lang = y.lang AND r.phrase = y.rest JOIN n ON n.lang = y.lang),
+b AS (SELECT * FROM z QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+o AS (SELECT b.* FROM b WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.lang = b.lang AND c.k > b.k AND contains(' ' || c.phrase || ' ', ' ' || b.phrase || ' ') AND 100 * c.a >= 100 * b.a)),
+t AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM o)
+SELECT lang, rank, phrase, a, l, r, n, score FROM t WHERE rank <= 2000
 """,
 }
