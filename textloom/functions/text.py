@@ -169,3 +169,48 @@ def runs(xs: Column) -> Column:
     # sorted by value and place: a value's first row starts a run, which ends where the next one starts
     starts = bound(placed, lambda p: F.filter(F.transform(p, lambda x, i: F.struct(x["value"].alias("value"), x["at"].alias("first"), i.alias("i"), ((i == 0) | (x["value"] != F.get(p, i - 1)["value"])).alias("new"))), lambda x: x["new"]))
     return bound(F.struct(starts.alias("s"), F.size(xs).alias("n")), lambda r: F.transform(r["s"], lambda x, k: F.struct(x["value"].alias("value"), (F.coalesce(F.get(r["s"], k + 1)["i"], r["n"]) - x["i"]).alias("n"), x["first"].alias("first")).cast(kind)))
+
+
+#: Word runs, and everything else one by one: joined again, tokens give the text.
+TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]"
+WORD_RUN = r"^[\p{L}\p{N}_]"
+
+
+def folded(c: Column) -> Column:
+    """A token as a search without regard to case sees it; its length may differ from the token's."""
+    return F.translate(F.lower(F.translate(c, "İ", "i")), "ıſς", "isσ")
+
+
+def places(n: Column) -> Column:
+    """0 to n - 1; none for n of 0 and less."""
+    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+
+
+def with_grams(df: DataFrame, keys: str, lengths: list[int], name: str = "grams") -> DataFrame:
+    """df with all runs of k elements of an array of strings, for each k of lengths, as structs (k, h, at).
+
+    h is a hash of the run; equal runs have equal ones. Runs of 1, 2, 4, ... elements are hashed from two halves each, and
+    any other length from those, so the work for a length is the array's length times at most its number of binary digits.
+    """
+    high = max(lengths).bit_length() - 1
+
+    def run(k: int, n: Column, powers: list[Column]) -> Column:
+        def h(i: Column) -> Column:
+            value, at = None, 0
+            for j in range(high, -1, -1):
+                if k >> j & 1:
+                    part = F.get(powers[j], i + at)
+                    value, at = part if value is None else F.xxhash64(value, part), at + (1 << j)
+            return value
+
+        return F.transform(places(n - (k - 1)), lambda i: F.struct(F.lit(k).alias("k"), h(i).alias("h"), i.alias("at")))
+
+    def grown(powers: list[Column]) -> Column:
+        last, half = powers[-1], 1 << (len(powers) - 1)
+        if len(powers) > high:
+            return F.concat(*[run(k, F.size(powers[0]), powers) for k in lengths])
+        doubled = F.transform(places(F.size(last) - half), lambda i: F.xxhash64(F.get(last, i), F.get(last, i + half)))
+        return bound(doubled, lambda p: grown([*powers, p]))
+
+    # bound, as a column would be worked out anew for each element that looks at it
+    return df.withColumn(name, bound(F.transform(keys, lambda x: F.xxhash64(x)), lambda p: grown([p])))

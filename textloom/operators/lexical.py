@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import lexicons as L
 from textloom.functions import text as T
+from textloom.operators.intervals import overlapping, sums_before
 
 _MARKS = r"""[!-/:-@\[-`{-~]"""
 #: The ranks of rule origins, strongest first.
@@ -34,36 +35,101 @@ def contexts(docs: DataFrame, window: int = 3) -> DataFrame:
 
 def covered(token_rows: DataFrame, spans: DataFrame) -> DataFrame:
     """doc_id, tok_no, spans: the numbers of the protected spans (span_no, start, end) that cover each token's start."""
-    held = token_rows.select("doc_id", "tok_no", "offset").join(spans.select("doc_id", "span_no", F.col("start").alias("s"), F.col("end").alias("e")), "doc_id").where("s <= offset AND offset < e")
+    at = token_rows.select("doc_id", "tok_no", "offset", (F.col("offset") + 1).alias("end"))
+    held = overlapping(at, spans.select("doc_id", "span_no", F.col("start").alias("s"), F.col("end").alias("e")), left_range=("offset", "end"))
     return held.groupBy("doc_id", "tok_no").agg(F.sort_array(F.collect_list("span_no")).alias("spans"))
 
 
-def phrases(docs: DataFrame, rule_rows: DataFrame, most_words: int = 4) -> DataFrame:
-    """Places of the rules' sources of several words: doc_id, source, token, offset, left_window, right_window.
+def phrase_hits(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """rows (doc_id, keys, ...) that hold a phrase, with hits: structs (at, k and the columns of known but keys).
 
-    Longer sources come first, then by name; a place that one before it overlaps falls away. Word runs of the text,
-    with what is between them, meet the sources by an equi-join, in any case; windows are 40 characters.
+    keys: an array of tokens; known: (keys, ...), phrases of any number of tokens. Runs of as many tokens as some phrase
+    has meet the phrases by their hashes in an equi-join; what meets is compared token by token. Only the distinct
+    lengths come to the driver. Phrases without tokens are never found.
     """
-    sources = rule_rows.where(F.col("source").contains(" ")).select("source").distinct()
-    keyed = sources.select("source", F.lower("source").alias("key"), F.size(F.regexp_extract_all("source", F.lit(r"(?U)\w+"), F.lit(0))).alias("k"))
-    rows = docs.select("doc_id", F.lower("text").alias("t")).select("doc_id", T.matches(F.col("t"), r"(?U)\w+").alias("m"), F.split("t", r"(?U)\w+", -1).alias("g"))
-
-    def run(k: int) -> Column:
-        places = F.when(F.size("m") >= k, F.sequence(F.lit(0), F.size("m") - k)).otherwise(F.array().cast("array<int>"))
-        piece = lambda i: F.concat(*[x for j in range(k) for x in ([F.get("g", i + j)] if j else []) + [F.get("m", i + j)["text"]]])
-        return F.transform(places, lambda i: F.struct(piece(i).alias("key"), F.get("m", i)["start"].alias("start"), F.get("m", i + (k - 1))["end"].alias("end")))
-
-    held = rows.select("doc_id", F.inline(F.concat(*[run(k) for k in range(2, most_words + 1)]))).join(keyed.drop("k"), "key")
-    per = held.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct((-F.length("source")).alias("o"), "source", "start", "end"))).alias("xs"))
-    state = F.array().cast("array<struct<o:int,source:string,start:int,end:int>>")
-    clash = lambda acc, x: F.exists(acc, lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"]))
-    kept = F.aggregate("xs", state, lambda acc, x: F.when(clash(acc, x), acc).otherwise(F.concat(acc, F.array(x))))
-    found = per.select("doc_id", F.inline(kept)).join(docs.select("doc_id", "text"), "doc_id")
-    text, s, e = F.col("text"), F.col("start"), F.col("end")
-    return found.select(
-        "doc_id", "source", F.substring(text, s + 1, e - s).alias("token"), s.cast("long").alias("offset"),
-        F.substring(text, F.greatest(s - 40, F.lit(0)) + 1, F.least(s, F.lit(40))).alias("left_window"), F.substring(text, e + 1, F.lit(40)).alias("right_window"),
-    )
+    known = known.where(F.size("keys") > 0)
+    lengths = [r[0] for r in known.select(F.size("keys")).distinct().collect()] or [1]
+    others = [c for c in known.columns if c != "keys"]
+    named = T.with_grams(known, "keys", lengths).withColumn("g", F.explode(F.filter("grams", lambda g: (g["k"] == F.size("keys")))))
+    named = named.select(F.col("g.k").alias("k"), F.col("g.h").alias("h"), F.col("keys").alias("own"), *others)
+    runs = T.with_grams(rows.select("doc_id", "keys"), "keys", lengths).select("doc_id", F.inline("grams"))
+    met = runs.join(named, ["k", "h"]).groupBy("doc_id").agg(F.collect_list(F.struct("at", "k", "own", *others)).alias("hits"))
+    # both arrays are worked out once a row
+    whole = lambda r: F.filter(r["hits"], lambda x: F.slice(r["keys"], x["at"] + 1, x["k"]) == x["own"])
+    named = lambda x: F.struct(x["at"].alias("at"), x["k"].alias("k"), *[x[c].alias(c) for c in others])
+    return rows.join(met, "doc_id").withColumn("hits", T.bound(F.struct("keys", "hits"), lambda r: F.transform(whole(r), named)))
+
+
+def phrases(docs: DataFrame, rule_rows: DataFrame) -> DataFrame:
+    """Places of the rules' sources that hold a blank: doc_id, source, token, offset, left_window, right_window.
+
+    A source is found as it is written, marks and blanks included, at any length and in any case, where no letter, digit or underscore
+    stands before or after it. Of one source's places that overlap the first counts. Longer sources come first,
+    then by name; a place that one before it overlaps falls away. Windows are 40 characters.
+    """
+    cut = lambda c: F.regexp_extract_all(c, F.lit(T.TOKEN), F.lit(0))
+    sources = rule_rows.where(F.col("source").contains(" ")).select("source").distinct().withColumn("keys", F.transform(cut(F.col("source")), T.folded))
+    rows = docs.select("doc_id", cut(F.col("text")).alias("toks")).withColumn("keys", F.transform("toks", T.folded))
+    kept = T.bound(F.struct("toks", "hits"), lambda r: T.bound(_chosen(_leftmost(_apart(r["toks"], r["hits"]))), lambda hits: _shown(r["toks"], hits)))
+    return phrase_hits(rows, sources).select("doc_id", F.inline(kept))
+
+
+_HIT = "struct<source:string,at:int,k:int>"
+
+
+def _apart(toks: Column, hits: Column) -> Column:
+    """The hits with no word right before or after them, by source and place."""
+    word = lambda i: F.coalesce(F.get(toks, i).rlike(T.WORD_RUN), F.lit(False))
+    kept = F.filter(hits, lambda x: ~word(x["at"] - 1) & ~word(x["at"] + x["k"]))
+    return F.sort_array(F.transform(kept, lambda x: F.struct(x["source"].alias("source"), x["at"].alias("at"), x["k"].alias("k"))))
+
+
+def _leftmost(hits: Column) -> Column:
+    """Of the places of one source that overlap the first, from left to right; sorted by place."""
+    def step(last: Column, x: Column) -> tuple[Column, Column]:
+        free = (x["source"] != last["source"]) | (x["at"] >= last["end"])
+        return F.when(free, F.struct(x["source"].alias("source"), (x["at"] + x["k"]).alias("end"))).otherwise(last), F.when(free, x)
+
+    swept = T.sweep(hits, F.struct(F.lit("").alias("source"), F.lit(0).alias("end")), step, _HIT)["out"]
+    return F.sort_array(F.transform(swept, lambda x: F.struct(x["at"].alias("at"), x["k"].alias("k"), x["source"].alias("source"))))
+
+
+def _chosen(hits: Column) -> Column:
+    """Of places that overlap those of the longer source, then by name.
+
+    Places in a row that overlap make a group, and only within one each place is held against those taken before: groups
+    stay small, however many places a text has.
+    """
+    kind = "struct<o:int,source:string,at:int,k:int,group:int>"
+
+    def step(last: Column, x: Column) -> tuple[Column, Column]:
+        group = last["group"] + (x["at"] >= last["end"]).cast("int")
+        row = F.struct((-F.length(x["source"])).alias("o"), x["source"].alias("source"), x["at"].alias("at"), x["k"].alias("k"), group.alias("group"))
+        return F.struct(F.greatest(last["end"], x["at"] + x["k"]).alias("end"), group.alias("group")), row
+
+    def choose(xs: Column) -> Column:
+        clash = lambda acc, x: F.exists(acc, lambda y: (x["at"] < y["at"] + y["k"]) & (y["at"] < x["at"] + x["k"]))
+        many = F.aggregate(F.sort_array(xs), F.array().cast(f"array<{kind}>"), lambda acc, x: F.when(clash(acc, x), acc).otherwise(F.concat(acc, F.array(x))))
+        return F.when(F.size(xs) == 1, xs).otherwise(many)
+
+    def groups(rows: Column) -> Column:
+        starts = F.filter(T.places(F.size(rows)), lambda i: (i == 0) | (F.get(rows, i)["group"] != F.get(rows, i - 1)["group"]))
+        ends = lambda starts, i: F.coalesce(F.get(starts, i + 1), F.size(rows))
+        return T.bound(starts, lambda starts: F.flatten(F.transform(starts, lambda s, i: T.bound(F.slice(rows, s + 1, ends(starts, i) - s), choose))))
+
+    return T.bound(T.sweep(hits, F.struct(F.lit(0).alias("end"), F.lit(0).alias("group")), step, kind)["out"], groups)
+
+
+def _shown(toks: Column, hits: Column) -> Column:
+    """source, token, offset, left_window, right_window of each hit."""
+    text = lambda start, n: F.array_join(F.slice(toks, start + 1, n), "")
+    # every token has a character at least: 40 of them reach as far as the windows do
+    left = lambda at: F.right(text(F.greatest(at - 40, F.lit(0)), F.least(at, F.lit(40))), F.lit(40))
+    right = lambda end: F.left(text(end, F.lit(40)), F.lit(40))
+    return T.bound(T.running(F.transform(toks, lambda x: F.length(x).cast("long"))), lambda before: F.transform(hits, lambda x: F.struct(
+        x["source"].alias("source"), text(x["at"], x["k"]).alias("token"), F.get(before, x["at"]).alias("offset"),
+        left(x["at"]).alias("left_window"), right(x["at"] + x["k"]).alias("right_window"),
+    )))
 
 
 def _forms(rule_rows: DataFrame) -> DataFrame:
@@ -87,7 +153,7 @@ def inflected(surface: Column, lemma: Column, target: Column) -> Column:
     form = F.when(s == F.lower(lemma), target).when(s.endswith("ing") & ~F.lower(lemma).endswith("ing"), ing).when(s.endswith("ed") & ~F.lower(lemma).endswith("ed"), ed)
     letters = F.regexp_replace(surface, r"[^\p{L}]", "")
     title = letters.rlike(r"^\p{Lu}[^\p{Lu}]*$")
-    return F.when((letters != "") & (letters == F.upper(letters)), F.upper(form)).when(title, F.concat(F.upper(F.substring(form, 1, 1)), F.substring(form, 2, 1000))).otherwise(form)
+    return F.when((letters != "") & (letters == F.upper(letters)), F.upper(form)).when(title, F.concat(F.upper(F.substring(form, 1, 1)), F.substring(form, F.lit(2), F.length(form)))).otherwise(form)
 
 
 def _tokens(window: Column) -> Column:
@@ -124,8 +190,9 @@ def propose(docs: DataFrame, rule_rows: DataFrame, spans: DataFrame, safe_thresh
     rows = rows.join(forms, "form").select("doc_id", "offset", "surface", "source", "left_window", "right_window")
     if not rule_rows.where(F.col("source").contains(" ")).isEmpty():
         found = phrases(docs, rule_rows)
-        place = found.select("doc_id", F.col("offset").alias("po"), (F.col("offset") + F.length("token")).alias("pe"))
-        under = rows.join(place, "doc_id").where("offset < pe AND po < offset + length(surface)").select("doc_id", "offset").distinct()
+        place = found.select("doc_id", F.col("offset").alias("s"), (F.col("offset") + F.length("token")).alias("e"))
+        own = rows.select("doc_id", "offset", (F.col("offset") + F.length("surface")).alias("end"))
+        under = overlapping(own, place, left_range=("offset", "end")).select("doc_id", "offset").distinct()
         rows = rows.join(under, ["doc_id", "offset"], "left_anti").unionByName(found.select("doc_id", "offset", F.col("token").alias("surface"), "source", "left_window", "right_window"))
     ranked = rule_rows.withColumn("rank", F.array_position(ranks, F.col("precedence")))
     best = ranked.groupBy("source").agg(F.min(F.struct("rank", "rule_id", "target", "sense", "confidence")).alias("r"))
@@ -134,7 +201,7 @@ def propose(docs: DataFrame, rule_rows: DataFrame, spans: DataFrame, safe_thresh
     length = F.length("surface")
     held = spans.select("doc_id", F.col("start").alias("s"), F.col("end").alias("e"))
     key = ["doc_id", "offset"]
-    covered = rows.select("doc_id", "offset", length.alias("len")).join(held, "doc_id").where("offset < e AND s < offset + len").select(*key).distinct().withColumn("covered", F.lit(True))
+    covered = overlapping(rows.select("doc_id", "offset", (F.col("offset") + length).alias("end")), held, left_range=("offset", "end")).select(*key).distinct().withColumn("covered", F.lit(True))
     rows = rows.join(covered, key, "left")
     rows = rows.withColumn("target", inflected(F.col("surface"), F.col("source"), F.col("r.target")))
     status = (
@@ -146,30 +213,43 @@ def propose(docs: DataFrame, rule_rows: DataFrame, spans: DataFrame, safe_thresh
 
 
 def apply_changes(docs: DataFrame, changes: DataFrame) -> DataFrame:
-    """doc_id, text with the changes (doc_id, offset, length, surface, target) made; those that don't fit are left out."""
-    per = changes.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("offset", "length", "surface", "target"))).alias("xs"))
+    """doc_id, text, problem: the texts with the changes (doc_id, offset, length, surface, target) made.
+
+    A document whose changes don't all fit keeps its text, and problem names the first that doesn't: outside the text, over
+    another one, or not on its surface. Where changes have a document_hash, the sha256 of the text that they were
+    proposed on, and it is another one, problem says so. Null where there is nothing to say.
+    """
+    hash_ = F.max("document_hash") if "document_hash" in changes.columns else F.lit(None).cast("string")
+    other = F.count_distinct("document_hash") > 1 if "document_hash" in changes.columns else F.lit(False)
+    per = changes.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("offset", "length", "surface", "target"))).alias("xs"), hash_.alias("hash"), other.alias("mixed"))
     rows = docs.select("doc_id", "text").join(per, "doc_id", "left")
     t = F.col("text")
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit(None).cast("string").alias("problem"))
 
-    def step(at: Column, x: Column) -> tuple[Column, Column]:
+    def step(last: Column, x: Column) -> tuple[Column, Column]:
+        at, end = last["at"], x["offset"] + x["length"]
         own = F.substring(t, (x["offset"] + 1).cast("int"), x["length"].cast("int"))
-        fits = (x["offset"] >= at) & (own == x["surface"])
+        wrong = F.when((x["offset"] < 0) | (x["length"] <= 0) | (end > F.length(t)), "outside").when(x["offset"] < at, "overlap").when(own != x["surface"], "surface")
         kept = F.substring(t, (at + 1).cast("int"), (x["offset"] - at).cast("int"))
-        return F.when(fits, x["offset"] + x["length"]).otherwise(at), F.when(fits, F.concat(kept, x["target"]))
+        named = F.coalesce(last["problem"], F.concat(wrong, F.lit(":"), x["offset"].cast("string")))
+        return F.struct(F.when(named.isNull(), end).otherwise(at).alias("at"), named.alias("problem")), F.when(named.isNull(), F.concat(kept, x["target"]))
 
-    swept = T.sweep(F.col("xs"), F.lit(0).cast("long"), step, "string")
-    new = T.bound(swept, lambda r: F.concat(F.array_join(r["out"], ""), F.substring(t, (r["last"] + 1).cast("int"), F.length(t))))
-    return rows.select("doc_id", F.coalesce(new, t).alias("text"))
+    rows = rows.withColumn("swept", T.sweep(F.col("xs"), start, step, "string"))
+    stale = F.when(F.col("mixed") | (F.col("hash") != F.sha2(t, 256)), "document_hash")
+    problem = F.coalesce(stale, F.col("swept.last.problem"))
+    new = F.concat(F.array_join("swept.out", ""), F.substring(t, (F.col("swept.last.at") + 1).cast("int"), F.length(t)))
+    return rows.select("doc_id", F.when(problem.isNull(), F.coalesce(new, t)).otherwise(t).alias("text"), problem.alias("problem"))
 
 
 def rebase(spans: DataFrame, changes: DataFrame) -> DataFrame:
     """Spans (doc_id, span_no, start, end) after the changes: shifted by what ends before them; overlap is an error."""
-    c = changes.select("doc_id", F.col("offset").alias("o"), F.col("length").alias("n"), (F.length("target") - F.col("length")).alias("more"))
-    rows = spans.join(c, "doc_id", "left").groupBy("doc_id", "span_no", "start", "end").agg(
-        F.coalesce(F.sum(F.when(F.col("o") + F.col("n") <= F.col("start"), F.col("more"))), F.lit(0)).alias("shift"),
-        F.coalesce(F.bool_or((F.col("o") < F.col("end")) & (F.col("start") < F.col("o") + F.col("n"))), F.lit(False)).alias("overlap"),
-    )
-    return rows.select("doc_id", "span_no", (F.col("start") + F.col("shift")).alias("start"), (F.col("end") + F.col("shift")).alias("end"), "overlap")
+    c = changes.select("doc_id", F.col("offset").alias("s"), (F.col("offset") + F.col("length")).alias("e"), (F.length("target") - F.col("length")).alias("more"))
+    own = spans.select("doc_id", "span_no", "start", "end")
+    rows = sums_before(own, c, place="e", value="more", name="shift")
+    key = ["doc_id", "span_no", "start", "end"]
+    touched = overlapping(own, c.drop("more")).select(*key).distinct().withColumn("overlap", F.lit(True))
+    rows = rows.join(touched, key, "left")
+    return rows.select("doc_id", "span_no", (F.col("start") + F.col("shift")).alias("start"), (F.col("end") + F.col("shift")).alias("end"), F.coalesce("overlap", F.lit(False)).alias("overlap"))
 
 
 def review(changes: DataFrame, decisions: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
+from textloom.operators.lexical import phrase_hits
 
 TEXT_NODES = ("paragraph", "heading", "list_item", "table_cell", "quotation")
 
@@ -159,21 +160,15 @@ PROTECTED_TERMS = {
 }
 
 
-def gazetteer_hits(docs: DataFrame, terms: DataFrame, most_words: int = 3) -> DataFrame:
-    """doc_id, domain, term, n of whole-phrase, case-blind occurrences of terms (domain, term) of up to three words.
+def gazetteer_hits(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """doc_id, domain, term, n of whole-phrase, case-blind occurrences of terms (domain, term) of any number of words.
 
-    Words are runs of letters and digits, so marks between them don't matter.
+    Words are runs of letters and digits, so marks between them don't matter. A term without words is never found.
     """
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
-    rows = docs.select("doc_id", words(F.col("text")).alias("w"))
-
-    def grams(k: int) -> Column:
-        places = F.when(F.size("w") >= k, F.sequence(F.lit(1), F.size("w") - k + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(places, lambda i: F.concat_ws(" ", *[F.get("w", i + (j - 1)) for j in range(k)]))
-
-    held = rows.select("doc_id", F.explode(F.concat(*[grams(k + 1) for k in range(most_words)])).alias("gram"))
-    known = terms.select("domain", "term", F.array_join(words(F.col("term")), " ").alias("gram")).distinct()
-    return held.join(known, "gram").groupBy("doc_id", "domain", "term").agg(F.count("*").alias("n"))
+    known = terms.select("domain", "term", words(F.col("term")).alias("keys")).distinct()
+    held = phrase_hits(docs.select("doc_id", words(F.col("text")).alias("keys")), known)
+    return held.select("doc_id", F.inline("hits")).groupBy("doc_id", "domain", "term").agg(F.count("*").alias("n"))
 
 
 def described(fingerprints: DataFrame, phrases: DataFrame) -> DataFrame:

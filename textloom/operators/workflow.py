@@ -10,6 +10,7 @@ from textloom.operators import evidence as E
 from textloom.operators import lexical as X
 from textloom.operators import profiles as P
 from textloom.operators import review as V
+from textloom.operators.intervals import contained
 from textloom.sources.store import materialize
 
 EDITABLE = ("paragraph", "sentence", "text_run", "list_item", "table_cell")
@@ -17,9 +18,10 @@ EDITABLE = ("paragraph", "sentence", "text_run", "list_item", "table_cell")
 
 def node_safe(changes: DataFrame, nodes: DataFrame) -> DataFrame:
     """Changes (doc_id, offset, length) with safe: inside one node whose kind may be edited."""
-    n = nodes.where(F.col("node_type").isin(*EDITABLE)).select("doc_id", "start", "end")
-    held = changes.join(n, "doc_id").where("start <= offset AND offset + length <= end").select("doc_id", "offset").distinct().withColumn("safe", F.lit(True))
-    return changes.join(held, ["doc_id", "offset"], "left").withColumn("safe", F.coalesce("safe", F.lit(False)))
+    n = nodes.where(F.col("node_type").isin(*EDITABLE)).select("doc_id", F.col("start").alias("s"), F.col("end").alias("e"))
+    own = changes.select("doc_id", "offset", "length", (F.col("offset") + F.col("length")).alias("end"))
+    held = contained(own, n, left_range=("offset", "end")).select("doc_id", "offset", "length").distinct().withColumn("safe", F.lit(True))
+    return changes.join(held, ["doc_id", "offset", "length"], "left").withColumn("safe", F.coalesce("safe", F.lit(False)))
 
 
 def capsules(contexts: DataFrame, claims: DataFrame, spans: DataFrame, entities: DataFrame, invariants: DataFrame, tendencies: DataFrame, most: int = 50) -> DataFrame:
