@@ -1,10 +1,12 @@
 """Streams give what their batch twins give."""
 
+import os
 import tempfile
+from datetime import datetime
 
 from conftest import DATA
 
-from textloom.operators.ledger import latest_decisions
+from textloom.operators.ledger import JUDGED, accept_proposals, latest_decisions
 from textloom.operators.scoring import scores
 from textloom.streaming import logs
 
@@ -57,16 +59,86 @@ def test_later_runs_go_on_from_their_state(spark):
     assert not spark.read.parquet(f"{root}/state").where("batch = 1 AND span_id = 2 AND package_id = 1").count()
 
 
-def test_acceptance_keeps_the_head(spark):
-    rows = [(1, 0, 1), (1, 1, 2), (1, 2, 2), (2, 0, 5), (1, 3, 3), (2, 1, 1)]
-    folder = tempfile.mkdtemp(prefix="spark-stream-")
-    spark.createDataFrame(rows, "document_id long, seq long, base_token long").coalesce(1).write.mode("append").parquet(folder)
-    stream = spark.readStream.schema("document_id long, seq long, base_token long").parquet(folder)
-    query = logs.acceptance_stream(stream).writeStream.format("memory").queryName("accepted").outputMode("append").trigger(availableNow=True).option("checkpointLocation", tempfile.mkdtemp()).start()
-    query.awaitTermination()
-    got = sorted((r.document_id, r.base_token, r.state, r.token) for r in spark.table("accepted").collect() if r.state == "accepted")
-    assert got == [(1, 1, "accepted", 2), (1, 2, "accepted", 3), (1, 3, "accepted", 4), (2, 1, "accepted", 2)]
-    assert spark.table("accepted").where("state = 'stale'").count() == 2
+PROPOSED = "document_id long, seq long, base_token long, parent_revision_id string, revision_id string"
+STORED = "document_id long, token long, revision_id string"
+
+
+def competing():
+    """Stored revisions, and a log where two compete for each head, parents are wrong, documents are new and ids given."""
+    stored = [(d, t, f"rev-{t}") for d in (1, 2, 3) for t in range(1, 9 + d)]
+    log = []
+    for d in (1, 2, 3, 4, 5):
+        base = {4: 0, 5: 3}.get(d, 8 + d)
+        for s in range(8):
+            at = base + s // 2
+            parent = None if at == 0 else "other" if (d + s) % 7 == 3 else f"rev-{at}"
+            log.append((d, s, at, parent, f"own-{s}" if (d, s) == (2, 4) else None))
+    return stored, sorted(log, key=lambda r: (r[1], r[0])) + [(None, 1, 0, None, None), (1, 9, None, None, None)]
+
+
+def test_one_proposal_wins_a_head(spark):
+    revisions = spark.createDataFrame([(1, 1, "rev-1"), (1, 2, "rev-2")], STORED)
+    rows = [(1, 1, 2, "rev-2", "a"), (1, 2, 2, "rev-2", "b"), (1, 3, 3, "rev-3", "c"), (1, 4, 3, "a", "d"), (9, 1, 0, None, None), (9, 2, 0, None, None), (8, 1, 0, "rev-0", None), (8, 2, 3, None, None)]
+    got = sorted((r.document_id, r.seq, r.state, r.token, r.revision_id) for r in accept_proposals(revisions, spark.createDataFrame(rows, PROPOSED)).collect())
+    assert got == [
+        (1, 1, "accepted", 3, "a"), (1, 2, "stale", None, None), (1, 3, "stale_parent", None, None), (1, 4, "accepted", 4, "d"),
+        (8, 1, "unknown_document", None, None), (8, 2, "unknown_document", None, None), (9, 1, "accepted", 1, "rev-1"), (9, 2, "stale", None, None),
+    ]
+    assert accept_proposals(revisions.limit(0), spark.createDataFrame([], PROPOSED)).count() == 0
+
+
+def test_acceptance_stream_equals_the_batch(spark):
+    stored, log = competing()
+    revisions = spark.createDataFrame(stored, STORED)
+    want = sorted(map(str, accept_proposals(revisions, spark.createDataFrame(log, PROPOSED)).collect()))
+    folder, check = tempfile.mkdtemp(prefix="spark-stream-"), tempfile.mkdtemp(prefix="spark-stream-")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for part in (log[:17], log[17:]):  # the second run goes on from the first one's heads
+            spark.createDataFrame(part, PROPOSED).coalesce(1).write.mode("append").parquet(folder)
+            stream = spark.readStream.schema(PROPOSED).parquet(folder)
+            sink = logs.acceptance_stream(stream, revisions).writeStream.outputMode("append").format("parquet").option("path", f"{check}/out").option("checkpointLocation", f"{check}/c")
+            sink.trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    assert sorted(map(str, spark.read.schema(JUDGED).parquet(f"{check}/out").collect())) == want
+    states = [r.state for r in spark.read.parquet(f"{check}/out").collect()]
+    assert {"accepted", "stale", "stale_parent", "unknown_document"} <= set(states)
+
+
+def test_state_of_scored_texts_shrinks_and_late_copies_follow_the_rule(spark):
+    root = tempfile.mkdtemp(prefix="spark-stream-")
+    schema = "doc_id long, text string, ts timestamp"
+    day = lambda d: datetime(2024, 1, d)
+    # the first text once, again within a day, and a copy long after; a document of the first day that arrives on the last
+    batches = [[(1, "One text.", day(1))] + [(10 + k, f"Text number {k}.", day(1)) for k in range(50)], [(2, "One text.", day(1)), (3, "Another one.", day(9))], [(4, "A third.", day(20))], [(5, "One text.", day(21)), (6, "Too late.", day(1))]]
+    rows, states, dropped = [], [], 0
+    for batch in batches:
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(f"{root}/docs")
+        query = logs.score_stream(spark.readStream.schema(schema).parquet(f"{root}/docs"), f"{root}/stored", f"{root}/c", ts="ts")
+        query.awaitTermination()
+        progress = [p["stateOperators"][0] for p in query.recentProgress if p["stateOperators"]]
+        states.append(progress[-1]["numRowsTotal"])
+        dropped += sum(p["numRowsDroppedByWatermark"] for p in progress)
+        rows.append(spark.read.parquet(f"{root}/stored").count())
+    assert rows == [51, 52, 53, 54]  # the copy within the day isn't scored, the one long after is
+    assert states[0] == 51 and states[-1] <= 3 and dropped == 1
+
+
+def test_readers_of_decisions_read_one_snapshot_and_few_batches(spark):
+    names = ["AUTHENTIC", "EXCLUDE", "USER_REVISION", "QUOTED", "UNKNOWN"]
+    rows = [(i % 7, i, 3_000_000_000 + s, names[(i + s) % 5]) for s in (2, 0, 1, 5, 4, 3, 6) for i in range(20)]
+    schema = "package_id long, span_id long, seq long, class string"
+    stream = parts(spark, rows, schema, 7)
+    state, check = (tempfile.mkdtemp(prefix="spark-stream-") + "/t" for _ in range(2))
+    logs.decision_stream(stream, state, check, every=2).awaitTermination()
+    left = sorted(n for n in os.listdir(state) if not n.startswith("."))
+    assert left == ["batch=4", "batch=5", "batch=6", "snapshot=3", "snapshot=5"]
+    want = sorted(latest_decisions(spark.createDataFrame(rows, schema)).collect())
+    assert sorted(logs.final_decisions(spark, state).collect()) == want
+    os.remove(f"{state}/snapshot=5/_SUCCESS")  # as if it had been cut short: the one before it and its batches count
+    assert sorted(logs.final_decisions(spark, state).collect()) == want
+    assert logs.final_decisions(spark, f"{state}-none").count() == 0
 
 
 def test_window_means(spark):

@@ -39,11 +39,67 @@ def current_revisions(revisions: DataFrame) -> DataFrame:
     return revisions.groupBy("document_id").agg(F.max("token").alias("head"), F.max(F.when(F.col("status") == "accepted", F.col("token"))).alias("accepted"), F.count("*").alias("n_revisions"))
 
 
+JUDGED = "document_id long, seq long, base_token long, state string, token long, revision_id string"
+
+
+def judge(head: tuple[int, str] | None, base: int | None, parent: str | None, revision_id: str | None) -> tuple[str, tuple[int, str] | None]:
+    """What becomes of one proposal on a document's head (token, revision id; None where there is none), and the head after it."""
+    if head is None:
+        if base != 0 or parent is not None:  # only a first revision needs none to stand on
+            return "unknown_document", None
+        return "accepted", (1, revision_id or "rev-1")
+    if base != head[0]:
+        return "stale", head
+    if parent != head[1]:
+        return "stale_parent", head
+    return "accepted", (head[0] + 1, revision_id or f"rev-{head[0] + 1}")
+
+
+def heads(revisions: DataFrame) -> DataFrame:
+    """document_id, token, revision_id of each document's newest revision."""
+    newest = revisions.groupBy("document_id").agg(F.max(F.struct("token", "revision_id")).alias("h"))
+    return newest.select("document_id", F.col("h.token").cast("long").alias("token"), F.col("h.revision_id").alias("revision_id"))
+
+
+def _fold(frames):
+    """Rows in order of documents, each document's head (kind 0) before its proposals by seq, to judged proposals."""
+    import pandas as pd
+
+    now, head = object(), None
+    none = lambda x: None if pd.isna(x) else x
+    for frame in frames:
+        out = []
+        for doc, kind, seq, base, parent, own in zip(*(frame[c].tolist() for c in ("document_id", "kind", "seq", "base_token", "parent_revision_id", "revision_id"))):
+            doc = none(doc)
+            if doc != now:
+                now, head = doc, None
+            if kind == 0:
+                head = (int(base), own)
+                continue
+            base = None if pd.isna(base) else int(base)
+            state, head = judge(head, base, none(parent), none(own))
+            new = state == "accepted"
+            out.append((doc, none(seq), base, state, head[0] if new else None, head[1] if new else None))
+        yield pd.DataFrame(out, columns=["document_id", "seq", "base_token", "state", "token", "revision_id"]).astype({c: "Int64" for c in ("document_id", "seq", "base_token", "token")})
+
+
 def accept_proposals(revisions: DataFrame, proposals: DataFrame) -> DataFrame:
-    """Proposals (document_id, base_token) against heads: accepted when built on the head, else stale."""
-    heads = revisions.groupBy("document_id").agg(F.max("token").alias("head"))
-    state = F.when(F.col("head").isNull(), "unknown_document").when(F.col("base_token") == F.col("head"), "accepted").otherwise("stale")
-    return proposals.join(heads, "document_id", "left").select("document_id", "base_token", state.alias("state"), F.when(state == "accepted", F.col("head") + 1).alias("token"))
+    """Optimistic acceptance, in order of seq: document_id, seq, base_token, state, token, revision_id.
+
+    revisions: (document_id, token, revision_id); proposals: (document_id, seq, base_token, parent_revision_id,
+    revision_id). A proposal is accepted if its base is the head's token and its parent the head's id; it is then the
+    head, so of two on one head the later one is stale. stale: another base; stale_parent: the base's token, but another parent;
+    unknown_document: no head, unless the proposal is a first revision (base 0, no parent). Equal seq: by revision id. Refused
+    proposals have no token; an id that is left out is "rev-<token>".
+
+    The outcome of a proposal depends on all before it: a document's rows are sorted within its partition and pass
+    by once with the head as the only state, so a document of many proposals takes time but no memory.
+    """
+    text = F.lit(None).cast("string")
+    first = heads(revisions).select(F.col("document_id").cast("long").alias("document_id"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("seq"), F.col("token").alias("base_token"), text.alias("parent_revision_id"), "revision_id")
+    then = proposals.select(F.col("document_id").cast("long").alias("document_id"), F.lit(1).alias("kind"), F.col("seq").cast("long").alias("seq"), F.col("base_token").cast("long").alias("base_token"), "parent_revision_id", "revision_id")
+    rows = first.unionByName(then).repartition("document_id").sortWithinPartitions("document_id", "kind", "seq", "revision_id", "base_token", "parent_revision_id")
+    return rows.mapInPandas(_fold, JUDGED)
 
 
 def chain_gaps(revisions: DataFrame) -> DataFrame:
@@ -157,8 +213,10 @@ def integrity_violations(store: DataFrame) -> DataFrame:
 
 
 def newer_versions(watched: DataFrame, locked: DataFrame, known: DataFrame) -> DataFrame:
-    """package, locked, latest: watched packages whose known version is higher by its numbers."""
-    parts = lambda c: F.transform(F.regexp_extract_all(c, F.lit(r"\d+"), F.lit(0)), lambda x: x.cast("int"))
+    """package, locked, latest: watched packages whose known version is higher by its numbers, of any number of digits."""
+    plain = lambda x: F.regexp_replace(x, "^0+(?=.)", "")
+    # of numbers without leading zeros the longer one is larger, of equally long ones the later by its digits
+    parts = lambda c: F.transform(F.regexp_extract_all(c, F.lit("[0-9]+"), F.lit(0)), lambda x: F.struct(F.length(plain(x)).alias("n"), plain(x).alias("digits")))
     rows = watched.join(locked, "package").join(known, "package")
     return rows.where(parts(F.col("latest")) > parts(F.col("locked"))).select("package", "locked", "latest")
 

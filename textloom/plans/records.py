@@ -22,6 +22,12 @@ def _revisions(spark, sf):
     return c.select(F.col("conv_id").alias("document_id"), (F.col("turn") + 1).alias("token"), F.when(F.col("role") == "assistant", "accepted").when(F.col("role") == "user", "proposed").otherwise("draft").alias("status"))
 
 
+#: Revisions that are stored, and a log of proposals: two compete for each head, some name another parent, some documents are new.
+_STORED = ("conv_id AS document_id", "turn + 1 AS token", "'rev-' || CAST(turn + 1 AS STRING) AS revision_id")
+_BASE = "CASE WHEN conv_id % 10 = 0 AND conv_id % 20 = 0 THEN turn - turn % 2 ELSE 2 + (turn - turn % 2) / 2 END"
+_COMPETING = ("conv_id AS document_id", "turn AS seq", f"CAST({_BASE} AS BIGINT) AS base_token", f"CASE WHEN (conv_id + turn) % 7 = 3 THEN 'rev-0' WHEN {_BASE} > 0 THEN 'rev-' || CAST(CAST({_BASE} AS BIGINT) AS STRING) END AS parent_revision_id", "CASE WHEN turn % 5 = 4 THEN 'own-' || CAST(turn AS STRING) END AS revision_id")
+
+
 def _runs(spark, sf):
     e = table(spark, sf, "events")
     return e.select(F.dayofyear("ts").alias("run_no"), (F.col("value") / 500).alias("score"))
@@ -116,7 +122,7 @@ def _versions(spark, sf):
     p = table(spark, sf, "part").select(F.col("p_partkey").alias("package"), (F.col("p_partkey") % 12).alias("m"))
     watched = p.where("package % 2 = 0").select("package")
     locked = p.select("package", F.concat(F.lit("1."), F.col("m").cast("string"), F.lit(".0")).alias("locked"))
-    known = p.where("package % 3 <> 0").select("package", F.concat(F.lit("1."), (F.col("m") * 5 % 12).cast("string"), F.lit(".3")).alias("latest"))
+    known = p.where("package % 3 <> 0").select("package", F.concat(F.lit("1."), (F.col("m") * 5 % 12).cast("string"), F.when(F.col("package") % 7 == 0, ".20240815123456").otherwise(".3")).alias("latest"))
     return K.newer_versions(watched, locked, known)
 
 
@@ -133,7 +139,7 @@ QUERIES = {
     "w01_decisions": lambda spark, sf: K.latest_decisions(_decisions(spark, sf)),
     "w02_revisions": lambda spark, sf: K.current_revisions(_revisions(spark, sf)),
     "w03_drift": lambda spark, sf: rounded(D.drift(_runs(spark, sf), 0.02)),
-    "l13_proposals": lambda spark, sf: K.accept_proposals(_revisions(spark, sf), _revisions(spark, sf).where("status = 'proposed'").select("document_id", F.col("token").alias("base_token"))),
+    "l13_proposals": lambda spark, sf: K.accept_proposals(table(spark, sf, "conversations").where("turn < 2 AND conv_id % 10 > 0").selectExpr(*_STORED), table(spark, sf, "conversations").selectExpr(*_COMPETING)),
     "l13_chain_gaps": lambda spark, sf: K.chain_gaps(_revisions(spark, sf).where("token % 5 <> 2")),
     "g09_project_status": lambda spark, sf: K.project_status(_revisions(spark, sf)),
     "g06_sufficiency": lambda spark, sf: K.sufficiency(_evidence(spark, sf).withColumn("tier", F.expr("CASE source_kind WHEN 'official_spec' THEN 1 WHEN 'paper' THEN 2 WHEN 'release_notes' THEN 3 WHEN 'advisory' THEN 4 WHEN 'community' THEN 5 END"))),
@@ -173,7 +179,11 @@ SELECT p.proposal_id, category, CASE WHEN category IS NULL THEN 'refused.kind' W
     "w01_decisions": f"{_DEC}, l AS (SELECT *, row_number() OVER (PARTITION BY package_id, span_id ORDER BY seq DESC) AS nth FROM d WHERE class <> 'UNKNOWN') SELECT package_id, span_id, class, class <> 'EXCLUDE' AS kept FROM l WHERE nth = 1",
     "w02_revisions": f"{_R} SELECT document_id, max(token) AS head, max(CASE WHEN status = 'accepted' THEN token END) AS accepted, count(*) AS n_revisions FROM r GROUP BY document_id",
     "w03_drift": "WITH m AS (SELECT dayofyear(ts)::INT AS run_no, avg(value / 500) AS mean_score FROM events GROUP BY 1), l AS (SELECT *, abs(mean_score - lag(mean_score) OVER (ORDER BY run_no)) AS delta FROM m) SELECT run_no, round(mean_score, 6) AS mean_score, round(delta, 6) AS delta, delta > 0.02 AS drifted FROM l WHERE delta IS NOT NULL",
-    "l13_proposals": f"{_R}, h AS (SELECT document_id, max(token) AS head FROM r GROUP BY 1) SELECT r.document_id, r.token AS base_token, CASE WHEN r.token = head THEN 'accepted' ELSE 'stale' END AS state, CASE WHEN r.token = head THEN head + 1 END AS token FROM r JOIN h ON r.document_id = h.document_id WHERE status = 'proposed'",
+    "l13_proposals": "WITH RECURSIVE p AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY seq) AS k FROM (SELECT " + ", ".join(_COMPETING).replace("STRING", "VARCHAR") + """ FROM conversations)),
+f AS (SELECT DISTINCT c.conv_id AS document_id, 0::BIGINT AS k, NULL::BIGINT AS seq, NULL::BIGINT AS base_token, '' AS state, h.token AS head, 'rev-' || h.token AS rid FROM conversations c LEFT JOIN (SELECT conv_id, max(turn) + 1 AS token FROM conversations WHERE turn < 2 AND conv_id % 10 > 0 GROUP BY 1) h ON h.conv_id = c.conv_id
+UNION ALL SELECT document_id, k, seq, base_token, state, CASE state WHEN 'accepted' THEN base_token + 1 ELSE head END, CASE state WHEN 'accepted' THEN coalesce(own, 'rev-' || (base_token + 1)) ELSE rid END FROM (SELECT f.document_id, p.k, p.seq, p.base_token, f.head, f.rid, p.revision_id AS own,
+CASE WHEN f.head IS NULL THEN CASE WHEN p.base_token = 0 AND p.parent_revision_id IS NULL THEN 'accepted' ELSE 'unknown_document' END WHEN p.base_token <> f.head THEN 'stale' WHEN p.parent_revision_id IS DISTINCT FROM f.rid THEN 'stale_parent' ELSE 'accepted' END AS state FROM f JOIN p ON p.document_id = f.document_id AND p.k = f.k + 1))
+SELECT document_id, seq, base_token, state, CASE state WHEN 'accepted' THEN head END AS token, CASE state WHEN 'accepted' THEN rid END AS revision_id FROM f WHERE k > 0""",
     "l13_chain_gaps": f"{_R}, l AS (SELECT document_id, token, lag(token) OVER (PARTITION BY document_id ORDER BY token) AS before FROM r WHERE token % 5 <> 2) SELECT * FROM l WHERE before IS NOT NULL AND token <> before + 1",
     "g09_project_status": f"{_R}, d AS (SELECT document_id, count(*) AS n, max(CASE WHEN status = 'accepted' THEN token END) AS a FROM r GROUP BY 1) SELECT count(*) AS documents, sum(n)::BIGINT AS revisions, count(a) AS with_accepted FROM d",
     "g06_sufficiency": f"{_EV} SELECT trigger_id, bool_or(source_kind = 'official_spec') OR count(DISTINCT CASE WHEN source_kind IN ('paper', 'release_notes') THEN url END) >= 2 AS high_impact_met, bool_or(source_kind IN ('official_spec', 'paper', 'release_notes', 'advisory')) AS basic FROM ev GROUP BY 1",
@@ -182,7 +192,7 @@ SELECT item_id, seq, status FROM b WHERE before IS NOT NULL AND NOT ((status = '
     "m02_ids": """SELECT doc_id, 'trig-' || sha256(source || chr(0) || lang || chr(0))[1:24] AS "trigger", 'ev-' || sha256(doc_id || chr(0) || 'tier2_peer_reviewed' || chr(0) || 'paper' || chr(0) || 'https://h.example.org/' || chr(0) || sha256(text) || chr(0) || lang)[1:24] AS evidence,
 'prop-' || sha256(doc_id || chr(0) || 'metadata_field' || chr(0) || lang || chr(0) || CASE WHEN doc_id % 2 = 0 THEN 'high_impact' ELSE 'not_high_impact' END || chr(0) || source || chr(0) || lang)[1:24] AS proposal, 'proj-' || sha256(source || chr(0) || lang)[1:24] AS project, 'import-' || sha256(text || chr(0) || 'source' || chr(0) || 'text' || chr(0) || '1' || chr(0) || '1')[1:32] AS "import" FROM documents""",
     "m03_evidence_problems": f"{_EV} SELECT evidence_id, 'url' AS problem FROM ev WHERE url NOT LIKE 'https://%' UNION ALL SELECT evidence_id, 'digest' FROM ev WHERE NOT regexp_matches(snippet_sha256, '^[0-9a-f]{{64}}$') UNION ALL SELECT evidence_id, 'summary' FROM ev WHERE trim(summary) = '' UNION ALL SELECT evidence_id, 'trigger' FROM ev WHERE trigger_id = '' UNION ALL SELECT evidence_id, 'source_kind' FROM ev WHERE source_kind = 'rumour' UNION ALL SELECT evidence_id, 'repeated' FROM ev GROUP BY 1 HAVING count(*) > 1",
-    "j16_newer_versions": "WITH p AS (SELECT p_partkey AS package, p_partkey % 12 AS m FROM part), v AS (SELECT package, '1.' || m || '.0' AS locked, '1.' || (m * 5 % 12) || '.3' AS latest FROM p WHERE package % 2 = 0 AND package % 3 <> 0) SELECT * FROM v WHERE list_transform(regexp_extract_all(latest, '\\d+'), lambda x: x::INT) > list_transform(regexp_extract_all(locked, '\\d+'), lambda x: x::INT)",
+    "j16_newer_versions": "WITH p AS (SELECT p_partkey AS package, p_partkey % 12 AS m FROM part), v AS (SELECT package, '1.' || m || '.0' AS locked, '1.' || (m * 5 % 12) || CASE package % 7 WHEN 0 THEN '.20240815123456' ELSE '.3' END AS latest FROM p WHERE package % 2 = 0 AND package % 3 <> 0) SELECT * FROM v WHERE list_transform(regexp_extract_all(latest, '\\d+'), lambda x: x::BIGINT) > list_transform(regexp_extract_all(locked, '\\d+'), lambda x: x::BIGINT)",
     "j18_policy": "SELECT event_id AS action, CASE WHEN event_id % 10 < 4 OR event_id % 10 = 9 THEN 'allow' ELSE 'block' END AS decision FROM events",
     "k08_content_store": f"{DX} SELECT DISTINCT sha256(text) AS id FROM dx WHERE sha256(text) NOT IN (SELECT sha256(text) FROM dx WHERE doc_id % 4 = 0)",
     "k09_integrity": f"{DX} SELECT sha256(text || 'x') AS id FROM dx WHERE doc_id % 5 = 0",
