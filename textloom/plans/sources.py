@@ -83,7 +83,7 @@ ORACLES = {
     "s02_identity": f"""{_ID} SELECT *, declared <> 'unknown' AND declared <> magic AND NOT (magic = 'txt' AND declared IN ('txt', 'markdown')) AS mismatch, CASE WHEN magic = 'txt' AND declared = 'markdown' THEN 'markdown' WHEN magic = 'txt' THEN 'txt' ELSE declared END AS route FROM i""",
     "s04_bom": f"{_FILES} SELECT path, CASE WHEN body LIKE '﻿%' THEN 'utf-8' ELSE '' END AS bom FROM f",
     "s05_decoded": f"{_FILES} SELECT path, CASE WHEN body = '' THEN 'empty' ELSE 'ok' END AS status, CASE WHEN body <> '' THEN length(regexp_replace(body, '^﻿', '')) END AS chars FROM f",
-    "s10_page_metadata": f"""{PX} SELECT page_id AS doc_id, 'title' AS kind, 'title' AS key, trim(regexp_extract(m, '(?is)<title[^>]*>(.*?)</title>', 1)) AS value FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<title[^>]*>(.*?)</title>')) AS m FROM px)
+    "s10_page_metadata": f"""{PX} SELECT page_id AS doc_id, 'title' AS kind, 'title' AS key, trim(replace(replace(replace(replace(regexp_extract(m, '(?is)<title[^>]*>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&')) AS value FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<title[^>]*>(.*?)</title>')) AS m FROM px)
 UNION ALL SELECT page_id, 'meta', 'author', 'A B' FROM px WHERE page_id % 4 = 1 UNION ALL SELECT page_id, 'comment', 'comment', trim(regexp_extract(m, '(?s)<!--(.*?)-->', 1)) FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<!--(.*?)-->')) AS m FROM px)""",
     "k02_plain_text": f"{DX} SELECT doc_id, md5(source || chr(10) || chr(10) || text || chr(10) || chr(10) || lang || chr(10)) AS digest FROM dx",
     "k03_markdown": f"{DX} SELECT doc_id, md5('# ' || source || chr(10) || chr(10) || text || chr(10) || chr(10) || lang || chr(10)) AS digest FROM dx",

@@ -12,11 +12,14 @@ from textloom.operators import review as R
 from textloom.operators import workflow as W
 from textloom.plans.base import DX, decorated, over_documents, paragraphs, rounded, sentences, table, words
 from textloom.plans.facts import _ENT, _KEPT, _claims
+from textloom.plans.facts import ORACLES as ORACLES_FACTS
 from textloom.plans.lexis import _CTX, _PROF
 from textloom.plans.lexis import ORACLES as LEXIS
 from textloom.plans.reviewing import PROFILE_COVERAGE, review_spans, voices
 from textloom.plans.style import _CONV, _DASH, _QUOTE
 from textloom.plans.style import ORACLES as STYLE
+from textloom.sources import ingest as I
+from textloom.sources.store import new_path
 from textloom.streaming.logs import window_drift, window_means
 
 
@@ -54,6 +57,23 @@ def _safe(spark, sf):
     return W.node_safe(c.select("doc_id", "offset", "length"), _line_nodes(d))
 
 
+def _store(spark, sf):
+    """A store that took a quarter of the documents first, then all of them, then all once more."""
+    d, path, counts = decorated(spark, sf).select("doc_id", "text"), new_path(spark, "ingest"), []
+    for k, some in enumerate((d.where("doc_id % 4 = 0"), d, d)):
+        counts.append(I.ingest(some, path).withColumn("run", F.lit(k)))
+    return path, counts
+
+
+def _ingested(spark, sf):
+    _, (a, b, c) = _store(spark, sf)
+    return a.unionByName(b).unionByName(c)
+
+
+def _status(spark, sf):
+    return I.status(spark, _store(spark, sf)[0])
+
+
 def _profile(spark, sf):
     """Profiles of the approved voices, and their coverage once a person has gone through the open spans of most documents."""
     plain = decorated(spark, sf)
@@ -96,6 +116,8 @@ QUERIES = {
     "l12_node_safe": _safe,
     "l14_gates": _final,
     "k07_ingest_counts": over_documents(lambda d: W.ingest_counts(d, d.where("doc_id % 4 = 0"), claims=_claims(d), citations=E.citations(E.line_nodes(d)))),
+    "k07_ingest": _ingested,
+    "g09_status": _status,
     "s12_manifest": _manifest,
     "p14_text_free": _text_free,
     "e13_lanes": over_documents(lambda d: d.select("doc_id", (F.col("doc_id") % 2 == 0).alias("source_lane")).join(_claims(d.where("doc_id % 2 = 0")).groupBy("doc_id").agg(F.count("*").alias("n")), "doc_id", "left").groupBy("source_lane").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("claims"))),
@@ -134,6 +156,9 @@ SELECT nn.doc_id, node_no::INT AS node_no, md5(coalesce(claims, '')) AS claims,
     "l14_gates": f"""{_TOK}, uu AS (SELECT doc_id, bool_or(doc_id % 10 = 0) AS odd, bool_or(doc_id % 4 = 3 AND "offset" < 20 AND doc_id % 9 <> 0) AS head FROM ctx WHERE token = 'utilize' GROUP BY doc_id), so AS {_OFF}, g AS (SELECT dx.doc_id, coalesce(odd, false) AS odd, coalesce(head, false) AS head, dx.doc_id % 14 = 0 AS stale, so.doc_id IS NOT NULL AS off FROM dx LEFT JOIN uu ON dx.doc_id = uu.doc_id LEFT JOIN so ON dx.doc_id = so.doc_id)
 SELECT doc_id, 'review' AS gate, NOT odd AS passed FROM g UNION ALL SELECT doc_id, 'node_safe', NOT head FROM g UNION ALL SELECT doc_id, 'rebase', true FROM g UNION ALL SELECT doc_id, 'facts', true FROM g UNION ALL SELECT doc_id, 'structure', NOT head FROM g UNION ALL SELECT doc_id, 'style', NOT off FROM g UNION ALL SELECT doc_id, 'revision', NOT stale FROM g UNION ALL SELECT doc_id, 'accepted', NOT (odd OR head OR off OR stale) FROM g""",
     "k07_ingest_counts": f"{_KEPT} SELECT 'documents' AS \"table\", count(*) AS n FROM dx WHERE doc_id % 4 <> 0 UNION ALL SELECT 'claims', count(*) FROM cl WHERE doc_id % 4 <> 0 UNION ALL SELECT 'citations', count(*) FROM cites WHERE doc_id % 4 <> 0",
+    "k07_ingest": _ENT + ORACLES_FACTS["e11_relationships"][len(_ENT) :].split("SELECT doc_id, row_number()")[0] + ", t AS (" + " UNION ALL ".join(f"SELECT '{t}' AS tab, doc_id FROM {x}" for t, x in (("documents", "dx"), ("claims", "cl"), ("entities", "en WHERE entity_no <= 100"), ("protected_spans", "sp"), ("relationships", "pr WHERE predicate <> ''"), ("revisions", "dx")))
+    + """) SELECT tab AS "table", k.run, count(CASE WHEN (k.run = 0 AND doc_id % 4 = 0) OR (k.run = 1 AND doc_id % 4 <> 0) THEN 1 END) AS n FROM t, (VALUES (0), (1), (2)) k(run) GROUP BY ALL""",
+    "g09_status": f"{DX} SELECT doc_id, 'rev-1' AS accepted_revision, true AS content_persisted FROM dx",
     "s12_manifest": "WITH s AS (SELECT 's' || (doc_id - CASE WHEN doc_id % 50 = 1 THEN 1 ELSE 0 END) AS sample_id, CASE WHEN doc_id % 20 = 0 THEN 'odd' ELSE 'human' END AS grp, doc_id FROM documents) SELECT sample_id, 'group' AS problem FROM s WHERE grp = 'odd' UNION ALL SELECT sample_id, 'repeated' FROM s GROUP BY 1 HAVING count(*) > 1 UNION ALL SELECT sample_id, 'missing' FROM s WHERE doc_id % 30 = 3",
     "p14_text_free": f"""WITH j AS (SELECT event_id, ({_JSON.replace("CAST(user_id % 9 AS INT)", "(user_id % 9)").replace(chr(92) * 2, chr(92))})::JSON AS v FROM events), t AS (SELECT event_id, x.key, x.type, x.atom FROM j, json_tree(j.v) x)
 SELECT j.event_id, NOT EXISTS (SELECT 1 FROM t WHERE t.event_id = j.event_id AND (regexp_matches(lower(coalesce(t.key, '')), 'text|content|prompt|input|source|style|output|response|message') OR (t.type = 'VARCHAR' AND (length(t.atom->>'$') > 64 OR regexp_matches(t.atom->>'$', '\\s'))))) AS text_free FROM j""",

@@ -64,6 +64,8 @@ class _Page(_Places):
             if tag == "li" and self.open and self.open[-1][0] == "li":
                 self._end(at)
             self.open.append((tag, self._new(_BLOCKS[tag], at, at)))
+        elif tag == "img" and not self.dropped:  # keeps an image's place; what it shows is never fetched
+            self._new("image_placeholder", at, at + len(self.get_starttag_text() or ""))
 
     def handle_endtag(self, tag):
         if tag in _DROPPED:
@@ -124,6 +126,48 @@ def _page_findings(html: str | None) -> list[tuple]:
     return page.found
 
 
+class _Metadata(_Places):
+    """Collects (kind, key, value) of titles, meta tags that have a name and a content, and comments."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.found: list[tuple] = []
+        self.title: list[str] | None = None
+
+    def _finish(self) -> None:
+        if self.title is not None:
+            self.found.append(("title", "title", "".join(self.title).strip()))
+            self.title = None
+
+    def handle_starttag(self, tag, attrs):
+        self._finish()  # a title without an end is over where an element begins
+        if tag == "title":
+            self.title = []
+        elif tag == "meta":
+            # of repeated attributes the first counts
+            own = dict(reversed(attrs))
+            if own.get("name") is not None and own.get("content") is not None:
+                self.found.append(("meta", own["name"], own["content"].strip()))
+
+    def handle_endtag(self, tag):
+        if tag == "title":
+            self._finish()
+
+    def handle_data(self, data):
+        if self.title is not None:
+            self.title.append(data)
+
+    def handle_comment(self, data):
+        self.found.append(("comment", "comment", data.strip()))
+
+
+def _page_metadata(html: str | None) -> list[tuple]:
+    page = _Metadata()
+    page.feed_whole(html or "")
+    page._finish()
+    return page.found
+
+
 _FENCE, _HEAD, _RULE = re.compile(r"^ {0,3}(```|~~~)"), re.compile(r"^ {0,3}(#{1,6})\s+(.*?)\s*#*$"), re.compile(r"^ {0,3}([-*_])(?:\s*\1){2,}\s*$")
 _ITEM, _QUOTE, _ROW = re.compile(r"^(\s*)(?:[-*+]|\d{1,9}[.)])\s+(.*)$"), re.compile(r"^ {0,3}>\s?(.*)$"), re.compile(r"^\s*\|(.+)\|\s*$")
 
@@ -249,15 +293,12 @@ def surface_text(nodes: DataFrame) -> DataFrame:
 
 
 def page_metadata(pages: DataFrame) -> DataFrame:
-    """doc_id, kind, key, value of titles, named meta tags and comments."""
-    t = F.col("text")
-    some = lambda p, kind, key, value: F.transform(F.regexp_extract_all(t, F.lit(p), F.lit(0)), lambda m: F.struct(F.lit(kind).alias("kind"), key(m).alias("key"), F.trim(value(m)).alias("value")))
-    title, meta, comment = r"(?is)<title[^>]*>(.*?)</title>", r"""(?is)<meta\s+name="([^"]*)"\s+content="([^"]*)\"""", r"(?s)<!--(.*?)-->"
-    each = (
-        some(title, "title", lambda m: F.lit("title"), lambda m: F.regexp_extract(m, title, 1)), some(meta, "meta", lambda m: F.regexp_extract(m, meta, 1), lambda m: F.regexp_extract(m, meta, 2)),
-        some(comment, "comment", lambda m: F.lit("comment"), lambda m: F.regexp_extract(m, comment, 1)),
-    )
-    return pages.select("doc_id", F.inline(F.concat(*each)))
+    """doc_id, kind, key, value of titles, meta tags with a name and a content, and comments.
+
+    Attributes count in any order and any quotes, entities are resolved, what stands in scripts is no markup.
+    """
+    schema = "doc_id long, kind string, key string, value string"
+    return pages.select("doc_id", "text").mapInPandas(_rows(_page_metadata, schema), schema)
 
 
 def markdown_metadata(docs: DataFrame) -> DataFrame:
