@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.bpe import packed_numbers, unpacked_numbers
-from textloom.llm.common import materialize
+from textloom.llm.common import give_back, materialize
 
 LONGEST = 5
 KEY_BITS = 40
@@ -30,9 +30,9 @@ SLICE_MASS = 1 << 22
 #: Counters of a slice, in multiples of mass / threshold: what they lose is less than threshold / SPARE.
 SPARE = 8
 #: Words of texts that are counted together in a task.
-BATCH_WORDS = 1 << 19
+BATCH_WORDS = 1 << 18
 #: N-grams of a task that are summed up before they are written; tasks of more write several summaries.
-HELD = 1 << 23
+HELD = 3 << 20
 
 # A-Z in lower case, marks and line ends as line ends, tabs as blanks: single bytes, so letters of more bytes stay whole
 _BYTES = bytearray(range(256))
@@ -116,11 +116,19 @@ def _texts(batches: Iterator[pa.RecordBatch], most: int = BATCH_WORDS) -> Iterat
 
 
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, ascending, with the sums of their counts."""
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    new = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, np.int64)
-    return keys[new], np.add.reduceat(counts, new) if len(keys) else counts
+    """Distinct keys, ascending, with the sums of their counts (as int64)."""
+    if not len(keys):
+        return keys, counts.astype(np.int64)
+    room = np.uint64(64 - KEY_BITS)
+    if int(counts.max()) < 1 << 64 - KEY_BITS:  # a key and its count fit one number: sorted in place
+        packed = (keys << room) | counts.astype(np.uint64)
+        packed.sort()
+        keys, counts = packed >> room, (packed & np.uint64((1 << 64 - KEY_BITS) - 1)).astype(np.int64)
+    else:
+        order = np.argsort(keys, kind="stable")
+        keys, counts = keys[order], counts[order].astype(np.int64)
+    new = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[new], np.add.reduceat(counts, new)
 
 
 def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -184,6 +192,8 @@ def _summaries(slices: int, held: int):
                     parts, size = [], 0
         if parts:
             yield from rows(parts)
+        del parts
+        give_back()
 
     return run
 
@@ -232,6 +242,7 @@ def _survivors(slices: int, threshold: int, bits: int):
         if now is not None:
             merged()
             yield pa.RecordBatch.from_pylist([part(now, *summary, lost)], schema=schema)
+        give_back()
 
     return run
 
@@ -271,6 +282,7 @@ def _exact(bitmap, bits: int):
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()).take(pa.array(mine[some])), pa.array(np.full(len(some), k), pa.int32()), phrase, pa.array(counts, pa.int64())], schema=_COUNT)
                 before = np.full(words.n, -1, np.int64)
                 before[kept] = inverse.reshape(-1)
+        give_back()
 
     return run
 

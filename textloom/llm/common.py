@@ -15,6 +15,15 @@ from textloom.sources.store import materialize, scratch, shared_dir, written  #
 pa.set_memory_pool(pa.system_memory_pool())
 
 
+def give_back() -> None:
+    """Gives a worker's freed memory back to the system, where the C library can: workers live on, and what they freed counts as theirs."""
+    import ctypes
+
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
