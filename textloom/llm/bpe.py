@@ -17,20 +17,20 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import materialize
+from textloom.llm.common import give_back, materialize
 from textloom.llm.encoding import default_vocabulary, encoder
 
 #: Words of a block: what a task holds of documents at once. A longer document is a block of its own.
-BLOCK_WORDS = 1 << 22
+BLOCK_WORDS = 3 << 21
 _OUT_WORDS = 1 << 18
-_CODED = "block long, doc_ids array<long>, n_words array<long>, codes binary, shard int, at binary, words array<string>"
-_CODED_ARROW = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int64())), ("codes", pa.binary()), ("shard", pa.int32()), ("at", pa.binary()), ("words", pa.list_(pa.string()))])
+_CODED = "block long, doc_ids array<long>, n_words array<long>, codes binary, shards binary, shard int, words binary"
+_CODED_ARROW = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int64())), ("codes", pa.binary()), ("shards", pa.binary()), ("shard", pa.int32()), ("words", pa.binary())])
 
 
-def packed_numbers(numbers: np.ndarray) -> bytes:
+def packed_numbers(numbers: np.ndarray, level: int = 3) -> bytes:
     """Unsigned numbers as compressed planes of bytes, the lowest first."""
     planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
+    return zstandard.ZstdCompressor(level=level).compress(planes.tobytes())
 
 
 def unpacked_numbers(data: bytes) -> np.ndarray:
@@ -46,6 +46,13 @@ def _first_places(codes: np.ndarray, n: int) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def _of_shards(of: np.ndarray, shards: int) -> list[np.ndarray]:
+    """Per shard the numbers of its words, ascending."""
+    order = np.argsort(of, kind="stable")
+    bounds = np.searchsorted(of[order], np.arange(shards + 1))
+    return [order[a:b] for a, b in zip(bounds, bounds[1:])]
+
+
 def _blocks(shards: int, most: int):
     """Batches of (doc_id, words) to rows of blocks and of their dictionaries' shards."""
 
@@ -54,16 +61,14 @@ def _blocks(shards: int, most: int):
         codes, words = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
         places = codes.astype(np.uint32) + 1
         places[_first_places(codes, len(words))] = 0  # a word's first place needs no number: it is the next one
-        yield pa.RecordBatch.from_pylist([{"block": number, "doc_ids": ids, "n_words": counts, "codes": packed_numbers(places)}], schema=_CODED_ARROW)
-        of = np.fromiter((xxhash.xxh3_64_intdigest(w) % shards for w in words.cast(pa.binary()).to_pylist()), np.int64, len(words))
-        order = np.argsort(of, kind="stable")
-        bounds = np.searchsorted(of[order], np.arange(shards + 1))
-        rows = [(s, order[a:b]) for s, (a, b) in enumerate(zip(bounds, bounds[1:])) if a < b]
+        of = np.fromiter((xxhash.xxh3_64_intdigest(w) % shards for w in words.cast(pa.large_binary()).to_pylist()), np.int64, len(words))
+        yield pa.RecordBatch.from_pylist([{"block": number, "doc_ids": ids, "n_words": counts, "codes": packed_numbers(places, 9), "shards": packed_numbers(of)}], schema=_CODED_ARROW)
+        rows = [(s, at) for s, at in enumerate(_of_shards(of, shards)) if len(at)]
         if rows:
-            nothing = [pa.nulls(len(rows), _CODED_ARROW.field(k).type) for k in (1, 2, 3)]
-            steps = [np.diff(at, prepend=0).astype("<u4").tobytes() for _, at in rows]
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(at) for _, at in rows]))), pa.int32()), words.take(pa.array(order)).cast(pa.string()))
-            yield pa.RecordBatch.from_arrays([pa.array([number] * len(rows), pa.int64()), *nothing, pa.array([s for s, _ in rows], pa.int32()), pa.array(steps, pa.binary()), lists], schema=_CODED_ARROW)
+            nothing = [pa.nulls(len(rows), _CODED_ARROW.field(k).type) for k in (1, 2, 3, 4)]
+            # words hold no blanks
+            joined = [zstandard.ZstdCompressor(level=9).compress(b" ".join(words.take(pa.array(at)).cast(pa.large_binary()).to_pylist())) for _, at in rows]
+            yield pa.RecordBatch.from_arrays([pa.array([number] * len(rows), pa.int64()), *nothing, pa.array([s for s, _ in rows], pa.int32()), pa.array(joined, pa.binary())], schema=_CODED_ARROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -92,30 +97,33 @@ def _blocks(shards: int, most: int):
                     made, held, ids, counts, parts = made + 1, 0, [], [], []
         if ids:
             yield from block(task + made, ids, counts, parts)
+        del ids, counts, parts
+        give_back()
 
     return run
 
 
-_SHARD_OUT = pa.schema([("block", pa.int64()), ("at", pa.binary()), ("lengths", pa.binary()), ("ids", pa.binary())])
+_SHARD_OUT = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("lengths", pa.binary()), ("ids", pa.binary())])
 
 
 def _encoded(vocabulary: str):
-    """Rows (block, shard, at, words) in order of shards to (block, at, lengths, ids): each distinct word is encoded once."""
+    """Rows (block, shard, words) in order of shards to (block, shard, lengths, ids): each distinct word is encoded once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, shard, known = encoder(vocabulary).encode, None, {}
         for batch in batches:
             out = []
-            for block, own, at, words in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            for block, own, words in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 if own != shard:
                     shard, known = own, {}  # a shard's words are in one task, and one after the other
+                words = zstandard.ZstdDecompressor().decompress(words).decode().split(" ")
                 new = [w for w in words if w not in known]
                 known.update(zip(new, encode(new)))
                 ids = [known[w] for w in words]
-                out.append((block, at, np.fromiter(map(len, ids), "<u4", len(ids)) // 4, b"".join(ids)))
+                out.append((block, own, np.fromiter(map(len, ids), "<u4", len(ids)) // 4, b"".join(ids)))
             if out:
-                blocks, ats, lengths, ids = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(ats, pa.binary()), pa.array([packed_numbers(n) for n in lengths], pa.binary()), pa.array([packed_numbers(np.frombuffer(i, "<u4")) for i in ids], pa.binary())], schema=_SHARD_OUT)
+                blocks, owns, lengths, ids = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(owns, pa.int32()), pa.array([packed_numbers(n) for n in lengths], pa.binary()), pa.array([packed_numbers(np.frombuffer(i, "<u4")) for i in ids], pa.binary())], schema=_SHARD_OUT)
 
     return run
 
@@ -135,15 +143,16 @@ def _gathered(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np
     return values[np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))]
 
 
-def _joined(vocabulary: str):
+def _joined(vocabulary: str, shards: int):
     """Of one block: its documents' numbers and its words' ids to (doc_id, ids, decoded)."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        of_shards = _of_shards(unpacked_numbers(left.column("shards")[0].as_py()).astype(np.int64), shards)
         places, ids, lengths = [], [], []
-        for at, n, own in zip(*(right.column(c).to_pylist() for c in ("at", "lengths", "ids"))):
-            places.append(np.cumsum(np.frombuffer(at, "<u4"), dtype=np.int64))
+        for own, n, flat in zip(*(right.column(c).to_pylist() for c in ("shard", "lengths", "ids"))):
+            places.append(of_shards[own])
             lengths.append(unpacked_numbers(n).astype(np.int64))
-            ids.append(unpacked_numbers(own))
+            ids.append(unpacked_numbers(flat))
         place = np.concatenate(places) if places else np.empty(0, np.int64)
         n_of, start_of = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
         flat = np.concatenate(ids) if ids else np.empty(0, np.uint32)
@@ -190,20 +199,20 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None, block_words
     block of its own, so a task holds the largest text at least. Repeated rows and null ids are rows like others, other columns are
     ignored, an empty table gives no rows.
 
-    Distinct words meet by hash: a task holds the distinct words of one shard, of which there are four to each shuffle
+    Distinct words meet by hash: a task holds the distinct words of one shard, of which there are two to each shuffle
     partition. Each one is encoded once (once more if its task is repeated). Builds and leaves one table in the shared
     folder, which the result reads.
     """
     spark, vocabulary = docs.sparkSession, vocabulary or default_vocabulary()
-    shards = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.replace(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit("\n"), F.lit(" "))
     words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.split(text, " ").alias("words"))
     # what the blocks are called depends on the order in which rows are read: written once, read twice
     coded = materialize(words.mapInArrow(_blocks(shards, block_words), _CODED), "coded")
-    apart = coded.where("shard IS NOT NULL").select("block", "shard", "at", "words").repartition("shard").sortWithinPartitions("shard")
-    encoded = apart.mapInArrow(_encoded(vocabulary), "block long, at binary, lengths binary, ids binary")
-    blocks = coded.where("shard IS NULL").select("block", "doc_ids", "n_words", "codes")
-    return blocks.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(_joined(vocabulary), "doc_id long, ids array<int>, decoded string")
+    apart = coded.where("shard IS NOT NULL").select("block", "shard", "words").repartition("shard").sortWithinPartitions("shard")
+    encoded = apart.mapInArrow(_encoded(vocabulary), "block long, shard int, lengths binary, ids binary")
+    blocks = coded.where("shard IS NULL").select("block", "doc_ids", "n_words", "codes", "shards")
+    return blocks.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(_joined(vocabulary, shards), "doc_id long, ids array<int>, decoded string")
 
 
 def pieces(spark: SparkSession, vocabulary: str | None = None) -> DataFrame:
