@@ -60,3 +60,17 @@ def test_metadata_in_any_order_and_quotes(spark):
     assert got == [(1, "comment", "comment", "a\n note"), (1, "meta", "one", 'x "y"'), (1, "meta", "three", "3 < 4"), (1, "meta", "two", "2"), (1, "title", "title", "A & B"), (3, "title", "title", "open")]
     image = M.html_nodes(pages).where("node_type = 'image_placeholder'").collect()
     assert [(r.doc_id, html[r.start : r.end]) for r in image] == [(1, '<img src="https://x.example.org/i.png">')]
+
+
+def test_scratch_deletes_what_its_own_thread_wrote(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from textloom.sources.store import materialize, scratch, written
+
+    with ThreadPoolExecutor(1) as other, scratch(spark):
+        kept = other.submit(lambda: materialize(spark.range(3).toDF("x"), "other")).result()
+        gone = written(spark.range(2).toDF("x"), "own")
+        with scratch(spark):
+            inner = written(spark.range(1).toDF("x"), "inner")
+        assert spark.read.parquet(gone).count() == 2 and not os.path.exists(inner.removeprefix("file://"))
+    assert kept.count() == 3 and not os.path.exists(gone.removeprefix("file://"))

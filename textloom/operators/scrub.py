@@ -29,7 +29,8 @@ REDACTIONS = (
     (r"api[_-]?key[=:]\s*[^\s,;}]+", "api_key=<REDACTED>"),
     (r"://[^:@\s]+:[^@\s]+@", "://<REDACTED_CREDENTIALS>@"),
 )
-SECRET_NAMES = ("apikey", "secret", "password", "token", "credential", "authorization", "api_key")
+#: Parts of key names that tell of secrets; names are looked at without "_" and "-".
+SECRET_NAMES = ("api_key", "apikey", "secret", "password", "token", "credential", "authorization")
 ACTIVE = (
     ("html_script", r"(?i)<script\b"),
     ("html_event_handler", r"(?i)<[^>]{0,4096}\bon[a-z]+\s*="),

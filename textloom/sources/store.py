@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,27 +31,30 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-#: Open scopes of tables that are to be deleted, the innermost last.
-_SCOPES: list[list[str]] = []
+#: Tables of the innermost open scope, which are to be deleted; each thread and task has scopes of its own.
+_SCOPE: ContextVar[list[str] | None] = ContextVar("scope", default=None)
 
 
 def written(df: DataFrame, name: str) -> str:
     """Writes df as a table in the shared folder and returns its path."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    if _SCOPES:
-        _SCOPES[-1].append(path)
+    scope = _SCOPE.get()
+    if scope is not None:
+        scope.append(path)
     return path
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Deletes the tables written inside, when it ends: nothing that reads them may be used later."""
-    _SCOPES.append([])
+    """Deletes the tables that this thread writes inside, when it ends: nothing that reads them may be used later."""
+    own: list[str] = []
+    outer = _SCOPE.set(own)
     try:
         yield
     finally:
-        for path in _SCOPES.pop():
+        _SCOPE.reset(outer)
+        for path in own:
             target = spark._jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
