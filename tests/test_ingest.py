@@ -74,3 +74,41 @@ def test_scratch_deletes_what_its_own_thread_wrote(spark):
             inner = written(spark.range(1).toDF("x"), "inner")
         assert spark.read.parquet(gone).count() == 2 and not os.path.exists(inner.removeprefix("file://"))
     assert kept.count() == 3 and not os.path.exists(gone.removeprefix("file://"))
+
+
+def test_depth_by_walking_equals_the_parser(spark):
+    from conftest import DATA
+
+    deep = "<ul><li>" * 20 + "x"
+    pages = spark.read.parquet(f"{DATA}/pages.parquet").selectExpr("page_id AS doc_id", "html AS text").unionByName(spark.createDataFrame([(-1, deep), (-2, "<ul><li>a<ul><li>b</ul></ul>"), (-3, "")], "doc_id long, text string"))
+    nodes = M.html_nodes(pages)
+    parsed = {r.doc_id: r.depth for r in nodes.groupBy("doc_id").agg({"depth": "max"}).withColumnRenamed("max(depth)", "depth").collect()}
+    walked = {r.doc_id: (r.depth, r.too_deep) for r in M.tree_depth(nodes).collect()}
+    assert walked == {i: (min(d, 33), d > 32) for i, d in parsed.items()} and parsed[-1] == 40 and -3 not in walked
+    assert spark.conf.get("spark.sql.cteRecursionRowLimit") == "1000000"
+
+
+def test_manifest_and_its_files(spark):
+    import json
+
+    from textloom.sources.files import corpus_manifest
+
+    root = tempfile.mkdtemp(prefix="spark-corpus-")
+    os.mkdir(f"{root}/texts")
+    files = {"texts/a.txt": b"One text.", "b.txt": b"\xef\xbb\xbfmarked", "c.txt": b"", "d.txt": b" \n ", "e.txt": b"\xff\xfe\x00bad", "f.txt": "Ärger".encode()}
+    for name, body in files.items():
+        with open(f"{root}/{name}", "wb") as f:
+            f.write(body)
+    entries = [("s1", "one", "texts/a.txt"), ("s2", "one", "b.txt"), ("s3", "two", "c.txt"), ("s4", "two", "d.txt"), ("s5", "odd", "f.txt"), ("s6", "one", "none.txt"), ("s7", "one", "f.txt"), ("s7", "two", "f.txt"), ("", "one", "f.txt"), ("s8", "two", "f.txt"), ("s9", "one", "")]
+
+    def put(version, rows):
+        with open(f"{root}/corpus-manifest.json", "w") as f:
+            json.dump({"schema_version": version, "samples": [dict(zip(("sample_id", "group", "file"), r)) for r in rows]}, f)
+        return corpus_manifest(spark, root, ("one", "two"))
+
+    samples, problems = put(1, entries)
+    assert sorted(map(tuple, samples.collect())) == [("s1", "one", "One text."), ("s8", "two", "Ärger")]
+    assert sorted(map(tuple, problems.collect())) == [("", "sample_id"), ("s2", "bom"), ("s3", "missing"), ("s4", "blank"), ("s5", "group"), ("s6", "missing"), ("s7", "repeated"), ("s9", "file")]
+    samples, problems = put(2, entries[:1])
+    assert samples.count() == 0 and [tuple(r) for r in problems.collect()] == [("", "schema_version")]
+    assert [tuple(r) for r in put(1, [])[1].collect()] == [("", "samples")]

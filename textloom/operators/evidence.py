@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -260,48 +261,92 @@ def greedy_pairs(edges: DataFrame) -> DataFrame:
     return edges.select("doc_id", "source_no", "candidate_no").distinct().groupBy("doc_id").applyInPandas(match, "doc_id long, source_no int, candidate_no int")
 
 
-def fact_diff(source: DataFrame, candidate: DataFrame) -> DataFrame:
-    """Greedy fuzzy diff of anchors per document: omissions, additions, contradictions, preservation.
+#: Least sequence ratio of a match, and the ratio under which a match contradicts.
+MATCHED, AGREES = 0.7, 0.9
+#: Lengths whose ratio of two is over this can't reach MATCHED: 2 min / (a + b) > 0.7 means max < 1.3 / 0.7 min.
+_BAND = (2 - MATCHED) / MATCHED
 
-    In order of the source, an anchor takes the free candidate of its category with the highest sequence ratio above
-    0.7; under 0.9 the two contradict. Documents whose two versions have the same anchors are settled by comparing
-    them as wholes; only the others' anchors go to Python, one document a group.
-    """
 
-    def diff(key, s, c):
+def _marked(t: Column) -> Column:
+    """The letters of a text, each with its how-manieth of its kind it is: two texts share as many of these as letters."""
+    letters = F.sort_array(F.transform(F.filter(F.split(t, ""), lambda c: c != ""), lambda c, i: F.struct(c.alias("c"), i.alias("i"))))
+    numbered = T.bound(letters, lambda xs: F.transform(xs, lambda x, i: F.struct(x["c"].alias("c"), i.alias("i"))))
+    first = T.bound(letters, lambda xs: F.filter(F.transform(xs, lambda x, i: F.struct(x["c"].alias("c"), i.alias("i"), ((i == 0) | (F.get(xs, i - 1)["c"] != x["c"])).alias("new"))), lambda x: x["new"]))
+    # the letters in order, less where their kind begins
+    return T.bound(F.map_from_entries(F.transform(first, lambda x: F.struct(x["c"], x["i"]))), lambda m: F.transform(numbered, lambda x: F.concat(x["c"], (x["i"] - F.try_element_at(m, x["c"])).cast("string"))))
+
+
+def similar_texts(source: DataFrame, candidate: DataFrame, keys: tuple[str, ...] = ("doc_id", "category")) -> DataFrame:
+    """keys, s, c, ratio of pairs of texts of source and candidate (keys, text) with a sequence ratio over MATCHED.
+
+    Each distinct text of a key counts once. Pairs meet by bands of lengths, and only those whose lengths and common
+    letters allow the ratio go to Python, pair by pair in Arrow batches, whatever document they are from; equal texts
+    never do.
+    """
+    band = lambda c: F.floor(F.log(F.greatest(F.length(c), F.lit(1))) / F.log(F.lit(_BAND))).cast("int")
+    one = lambda df, name: df.select(*keys, F.col("text").alias(name)).distinct().withColumn(f"{name}_marked", _marked(F.col(name)))
+    s = one(source, "s").withColumn("band", F.explode(F.array(*[band("s") + k for k in (-1, 0, 1)])))
+    c = one(candidate, "c").withColumn("band", band("c"))
+    total = F.length("s") + F.length("c")
+    able = (2 * F.least(F.length("s"), F.length("c")) > MATCHED * total) & (2 * F.size(F.array_intersect("s_marked", "c_marked")) > MATCHED * total)
+    met = s.join(c, [*keys, "band"]).where((F.col("s") == F.col("c")) | able).select(*keys, "s", "c")
+
+    @F.pandas_udf("double")
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
         from difflib import SequenceMatcher
 
-        import pandas as pd
+        return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
+
+    equal = met.where("s = c").withColumn("ratio", F.lit(1.0))
+    return equal.unionByName(met.where("s <> c").withColumn("ratio", ratio("s", "c")).where(F.col("ratio") > MATCHED))
+
+
+def _matched(key, s: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+    """One document's anchors of one category in order, and the pairs that may match: how many match and contradict."""
+    places: dict[str, list[int]] = {}
+    for at, text in s[s.side == 1].sort_values("seq")[["seq", "text"]].itertuples(index=False):
+        places.setdefault(text, []).append(at)
+    near: dict[str, list[tuple[str, float]]] = {}
+    for a, b, r in e[["s", "c", "ratio"]].itertuples(index=False):
+        near.setdefault(a, []).append((b, r))
+    used = dict.fromkeys(places, 0)
+    matched = contradicted = 0
+    for text in s[s.side == 0].sort_values("seq").text:
+        # the highest ratio, of equal ones the first in the candidate's order
+        free = [(-r, places[b][used[b]], b) for b, r in near.get(text, ()) if used[b] < len(places[b])]
+        if free:
+            r, _, b = min(free)
+            used[b] += 1
+            matched += 1
+            contradicted += -r < AGREES
+    return pd.DataFrame([(key[0], matched, contradicted)], columns=["doc_id", "matched", "contradicted"])
+
 
-        s, c = s.sort_values("seq"), c.sort_values("seq")
-        cand = list(zip(c.category, c.text.str.lower()))
-        taken: set[int] = set()
-        matched = contradicted = 0
-        for category, text in zip(s.category, s.text.str.lower()):
-            best, at = 0.7, None
-            for k, (other, body) in enumerate(cand):
-                if k in taken or other != category or 2 * min(len(text), len(body)) <= best * (len(text) + len(body)):
-                    continue
-                if (r := 1.0 if text == body else SequenceMatcher(None, text, body).ratio()) > best:
-                    best, at = r, k
-            if at is not None:
-                taken.add(at)
-                matched += 1
-                contradicted += best < 0.9
-        n = len(s)
-        return pd.DataFrame([(key[0], n, len(cand), n - matched, len(cand) - len(taken), contradicted, round(matched / n, 4) if n else 1.0)], columns=["doc_id", "n_source", "n_candidate", "omissions", "additions", "contradictions", "preservation"])
-
-    cols = ["doc_id", "seq", "category", "text"]
+def fact_diff(source: DataFrame, candidate: DataFrame) -> DataFrame:
+    """Greedy fuzzy diff of anchors per document: omissions, additions, contradictions, preservation.
+
+    In order of the source, an anchor takes the free candidate of its category with the highest sequence ratio above
+    0.7, of equal ones the first; under 0.9 the two contradict. Documents whose two versions have the same anchors are settled by comparing
+    them as wholes. Of the others similar_texts() finds the pairs that may match, and the order is kept in one group
+    per document and category, which holds its anchors and those pairs only.
+    """
     gathered = lambda df, name: df.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("category", F.lower("text").alias("text")))).alias(name))
     both = gathered(source, "s").join(gathered(candidate, "c"), "doc_id", "full")
-    n = F.size("s").cast("long")
-    zero = F.lit(0).cast("long")
-    same = both.where(F.col("s") == F.col("c")).select("doc_id", n.alias("n_source"), n.alias("n_candidate"), zero.alias("omissions"), zero.alias("additions"), zero.alias("contradictions"), F.lit(1.0).alias("preservation"))
-    open_ = both.where(~F.coalesce(F.col("s") == F.col("c"), F.lit(False))).select("doc_id")
-    source, candidate = source.join(open_, "doc_id", "left_semi"), candidate.join(open_, "doc_id", "left_semi")
-    schema = "doc_id long, n_source long, n_candidate long, omissions long, additions long, contradictions long, preservation double"
-    own = lambda df: df.select(*[F.col(c).alias(c) for c in cols]).groupBy("doc_id")  # noqa: E731  (both may come from one table)
-    return same.unionByName(own(source).cogroup(own(candidate)).applyInPandas(diff, schema))
+    n = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
+    both = both.select("doc_id", F.coalesce(F.col("s") == F.col("c"), F.lit(False)).alias("same"), F.when(F.col("s").isNull(), 0).otherwise(n("s")).alias("n_source"), F.when(F.col("c").isNull(), 0).otherwise(n("c")).alias("n_candidate"))
+    open_ = both.where("NOT same").select("doc_id")
+    part = lambda df, side: df.join(open_, "doc_id", "left_semi").select("doc_id", "category", "seq", F.lower("text").alias("text"), F.lit(side).alias("side"))
+    s, c = part(source, 0), part(candidate, 1)
+    pairs = similar_texts(s, c)
+    pairs = pairs.select(*[F.col(x).alias(x) for x in pairs.columns])  # both sides of the cogroup come from one table
+    rows = s.unionByName(c)
+    rows = rows.select(*[F.col(x).alias(x) for x in rows.columns])
+    done = rows.groupBy("doc_id", "category").cogroup(pairs.groupBy("doc_id", "category")).applyInPandas(_matched, "doc_id long, matched long, contradicted long")
+    sums = done.groupBy("doc_id").agg(F.sum("matched").alias("matched"), F.sum("contradicted").alias("contradicted"))
+    whole = both.join(sums, "doc_id", "left")
+    hit = F.when(F.col("same"), F.col("n_source")).otherwise(F.coalesce("matched", F.lit(0)))
+    kept = F.when(F.col("same") | (F.col("n_source") == 0), 1.0).otherwise(F.round(hit / F.col("n_source"), 4))
+    return whole.select("doc_id", "n_source", "n_candidate", (F.col("n_source") - hit).alias("omissions"), (F.col("n_candidate") - hit).alias("additions"), F.when(F.col("same"), 0).otherwise(F.coalesce("contradicted", F.lit(0))).alias("contradictions"), kept.alias("preservation"))
 
 
 def revalidated(before: DataFrame, after: DataFrame) -> DataFrame:

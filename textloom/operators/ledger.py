@@ -212,6 +212,17 @@ def integrity_violations(store: DataFrame) -> DataFrame:
     return store.where(F.sha2("content", 256) != F.col("id")).select("id")
 
 
+def integrity_problems(store: DataFrame) -> DataFrame:
+    """id, problem of stored rows (id, content, length, lines) whose digest, length or number of lines isn't what was stored.
+
+    Length counts characters, lines the parts between line ends. A row without content is a problem of all three.
+    """
+    differs = lambda was, now, name: F.when(~was.eqNullSafe(now), name)
+    c = F.col("content")
+    found = F.array_compact(F.array(differs(F.col("id"), F.sha2(c, 256), "sha256"), differs(F.col("length").cast("long"), F.length(c).cast("long"), "length"), differs(F.col("lines").cast("long"), F.size(F.split(c, "\n", -1)).cast("long"), "lines")))
+    return store.select("id", F.explode(found).alias("problem"))
+
+
 def newer_versions(watched: DataFrame, locked: DataFrame, known: DataFrame) -> DataFrame:
     """package, locked, latest: watched packages whose known version is higher by its numbers, of any number of digits."""
     plain = lambda x: F.regexp_replace(x, "^0+(?=.)", "")

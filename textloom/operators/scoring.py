@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from typing import TYPE_CHECKING
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import lexicons as L
@@ -61,11 +62,33 @@ def scores(docs: DataFrame) -> DataFrame:
 SCORE_KEY = ("text_sha256", "provider", "model", "schema_version")
 
 
-def lookup_or_compute(docs: DataFrame, stored: DataFrame, provider: str = "local", model: str = "heuristic", version: int = 1, now: Column | None = None, scorer: Callable[[DataFrame], DataFrame] = scores) -> DataFrame:
+Scorer = Callable[[DataFrame], DataFrame]
+
+
+def register_scorer(spark: SparkSession, name: str, score: Callable[[pd.Series], pd.Series]) -> None:
+    """Makes a function of a column of texts (in Arrow batches) to scores known by name: to SQL, and to what takes a scorer."""
+    if not re.fullmatch(r"[A-Za-z_]\w*", name):
+        raise ValueError(f"a scorer's name must be a plain name: {name!r}")
+    spark.udf.register(name, F.pandas_udf(score, "double"))
+
+
+def scorer_of(scorer: Scorer | str) -> Scorer:
+    """A scorer itself, or the one that a registered name stands for; an unknown name is Spark's error when it is used."""
+    if callable(scorer):
+        return scorer
+    return lambda docs: _labelled(docs, F.call_udf(scorer, F.col("text")))
+
+
+def _labelled(docs: DataFrame, score: Column) -> DataFrame:
+    s = F.col("score")
+    return docs.select("doc_id", score.alias("score")).withColumn("label", F.when(s < 0.35, "human").when(s < 0.65, "uncertain").otherwise("ai"))
+
+
+def lookup_or_compute(docs: DataFrame, stored: DataFrame, provider: str = "local", model: str = "heuristic", version: int = 1, now: Column | None = None, scorer: Scorer | str = scores) -> DataFrame:
     """text_sha256, provider, model, schema_version, score, label, hit: each distinct text once, stored or newly scored.
 
     Stored rows (the key, score, label, created_at, expires_at) count if their whole key is the same; of repeated ones
-    the last. With now, rows that expired by then are misses; without it expiry is not looked at.
+    the last. A scorer may be a registered name. With now, rows that expired by then are misses; without it expiry is not looked at.
     """
     texts = docs.select(F.sha2("text", 256).alias("text_sha256"), "text")
     key = {"provider": F.lit(provider), "model": F.lit(model), "schema_version": F.lit(version)}
@@ -77,28 +100,21 @@ def lookup_or_compute(docs: DataFrame, stored: DataFrame, provider: str = "local
     hits = texts.select("text_sha256").distinct().join(known, "text_sha256").withColumn("hit", F.lit(True))
     # one shuffle by the hash serves the join and what keeps one of equal texts; the hash stands for the document, as ids may repeat
     misses = texts.join(known.select("text_sha256"), "text_sha256", "left_anti").dropDuplicates(["text_sha256"])
-    new = scorer(misses.select(F.col("text_sha256").alias("doc_id"), "text")).select(F.col("doc_id").alias("text_sha256"), "score", "label", F.lit(False).alias("hit"))
+    new = scorer_of(scorer)(misses.select(F.col("text_sha256").alias("doc_id"), "text")).select(F.col("doc_id").alias("text_sha256"), "score", "label", F.lit(False).alias("hit"))
     return hits.unionByName(new).withColumns(key).select(*SCORE_KEY, "score", "label", "hit")
 
 
 def hooked(score: Callable[[pd.Series], pd.Series]) -> Callable[[DataFrame], DataFrame]:
     """A scorer from a user's function of a column of texts (in Arrow batches) to scores; labels follow the usual bounds."""
-    from pyspark.sql.types import DoubleType
-
-    run = F.pandas_udf(score, DoubleType())
-
-    def scorer(docs: DataFrame) -> DataFrame:
-        s = F.col("score")
-        return docs.select("doc_id", run(F.col("text")).alias("score")).withColumn("label", F.when(s < 0.35, "human").when(s < 0.65, "uncertain").otherwise("ai"))
-
-    return scorer
+    run = F.pandas_udf(score, "double")
+    return lambda docs: _labelled(docs, run(F.col("text")))
 
 
-def corpus_scan(docs: DataFrame, scorer: Callable[[DataFrame], DataFrame] | None = scores) -> DataFrame:
+def corpus_scan(docs: DataFrame, scorer: Scorer | str | None = scores) -> DataFrame:
     """doc_id, source, label, score of a corpus; what is neither human nor ai is unknown, and without a scorer all is."""
     if scorer is None:
         return docs.select("doc_id", "source", F.lit("unknown").alias("label"), F.lit(None).cast("double").alias("score"))
-    s = scorer(docs.select("doc_id", "text")).withColumn("label", F.when(F.col("label").isin("human", "ai"), F.col("label")).otherwise("unknown"))
+    s = scorer_of(scorer)(docs.select("doc_id", "text")).withColumn("label", F.when(F.col("label").isin("human", "ai"), F.col("label")).otherwise("unknown"))
     return docs.select("doc_id", "source").join(s.select("doc_id", "label", "score"), "doc_id")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from textloom.functions import lexicons as L
 from textloom.operators import ledger as K
 from textloom.operators import scoring as D
-from textloom.plans.base import DX, occurs, over_documents, rounded, strip, table
+from textloom.plans.base import DX, decorated, occurs, over_documents, rounded, strip, table
 from textloom.sources import store as ST
 
 
@@ -126,6 +126,16 @@ def _versions(spark, sf):
     return K.newer_versions(watched, locked, known)
 
 
+def _by_name(spark, sf):
+    """A registered scorer, called by SQL, and by name where scores are looked up."""
+    D.register_scorer(spark, "length_score", _length_score)
+    d = decorated(spark, sf)
+    d.createOrReplaceTempView("scored_texts")
+    by_sql = spark.sql("SELECT doc_id, round(length_score(text), 6) AS score FROM scored_texts")
+    scanned = D.corpus_scan(d, "length_score").select("doc_id", "label")
+    return by_sql.join(scanned, "doc_id")
+
+
 QUERIES = {
     "d01_components": over_documents(D.components),
     "d04_scores": over_documents(D.scores),
@@ -134,6 +144,8 @@ QUERIES = {
     "d06_unscored": over_documents(lambda d: D.corpus_scan(d, None)),
     "d07_run_report": _run_report,
     "u05_scorer_hook": over_documents(lambda d: D.hooked(_length_score)(d)),
+    "u05_scorer_by_name": _by_name,
+    "k09_problems": over_documents(lambda d: K.integrity_problems(d.select(F.sha2(F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text")), 256).alias("id"), F.col("text").alias("content"), (F.length("text") + (F.col("doc_id") % 7 == 0).cast("int")).alias("length"), (F.size(F.split("text", "\n", -1)) - (F.col("doc_id") % 11 == 0).cast("int")).alias("lines")))),
     "k11_counters": _counters,
     "m04_proposal_gate": _gate,
     "w01_decisions": lambda spark, sf: K.latest_decisions(_decisions(spark, sf)),
@@ -172,6 +184,8 @@ SELECT h.text_sha256, 'local' AS provider, 'heuristic' AS model, 1 AS schema_ver
     "d06_unscored": f"{DX} SELECT doc_id, source, 'unknown' AS label, NULL::DOUBLE AS score FROM dx",
     "d07_run_report": f"{_D.replace(DX, 'WITH dx AS (SELECT doc_id, source, lang, text FROM documents)')} SELECT doc_id, CASE WHEN label IN ('human', 'ai') THEN label ELSE 'unknown' END AS label, round(score, 6) AS score FROM sc WHERE doc_id % 2 = 1",
     "u05_scorer_hook": f"{DX} SELECT doc_id, round(1 / (1 + length(text) / 1000), 6) AS score, CASE WHEN 1 / (1 + length(text) / 1000) < 0.35 THEN 'human' WHEN 1 / (1 + length(text) / 1000) < 0.65 THEN 'uncertain' ELSE 'ai' END AS label FROM dx",
+    "u05_scorer_by_name": f"{DX} SELECT doc_id, round(1 / (1 + length(text) / 1000), 6) AS score, CASE WHEN 1 / (1 + length(text) / 1000) < 0.35 THEN 'human' WHEN 1 / (1 + length(text) / 1000) < 0.65 THEN 'unknown' ELSE 'ai' END AS label FROM dx",
+    "k09_problems": f"{DX} SELECT CASE WHEN doc_id % 5 = 0 THEN sha256(text || 'x') ELSE sha256(text) END AS id, unnest(list_filter([CASE WHEN doc_id % 5 = 0 THEN 'sha256' END, CASE WHEN doc_id % 7 = 0 THEN 'length' END, CASE WHEN doc_id % 11 = 0 THEN 'lines' END], lambda x: x IS NOT NULL)) AS problem FROM dx",
     "k11_counters": "WITH s AS (SELECT dayofyear(ts)::INT AS run_id, event_id AS seq, ['cache_hits', 'cache_misses', 'duration_ms', 'nonsense'][event_id % 4 + 1] AS name, event_id % 40 = 2 AS put, user_id % 10 AS v FROM events), m AS (SELECT run_id, name, max(CASE WHEN put THEN seq END) AS f FROM s GROUP BY ALL) SELECT s.run_id, s.name, sum(v)::BIGINT AS value FROM s JOIN m ON s.run_id = m.run_id AND s.name = m.name WHERE s.name <> 'nonsense' AND (f IS NULL OR seq >= f) GROUP BY ALL",
     "m04_proposal_gate": _EV + ", p AS (SELECT " + ", ".join(_PROPOSALS).replace("STRING", "VARCHAR") + """ FROM documents), t AS (SELECT trigger_id, bool_or(source_kind = 'official_spec') OR count(DISTINCT CASE WHEN source_kind IN ('paper', 'release_notes') THEN url END) >= 2 AS high, bool_or(source_kind IN ('official_spec', 'paper', 'release_notes', 'advisory')) AS basic FROM ev WHERE evidence_id % 3 = 0 GROUP BY 1),
 l AS (SELECT user_id AS proposal_id, arg_max(event_type, event_id) AS e FROM events WHERE event_type IN ('click', 'view') GROUP BY 1), c(kind, category) AS (VALUES ('metadata_field', 'metadata_field_addition'), ('telemetry_change', 'telemetry_documentation'), ('scanner_benchmark_change', 'scanner_benchmark'), ('privacy_technique', 'privacy_technique_research'))

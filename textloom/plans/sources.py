@@ -65,6 +65,7 @@ QUERIES = {
     "s11_surface_text": lambda spark, sf: M.surface_text(M.html_nodes(pages_x(spark, sf))),
     "s15_listing": lambda spark, sf: S.listed(spark, sf).select(F.element_at(F.split("path", "/"), -1).alias("name"), "length"),
     "p08_page_findings": lambda spark, sf: M.page_findings(pages_x(spark, sf)).groupBy("doc_id", "code", "evidence").agg(F.count("*").alias("n")),
+    "p11_walked_depth": lambda spark, sf: M.tree_depth(M.html_nodes(pages_x(spark, sf))),
     "p11_tree_depth": lambda spark, sf: M.html_nodes(pages_x(spark, sf)).groupBy("doc_id").agg(F.count("*").alias("nodes"), F.max("depth").alias("depth")),
     "g05_structure_signature": lambda spark, sf: M.structure_signature(M.html_nodes(pages_x(spark, sf))).withColumn("headings", F.array_join("headings", "|")),
     "k01_clean_sink": _clean_sink,

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Extensions and the kinds they declare.
@@ -78,3 +80,32 @@ def identity_findings(files: DataFrame) -> DataFrame:
 def listed(spark: SparkSession, path: str) -> DataFrame:
     """path, length, modified of every file under a folder, without reading contents."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", F.col("modificationTime").alias("modified"))
+
+
+_MANIFEST = "schema_version int, samples array<struct<sample_id:string,group:string,file:string>>"
+
+
+def corpus_manifest(spark: SparkSession, root: str, groups: tuple[str, ...], version: int = 1) -> tuple[DataFrame, DataFrame]:
+    """The samples of root/corpus-manifest.json (sample_id, group, text), and what is wrong with it (sample_id, problem).
+
+    Problems: schema_version, samples (none at all), and of an entry sample_id, group (not one of groups), file (none
+    named), repeated (its id), missing (no such file, or one of no bytes, which Spark's reader passes over), and why a file
+    can't be read strictly (blank, bom, invalid_utf8, unsupported_encoding). Only samples without a problem are given, and none of another schema version.
+    """
+    whole = spark.read.text(f"{root}/corpus-manifest.json", wholetext=True).select(F.from_json("value", _MANIFEST).alias("m"))
+    bad = F.array_compact(F.array(F.when(~F.coalesce(F.col("m.schema_version") == version, F.lit(False)), "schema_version"), F.when(F.coalesce(F.size("m.samples"), F.lit(0)) <= 0, "samples")))
+    general = whole.select(F.lit("").alias("sample_id"), F.explode(bad).alias("problem"))
+    entries = whole.select((F.col("m.schema_version") == version).alias("known"), F.inline("m.samples")).select("known", F.coalesce("sample_id", F.lit("")).alias("sample_id"), F.coalesce("group", F.lit("")).alias("group"), F.coalesce("file", F.lit("")).alias("file"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "content")
+    named = lambda df: df.withColumn("file", F.regexp_replace("path", "^.*?" + re.escape(root.split("://")[-1].removeprefix("file:").rstrip("/")) + "/+", "")).drop("path")
+    good, odd = map(named, read_strict(files))
+    read = entries.join(good, "file", "left").join(odd, "file", "left")
+    repeated = F.count("*").over(Window.partitionBy("sample_id")) > 1
+    problems = F.array_compact(F.array(
+        F.when(F.col("sample_id") == "", "sample_id"), F.when(~F.col("group").isin(*groups), "group"), F.when(F.col("file") == "", "file"), F.when((F.col("sample_id") != "") & repeated, "repeated"),
+        F.when((F.col("file") != "") & F.col("text").isNull() & F.col("reason").isNull(), "missing"), F.col("reason"), F.when(F.col("text").rlike(r"(?U)\A\s+\z"), "blank"),
+    ))
+    checked = read.withColumn("problems", problems)
+    found = general.unionByName(checked.select("sample_id", F.explode("problems").alias("problem"))).distinct()
+    samples = checked.where((F.size("problems") == 0) & F.col("known")).select("sample_id", "group", "text")
+    return samples, found

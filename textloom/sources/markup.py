@@ -311,6 +311,30 @@ def markdown_metadata(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.inline(F.concat(pairs, notes)))
 
 
+def tree_depth(nodes: DataFrame, most: int = 32) -> DataFrame:
+    """doc_id, depth, too_deep of node trees (doc_id, node_no, parent_no; 0: no parent), walked from the roots down.
+
+    Walks end one level below `most`: what is deeper is too_deep, and its depth is most + 1. Nodes whose parents don't
+    lead to a root don't count. The walk is a recursive query; its limit on rows is lifted while it runs.
+    """
+    from textloom.sources.store import materialize
+
+    spark = nodes.sparkSession
+    n = materialize(nodes.select("doc_id", "node_no", "parent_no"), "nodes")  # every level reads them
+    walk = f"""WITH RECURSIVE t AS (SELECT doc_id, node_no, 1 AS level FROM {{n}} WHERE parent_no = 0
+      UNION ALL SELECT m.doc_id, m.node_no, t.level + 1 FROM t JOIN {{n}} m ON m.doc_id = t.doc_id AND m.parent_no = t.node_no WHERE t.level <= {int(most)})
+      SELECT doc_id, max(level) AS depth, max(level) > {int(most)} AS too_deep FROM t GROUP BY doc_id"""
+    names = {"spark.sql.cteRecursionRowLimit": "-1", "spark.sql.cteRecursionLevelLimit": str(most + 2)}
+    before = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        return materialize(spark.sql(walk, n=n), "depths")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def structure_signature(nodes: DataFrame) -> DataFrame:
     """doc_id, signature, headings, paragraphs: digest of node types and heading texts in order, with the version before."""
     framed = F.when(F.col("node_type") == "heading", F.concat_ws("\x00", "node_type", "text")).otherwise(F.col("node_type"))
