@@ -46,3 +46,22 @@ def test_rebase_counts_changes_that_end_where_a_span_begins(spark):
     changes = spark.createDataFrame([(1, 5, 5, "abc"), (1, 21, 1, "xyz")], "doc_id long, offset long, length long, target string")
     got = {(r.doc_id, r.span_no): (r.start, r.end, r.overlap) for r in X.rebase(spans, changes).collect()}
     assert got == {(1, 1): (8, 13, False), (1, 2): (18, 20, True), (2, 1): (0, 3, False)}
+
+
+def test_capsules_keep_lists_with_the_document(spark):
+    one = lambda rows, schema: spark.createDataFrame(rows, schema)
+    nodes = one([(1, 1, "Head", "x"), (1, 2, "Body", "ai_assisted"), (2, 1, "Only", "ai_assisted")], "doc_id long, node_no int, text string, authorship_class string")
+    claims = one([(1, k, f"c{k}") for k in range(1, 61)], "doc_id long, claim_no int, proposition string")
+    spans = one([(1, 2, "date", "2024", "EXCLUDED"), (1, 1, "number", "5 kg", "KEPT")], "doc_id long, span_no int, kind string, text string, status string")
+    citations = one([(1, 2, "[2]"), (1, 1, "[1]")], "doc_id long, citation_no int, text string")
+    entities = one([(1, 1, "Anna Miller")], "doc_id long, entity_no int, name string")
+    style = [(1, "prohibited_phrases", "no way| at all |no way|")] + [(1, f"k{k:02d}", "v") for k in range(30)]
+    documents = W.capsules(nodes, claims, citations, spans, entities, one(style, "doc_id long, kind string, value string"), one([(1, "t", "v")], "doc_id long, name string, value string"))
+    got = {r.doc_id: r for r in documents.collect()}
+    assert len(got[1].claims) == 50 and len(got[1].open_loops) == 60 and got[1].claims[:2] == ["c1", "c2"] and len(got[1].invariants) == 20
+    assert got[1].prohibited == ["no way", "at all"] and got[1].untrusted == ["ai_assisted:2", "excluded_span:2"] and got[1].citations == ["[1]", "[2]"]
+    assert got[2].untrusted == ["ai_assisted:1"] and not got[2].claims
+    contexts = nodes.selectExpr("doc_id", "node_no", "'' AS before", "'' AS after", "string(null) AS heading", "text AS first")
+    ids = lambda docs: {(r.doc_id, r.node_no): r.capsule_id for r in W.capsule_blocks(contexts, nodes, docs).collect()}
+    before, after = ids(documents), ids(W.capsules(nodes, claims.where("claim_no < 60"), citations, spans, entities, one(style, "doc_id long, kind string, value string"), one([(1, "t", "v")], "doc_id long, name string, value string")))
+    assert len(set(before.values())) == 3 and before[1, 1] != after[1, 1] and before[2, 1] == after[2, 1]

@@ -24,30 +24,52 @@ def node_safe(changes: DataFrame, nodes: DataFrame) -> DataFrame:
     return changes.join(held, ["doc_id", "offset", "length"], "left").withColumn("safe", F.coalesce("safe", F.lit(False)))
 
 
-def capsules(contexts: DataFrame, claims: DataFrame, spans: DataFrame, entities: DataFrame, invariants: DataFrame, tendencies: DataFrame, most: int = 50) -> DataFrame:
-    """Per block (what block_contexts() gives) the context to work on it: one row.
+def capsules(nodes: DataFrame, claims: DataFrame, citations: DataFrame, spans: DataFrame, entities: DataFrame, invariants: DataFrame, tendencies: DataFrame, most: int = 50, most_style: int = 20) -> DataFrame:
+    """Per document what all its blocks' contexts share, once: doc_id and arrays.
 
-    The document's first `most` claims, protected spans and entities, the propositions of all claims that are still
-    open (extracted ones all are), invariants and tendencies of style, prohibited changes, labels of what can't be
-    trusted (assisted or excluded text, of which extraction marks none). Lists are joined by bars.
+    claims, spans and entities: the first `most` by number; open_loops: the propositions of all claims that are still open
+    (extracted ones all are); citations: all; invariants and tendencies of style: the first most_style by kind; prohibited: the
+    parts of the prohibited phrases, each once; untrusted: nodes (authorship_class) that were assisted, then spans
+    (status) that are excluded. Documents are those of the nodes (doc_id, node_no, ...).
     """
-    def listed(rows: DataFrame, order: str, value: Column, name: str, limit: int | None) -> DataFrame:
-        rows = rows if limit is None else rows.where(F.col(order) <= limit)
+    def listed(rows: DataFrame, order: str, value: Column, name: str, limit: int | None = None) -> DataFrame:
         kept = rows.select("doc_id", F.col(order).alias("o"), value.alias("v")).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("o", "v"))).alias("x"))
-        return kept.select("doc_id", F.array_join("x.v", " | ").alias(name), F.size("x").cast("long").alias(f"n_{name}"))
-
-    style = invariants.select("doc_id", "kind", "value").unionByName(tendencies.select("doc_id", F.concat(F.lit("tendency_"), "name").alias("kind"), "value"))
-    named = lambda c: F.concat_ws("=", c, "value")
+        xs = F.transform("x", lambda x: x["v"])
+        return kept.select("doc_id", (xs if limit is None else F.slice(xs, 1, limit)).alias(name))
+
+    first = lambda rows, order: rows.where(F.col(order) <= most)
+    named = lambda kind: F.concat_ws("=", kind, "value")
+    of = lambda label, no: F.concat(F.lit(f"{label}:"), F.col(no).cast("string"))
+    nothing = lambda df: df.limit(0)
+    assisted = nodes.where("authorship_class = 'ai_assisted'") if "authorship_class" in nodes.columns else nothing(nodes)
+    excluded = spans.where("status = 'EXCLUDED'") if "status" in spans.columns else nothing(spans)
+    labels = assisted.select("doc_id", F.struct(F.lit(0).alias("k"), F.col("node_no").alias("no")).alias("o"), of("ai_assisted", "node_no").alias("v")).unionByName(excluded.select("doc_id", F.struct(F.lit(1).alias("k"), F.col("span_no").alias("no")).alias("o"), of("excluded_span", "span_no").alias("v")))
+    phrases = invariants.where("kind = 'prohibited_phrases'").select("doc_id", F.posexplode(F.split("value", r"\|")).alias("o", "v")).withColumn("v", T.strip(F.col("v"))).where("v <> ''")
     parts = (
-        listed(claims, "claim_no", F.col("proposition"), "claims", most), listed(claims, "claim_no", F.col("proposition"), "open_loops", None), listed(spans, "span_no", F.concat_ws(":", "kind", "text"), "spans", most),
-        listed(entities, "entity_no", F.col("name"), "entities", most), listed(style, "kind", named("kind"), "invariants", None),
+        listed(first(claims, "claim_no"), "claim_no", F.col("proposition"), "claims"), listed(claims, "claim_no", F.col("proposition"), "open_loops"), listed(first(spans, "span_no"), "span_no", F.concat_ws(":", "kind", "text"), "spans"),
+        listed(citations, "citation_no", F.col("text"), "citations"), listed(first(entities, "entity_no"), "entity_no", F.col("name"), "entities"), listed(invariants, "kind", named("kind"), "invariants", most_style),
+        listed(tendencies, "name", named("name"), "tendencies", most_style), listed(phrases.groupBy("doc_id", "v").agg(F.min("o").alias("o")), "o", F.col("v"), "prohibited"), listed(labels, "o", F.col("v"), "untrusted"),
     )
-    prohibited = invariants.where("kind = 'prohibited_phrases'").select("doc_id", F.col("value").alias("prohibited"))
-    rows = contexts.join(prohibited, "doc_id", "left")
+    rows = nodes.select("doc_id").distinct()
     for part in parts:
         rows = rows.join(part, "doc_id", "left")
-    lists = ("claims", "open_loops", "spans", "entities", "invariants", "prohibited")
-    return rows.select("doc_id", "node_no", "before", "after", "heading", *[F.coalesce(c, F.lit("")).alias(c) for c in lists], F.coalesce("n_claims", F.lit(0)).alias("n_claims"), F.lit("").alias("untrusted"))
+    return rows.select("doc_id", *[F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in CAPSULE_LISTS])
+
+
+CAPSULE_LISTS = ("claims", "open_loops", "spans", "citations", "entities", "invariants", "tendencies", "prohibited", "untrusted")
+
+
+def capsule_blocks(contexts: DataFrame, nodes: DataFrame, documents: DataFrame) -> DataFrame:
+    """Per block: doc_id, node_no, capsule_id, text, before, after, heading, first; its document's lists are in documents.
+
+    contexts: what block_contexts() gives of the nodes; documents: what capsules() gives. The id is made of the block, its
+    surroundings and a digest of the document's lists, so it changes with any of them, and the lists stay with the document.
+    """
+    digest = F.sha2(F.concat_ws("\x00", *[F.concat_ws("\x01", c) for c in CAPSULE_LISTS]), 256)
+    rows = contexts.join(nodes.select("doc_id", "node_no", "text"), ["doc_id", "node_no"]).join(documents.select("doc_id", digest.alias("lists")), "doc_id")
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("doc_id", "node_no", "text", "before", "after", "heading", "first", "lists")]
+    capsule = F.concat(F.lit("cap-"), F.substring(F.sha2(F.concat_ws("\x00", *parts), 256), 1, 24))
+    return rows.select("doc_id", "node_no", capsule.alias("capsule_id"), "text", "before", "after", "heading", "first")
 
 
 def ingest_counts(docs: DataFrame, ingested: DataFrame, **parts: DataFrame) -> DataFrame:

@@ -95,11 +95,21 @@ def _final(spark, sf):
 
 
 def _capsules(d):
-    nodes = E.line_nodes(d).withColumn("node_type", F.lit("paragraph"))
-    spans = E.protected_spans(E.span_candidates(nodes))
-    claims = E.claims(spans)
-    rows = W.capsules(R.block_contexts(nodes), claims, spans, E.entities(claims, E.citations(nodes)), P.invariants(d), P.tendencies(d))
-    return rows.select("doc_id", "node_no", F.md5("claims").alias("claims"), "n_claims", F.md5("spans").alias("spans"), F.md5("entities").alias("entities"), F.md5("open_loops").alias("open_loops"), F.md5("invariants").alias("invariants"), "prohibited", "untrusted")
+    nodes = E.line_nodes(d).withColumn("node_type", F.lit("paragraph")).withColumn("authorship_class", F.when((F.col("doc_id") + F.col("node_no")) % 9 == 0, "ai_assisted").otherwise("unknown"))
+    spans = E.protected_spans(E.span_candidates(nodes)).withColumn("status", F.when(F.col("span_no") % 5 == 0, "EXCLUDED").otherwise("KEPT"))
+    claims, citations = E.claims(spans), E.citations(nodes)
+    return nodes, W.capsules(nodes, claims, citations, spans, E.entities(claims, citations), P.invariants(d), P.tendencies(d))
+
+
+def _document_capsules(d):
+    one = lambda c: F.array_join(c, " | ")
+    return _capsules(d)[1].select("doc_id", F.size("claims").cast("long").alias("n_claims"), *[F.md5(one(c)).alias(c) for c in ("claims", "open_loops", "spans", "citations", "entities", "invariants", "tendencies")], one("prohibited").alias("prohibited"), one("untrusted").alias("untrusted"))
+
+
+def _block_capsules(d):
+    nodes, documents = _capsules(d)
+    rows = W.capsule_blocks(R.block_contexts(nodes), nodes, documents)
+    return rows.select("doc_id", "node_no", F.length("capsule_id").alias("id_length"), F.md5("text").alias("text"), F.md5("before").alias("before"), F.md5("after").alias("after"), F.md5("first").alias("first"))
 
 
 def _manifest(spark, sf):
@@ -112,7 +122,8 @@ QUERIES = {
     "a21_invariants": over_documents(P.invariants),
     "j11_violations": over_documents(lambda d: P.invariant_violations(P.invariants(_other(d)), P.invariants(d))),
     "j11_profile_violations": over_documents(lambda d: P.invariant_violations(P.invariants(d).join(d.select("doc_id", "source"), "doc_id"), P.profile_invariants(P.profiles(voices(d))), ("source",))),
-    "w07_capsules": over_documents(_capsules),
+    "w07_capsules": over_documents(_document_capsules),
+    "w07_blocks": over_documents(_block_capsules),
     "l12_node_safe": _safe,
     "l14_gates": _final,
     "k07_ingest_counts": over_documents(lambda d: W.ingest_counts(d, d.where("doc_id % 4 = 0"), claims=_claims(d), citations=E.citations(E.line_nodes(d)))),
@@ -149,9 +160,12 @@ ORACLES = {
     "a21_invariants": f"{_INV} SELECT * FROM iv",
     "j11_violations": f"WITH a AS ({_OTHER}), b AS ({_INV} SELECT doc_id, kind, value FROM iv) SELECT a.doc_id, a.kind, b.value AS expected, a.value AS found FROM a JOIN b ON a.doc_id = b.doc_id AND a.kind = b.kind WHERE a.value <> b.value AND a.kind IN {_KINDS}",
     "j11_profile_violations": f"WITH a AS ({_INV} SELECT doc_id, kind, value FROM iv), p AS ({_PROF} SELECT source, unnest(['dash_type', 'contraction_policy', 'person_policy', 'quotation_convention']) AS kind, unnest([dash_type, contraction_policy, person_policy, quotation_convention]) AS value FROM prof) SELECT d.source, a.doc_id, a.kind, p.value AS expected, a.value AS found FROM a JOIN documents d ON d.doc_id = a.doc_id JOIN p ON p.source = d.source AND p.kind = a.kind WHERE a.value <> p.value",
+    "w07_blocks": f"""{_KEPT.split(", c0 AS")[0].replace("WITH RECURSIVE", "WITH", 1)}, nn AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS node_no FROM n) SELECT doc_id, node_no::INT AS node_no, 28 AS id_length, md5(text) AS text, md5(coalesce(string_agg(text, ' | ') OVER (w ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), '')) AS before, md5(coalesce(string_agg(text, ' | ') OVER (w ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING), '')) AS after, md5(first_value(text) OVER w) AS first FROM nn WINDOW w AS (PARTITION BY doc_id ORDER BY node_no)""",
     "w07_capsules": f"""{_ENT}, nn AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS node_no FROM n), cc AS (SELECT doc_id, string_agg(proposition, ' | ' ORDER BY claim_no) AS claims, count(*) AS k FROM cl WHERE claim_no <= 50 GROUP BY doc_id), ca AS (SELECT doc_id, string_agg(proposition, ' | ' ORDER BY claim_no) AS x FROM cl GROUP BY doc_id),
-cs AS (SELECT doc_id, string_agg(kind || ':' || text, ' | ' ORDER BY span_no) AS x FROM sp WHERE span_no <= 50 GROUP BY doc_id), ce AS (SELECT doc_id, string_agg(name, ' | ' ORDER BY entity_no) AS x FROM en WHERE entity_no <= 50 GROUP BY doc_id), ci AS (SELECT doc_id, string_agg(kind || '=' || value, ' | ' ORDER BY kind) AS x FROM (SELECT * FROM iv UNION ALL SELECT doc_id, 'tendency_' || name, value, strength, '' FROM td) GROUP BY doc_id)
-SELECT nn.doc_id, node_no::INT AS node_no, md5(coalesce(claims, '')) AS claims, coalesce(k, 0) AS n_claims, md5(coalesce(cs.x, '')) AS spans, md5(coalesce(ce.x, '')) AS entities, md5(coalesce(ca.x, '')) AS open_loops, md5(coalesce(ci.x, '')) AS invariants, '' AS prohibited, '' AS untrusted FROM nn LEFT JOIN cc ON nn.doc_id = cc.doc_id LEFT JOIN ca ON nn.doc_id = ca.doc_id LEFT JOIN cs ON nn.doc_id = cs.doc_id LEFT JOIN ce ON nn.doc_id = ce.doc_id LEFT JOIN ci ON nn.doc_id = ci.doc_id""".replace(", nn AS (", f", iv AS ({_INV} SELECT * FROM iv), td AS ({TENDENCIES}), nn AS (", 1),
+cs AS (SELECT doc_id, string_agg(kind || ':' || text, ' | ' ORDER BY span_no) AS x FROM sp WHERE span_no <= 50 GROUP BY doc_id), ce AS (SELECT doc_id, string_agg(name, ' | ' ORDER BY entity_no) AS x FROM en WHERE entity_no <= 50 GROUP BY doc_id), ci AS (SELECT doc_id, string_agg(kind || '=' || value, ' | ' ORDER BY kind) AS x FROM iv GROUP BY doc_id), ct AS (SELECT doc_id, string_agg(name || '=' || value, ' | ' ORDER BY name) AS x FROM td GROUP BY doc_id), cb AS (SELECT doc_id, string_agg(text, ' | ' ORDER BY citation_no) AS x FROM cites GROUP BY doc_id),
+ut AS (SELECT doc_id, string_agg(v, ' | ' ORDER BY k, no) AS x FROM (SELECT doc_id, 0 AS k, node_no AS no, 'ai_assisted:' || node_no AS v FROM nn WHERE (doc_id + node_no) % 9 = 0 UNION ALL SELECT doc_id, 1, span_no, 'excluded_span:' || span_no FROM sp WHERE span_no % 5 = 0) GROUP BY doc_id), dn AS (SELECT DISTINCT doc_id FROM nn)
+SELECT dn.doc_id, coalesce(k, 0) AS n_claims, md5(coalesce(claims, '')) AS claims, md5(coalesce(ca.x, '')) AS open_loops, md5(coalesce(cs.x, '')) AS spans, md5(coalesce(cb.x, '')) AS citations, md5(coalesce(ce.x, '')) AS entities, md5(coalesce(ci.x, '')) AS invariants, md5(coalesce(ct.x, '')) AS tendencies, '' AS prohibited, coalesce(ut.x, '') AS untrusted
+FROM dn LEFT JOIN cc ON dn.doc_id = cc.doc_id LEFT JOIN ca ON dn.doc_id = ca.doc_id LEFT JOIN cs ON dn.doc_id = cs.doc_id LEFT JOIN ce ON dn.doc_id = ce.doc_id LEFT JOIN ci ON dn.doc_id = ci.doc_id LEFT JOIN ct ON dn.doc_id = ct.doc_id LEFT JOIN cb ON dn.doc_id = cb.doc_id LEFT JOIN ut ON dn.doc_id = ut.doc_id""".replace(", nn AS (", f", iv AS ({_INV} SELECT * FROM iv), td AS ({TENDENCIES}), nn AS (", 1),
     "l12_node_safe": f"""{_TOK} SELECT ctx.doc_id, "offset", 7::BIGINT AS length, NOT (ctx.doc_id % 4 = 3 AND "offset" < 20) AS safe FROM ctx WHERE token = 'utilize'""",
     "l14_gates": f"""{_TOK}, uu AS (SELECT doc_id, bool_or(doc_id % 10 = 0) AS odd, bool_or(doc_id % 4 = 3 AND "offset" < 20 AND doc_id % 9 <> 0) AS head FROM ctx WHERE token = 'utilize' GROUP BY doc_id), so AS {_OFF}, g AS (SELECT dx.doc_id, coalesce(odd, false) AS odd, coalesce(head, false) AS head, dx.doc_id % 14 = 0 AS stale, so.doc_id IS NOT NULL AS off FROM dx LEFT JOIN uu ON dx.doc_id = uu.doc_id LEFT JOIN so ON dx.doc_id = so.doc_id)
 SELECT doc_id, 'review' AS gate, NOT odd AS passed FROM g UNION ALL SELECT doc_id, 'node_safe', NOT head FROM g UNION ALL SELECT doc_id, 'rebase', true FROM g UNION ALL SELECT doc_id, 'facts', true FROM g UNION ALL SELECT doc_id, 'structure', NOT head FROM g UNION ALL SELECT doc_id, 'style', NOT off FROM g UNION ALL SELECT doc_id, 'revision', NOT stale FROM g UNION ALL SELECT doc_id, 'accepted', NOT (odd OR head OR off OR stale) FROM g""",
