@@ -62,15 +62,18 @@ def _least_overlap(n):
 
 def _staged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, text to (block, doc_id, n, fp, toks); toks is null for a set that its block already has."""
-    block, seen, weight = None, set(), 0
+    from pyspark import TaskContext
+
+    # blocks are called by partition and number, as ids may be missing or repeat: the table that is written keeps the names
+    block, seen, weight = TaskContext.get().partitionId() << 32, set(), 0
     for batch in batches:
         for lo in range(0, batch.num_rows, 512):
             part = batch.slice(lo, 512)
             ids = part.column(0).to_pylist()
             out = {k: [] for k in ("block", "doc_id", "n", "fp", "toks")}
             for doc_id, s in zip(ids, shingle_hashes(part.column(1).to_pylist())):
-                if block is None or weight > BLOCK_SHINGLES:
-                    block, seen, weight = (doc_id or 0), set(), 0
+                if weight > BLOCK_SHINGLES:
+                    block, seen, weight = block + 1, set(), 0
                 fp, toks = xxhash.xxh3_128_digest(s.tobytes()), None
                 if len(s) and doc_id is not None and fp not in seen:
                     seen.add(fp)
