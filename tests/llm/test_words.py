@@ -149,6 +149,25 @@ def test_merged_summaries_lose_less_than_the_threshold():
     assert all(held.get(k, 0) + lost >= threshold and k in held for k, n in true.items() if n >= threshold)
 
 
+def test_sums_of_counts_that_fit_and_that_do_not():
+    from textloom.llm.collocations import _summed, _unpacked
+
+    keys = np.array([5, 2, 5, 2**40 - 1, 0], np.uint64)
+    for top in (3, 2**24 - 1, 2**24, 2**31):
+        counts = np.array([1, top, top, 2, 7], np.uint64)
+        got = _summed(keys.copy(), counts)
+        assert dict(zip(got[0].tolist(), got[1].tolist())) == {0: 7, 2: top, 5: 1 + top, 2**40 - 1: 2}
+    assert len(_summed(np.empty(0, np.uint64), np.empty(0, np.int64))[0]) == 0
+    from textloom.llm.bpe import packed_numbers, unpacked_numbers
+
+    for numbers in ([], [0], [1, 2**32 - 1, 70_000, 255]):
+        assert unpacked_numbers(packed_numbers(np.array(numbers, np.uint32))).tolist() == numbers
+    steps = np.array([1, 2**39, 3], np.uint64)  # a step beyond 32 bits follows the others
+    small = np.minimum(steps, np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    wide = steps[steps >= 0xFFFFFFFF].astype("<u8")
+    assert _unpacked(packed_numbers(small) + wide.tobytes() + len(wide).to_bytes(4, "little")).tolist() == np.cumsum(steps).tolist()
+
+
 def variants(rows, least_length=5, least_n=3, ratio=2):
     """Spelling variants by their definition, through shared deletions."""
     counts = Counter()
