@@ -2,10 +2,10 @@
 
 Whole license texts and standard headers are held in `license_texts.json`. Templates are cut into five-word shingles.
 Texts are read in windows of twice a template's length that step by its length, so every stretch as long as the
-template lies whole in one window. Each window and template has one minimum per band under BANDS reorderings of the
-shingle hashes. A window that holds 0.75 of a template has a Jaccard similarity of at least 1/3 with it, so with one
-row a band it meets the template with probability 1 - (2/3)**BANDS, over 0.9999. What meets is verified by exact
-containment.
+template lies whole in one window. A window keeps the shingles that some template of its length has. Each window and
+template has one minimum per band under BANDS reorderings of the shingle hashes, and they meet by an equi-join on band
+and minimum. A window that holds 0.75 of a template has a Jaccard similarity of at least 1/3 with it, so with one row a band it
+meets the template with probability 1 - (2/3)**BANDS, over 0.9999. What meets is verified by exact containment.
 
 Licenses whose texts are near copies of each other (GPL and AGPL, GPL headers of two versions) are told apart by the
 shingles that one has and the other lacks: one that shows less than half of its own, and less than the other, goes.
@@ -28,11 +28,11 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import materialize
+from textloom.llm.common import bounded_broadcast, materialize
 
 BANDS, WIDTH, CONTAINED = 24, 5, 0.75
-#: Shingles of all templates, which are broadcast.
-MOST_SHINGLES = 100_000
+#: Shingles of all templates up to which they are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 #: Templates of fewer shingles are phrases; templates that share this part of the smaller one are near copies.
 LEAST_SHINGLES, NEAR = 4, 0.5
 
@@ -86,7 +86,9 @@ _NOTICE_MARKS = (r"licen[sc]e", r"(?:released|distributed|published|provided|ava
 
 
 def _lower(text: Column) -> Column:
-    return F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    """A-Z in lower case; lower() does that alone, and faster, where all is ASCII."""
+    t = F.coalesce(text, F.lit(""))
+    return F.when(F.octet_length(t) == F.length(t), F.lower(t)).otherwise(F.translate(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
 
 
 def _words(text: str) -> list[str]:
@@ -119,15 +121,13 @@ def _shingles(words: Column, width: int) -> Column:
     return F.transform(places, lambda i: F.xxhash64(*[F.element_at(words, i + k) for k in range(width)]))
 
 
-def _minima(shingles: Column) -> Column:
-    """Per band the least hash under the band's reordering."""
-    masks = F.transform(F.sequence(F.lit(1), F.lit(BANDS)), lambda b: F.xxhash64(b))
-    return F.transform(masks, lambda m: F.array_min(F.transform(shingles, lambda h: h.bitwiseXOR(m))))
-
-
 def _notices(cut: DataFrame, phrases: Sequence[tuple[str, str]]) -> DataFrame:
     """doc_id, row, license, n, at (words before the first) of the phrases in the words of each row."""
     joined = cut.select("doc_id", "row", F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")).alias("joined"))
+    # most texts hold none of them: one search for all, in which those that begin alike share their beginning
+    led = [p.removeprefix(_LEAD) for _, p in phrases if p.startswith(_LEAD)]
+    some = [p for _, p in phrases if not p.startswith(_LEAD)] + ([f"{_LEAD}(?:{'|'.join(led)})"] if led else [])
+    joined = joined.where(F.col("joined").rlike(f"(?<= )(?:{'|'.join(some)})(?= )"))
     hits = []
     for name, phrase in phrases:
         pattern = f"(?<= ){phrase}(?= )"
@@ -152,8 +152,6 @@ def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLA
     of = [(name, words) for name, text in templates if (words := _words(text))]
     held = [(name, words) for name, words in of if len(words) - WIDTH + 1 >= LEAST_SHINGLES]
     phrases = [(name, " ".join(words)) for name, words in of if len(words) - WIDTH + 1 < LEAST_SHINGLES]
-    if sum(len(words) for _, words in held) > MOST_SHINGLES:
-        raise ValueError(f"templates of more than {MOST_SHINGLES} shingles: scan them in several calls")
     marks: list[str] = list(_NOTICE_MARKS) if notices else []
     marks += [p for _, phrase in phrases if not re.search("licen[sc]e", phrase) or not notices for p in [max(phrase.split(), key=len)]]
     chosen: list[str] = ["license"] if notices else []
@@ -177,40 +175,52 @@ def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLA
     return found.groupBy("doc_id", "license").agg(F.coalesce(F.max("containment"), F.lit(1.0)).alias("containment"), F.max("n_windows").alias("n_windows"), F.min("at").alias("first_word"), F.max("n_notices").alias("n_notices"))
 
 
+def _signed(members: DataFrame, *keys: str) -> DataFrame:
+    """keys, band, least: per set of shingle hashes h and band the least hash under the band's reordering."""
+    least = members.groupBy(*keys).agg(*[F.min(F.xxhash64("h", F.lit(b))).alias(f"m{b}") for b in range(BANDS)])
+    return least.select(*keys, F.posexplode(F.array(*[f"m{b}" for b in range(BANDS)])).alias("band", "least"))
+
+
 def _windows(cut: DataFrame, held: list[tuple[str, list[str]]], notices: Sequence[tuple[str, str]]) -> DataFrame:
     """doc_id, row, license, containment, template, at of the templates that windows hold, and in rows of their own the
     notices of other licenses that belong to these templates (license, inside).
+
+    The templates' tables are broadcast up to BROADCAST_ROWS counted rows and joined by a shuffle beyond.
     """
     spark = cut.sparkSession
     own_notices = [[(name, n) for name, phrase in notices if (n := len(re.findall(f"(?<= ){phrase}(?= )", f" {' '.join(w)} ")))] for _, w in held]
     rows = [(len(w) - WIDTH + 1, k, name, w, against, own_notices[k]) for k, ((name, w), against) in enumerate(zip(held, _rivals(held)))]
     known = spark.createDataFrame(rows, "length int, template int, license string, words array<string>, against array<struct<rival:int,single:array<array<string>>>>, inner array<struct<license:string,n:long>>")
-    hashed = lambda xs: F.transform(xs, lambda x: F.xxhash64(*[F.element_at(x, k + 1) for k in range(WIDTH)]))
-    against = F.transform("against", lambda r: F.struct(r["rival"].alias("rival"), hashed(r["single"]).alias("single")))
-    known = known.select("length", "template", "license", "inner", F.array_distinct(_shingles(F.col("words"), WIDTH)).alias("own"), against.alias("against"))
-    known = materialize(known.withColumn("signs", _minima(F.col("own"))), "templates")
-    shapes = known.groupBy("length").agg(F.array_distinct(F.flatten(F.collect_list("own"))).alias("pool"))
-
-    # no filter on s alone: it would be pushed below and cut the text once per word
-    s = cut.select("doc_id", "row", _shingles(F.col("words"), WIDTH).alias("s"))
-    met = s.join(F.broadcast(shapes), F.arrays_overlap("s", "pool"))
-    starts = F.sequence(F.lit(0), F.size("s") - 1, F.col("length"))
-    cuts = F.transform(starts, lambda a: F.struct(a.alias("at"), F.slice(F.col("s"), a + 1, 2 * F.col("length")).alias("window")))
-    # windows without any shingle of a template cannot share a minimum with one
-    cuts = F.filter(cuts, lambda x: F.arrays_overlap(x["window"], F.col("pool")))
-    one = met.select("doc_id", "row", "length", F.explode(cuts).alias("x")).select("doc_id", "row", "length", "x.*")
-    one = one.withColumn("least", _minima(F.col("window")))
-    same = F.exists(F.zip_with("least", "signs", lambda a, b: a == b), lambda x: x)
-    exact = one.join(F.broadcast(known), "length").where(same)
-    share = lambda c: F.size(F.array_intersect(c, F.col("window"))) / F.size(c)
-    exact = exact.withColumn("containment", share(F.col("own"))).where(F.col("containment") >= CONTAINED)
-    shown = F.transform("against", lambda r: F.struct(r["rival"].alias("rival"), share(r["single"]).alias("shown")))
-    exact = exact.select("doc_id", "row", "license", "template", "at", "containment", "inner", shown.alias("against"))
+    own = materialize(known.select("template", "license", "length", F.explode(F.array_distinct(_shingles(F.col("words"), WIDTH))).alias("h")), "templates")
+    n_own = own.count()
+    sent = lambda df: bounded_broadcast(df, n_own, BROADCAST_ROWS)  # noqa: E731  (none of them has more rows than this times BANDS)
+    # a shingle counts for windows of those lengths whose templates have it
+    pool = own.groupBy("h").agg(F.collect_set("length").alias("lengths"))
+    hits = cut.select("doc_id", "row", F.posexplode(_shingles(F.col("words"), WIDTH)).alias("pos", "h")).join(sent(pool), "h")
+    hits = hits.select("doc_id", "row", "pos", "h", F.explode("lengths").alias("length"))
+    # window w begins at w * length and is twice as long: a place is in two
+    of = F.floor(F.col("pos") / F.col("length")).cast("int")
+    placed = hits.select("doc_id", "row", "length", F.explode(F.filter(F.array(of - 1, of), lambda w: w >= 0)).alias("w"), "h")
+    members = materialize(placed.distinct(), "windows")
+    window = ["row", "length", "w"]
+    # windows and templates meet where a band's minimum is the same
+    index = _signed(own, "template", "length")
+    met = _signed(members, *window).join(sent(index), ["length", "band", "least"]).select(*window, "template").distinct()
+    sizes = own.groupBy("template").agg(F.count("*").alias("size"))
+    exact = met.join(members, window).join(sent(own), ["template", "length", "h"]).groupBy("doc_id", *window, "template", "license").agg(F.count("*").alias("shared"))
+    exact = exact.join(sent(sizes), "template").withColumn("containment", F.col("shared") / F.col("size")).where(F.col("containment") >= CONTAINED)
+    seen = materialize(exact.select("doc_id", *window, "template", "license", "containment", (F.col("w") * F.col("length")).alias("at")), "held")
     # of near copies under other licenses those go that show less of what only they have
-    seen = materialize(exact, "held")
-    best = seen.select("row", "template", F.explode("against").alias("x")).groupBy("row", "template", F.col("x.rival").alias("rival")).agg(F.max("x.shown").alias("shown"))
-    other = best.select("row", F.col("rival").alias("template"), F.col("template").alias("rival"), F.col("shown").alias("theirs"))
-    gone = best.join(other, ["row", "template", "rival"]).where((F.col("shown") < NEAR) & (F.col("shown") < F.col("theirs"))).select("row", "template").distinct()
+    hashed = lambda xs: F.transform(xs, lambda x: F.xxhash64(*[F.element_at(x, k + 1) for k in range(WIDTH)]))
+    single = known.select("template", F.inline("against")).select("template", "rival", F.size("single").alias("n"), F.explode(hashed(F.col("single"))).alias("h"))
+    shown = seen.select(*window, "template").distinct().join(members.select(*window, "h").distinct(), window).join(single, ["template", "h"])
+    best = shown.groupBy(*window, "template", "rival", "n").agg(F.count("*").alias("shared")).groupBy("row", "template", "rival").agg(F.max(F.col("shared") / F.col("n")).alias("shown"))
+    # a template that shows nothing of its own has no row here: both directions start from what was seen
+    pairs = single.select("template", "rival").distinct().join(seen.select("row", "template").distinct(), "template")
+    pairs = pairs.join(best, ["row", "template", "rival"], "left").withColumn("shown", F.coalesce("shown", F.lit(0.0)))
+    other = pairs.select("row", F.col("rival").alias("template"), F.col("template").alias("rival"), F.col("shown").alias("theirs"))
+    gone = pairs.join(other, ["row", "template", "rival"]).where((F.col("shown") < NEAR) & (F.col("shown") < F.col("theirs"))).select("row", "template").distinct()
     told = seen.join(gone, ["row", "template"], "left_anti")
-    inside = told.select("doc_id", "row", F.inline("inner")).select("doc_id", "row", "license", F.col("n").alias("inside"))
+    inner = known.select("template", F.inline("inner")).select("template", F.col("license").alias("notice"), F.col("n").alias("inside"))
+    inside = told.select("doc_id", "row", "template").join(inner, "template").select("doc_id", "row", F.col("notice").alias("license"), "inside")
     return told.select("doc_id", "row", "license", "containment", "template", "at").unionByName(inside.distinct(), allowMissingColumns=True)
