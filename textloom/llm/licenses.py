@@ -81,8 +81,8 @@ NOTICES = (
     *((f"CC-{k.upper()}{v and '-' + v}", _LEAD + _creative(k, v)) for k in ("by", "by-sa", "by-nc", "by-nd", "by-nc-sa", "by-nc-nd") for v in ("1.0", "2.0", "2.5", "3.0", "4.0", "")),
     ("CC0-1.0", f"{_LEAD}(?:creative commons )?cc ?0"),
 )
-#: One of these is in every text that a notice matches.
-_NOTICE_MARKS = (r"licen[sc]e", r"(?:released|distributed|published|provided|available|covered|governed|shared|issued|offered|used)(?:[^a-z0-9]+only)?[^a-z0-9]+(?:under|by)[^a-z0-9]")
+#: One of these stands at a word's start in every text that a notice matches.
+_NOTICE_MARKS = (r"(?:re)?licen[sc]e", r"(?:re)?(?:released|distributed|published|provided|available|covered|governed|shared|issued|offered|used)(?:[^a-z0-9]+only)?[^a-z0-9]+(?:under|by)[^a-z0-9]")
 
 
 def _lower(text: Column) -> Column:
@@ -160,7 +160,8 @@ def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLA
     marks = sorted({*marks, *chosen})
 
     able = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    able = able.where(F.col("text").rlike("(?i)" + "|".join(marks))) if marks else able.where(F.lit(False))
+    # marks are words, or begin as words do: looked for at the starts of words alone
+    able = able.where(F.col("text").rlike(f"(?i)(?<![a-z0-9])(?:{'|'.join(marks)})")) if marks else able.where(F.lit(False))
     # equal rows are one: their matches are equal
     cut = able.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.regexp_extract_all(_lower(F.col("text")), F.lit(_WORD), F.lit(0)).alias("words"))
     out = spark.createDataFrame([], "doc_id long, row long, license string, containment double, template int, at int, n long, inside long")
