@@ -149,12 +149,21 @@ def counted(c: Column, values: list[str] | tuple[str, ...]) -> Column:
     return F.size(F.filter(c, lambda w: w.isin(*values))).cast("long")
 
 
-def tenths(v: Column) -> Column:
-    """A number from 0 on with one digit after the point, rounded by its binary value, halves to even."""
-    k = F.floor(v * 10)
-    over = (v * 16 - (2 * k + 1)) + v * 4  # 20 v against the next half tenth; each step is exact near it
+def decimals(v: Column, digits: int) -> Column:
+    """A number from 0 on with so many digits after the point, rounded by its binary value, halves to even."""
+    unit = 10**digits
+    k = F.floor(v * unit)
+    # twice the unit times v against the next half, by powers of two, the largest first: each step is exact near it
+    first, *rest = [1 << j for j in range((2 * unit).bit_length() - 1, -1, -1) if 2 * unit >> j & 1]
+    over = v * first - (2 * k + 1)
+    for power in rest:
+        over = over + v * power
     n = k + F.when((over > 0) | ((over == 0) & (k % 2 == 1)), 1).otherwise(0)
-    return F.concat(F.floor(n / 10).cast("string"), F.lit("."), (n % 10).cast("string"))
+    return F.concat(F.floor(n / unit).cast("string"), F.lit("."), F.lpad((n % unit).cast("string"), digits, "0"))
+
+
+def tenths(v: Column) -> Column:
+    return decimals(v, 1)
 
 
 def whole_or_tenths(v: Column) -> Column:

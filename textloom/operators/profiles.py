@@ -226,7 +226,7 @@ def invariants(docs: DataFrame) -> DataFrame:
         "quotation_convention": (F.col("quotation_convention"), F.col("quotation_convention")),
         "citation_presentation": (F.when(F.col("brackets") + F.col("authors") > 0, cited).otherwise("none"), cited),
         "heading_capitalization": (F.lit(""), F.lit("not_extractable_from_plain_text")),
-        "contraction_policy": (F.col("contraction_policy"), F.format_string("%.4f", "contraction_frequency")),
+        "contraction_policy": (F.col("contraction_policy"), T.decimals(F.col("contraction_frequency"), 4)),
         "preferred_terminology": (F.array_join("terms.value", "|"), F.concat(F.lit("counts="), F.when(F.size("terms") > 0, F.array_join(F.transform("terms", lambda x: (-x["o"]).cast("string")), ",")).otherwise("0"))),
         "prohibited_phrases": (F.lit(""), F.lit("none_configured")),
         "paragraph_range": (span("paragraphs", "plo", "phi"), counted("paragraphs", "paragraphs")),
