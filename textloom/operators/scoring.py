@@ -6,6 +6,7 @@ import re
 from collections.abc import Callable
 from typing import TYPE_CHECKING
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -65,11 +66,25 @@ SCORE_KEY = ("text_sha256", "provider", "model", "schema_version")
 Scorer = Callable[[DataFrame], DataFrame]
 
 
+#: Texts that a user's function gets at once.
+_TEXTS = 256
+
+
+def _in_parts(score: Callable[[pd.Series], pd.Series]) -> Callable[[pa.Array], pa.Array]:
+    """score over an Arrow batch, a few texts at a time: a batch's texts are never all objects of Python."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        parts = (score(texts.slice(at, _TEXTS).to_pandas()) for at in range(0, len(texts), _TEXTS))
+        return pa.concat_arrays([pa.array(x, pa.float64(), from_pandas=True) for x in parts] or [pa.array([], pa.float64())])
+
+    return run
+
+
 def register_scorer(spark: SparkSession, name: str, score: Callable[[pd.Series], pd.Series]) -> None:
     """Makes a function of a column of texts (in Arrow batches) to scores known by name: to SQL, and to what takes a scorer."""
     if not re.fullmatch(r"[A-Za-z_]\w*", name):
         raise ValueError(f"a scorer's name must be a plain name: {name!r}")
-    spark.udf.register(name, F.pandas_udf(score, "double"))
+    spark.udf.register(name, F.arrow_udf(_in_parts(score), "double"))
 
 
 def scorer_of(scorer: Scorer | str) -> Scorer:
@@ -106,7 +121,7 @@ def lookup_or_compute(docs: DataFrame, stored: DataFrame, provider: str = "local
 
 def hooked(score: Callable[[pd.Series], pd.Series]) -> Callable[[DataFrame], DataFrame]:
     """A scorer from a user's function of a column of texts (in Arrow batches) to scores; labels follow the usual bounds."""
-    run = F.pandas_udf(score, "double")
+    run = F.arrow_udf(_in_parts(score), "double")
     return lambda docs: _labelled(docs, run(F.col("text")))
 
 
