@@ -95,3 +95,22 @@ def test_changes_that_do_not_fit_leave_the_text_and_say_so(spark):
     got = {r.doc_id: (r.text, r.problem) for r in X.apply_changes(d, c).collect()}
     assert got == {1: ("1 two 3", None), 2: (docs[1][1], "surface:4"), 3: ("one two", "overlap:2"), 4: ("one", "outside:1"), 5: ("one two", "document_hash"), 6: (None, None), 7: ("one", None)}
     assert X.apply_changes(d, c.drop("document_hash")).where("doc_id = 5").first().text == "1 two"
+
+
+def test_lines_are_the_line_nodes_without_places(spark):
+    from textloom.operators import evidence as E
+
+    docs = spark.createDataFrame([(1, "a\n\n \t\x0b\f\r\n b \r\n \nc"), (2, ""), (3, None), (4, "\n"), (5, "x")], "doc_id long, text string")
+    rows = lambda df: sorted(map(tuple, df.select("doc_id", "node_no", "text").collect()))
+    assert rows(E.lines(docs)) == rows(E.line_nodes(docs)) and len(rows(E.lines(docs))) == 5
+
+
+def test_profile_items_are_added_up_by_hash_and_keep_first_places(spark):
+    from textloom.operators import profiles as P
+
+    docs = spark.createDataFrame([(5, "s", "c d. a b"), (-2, "s", "x y a b. C D! p q"), (None, "t", "m n"), (-9, "t", "k l")], "doc_id long, source string, text string")
+    plan = P.profile_items(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
+    got = {r.source: r for r in P.profiles(docs).collect()}
+    assert got["s"].terms == "a b|c d|x y" and got["t"].terms == "m n|k l"
+    assert (got["s"].words, got["s"].letters, got["s"].sentences, got["s"].length, got["s"].squares) == (12, 12, 5, 12, 32)

@@ -65,6 +65,12 @@ def line_nodes(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", (F.col("k") + 1).alias("node_no"), "n.start", "n.end", "n.line", "n.text")
 
 
+def lines(docs: DataFrame) -> DataFrame:
+    """The nodes of line_nodes() without their places: doc_id, node_no, text."""
+    held = F.filter(F.split("text", "\n"), lambda x: x.rlike(rf"[^{T.SPACE[1:]}"))
+    return docs.select("doc_id", F.posexplode(held).alias("k", "text")).select("doc_id", (F.col("k") + 1).alias("node_no"), "text")
+
+
 def citations(nodes: DataFrame) -> DataFrame:
     """doc_id, citation_no, kind, text, start, end, in order of the text; repeated places count once."""
     t = F.col("text")

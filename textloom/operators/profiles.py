@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,17 +27,37 @@ def _read(docs: DataFrame) -> DataFrame:
     return rows.withColumns({"ls": F.transform("s", lambda x: F.size(T.words(x))), "tr": F.filter(F.transform("s", start), lambda x: x != "")})
 
 
+#: Lists of words whose occurrences are counted, by name.
+_LISTS = {"function_words": L.FUNCTION_WORDS, "formal": L.FORMAL, "casual": L.CASUAL, **L.PRONOUNS}
+
+
+def _of_words() -> dict[str, Callable[[Column], Column]]:
+    """Whole numbers that a word adds to its text's counts, by name."""
+    one = lambda held: held.cast("long")
+    return {"words": lambda x: F.lit(1).cast("long"), "letters": lambda x: F.length(x).cast("long"), "contractions": lambda x: one(x.contains("'")), **{k: lambda x, v=v: one(x.isin(*v)) for k, v in _LISTS.items()}}
+
+
+def _of_text() -> dict[str, Column]:
+    """Whole numbers of a text beside those of its words and of its lengths, by name."""
+    t = F.col("text")
+    has = lambda *cs: F.greatest(*[t.contains(c).cast("int") for c in cs], F.lit(0))
+    return {
+        "chars": F.length(t), "questions": F.size(F.filter("s", lambda x: x.contains("?"))), **{f"mark_{k}": T.occurrences(t, c) for k, c in enumerate(L.PUNCTUATION)},
+        "em": has("—"), "en": has("–"), "hyphen": has("-"), "straight_quotes": has('"'), "curly_quotes": has("“", "”"), "single_curly": has("‘", "’"),
+    }
+
+
+#: Names of the number, sum and sum of squares of lengths, by the kind of their items.
+_LENGTHS = {"s": ("sentences", "length", "squares"), "p": ("paragraphs", "para_length", "para_squares")}
+
+
 def _counts() -> dict[str, Column]:
     """Whole numbers of a text that add up over texts, by name."""
-    t, w = F.col("text"), F.col("w")
+    w = F.col("w")
     total = lambda c, f: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + f(x))
-    has = lambda *cs: F.greatest(*[t.contains(c).cast("int") for c in cs], F.lit(0))
+    lengths = {k: c for kind, names in _LENGTHS.items() for k, c in zip(names, (F.size(f"l{kind}"), total(f"l{kind}", lambda x: x), total(f"l{kind}", lambda x: x * x)))}
     return {
-        "words": F.size(w), "letters": F.length(F.array_join(w, "")), "function_words": T.counted(w, L.FUNCTION_WORDS), "contractions": F.size(F.filter(w, lambda x: x.contains("'"))),
-        "sentences": F.size("ls"), "length": total("ls", lambda x: x), "squares": total("ls", lambda x: x * x), "paragraphs": F.size("lp"), "para_length": total("lp", lambda x: x), "para_squares": total("lp", lambda x: x * x),
-        "chars": F.length(t), "questions": F.size(F.filter("s", lambda x: x.contains("?"))), "formal": T.counted(w, L.FORMAL), "casual": T.counted(w, L.CASUAL),
-        **{k: T.counted(w, v) for k, v in L.PRONOUNS.items()}, **{f"mark_{k}": T.occurrences(t, c) for k, c in enumerate(L.PUNCTUATION)},
-        "em": has("—"), "en": has("–"), "hyphen": has("-"), "straight_quotes": has('"'), "curly_quotes": has("“", "”"), "single_curly": has("‘", "’"),
+        "words": F.size(w), "letters": F.length(F.array_join(w, "")), "contractions": F.size(F.filter(w, lambda x: x.contains("'"))), **{k: T.counted(F.col("listed"), v) for k, v in _LISTS.items()}, **lengths, **_of_text(),
     }
 
 
@@ -65,7 +87,9 @@ def _figures(types: Column) -> dict[str, Column]:
 
 def document_figures(docs: DataFrame) -> DataFrame:
     """docs (doc_id, source, text) with their counts and figures, in one scan."""
-    rows = _read(docs).withColumns({k: c.cast("long") for k, c in _counts().items()} | {"types": F.size(F.array_distinct("w")).cast("long")})
+    listed = sorted({x for v in _LISTS.values() for x in v})  # one pass over all words, the others over what it leaves
+    rows = _read(docs).withColumn("listed", F.filter("w", lambda x: x.isin(*listed)))
+    rows = rows.withColumns({k: c.cast("long") for k, c in _counts().items()} | {"types": F.size(F.array_distinct("w")).cast("long")})
     return rows.withColumns(_figures(F.col("types")))
 
 
@@ -73,19 +97,21 @@ def profile_items(docs: DataFrame) -> DataFrame:
     """source, kind, key, n, first: all that the profile of a source adds up, from one scan and one shuffle.
 
     Kinds: f a count by name, w a word, b a pair of words, s and p lengths of sentences and paragraphs, t a transition.
-    Each document sends every key once; sums are combined before the shuffle.
+    Equal items are added up before the shuffle, by hash: where a pair stands first is one number, of its document and its place.
     """
-    kind = "struct<kind:string,key:string,n:long,first:int>"
+    kind = "struct<kind:string,key:string,n:long,at:int>"
 
-    def some(name: str, values: Column) -> Column:
-        return F.transform(T.runs(values), lambda x: F.struct(F.lit(name).alias("kind"), x["value"].alias("key"), x["n"].alias("n"), x["first"].alias("first")).cast(kind))
+    def some(name: str, values: Column, placed: bool = False) -> Column:
+        return F.transform(values, lambda x, i: F.struct(F.lit(name).alias("kind"), x.alias("key"), F.lit(1).cast("long").alias("n"), (i if placed else F.lit(None)).cast("int").alias("at")).cast(kind))
 
     rows = _read(docs)
-    figures = F.array(*[F.struct(F.lit("f").alias("kind"), F.lit(k).alias("key"), c.alias("n"), F.lit(0).alias("first")).cast(kind) for k, c in _counts().items()])
+    figures = F.array(*[F.struct(F.lit("f").alias("kind"), F.lit(k).alias("key"), c.cast("long").alias("n"), F.lit(None).cast("int").alias("at")).cast(kind) for k, c in _of_text().items()])
     strings = lambda c: F.transform(c, lambda x: x.cast("string"))
-    items = F.concat(figures, some("w", F.col("w")), some("b", grams(F.col("w"), 2)), some("s", strings("ls")), some("p", strings("lp")), some("t", F.col("tr")))
+    items = F.concat(figures, some("w", F.col("w")), some("b", grams(F.col("w"), 2), True), some("s", strings("ls")), some("p", strings("lp")), some("t", F.col("tr")))
     each = rows.select("doc_id", "source", F.inline(items))
-    return each.groupBy("source", "kind", "key").agg(F.sum("n").alias("n"), F.min(F.struct("doc_id", "first")).alias("first"))
+    # a struct's least would sort every item; documents without an id are before all others
+    place = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).cast("decimal(19,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("at")
+    return each.groupBy("source", "kind", "key").agg(F.sum("n").alias("n"), F.min(F.when(F.col("at").isNotNull(), place)).alias("first"))
 
 
 def profiles(docs: DataFrame) -> DataFrame:
@@ -95,10 +121,14 @@ def profiles(docs: DataFrame) -> DataFrame:
     their counts; a sentence that runs on from one document into the next counts as two.
     """
     items = materialize(profile_items(docs), "profile")
-    named = lambda k: F.coalesce(F.sum(F.when((F.col("kind") == "f") & (F.col("key") == k), F.col("n"))), F.lit(0))
+    added = lambda kind, value: F.coalesce(F.sum(F.when(F.col("kind") == kind, value)), F.lit(0))
+    n, length = F.col("n"), F.col("key").cast("long")
+    sums = {k: added("f", F.when(F.col("key") == k, n)) for k in _of_text()} | {k: added("w", n * f(F.col("key"))) for k, f in _of_words().items()}
+    for name, (number, whole, squares) in _LENGTHS.items():
+        sums |= {number: added(name, n), whole: added(name, n * length), squares: added(name, n * length * length)}
     of = lambda k: F.when(F.col("kind") == k, F.col("key").cast("int"))
     rows = items.groupBy("source").agg(
-        *[named(k).alias(k) for k in _counts()], F.count_if(F.col("kind") == "w").alias("types"), F.percentile(of("s"), F.array(F.lit(0.1), F.lit(0.9)), F.col("n")).alias("band"),
+        *[sums[k].alias(k) for k in _counts()], F.count_if(F.col("kind") == "w").alias("types"), F.percentile(of("s"), F.array(F.lit(0.1), F.lit(0.9)), F.col("n")).alias("band"),
         F.min(of("p")).alias("paragraph_least"), F.max(of("p")).alias("paragraph_most"), F.coalesce(F.sum(F.when(F.col("kind") == "t", F.col("n"))), F.lit(0)).alias("transitions"),
     )
 
@@ -211,8 +241,11 @@ def tendencies(docs: DataFrame) -> DataFrame:
     )))
 
 
-def invariants(docs: DataFrame) -> DataFrame:
-    """doc_id, kind, value, status, evidence: the ten conventions that a text shows, never a judgment."""
+def invariants(docs: DataFrame, kinds: tuple[str, ...] | None = None) -> DataFrame:
+    """doc_id, kind, value, status, evidence: the ten conventions that a text shows, never a judgment; or some kinds of them.
+
+    What only other kinds need isn't worked out.
+    """
     t = F.col("text")
     rows = document_figures(docs.select("doc_id", F.lit("").alias("source"), "text"))
     rows = T.with_distribution(rows, F.col("ls"), {"p10": "s10", "p90": "s90"})
@@ -235,7 +268,7 @@ def invariants(docs: DataFrame) -> DataFrame:
         "person_policy": (F.col("person_policy"), F.concat_ws(",", *[counted(k, k) for k in sorted(L.PRONOUNS)])),
     }
     one = lambda k, v, e: F.struct(F.lit(k).alias("kind"), v.alias("value"), F.lit("unknown" if k == "heading_capitalization" else "pass").alias("status"), e.alias("evidence"))
-    return rows.select("doc_id", F.inline(F.array(*[one(k, v, e) for k, (v, e) in shown.items()])))
+    return rows.select("doc_id", F.inline(F.array(*[one(k, v, e) for k, (v, e) in shown.items() if kinds is None or k in kinds])))
 
 
 def profile_invariants(profile: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ def _typed(d):
 def review_spans(d):
     """Spans of every line with a class from review: package_id, span_no, text, class, resolved, words, unsupported."""
     words = F.size(T.words(F.col("text"))).cast("long")
-    rows = E.line_nodes(d).withColumns({"class": F.expr(_CLASS), "words": words, "unsupported": F.expr("CASE WHEN doc_id % 10 = 0 AND node_no = 1 THEN 'style' END")})
+    rows = E.lines(d).withColumns({"class": F.expr(_CLASS), "words": words, "unsupported": F.expr("CASE WHEN doc_id % 10 = 0 AND node_no = 1 THEN 'style' END")})
     return rows.select(F.col("doc_id").alias("package_id"), F.col("node_no").alias("span_no"), "text", "class", F.expr("class <> 'unknown'").alias("resolved"), "words", "unsupported")
 
 
