@@ -19,7 +19,7 @@ from textloom.plans.reviewing import PROFILE_COVERAGE, review_spans, voices
 from textloom.plans.style import _CONV, _DASH, _QUOTE
 from textloom.plans.style import ORACLES as STYLE
 from textloom.sources import ingest as I
-from textloom.sources.store import new_path
+from textloom.sources.store import materialize, new_path
 from textloom.streaming.logs import window_drift, window_means
 
 
@@ -97,8 +97,10 @@ def _final(spark, sf):
 def _capsules(d):
     nodes = E.line_nodes(d).withColumn("node_type", F.lit("paragraph")).withColumn("authorship_class", F.when((F.col("doc_id") + F.col("node_no")) % 9 == 0, "ai_assisted").otherwise("unknown"))
     spans = E.protected_spans(E.span_candidates(nodes)).withColumn("status", F.when(F.col("span_no") % 5 == 0, "EXCLUDED").otherwise("KEPT"))
-    claims, citations = E.claims(spans), E.citations(nodes)
-    return nodes, W.capsules(nodes, claims, citations, spans, E.entities(claims, citations), P.invariants(d), P.tendencies(d))
+    # several lists are made of these: written once, not worked out by each
+    nodes, spans, citations, kept = materialize(nodes, "nodes"), materialize(spans, "spans"), materialize(E.citations(nodes), "citations"), materialize(P.invariants(d), "invariants")
+    claims = materialize(E.claims(spans), "claims")
+    return nodes, W.capsules(nodes, claims, citations, spans, E.entities(claims, citations), kept, P.tendencies(d))
 
 
 def _document_capsules(d):
