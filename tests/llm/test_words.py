@@ -111,6 +111,33 @@ def test_collocations_by_definition(hard, empty, threshold, top, sizes):
     assert collocations(empty, **sizes).count() == 0
 
 
+def test_a_slice_is_in_one_task_though_joins_change_while_they_run(spark):
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from textloom.llm.collocations import _by_slice
+    from textloom.llm.common import materialize
+
+    def counted(batches):
+        whole, n = {}, {}
+        for b in batches:
+            for s, w in zip(b.column(0).to_pylist(), b.column(3).to_pylist()):
+                whole[s], n[s] = w, n.get(s, 0) + 1
+        yield pa.RecordBatch.from_pylist([{"slice": s, "whole": whole[s], "n": n[s]} for s in n], schema=pa.schema([("slice", pa.int64()), ("whole", pa.int64()), ("n", pa.int64())]))
+
+    held = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "1m"}
+    before = {k: spark.conf.get(k, None) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        rows = spark.range(0, 512, 1, 8).select((F.col("id") % 64).alias("slice"), F.lit(1).cast("long").alias("mass"), F.randstr(20_000, 1).cast("binary").alias("keys"), F.lit(b"x").alias("counts"))
+        found = _by_slice(materialize(rows, "summaries")).mapInArrow(counted, "slice long, whole long, n long").collect()
+        assert sorted(map(tuple, found)) == [(s, 8, 8) for s in range(64)]
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_collocations_equal_their_sql(spark, duck):
     from textloom.llm.queries import ORACLES, QUERIES
 

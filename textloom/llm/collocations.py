@@ -287,6 +287,15 @@ def _exact(bitmap, bits: int):
     return run
 
 
+def _by_slice(summaries: DataFrame) -> DataFrame:
+    """Summaries with their slice's mass (whole), every slice in one task and in order."""
+    mass = summaries.groupBy("slice").agg(F.sum("mass").alias("whole"))
+    # at most as many rows as there are slices; beside a merged join the dealing by slice would be left out as done already,
+    # and a join that turns into a broadcast while it runs would then leave a slice in several tasks
+    rated = summaries.join(F.broadcast(mass), "slice").select("slice", "keys", "counts", "whole")
+    return rated.repartition("slice").sortWithinPartitions("slice")
+
+
 def frequent_ngrams(docs: DataFrame, threshold: int = 100, longest: int = LONGEST, slice_mass: int = SLICE_MASS, bits: int = BITMAP_BITS, held: int = HELD) -> DataFrame:
     """lang, k, phrase, f of n-grams of one to five words with f >= threshold within pieces; k = 0: the language's words in all.
 
@@ -298,12 +307,13 @@ def frequent_ngrams(docs: DataFrame, threshold: int = 100, longest: int = LONGES
     letters = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slices = 1 << min(bits - 6, (letters // slice_mass).bit_length())
     summaries = materialize(rows.mapInArrow(_summaries(slices, held), "slice long, mass long, keys binary, counts binary"), "summaries")
-    mass = summaries.groupBy("slice").agg(F.sum("mass").alias("whole"))
-    ordered = summaries.join(mass, "slice").select("slice", "keys", "counts", "whole").repartition("slice").sortWithinPartitions("slice")
-    parts = ordered.mapInArrow(_survivors(slices, threshold, bits), "slice long, flags binary")
+    parts = _by_slice(summaries).mapInArrow(_survivors(slices, threshold, bits), "slice long, flags binary")
     size = (1 << bits - 3) // slices
-    flags = bytearray(1 << bits - 3)
+    flags, merged = bytearray(1 << bits - 3), set()
     for part in parts.collect():  # a bitmap of fixed size, in parts
+        if part.slice in merged:
+            raise RuntimeError(f"slice {part.slice} was merged by two tasks")
+        merged.add(part.slice)
         flags[part.slice * size : (part.slice + 1) * size] = zstandard.ZstdDecompressor().decompress(part.flags)
     bitmap = spark.sparkContext.broadcast(zstandard.ZstdCompressor(level=1).compress(bytes(flags)))
     counted = rows.mapInArrow(_exact(bitmap, bits), "lang string, k int, phrase string, f long")
