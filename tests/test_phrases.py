@@ -114,3 +114,15 @@ def test_profile_items_are_added_up_by_hash_and_keep_first_places(spark):
     got = {r.source: r for r in P.profiles(docs).collect()}
     assert got["s"].terms == "a b|c d|x y" and got["t"].terms == "m n|k l"
     assert (got["s"].words, got["s"].letters, got["s"].sentences, got["s"].length, got["s"].squares) == (12, 12, 5, 12, 32)
+
+
+def test_few_phrases_are_found_without_a_shuffle_as_by_the_join(spark, monkeypatch):
+    from textloom.operators import lexical as X
+
+    docs = spark.createDataFrame([(1, "Is it used? it used, is it used"), (2, "used it"), (3, None), (4, "")], "doc_id long, text string")
+    rules = ruled(spark, ["is it used", "it used", "it  used"])
+    found = X.phrases(docs, rules)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    rows = sorted(map(tuple, found.collect()))
+    monkeypatch.setattr(X, "FEW_PHRASES", 0)
+    assert rows == sorted(map(tuple, X.phrases(docs, rules).collect())) and len(rows) == 3

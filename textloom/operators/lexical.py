@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import lexicons as L
@@ -40,14 +40,32 @@ def covered(token_rows: DataFrame, spans: DataFrame) -> DataFrame:
     return held.groupBy("doc_id", "tok_no").agg(F.sort_array(F.collect_list("span_no")).alias("spans"))
 
 
+#: Phrases that are looked for within the row; more meet the texts by a join.
+FEW_PHRASES = 64
+
+
+def _hits_in_row(keys: Column, few: list[Row], kinds: dict[str, str]) -> Column:
+    """Structs (at, k, ...) of the phrases' places in an array of tokens: where a phrase may begin, each is compared."""
+    others = [c for c in kinds if c != "keys"]
+    one = lambda r: F.struct(F.array(*map(F.lit, r["keys"])).alias("own"), F.lit(len(r["keys"])).alias("k"), *[F.lit(r[c]).cast(kinds[c]).alias(c) for c in others])
+    known = F.array(*map(one, few))
+    starts = F.filter(T.places(F.size(keys)), lambda i: F.get(keys, i).isin(*sorted({r["keys"][0] for r in few})))
+    here = lambda i: F.filter(known, lambda x: F.slice(keys, i + 1, x["k"]) == x["own"])
+    return F.flatten(F.transform(starts, lambda i: F.transform(here(i), lambda x: F.struct(i.alias("at"), x["k"].alias("k"), *[x[c].alias(c) for c in others]))))
+
+
 def phrase_hits(rows: DataFrame, known: DataFrame) -> DataFrame:
     """rows (doc_id, keys, ...) that hold a phrase, with hits: structs (at, k and the columns of known but keys).
 
-    keys: an array of tokens; known: (keys, ...), phrases of any number of tokens. Runs of as many tokens as some phrase
-    has meet the phrases by their hashes in an equi-join; what meets is compared token by token. Only the distinct
-    lengths come to the driver. Phrases without tokens are never found.
+    keys: an array of tokens; known: (keys, ...), phrases of any number of tokens. A few phrases are looked for within the
+    row, without a shuffle. Of more, runs of as many tokens as some phrase has meet the phrases by their hashes in an
+    equi-join; what meets is compared token by token, and only the distinct lengths come to the driver. Rows without a
+    hit may stay, with no hits. Phrases without tokens are never found.
     """
     known = known.where(F.size("keys") > 0)
+    few = known.limit(FEW_PHRASES + 1).collect()
+    if 0 < len(few) <= FEW_PHRASES:
+        return rows.withColumn("hits", T.bound(F.col("keys"), lambda keys: _hits_in_row(keys, few, dict(known.dtypes))))
     lengths = [r[0] for r in known.select(F.size("keys")).distinct().collect()] or [1]
     others = [c for c in known.columns if c != "keys"]
     named = T.with_grams(known, "keys", lengths).withColumn("g", F.explode(F.filter("grams", lambda g: (g["k"] == F.size("keys")))))
@@ -71,7 +89,7 @@ def phrases(docs: DataFrame, rule_rows: DataFrame) -> DataFrame:
     sources = rule_rows.where(F.col("source").contains(" ")).select("source").distinct().withColumn("keys", F.transform(cut(F.col("source")), T.folded))
     rows = docs.select("doc_id", cut(F.col("text")).alias("toks")).withColumn("keys", F.transform("toks", T.folded))
     kept = T.bound(F.struct("toks", "hits"), lambda r: T.bound(_chosen(_leftmost(_apart(r["toks"], r["hits"]))), lambda hits: _shown(r["toks"], hits)))
-    return phrase_hits(rows, sources).select("doc_id", F.inline(kept))
+    return phrase_hits(rows, sources).select("doc_id", F.inline(F.when(F.size("hits") > 0, kept)))
 
 
 _HIT = "struct<source:string,at:int,k:int>"
