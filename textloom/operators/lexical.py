@@ -8,12 +8,19 @@ from pyspark.sql import functions as F
 from textloom.functions import lexicons as L
 from textloom.functions import text as T
 from textloom.operators.intervals import overlapping, sums_before
+from textloom.sources.store import materialize
 
 _MARKS = r"""[!-/:-@\[-`{-~]"""
+_TOKEN = r"[^ \t\n\x0B\f\r]+"
 #: The ranks of rule origins, strongest first.
 RANKS = ("protected_span", "user_preference", "project_glossary", "register_evidence", "domain_glossary", "curated_rule", "licensed_resource", "no_change")
 
 
+def _core(token: Column) -> Column:
+    """A token without the marks around it."""
+    return F.regexp_replace(token, rf"^{_MARKS}+|{_MARKS}+$", "")
+
+
 def rules(spark: SparkSession) -> DataFrame:
     """The bundled rules: rule_id, source, target, sense, confidence, precedence."""
     return spark.createDataFrame([(*r, "curated_rule") for r in L.RULES], "rule_id string, source string, target string, sense string, confidence double, precedence string")
@@ -21,8 +28,8 @@ def rules(spark: SparkSession) -> DataFrame:
 
 def contexts(docs: DataFrame, window: int = 3) -> DataFrame:
     """One row per blank-separated token: doc_id, tok_no, token, offset, left_window, right_window, part_of_speech."""
-    found = F.regexp_extract_all("text", F.lit(r"[^ \t\n\x0B\f\r]+"), F.lit(0))
-    gaps = F.slice(F.transform(F.split("text", r"[^ \t\n\x0B\f\r]+", -1), F.length), 1, F.size(found))
+    found = F.regexp_extract_all("text", F.lit(_TOKEN), F.lit(0))
+    gaps = F.slice(F.transform(F.split("text", _TOKEN, -1), F.length), 1, F.size(found))
     rows = docs.select("doc_id", F.posexplode(F.arrays_zip(gaps.alias("gap"), found.alias("token"))).alias("tok_no", "x")).select("doc_id", "tok_no", "x.gap", "x.token")
     order = Window.partitionBy("doc_id").orderBy("tok_no")
     end = F.sum(F.col("gap") + F.length("token")).over(order.rowsBetween(Window.unboundedPreceding, 0))
@@ -33,6 +40,42 @@ def contexts(docs: DataFrame, window: int = 3) -> DataFrame:
     return rows.select("doc_id", "tok_no", "token", (end - F.length("token")).cast("long").alias("offset"), left.alias("left_window"), right.alias("right_window"), pos.alias("part_of_speech"))
 
 
+#: Forms that are looked for within the row; more meet the tokens by a join.
+FEW_FORMS = 1024
+
+
+def _with_places(docs: DataFrame, forms: DataFrame, few: list[str] | None) -> DataFrame:
+    """doc_id, text, places: which blank-separated tokens are a form (form, ...) but for case and outer marks.
+
+    A few forms are looked for within the row, without a shuffle; of more (None), tokens meet the forms by an equi-join.
+    """
+    cores = F.transform(F.regexp_extract_all("text", F.lit(_TOKEN), F.lit(0)), lambda x: F.lower(_core(x)))
+    if few is not None:
+        held = lambda xs: F.filter(T.places(F.size(xs)), lambda i: F.get(xs, i).isin(*few))
+        return docs.select("doc_id", "text", T.bound(cores, held).alias("places"))
+    met = docs.select("doc_id", F.posexplode(cores).alias("at", "form")).join(forms, "form", "left_semi")
+    return docs.select("doc_id", "text").join(met.groupBy("doc_id").agg(F.sort_array(F.collect_list("at")).alias("places")), "doc_id")
+
+
+def contexts_at(docs: DataFrame, window: int = 3) -> DataFrame:
+    """The rows of contexts() for the tokens at some places, within the row: doc_id, token, offset, left_window, right_window.
+
+    docs: (doc_id, text, places), places being the tokens' numbers.
+    """
+    lengths = F.transform(F.split("text", _TOKEN, -1), F.length)
+    parts = F.struct(F.regexp_extract_all("text", F.lit(_TOKEN), F.lit(0)).alias("found"), lengths.alias("gaps"))
+    steps = lambda r: F.zip_with(r["found"], F.slice(r["gaps"], 1, F.size(r["found"])), lambda x, g: (F.length(x) + g).cast("long"))
+
+    def shown(r: Column) -> Column:
+        left = lambda i: F.array_join(F.transform(F.slice(r["found"], F.greatest(i - window, F.lit(0)) + 1, F.least(i, F.lit(window))), F.lower), " ")
+        right = lambda i: F.array_join(F.slice(r["found"], i + 2, F.lit(window)), " ")
+        return T.bound(T.running(steps(r)), lambda before: F.transform("places", lambda i: F.struct(
+            F.get(r["found"], i).alias("token"), (F.get(before, i) + F.get(r["gaps"], i)).alias("offset"), left(i).alias("left_window"), right(i).alias("right_window"),
+        )))
+
+    return docs.select("doc_id", F.inline(F.when(F.size("places") > 0, T.bound(parts, shown))))
+
+
 def covered(token_rows: DataFrame, spans: DataFrame) -> DataFrame:
     """doc_id, tok_no, spans: the numbers of the protected spans (span_no, start, end) that cover each token's start."""
     at = token_rows.select("doc_id", "tok_no", "offset", (F.col("offset") + 1).alias("end"))
@@ -198,12 +241,10 @@ def propose(docs: DataFrame, rule_rows: DataFrame, spans: DataFrame, safe_thresh
     are ambiguous. A token under a protected span, an unknown inflection or an unsafe neighbourhood is declined.
     """
     ranks = F.array(*[F.lit(r) for r in RANKS])
-    core = F.regexp_replace("token", rf"^{_MARKS}+|{_MARKS}+$", "")
     forms = _forms(rule_rows)
-    # only documents with a word that has a rule are cut into tokens with their neighbours
-    words = F.array_distinct(F.transform(F.split("text", T.SPACE + "+"), lambda x: F.lower(F.regexp_replace(x, rf"^{_MARKS}+|{_MARKS}+$", ""))))
-    able = docs.select("doc_id", F.explode(words).alias("form")).join(forms, "form", "left_semi").select("doc_id").distinct()
-    rows = contexts(docs.join(able, "doc_id", "left_semi")).withColumn("surface", core).where("surface <> ''")
+    few = [r[0] for r in forms.select("form").limit(FEW_FORMS + 1).collect()]
+    few, forms = (few, F.broadcast(forms)) if len(few) <= FEW_FORMS else (None, forms)
+    rows = contexts_at(_with_places(docs, forms, few)).withColumn("surface", _core(F.col("token")))
     rows = rows.withColumn("offset", F.col("offset") + F.call_function("locate", F.col("surface"), F.col("token")) - 1).withColumn("form", F.lower("surface"))
     rows = rows.join(forms, "form").select("doc_id", "offset", "surface", "source", "left_window", "right_window")
     if not rule_rows.where(F.col("source").contains(" ")).isEmpty():
@@ -216,6 +257,7 @@ def propose(docs: DataFrame, rule_rows: DataFrame, spans: DataFrame, safe_thresh
     best = ranked.groupBy("source").agg(F.min(F.struct("rank", "rule_id", "target", "sense", "confidence")).alias("r"))
     ties = ranked.join(best.select("source", F.col("r.rank").alias("top")), "source").where("rank = top").groupBy("source").agg(F.count_distinct("target", "sense").alias("choices"))
     rows = rows.join(best, "source").join(ties, "source")
+    rows = materialize(rows, "tokens")  # read twice: written once, not worked out by each
     length = F.length("surface")
     held = spans.select("doc_id", F.col("start").alias("s"), F.col("end").alias("e"))
     key = ["doc_id", "offset"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -85,12 +86,16 @@ def _figures(types: Column) -> dict[str, Column]:
     }
 
 
-def document_figures(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, source, text) with their counts and figures, in one scan."""
+def document_counts(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, source, text) with their counts, in one scan."""
     listed = sorted({x for v in _LISTS.values() for x in v})  # one pass over all words, the others over what it leaves
     rows = _read(docs).withColumn("listed", F.filter("w", lambda x: x.isin(*listed)))
-    rows = rows.withColumns({k: c.cast("long") for k, c in _counts().items()} | {"types": F.size(F.array_distinct("w")).cast("long")})
-    return rows.withColumns(_figures(F.col("types")))
+    return rows.withColumns({k: c.cast("long") for k, c in _counts().items()} | {"types": F.size(F.array_distinct("w")).cast("long")})
+
+
+def document_figures(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, source, text) with their counts and figures, in one scan."""
+    return document_counts(docs).withColumns(_figures(F.col("types")))
 
 
 def profile_items(docs: DataFrame) -> DataFrame:
@@ -148,6 +153,20 @@ def profiles(docs: DataFrame) -> DataFrame:
     return rows.withColumns(out).drop("b", "t", "band")
 
 
+def compared_conventions(docs: DataFrame) -> DataFrame:
+    """source and the conventions (COMPARED) that profiles() gives it; documents' counts add up, no word is shuffled."""
+    sums = document_counts(docs).groupBy("source").agg(*[F.sum(k).alias(k) for k in _counts()])
+    figures = _figures(F.lit(0))
+    return sums.select("source", *[figures[k].alias(k) for k in COMPARED])
+
+
+def violating(docs: DataFrame, profile: DataFrame) -> DataFrame:
+    """doc_id of documents of which a convention differs from their source's (source and COMPARED): compare() has violations."""
+    p = profile.select("source", *[F.col(k).alias(f"p_{k}") for k in COMPARED])
+    differs = [F.coalesce(F.col(k) != F.col(f"p_{k}"), F.lit(False)) for k in COMPARED]
+    return document_figures(docs).select("doc_id", "source", *COMPARED).join(p, "source").where(functools.reduce(Column.__or__, differs)).select("doc_id")
+
+
 def projected_fingerprint(profile: DataFrame) -> DataFrame:
     """The flat fingerprint of each profile; parentheses count both marks, phrases are the profile's terms."""
     chars = F.greatest(F.col("chars"), F.lit(1))

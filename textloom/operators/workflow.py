@@ -130,7 +130,7 @@ def finalized(bases: DataFrame, changes: DataFrame, decisions: DataFrame, nodes:
     }
     if profile is not None:
         texts = after.join(bases.select("doc_id", "source"), "doc_id")
-        bad["style"] = P.compare(texts, profile, coverage).where("violations <> ''").select("doc_id")
+        bad["style"] = P.violating(texts, profile)
         if coverage is not None:
             bad["style"] = bad["style"].unionByName(bases.join(coverage.where("status = 'complete'").select("source"), "source", "left_anti").select("doc_id"))
     heads = revisions.where("status = 'accepted'").groupBy(F.col("document_id").alias("doc_id")).agg(F.max("token").alias("head"))

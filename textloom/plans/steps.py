@@ -48,8 +48,9 @@ def _titled(d):
 
 def _proposed(spark, sf):
     d = _titled(decorated(spark, sf))
-    spans = E.protected_spans(E.span_candidates(E.line_nodes(d)))
-    return d, spans, X.propose(d, X.rules(spark), spans)
+    # spans are read by the proposals and the gates, proposals by decisions and gates: written once, not worked out by each
+    spans = materialize(E.protected_spans(E.span_candidates(E.line_nodes(d))), "spans")
+    return d, spans, materialize(X.propose(d, X.rules(spark), spans), "proposals")
 
 
 def _safe(spark, sf):
@@ -75,12 +76,12 @@ def _status(spark, sf):
 
 
 def _profile(spark, sf):
-    """Profiles of the approved voices, and their coverage once a person has gone through the open spans of most documents."""
+    """Conventions of the approved voices, and their coverage once a person has gone through the open spans of most documents."""
     plain = decorated(spark, sf)
     done = F.expr("class = 'unknown' AND package_id % 97 <> 7")
     seen = review_spans(plain).withColumns({"resolved": F.col("resolved") | done, "class": F.when(done, "boilerplate").otherwise(F.col("class")), "unsupported": F.lit(None).cast("string")})
     packages = R.coverage(seen, 100).join(plain.select(F.col("doc_id").alias("package_id"), F.col("source").alias("profile")), "package_id")
-    return P.profiles(voices(plain)), R.profile_coverage(packages, 200).withColumnRenamed("profile", "source")
+    return P.compared_conventions(voices(plain)), R.profile_coverage(packages, 200).withColumnRenamed("profile", "source")
 
 
 def _final(spark, sf):
