@@ -57,3 +57,15 @@ def test_compared_conventions_are_those_of_the_profiles(spark):
     assert rows(light) == rows(full.select("source", *P.COMPARED)) and "Generate" not in plan(light)
     texts = docs.withColumn("source", docs.source)
     assert rows(P.violating(texts, light)) == rows(P.compare(texts, full).where("violations <> ''").select("doc_id"))
+
+
+def test_common_phrases_are_counted_outside_of_sorted_arrays(spark):
+    texts = ["a b. A b c, a b", None, "", "one", "x y x y x", "d'é don't x", "c d a b c d a b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = M.common_phrases(docs, 3)
+    assert "ArrowEvalPython" in plan(got) and "Exchange" not in plan(got)
+    assert rows(got) == sorted([
+        (0, 1, "a b", 3), (0, 2, "b a", 1), (0, 3, "b c", 1), (4, 1, "x y", 2), (4, 2, "y x", 2), (4, 3, "x y x", 2), (5, 1, "d don't", 1), (5, 2, "don't x", 1), (5, 3, "d don't x", 1),
+        (6, 1, "c d", 2), (6, 2, "d a", 2), (6, 3, "a b", 2),
+    ], key=repr)
+    assert rows(M.terminology(docs)) == [(0, "a b|b a|b c", "3,1,1"), (4, "x y|y x", "2,2"), (5, "d don't|don't x", "1,1"), (6, "c d|d a|a b", "2,2,2")]

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import heapq
+import re
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -280,21 +285,32 @@ def grams(w: Column, k: int) -> Column:
     return F.transform(places, lambda i: F.concat_ws(" ", *[F.get(w, i + (j - 1)) for j in range(k)]))
 
 
-def _grams(docs: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
-    """doc_id, g: counted word n-grams (value, n, first), first being the place in the shorter ones, then the longer."""
-    rows = docs.select("doc_id", T.words(F.col("text")).alias("w"))
-    return rows.select("doc_id", T.runs(F.concat(*[grams(F.col("w"), k) for k in sizes])).alias("g"))
+def top_phrases(text: Column, top: int, sizes: tuple[int, ...]) -> Column:
+    """Structs (phrase, n) of the `top` most frequent phrases of so many words; ties by size in their order, then by first appearance."""
+    word = T.WORD
+
+    def best(t: str) -> list[dict]:
+        w, counts = re.findall(word, t), Counter()  # a counter keeps phrases in the order of their first places
+        for k in sizes:
+            counts.update(zip(*(w[j:] for j in range(k))))
+        return [{"phrase": " ".join(g), "n": n} for g, n in heapq.nsmallest(top, counts.items(), key=lambda x: -x[1])]
+
+    @F.arrow_udf("array<struct<phrase:string,n:bigint>>")
+    def ranked(texts: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.struct([("phrase", pa.string()), ("n", pa.int64())]))
+        return pa.array((best(t.as_py()) if t.is_valid else None for t in texts), kind)
+
+    return ranked(F.lower(text))
 
 
 def common_phrases(docs: DataFrame, top: int = 10, sizes: tuple[int, ...] = (2, 3)) -> DataFrame:
     """The `top` most frequent phrases of two and three words, ties by first appearance: doc_id, rank, phrase, n."""
     # one document's phrases are ranked in its row, so nothing is shuffled
-    best = F.slice(F.sort_array(F.transform("g", lambda x: F.struct((-x["n"]).alias("o"), x["first"].alias("first"), x["value"].alias("phrase")))), 1, top)
-    rows = _grams(docs, sizes).select("doc_id", F.posexplode(best).alias("k", "x"))
-    return rows.select("doc_id", (F.col("k") + 1).alias("rank"), F.col("x.phrase").alias("phrase"), (-F.col("x.o")).cast("long").alias("n"))
+    rows = docs.select("doc_id", F.posexplode(top_phrases(F.col("text"), top, sizes)).alias("k", "x"))
+    return rows.select("doc_id", (F.col("k") + 1).alias("rank"), "x.phrase", "x.n")
 
 
 def terminology(docs: DataFrame) -> DataFrame:
     """The three most frequent bigrams joined by bars: doc_id, terms, counts."""
-    rows = _grams(docs.where(F.size(T.words(F.col("text"))) > 1), (2,)).select("doc_id", F.slice(F.sort_array(F.transform("g", lambda x: F.struct((-x["n"]).alias("o"), x["first"].alias("first"), x["value"].alias("phrase")))), 1, 3).alias("x"))
-    return rows.select("doc_id", F.array_join("x.phrase", "|").alias("terms"), F.array_join(F.transform("x", lambda r: (-r["o"]).cast("string")), ",").alias("counts"))
+    rows = docs.select("doc_id", top_phrases(F.col("text"), 3, (2,)).alias("x")).where(F.size("x") > 0)
+    return rows.select("doc_id", F.array_join("x.phrase", "|").alias("terms"), F.array_join(F.transform("x.n", lambda n: n.cast("string")), ",").alias("counts"))
