@@ -1,5 +1,7 @@
 """Shortcuts give what the long ways give, and don't do their work."""
 
+from pyspark.sql import functions as F
+
 from textloom.operators import evidence as E
 from textloom.operators import lexical as X
 from textloom.operators import metrics as M
@@ -69,3 +71,16 @@ def test_common_phrases_are_counted_outside_of_sorted_arrays(spark):
         (6, 1, "c d", 2), (6, 2, "d a", 2), (6, 3, "a b", 2),
     ], key=repr)
     assert rows(M.terminology(docs)) == [(0, "a b|b a|b c", "3,1,1"), (4, "x y|y x", "2,2"), (5, "d don't|don't x", "1,1"), (6, "c d|d a|a b", "2,2,2")]
+
+
+def test_drift_is_counted_without_places(spark):
+    before = ['Paid 5, 5 and $1,000 on 2024-01-02 "as it were" [1].', None, "", "Anna Miller 7%", "same 3 (Smith, 2020)", 'gone "abc" 9']
+    after = ['Paid 5 and $1,000 on 2024-01-03 "As It Were" [1] [2].', "new 4", "5", None, "same 3 (Smith, 2020)", ""]
+    docs = lambda ts: spark.createDataFrame(list(enumerate(ts)), "doc_id long, text string")
+    low = lambda df: df.withColumn("text", F.lower("text"))
+    bare = [low(E.anchor_texts(docs(x))) for x in (before, after)]
+    full = [low(E.anchors(docs(x))) for x in (before, after)]
+    assert [rows(x) for x in bare] == [rows(x.select("doc_id", "category", "text")) for x in full]
+    state = E.exact_diff(*full, ["doc_id", "category", "text"]).groupBy("doc_id").agg(*[F.count_if(F.col("state") == k).alias(k) for k in ("preserved", "omitted", "added")])
+    got = E.exact_drift(*bare)
+    assert rows(got) == rows(state) and "Window" not in plan(got)

@@ -55,6 +55,25 @@ def anchors(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.row_number().over(order).alias("seq"), F.col("kind").alias("category"), "text", F.col("start").alias("position"))
 
 
+def anchor_texts(docs: DataFrame) -> DataFrame:
+    """doc_id, category, text: the anchors of anchors() in no order and without places, so each pattern is one pass over a text."""
+
+    def found(kind: str, pattern: str) -> Column:
+        texts = F.regexp_extract_all("text", F.lit(pattern), F.lit(1 if kind == "quote" else 0))
+        return F.transform(texts, lambda x: F.struct(F.lit(kind).alias("category"), x.alias("text")))
+
+    each = [found(k, p) for k, p in ANCHORS]
+    return docs.select("doc_id", F.inline(F.concat(*each)))
+
+
+def exact_drift(source: DataFrame, candidate: DataFrame) -> DataFrame:
+    """doc_id, preserved, omitted, added: counts of the multiset diff of two versions' anchors (doc_id, category, text)."""
+    sided = lambda df, s: df.select("doc_id", "category", "text", F.lit(s).alias("s"), F.lit(1 - s).alias("c"))
+    both = sided(source, 1).unionByName(sided(candidate, 0)).groupBy("doc_id", "category", "text").agg(F.sum("s").alias("s"), F.sum("c").alias("c"))
+    least = F.least("s", "c")
+    return both.groupBy("doc_id").agg(F.sum(least).alias("preserved"), F.sum(F.col("s") - least).alias("omitted"), F.sum(F.col("c") - least).alias("added"))
+
+
 def line_nodes(docs: DataFrame) -> DataFrame:
     """One paragraph node per line that isn't blank, with exact offsets: doc_id, node_no, start, end, line, text."""
     rows = docs.select("doc_id", F.split("text", "\n").alias("lines"))

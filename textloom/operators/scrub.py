@@ -44,10 +44,13 @@ ACTIVE = (
 )
 CONTROL = "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x9f]"
 
+#: Blanks that fall away at the end of a line.
+BLANK, AT_END = r"[ \t\x0B\f\r\x1c-\x1f\x85\xa0  -     　]", r"(?=\n|\z)"
+
 
 def _trailing(c: Column) -> Column:
     """Every line without blanks at its end."""
-    return F.regexp_replace(c, r"[ \t\x0B\f\r\x1c-\x1f\x85\xa0  -     　]+(?=\n|\z)", "")
+    return F.regexp_replace(c, rf"{BLANK}+{AT_END}", "")
 
 
 def scrubbed(docs: DataFrame) -> DataFrame:
@@ -82,7 +85,7 @@ def scrubbed(docs: DataFrame) -> DataFrame:
     for pattern in TELEMETRY:
         state = step(state, "telemetry", lambda t, p=pattern: t.rlike(p), lambda t, p=pattern: F.regexp_replace(t, p, ""))
     state = step(state, "crlf", lambda t: t.contains("\r\n"), lambda t: F.replace(t, F.lit("\r\n"), F.lit("\n")))
-    state = step(state, "trailing_ws", lambda t: _trailing(t) != t, _trailing)
+    state = step(state, "trailing_ws", lambda t: t.rlike(BLANK + AT_END), _trailing)
     state = step(state, "blank_lines", lambda t: t.contains("\n\n\n"), lambda t: F.regexp_replace(t, r"\n{3,}", "\n\n"))
     cleaned = F.concat(F.regexp_replace("_s.t", r"\n+\z", ""), F.lit("\n"))
     df = docs.withColumn("_s", state)

@@ -48,8 +48,8 @@ def _pairs(d):
     """Versions with their exact drift and the cleaning that the other one needs."""
     from textloom.plans.facts import _candidate
 
-    low = lambda x: E.anchors(x).withColumn("text", F.lower("text"))
-    state = E.exact_diff(low(d), low(_candidate(d)), ["doc_id", "category", "text"]).groupBy("doc_id").agg(*[F.count_if(F.col("state") == k).alias(k) for k in ("preserved", "omitted", "added")])
+    low = lambda x: E.anchor_texts(x).withColumn("text", F.lower("text"))
+    state = E.exact_drift(low(d), low(_candidate(d)))
     rows = C.scrubbed(_candidate(d)).select("doc_id", "modifications").join(state, "doc_id", "left").na.fill(0)
     total = F.col("preserved") + F.col("omitted")
     return rows.select(F.col("doc_id").alias("pair_id"), F.expr("doc_id % 4").alias("attempt"), "modifications", F.when(total > 0, F.col("preserved") / total).otherwise(1.0).alias("preservation"), F.col("omitted").alias("omissions"), F.lit(0).alias("contradictions"), F.col("added").alias("additions"))
