@@ -84,3 +84,12 @@ def test_drift_is_counted_without_places(spark):
     state = E.exact_diff(*full, ["doc_id", "category", "text"]).groupBy("doc_id").agg(*[F.count_if(F.col("state") == k).alias(k) for k in ("preserved", "omitted", "added")])
     got = E.exact_drift(*bare)
     assert rows(got) == rows(state) and "Window" not in plan(got)
+
+
+def test_a_bundle_cuts_a_text_into_words_once(spark):
+    texts = ["It's “so” 'fine'. I ABC Abc 4X don't — however, we were asked!", None, "", "ʼquoted' a-b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    own = M.bundle(docs)
+    assert plan(own).count("regexp_extract_all(lower(text") == 1
+    parts = M.conventions(docs).join(M.capitalization(docs), "doc_id").join(M.register(docs).select("doc_id", "formality", "hedges", "boosters"), "doc_id").join(M.pronouns(docs), "doc_id")
+    assert rows(own.select(*parts.columns)) == rows(parts)

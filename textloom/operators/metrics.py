@@ -184,8 +184,9 @@ def dash_convention(t: Column) -> Column:
     return F.when(kinds == "", "none").when(F.trim(kinds).contains(" "), "mixed").otherwise(F.trim(kinds))
 
 
-def quote_convention(t: Column) -> Column:
-    held = F.size(F.filter(T.words(t), lambda w: w.contains("'")))
+def quote_convention(t: Column, w: Column) -> Column:
+    """The quotes of a text, w being its words."""
+    held = F.size(F.filter(w, lambda x: x.contains("'")))
     ds, dc = t.contains('"'), t.contains("“") | t.contains("”")
     ss, sc = T.occurrences(t, "'") > held, t.contains("‘") | t.contains("’")
     return (
@@ -194,14 +195,16 @@ def quote_convention(t: Column) -> Column:
     )
 
 
-def apostrophe_convention(t: Column) -> Column:
-    straight, curly = F.exists(T.words(t), lambda w: w.contains("'")), t.contains("’")
+def apostrophe_convention(t: Column, w: Column) -> Column:
+    """The apostrophes of a text, w being its words."""
+    straight, curly = F.exists(w, lambda x: x.contains("'")), t.contains("’")
     return F.when(straight & curly, "mixed").when(straight, "straight").when(curly, "curly").otherwise("none")
 
 
 def conventions(docs: DataFrame) -> DataFrame:
     t = F.col("text")
-    return docs.select("doc_id", dash_convention(t).alias("dash"), quote_convention(t).alias("quote"), apostrophe_convention(t).alias("apostrophe"))
+    w = T.words(t)
+    return docs.select("doc_id", dash_convention(t).alias("dash"), quote_convention(t, w).alias("quote"), apostrophe_convention(t, w).alias("apostrophe"))
 
 
 def capitalization(docs: DataFrame) -> DataFrame:
@@ -218,8 +221,9 @@ def questions(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", held("?").cast("long").alias("question_count"), held("!").cast("long").alias("exclamation_count"), T.ratio(held("?"), n).alias("question_frequency"), T.ratio(held("!"), n).alias("exclamation_frequency"))
 
 
-def formality(w: Column) -> Column:
-    raw = (T.counted(w, L.FORMAL) - T.counted(w, L.CASUAL)) / F.greatest(F.size(w), F.lit(1))
+def formality(w: Column, n: Column | None = None) -> Column:
+    """Of an array of words; or of those of a text's n words that the lists hold."""
+    raw = (T.counted(w, L.FORMAL) - T.counted(w, L.CASUAL)) / F.greatest(F.size(w) if n is None else n, F.lit(1))
     return 1 / (1 + F.exp(-5 * raw))
 
 
@@ -241,22 +245,26 @@ def bundle(docs: DataFrame) -> DataFrame:
     t, w, s = F.col("text"), F.col("w"), F.col("s")
     rows = docs.select("doc_id", "text", T.words(t).alias("w"), T.cased_words(t).alias("cw"), T.sentences(t).alias("s"), T.paragraphs(t).alias("p"))
     rows = rows.withColumns({"sw": F.transform(s, T.words), "sc": F.transform(s, lambda x: F.transform(T.clauses(x), lambda c: F.size(T.words(c)))), "lp": F.transform("p", lambda x: F.size(T.sentences(x)))})
-    n = F.size(w)
+    # words that some list holds are sifted once, words with a capital or a figure in front by one look each
+    listed = sorted({x for v in (L.FUNCTION_WORDS, L.FORMAL, L.CASUAL, L.HEDGES, L.BOOSTERS, *L.PRONOUNS.values()) for x in v})
+    rows = rows.withColumns({"listed": F.filter(w, lambda x: x.isin(*listed)), "capital": F.filter("cw", lambda x: x < "a")})
+    n, l = F.size(w), F.col("listed")  # noqa: E741
     marks = sum((T.occurrences(t, c) for c in L.PUNCTUATION), F.lit(0))
     some = lambda c, f: F.size(F.filter(c, f)).cast("long")
     share = lambda c, p: T.ratio(F.size(F.filter(c, lambda x: x.rlike(p))), F.size(c))
+    capital = lambda p: T.ratio(F.size(F.filter("capital", lambda x: x.rlike(p))), F.size("cw"))
     own = rows.select(
         "doc_id", n.cast("long").alias("word_count"), T.ratio(F.length(F.array_join(w, "")), n).alias("avg_word_length"), F.size(F.array_distinct(w)).cast("long").alias("unique_words"),
-        T.ratio(F.size(F.array_distinct(w)), n).alias("type_token_ratio"), T.ratio(once(w), n).alias("hapax_ratio"), F.coalesce(moving_types(w), F.lit(0.0)).alias("mattr"), T.ratio(T.counted(w, L.FUNCTION_WORDS), n).alias("function_word_ratio"),
-        T.ratio(F.size(F.filter(w, lambda x: x.contains("'"))), n).alias("contraction_frequency"), *[T.counted(w, v).alias(k) for k, v in L.PRONOUNS.items()],
+        T.ratio(F.size(F.array_distinct(w)), n).alias("type_token_ratio"), T.ratio(once(w), n).alias("hapax_ratio"), F.coalesce(moving_types(w), F.lit(0.0)).alias("mattr"), T.ratio(T.counted(l, L.FUNCTION_WORDS), n).alias("function_word_ratio"),
+        T.ratio(F.size(F.filter(w, lambda x: x.contains("'"))), n).alias("contraction_frequency"), *[T.counted(l, v).alias(k) for k, v in L.PRONOUNS.items()],
         F.transform("sw", F.size).alias("ls"), F.flatten("sc").alias("lc"), "lp", some("sw", lambda x: F.size(x) <= 2).alias("fragments"),
         some(F.arrays_zip("sw", "sc"), lambda x: (F.size(x["sc"]) >= 5) & (F.size(x["sw"]) >= 45)).alias("run_ons"),
         F.aggregate(F.transform("sw", passive_pairs), F.lit(0), lambda a, x: a + x).cast("long").alias("passive_markers"),
-        (marks / F.greatest(F.length(t), F.lit(1)) * 100.0).alias("punctuation_per_100_chars"), dash_convention(t).alias("dash"), quote_convention(t).alias("quote"), apostrophe_convention(t).alias("apostrophe"),
-        share("s", INITIAL).alias("initial_ratio"), share("cw", ALL_CAPS).alias("all_caps_ratio"), share("cw", TITLE_CASE).alias("title_case_ratio"),
+        (marks / F.greatest(F.length(t), F.lit(1)) * 100.0).alias("punctuation_per_100_chars"), dash_convention(t).alias("dash"), quote_convention(t, w).alias("quote"), apostrophe_convention(t, w).alias("apostrophe"),
+        share("s", INITIAL).alias("initial_ratio"), capital(ALL_CAPS).alias("all_caps_ratio"), capital(TITLE_CASE).alias("title_case_ratio"),
         some(s, lambda x: x.contains("?")).alias("question_count"), some(s, lambda x: x.contains("!")).alias("exclamation_count"),
         T.ratio(F.size(F.filter(s, lambda x: x.contains("?"))), F.size(s)).alias("question_frequency"), T.ratio(F.size(F.filter(s, lambda x: x.contains("!"))), F.size(s)).alias("exclamation_frequency"),
-        F.when(n > 0, formality(w)).otherwise(0.0).alias("formality"), T.counted(w, L.HEDGES).alias("hedges"), T.counted(w, L.BOOSTERS).alias("boosters"), T.ratio(F.size(F.filter(w, lambda x: F.length(x) >= 12)), n).alias("technical_ratio"),
+        F.when(n > 0, formality(l, n)).otherwise(0.0).alias("formality"), T.counted(l, L.HEDGES).alias("hedges"), T.counted(l, L.BOOSTERS).alias("boosters"), T.ratio(F.size(F.filter(w, lambda x: F.length(x) >= 12)), n).alias("technical_ratio"),
     )
     for name, of in (("sentence", "ls"), ("clause", "lc"), ("paragraph", "lp")):
         figures = ("n", "minimum", "p10", "p25", "median", "p75", "p90", "maximum", "mean", "stdev")
