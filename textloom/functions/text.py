@@ -9,8 +9,12 @@ WORD = "[a-zA-Z0-9]+(?:'[a-zA-Z]+)?"
 SPACE = r"[ \t\n\x0B\f\r]"
 
 
+#: An end of a sentence inside a stripped text: a mark and the white space after it.
+_ENDS = rf"[.!?]{SPACE}+"
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
 
 
 def words(c: Column) -> Column:
@@ -22,16 +26,18 @@ def cased_words(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(WORD), F.lit(0))
 
 
-def _parts(c: Column, pattern: str) -> Column:
-    return F.filter(F.transform(F.split(strip(c), pattern), strip), lambda x: x != "")
+def sentences(c: Column) -> Column:
+    # cut at whole runs of white space, the pieces of a stripped text need no stripping
+    return F.filter(F.split(strip(c), rf"(?<=[.!?]){SPACE}+"), lambda x: x != "")
 
 
-def sentences(c: Column) -> Column:
-    return _parts(c, rf"(?<=[.!?]){SPACE}+")
+def sentence_count(c: Column) -> Column:
+    """How many sentences a text has that is stripped and not empty."""
+    return F.regexp_count(c, F.lit(_ENDS)) + 1
 
 
 def paragraphs(c: Column) -> Column:
-    return _parts(c, rf"\n{SPACE}*\n")
+    return F.filter(F.transform(F.split(strip(c), rf"\n{SPACE}*\n"), strip), lambda x: x != "")
 
 
 def clauses(c: Column) -> Column:

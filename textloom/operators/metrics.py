@@ -293,6 +293,41 @@ def grams(w: Column, k: int) -> Column:
     return F.transform(places, lambda i: F.concat_ws(" ", *[F.get(w, i + (j - 1)) for j in range(k)]))
 
 
+#: Bits of a place in an array of words: a number of 64 bits holds a hash and a place, or three numbers of this size.
+_PLACE = 20
+
+
+def with_top_pairs(df: DataFrame, words: str, name: str, most: int = 3) -> DataFrame:
+    """df with the `most` most frequent pairs of neighbours in an array of words as structs (value, n); ties by first appearance.
+
+    A pair is one number, its hash above and its place below; sorted, those of one hash are a run. Runs are numbers, too: the
+    longest first, then by place. The pairs of the best runs are compared word by word. Where one of them holds two pairs of
+    a common hash, or places don't fit, the pairs themselves are sorted: a run outside the best ones can't hold a better pair.
+    """
+    mask = (1 << _PLACE) - 1
+    at = lambda x: x.bitwiseAND(F.lit(mask))
+    whole = lambda x: F.coalesce(x, F.lit(0).cast("long"))  # noqa: E731 arrays without nulls are sorted as plain numbers
+    w, fits = F.col(words), F.size(words) <= mask
+    pair = lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1)).bitwiseAND(F.lit(-1 - mask)).bitwiseOR(i.cast("long"))
+    df = df.withColumn("_pairs", F.sort_array(F.transform(T.places(F.when(fits, F.size(w) - 1)), lambda i: whole(pair(i)))))
+    pairs = F.col("_pairs")
+    new = lambda x, i: (i == 0) | (F.shiftright(x, _PLACE) != F.shiftright(F.get(pairs, i - 1), _PLACE))
+    df = df.withColumn("_starts", F.filter(F.transform(pairs, lambda x, i: F.when(new(x, i), i).otherwise(-1)), lambda i: i >= 0))
+
+    def run(start: Column, k: Column) -> Column:
+        n = (F.coalesce(F.get("_starts", k + 1), F.size(pairs)) - start).cast("long")
+        return F.shiftleft(F.lit(mask).cast("long") - n, 2 * _PLACE).bitwiseOR(F.shiftleft(at(F.get(pairs, start)), _PLACE)).bitwiseOR(start.cast("long"))
+
+    df = df.withColumn("_runs", F.slice(F.sort_array(F.transform("_starts", lambda x, k: whole(run(x, k)))), 1, most))
+    n, first, start = (lambda x: (mask - F.shiftright(x, 2 * _PLACE)).cast("int")), (lambda x: at(F.shiftright(x, _PLACE)).cast("int")), (lambda x: at(x).cast("int"))
+    same = lambda i, j: (F.get(w, i) == F.get(w, j)) & (F.get(w, i + 1) == F.get(w, j + 1))
+    pure = F.forall("_runs", lambda x: F.forall(F.slice(pairs, start(x) + 1, n(x)), lambda y: same(at(y).cast("int"), first(x))))
+    found = F.transform("_runs", lambda x: F.struct(F.concat_ws(" ", F.get(w, first(x)), F.get(w, first(x) + 1)).alias("value"), n(x).alias("n")))
+    sorted_ = F.slice(F.sort_array(F.transform(T.runs(grams(w, 2)), lambda x: F.struct((-x["n"]).alias("o"), x["first"].alias("first"), x["value"].alias("value")))), 1, most)
+    exact = F.transform(sorted_, lambda x: F.struct(x["value"].alias("value"), (-x["o"]).alias("n")))
+    return df.withColumn(name, F.when(fits & pure, found).otherwise(exact)).drop("_pairs", "_starts", "_runs")
+
+
 def top_phrases(text: Column, top: int, sizes: tuple[int, ...]) -> Column:
     """Structs (phrase, n) of the `top` most frequent phrases of so many words; ties by size in their order, then by first appearance."""
     word = T.WORD

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import lexicons as L
 from textloom.functions import text as T
-from textloom.operators.metrics import TRANSITION, grams
+from textloom.operators.metrics import TRANSITION, grams, with_top_pairs
 from textloom.sources.store import materialize
 
 KEYS = ("sentence_mean", "sentence_stdev", "type_token_ratio", "function_word_ratio", "contraction_frequency", "punctuation_per_100_chars", "question_frequency")
@@ -20,12 +20,17 @@ DENSITY = r"""[.,;:!?…—–\-()\[\]{}"'’‘“”«»]"""
 COMPARED = ("dash_type", "contraction_policy", "person_policy", "quotation_convention")
 
 
-def _read(docs: DataFrame) -> DataFrame:
-    """docs with the words, sentence and paragraph lengths, sentences and transitions that all figures come from."""
+def _read(docs: DataFrame, lengths: bool = True) -> DataFrame:
+    """docs with the words, sentence and paragraph lengths, sentences and transitions that all figures come from.
+
+    No word runs over white space, so words are cut once, sentence by sentence; for what looks at no lengths, from the text.
+    """
     t = F.col("text")
-    rows = docs.withColumns({"w": T.words(t), "s": T.sentences(t), "lp": F.transform(T.paragraphs(t), lambda p: F.size(T.sentences(p)))})
+    rows = docs.withColumns({"s": T.sentences(t), "lp": F.transform(T.paragraphs(t), T.sentence_count)})
+    rows = rows.withColumn("ws", F.transform("s", T.words))
+    rows = rows.withColumn("w", F.flatten("ws") if lengths else T.words(t))
     start = lambda x: F.regexp_extract(F.regexp_replace(F.lower(x), "^[^a-zA-Z0-9]+", ""), TRANSITION, 1)
-    return rows.withColumns({"ls": F.transform("s", lambda x: F.size(T.words(x))), "tr": F.filter(F.transform("s", start), lambda x: x != "")})
+    return rows.withColumns({"ls": F.transform("ws", F.size), "tr": F.filter(F.transform("s", start), lambda x: x != "")}).drop("ws")
 
 
 #: Lists of words whose occurrences are counted, by name.
@@ -86,16 +91,16 @@ def _figures(types: Column) -> dict[str, Column]:
     }
 
 
-def document_counts(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, source, text) with their counts, in one scan."""
+def document_counts(docs: DataFrame, lengths: bool = True) -> DataFrame:
+    """docs (doc_id, source, text) with their counts, in one scan; lengths: whether those of sentences are looked at."""
     listed = sorted({x for v in _LISTS.values() for x in v})  # one pass over all words, the others over what it leaves
-    rows = _read(docs).withColumn("listed", F.filter("w", lambda x: x.isin(*listed)))
+    rows = _read(docs, lengths).withColumn("listed", F.filter("w", lambda x: x.isin(*listed)))
     return rows.withColumns({k: c.cast("long") for k, c in _counts().items()} | {"types": F.size(F.array_distinct("w")).cast("long")})
 
 
-def document_figures(docs: DataFrame) -> DataFrame:
+def document_figures(docs: DataFrame, lengths: bool = True) -> DataFrame:
     """docs (doc_id, source, text) with their counts and figures, in one scan."""
-    return document_counts(docs).withColumns(_figures(F.col("types")))
+    return document_counts(docs, lengths).withColumns(_figures(F.col("types")))
 
 
 def profile_items(docs: DataFrame) -> DataFrame:
@@ -155,7 +160,7 @@ def profiles(docs: DataFrame) -> DataFrame:
 
 def compared_conventions(docs: DataFrame) -> DataFrame:
     """source and the conventions (COMPARED) that profiles() gives it; documents' counts add up, no word is shuffled."""
-    sums = document_counts(docs).groupBy("source").agg(*[F.sum(k).alias(k) for k in _counts()])
+    sums = document_counts(docs, lengths=False).groupBy("source").agg(*[F.sum(k).alias(k) for k in _counts()])
     figures = _figures(F.lit(0))
     return sums.select("source", *[figures[k].alias(k) for k in COMPARED])
 
@@ -164,7 +169,7 @@ def violating(docs: DataFrame, profile: DataFrame) -> DataFrame:
     """doc_id of documents of which a convention differs from their source's (source and COMPARED): compare() has violations."""
     p = profile.select("source", *[F.col(k).alias(f"p_{k}") for k in COMPARED])
     differs = [F.coalesce(F.col(k) != F.col(f"p_{k}"), F.lit(False)) for k in COMPARED]
-    return document_figures(docs).select("doc_id", "source", *COMPARED).join(p, "source").where(functools.reduce(Column.__or__, differs)).select("doc_id")
+    return document_figures(docs, lengths=False).select("doc_id", "source", *COMPARED).join(p, "source").where(functools.reduce(Column.__or__, differs)).select("doc_id")
 
 
 def projected_fingerprint(profile: DataFrame) -> DataFrame:
@@ -238,6 +243,12 @@ def band_strength(value: Column, low: float, high: float) -> Column:
 
 def tendencies(docs: DataFrame) -> DataFrame:
     """doc_id, name, value, strength: bands of sentence length, density and richness, and the top transition."""
+    rows, each = _tendencies(_read(docs))
+    return rows.select("doc_id", F.inline(each))
+
+
+def _tendencies(read: DataFrame) -> tuple[DataFrame, Column]:
+    """What _read() gives with more columns, and the array of a text's tendencies, made of them."""
 
     def banded(name: str, v: Column, cuts: tuple[float, ...], names: tuple[str, ...]) -> Column:
         inside = [v < cuts[1], v <= cuts[2], F.lit(True)]
@@ -247,17 +258,17 @@ def tendencies(docs: DataFrame) -> DataFrame:
             strength = F.when(inside[k], band_strength(v, cuts[k], cuts[k + 1])).otherwise(strength)
         return F.struct(F.lit(name).alias("name"), value.alias("value"), strength.alias("strength"))
 
-    rows = _read(docs).withColumns({
+    rows = read.withColumns({
         "mean": T.ratio(F.aggregate("ls", F.lit(0.0), lambda a, x: a + x), F.size("ls")), "density": F.regexp_count("text", F.lit(DENSITY)) / F.greatest(F.length("text"), F.lit(1)) * 100.0,
         "richness": T.ratio(F.size(F.array_distinct("w")), F.size("w")), "best": F.array_min(F.transform(T.runs(F.col("tr")), lambda x: F.struct((-x["n"]).alias("o"), x["value"].alias("value")))),
     })
     share = -F.col("best.o") / F.size("tr")
     transition = F.struct(F.lit("top_transition").alias("name"), F.coalesce("best.value", F.lit("none")).alias("value"), F.when(share >= 1 / 3, "strong").when(share >= 1 / 6, "moderate").otherwise("weak").alias("strength"))
-    return rows.select("doc_id", F.inline(F.array(
+    return rows, F.array(
         banded("sentence_length_band", F.col("mean"), (0.0, 12.0, 25.0, 40.0), ("short", "medium", "long")), transition,
         banded("punctuation_density", F.col("density"), (0.0, 8.0, 16.0, 24.0), ("low", "moderate", "high")),
         banded("lexical_richness", F.col("richness"), (0.0, 0.35, 0.55, 1.0), ("low", "moderate", "high")),
-    )))
+    )
 
 
 def invariants(docs: DataFrame, kinds: tuple[str, ...] | None = None) -> DataFrame:
@@ -265,12 +276,25 @@ def invariants(docs: DataFrame, kinds: tuple[str, ...] | None = None) -> DataFra
 
     What only other kinds need isn't worked out.
     """
+    rows, each = _invariants(docs, kinds)
+    # the array is no column of its own: a test of its size would be pushed down and everything inlined into it
+    return rows.select("doc_id", F.inline(each))
+
+
+def style(docs: DataFrame) -> DataFrame:
+    """doc_id, invariants, tendencies: the rows of invariants() and tendencies() as arrays, from one reading of the texts."""
+    rows, held = _invariants(docs)
+    rows, leant = _tendencies(rows)
+    return rows.select("doc_id", held.alias("invariants"), leant.alias("tendencies"))
+
+
+def _invariants(docs: DataFrame, kinds: tuple[str, ...] | None = None) -> tuple[DataFrame, Column]:
+    """What document_figures() gives with more columns, and the array of a text's invariants, made of them."""
     t = F.col("text")
-    rows = document_figures(docs.select("doc_id", F.lit("").alias("source"), "text"))
+    rows = document_figures(docs.select("doc_id", F.lit("").alias("source"), "text"), lengths=kinds is None or not {*kinds} <= {*COMPARED})
     rows = T.with_distribution(rows, F.col("ls"), {"p10": "s10", "p90": "s90"})
     rows = T.with_distribution(rows, F.col("lp"), {"minimum": "plo", "maximum": "phi"})
-    best = F.slice(F.sort_array(F.transform(T.runs(grams(F.col("w"), 2)), lambda x: F.struct((-x["n"]).alias("o"), x["first"].alias("first"), x["value"].alias("value")))), 1, 3)
-    rows = rows.withColumns({"terms": best, "brackets": F.regexp_count(t, F.lit(r"\[\d+(?:,\s*\d+)*\]")), "authors": F.regexp_count(t, F.lit(r"\([A-Z][A-Za-z' -]+,\s*\d{4}[a-z]?\)"))})
+    rows = with_top_pairs(rows, "w", "terms").withColumns({"brackets": F.regexp_count(t, F.lit(r"\[\d+(?:,\s*\d+)*\]")), "authors": F.regexp_count(t, F.lit(r"\([A-Z][A-Za-z' -]+,\s*\d{4}[a-z]?\)"))})
     cited = F.format_string("bracket_numbers=%d,author_year=%d", "brackets", "authors")
     span = lambda n, a, b: F.when(F.col(n) > 0, F.concat(T.whole_or_tenths(F.col(a)), F.lit(".."), T.whole_or_tenths(F.col(b)))).otherwise("none")
     counted = lambda name, c: F.concat(F.lit(f"{name}="), F.col(c).cast("string"))
@@ -279,7 +303,7 @@ def invariants(docs: DataFrame, kinds: tuple[str, ...] | None = None) -> DataFra
         "citation_presentation": (F.when(F.col("brackets") + F.col("authors") > 0, cited).otherwise("none"), cited),
         "heading_capitalization": (F.lit(""), F.lit("not_extractable_from_plain_text")),
         "contraction_policy": (F.col("contraction_policy"), T.decimals(F.col("contraction_frequency"), 4)),
-        "preferred_terminology": (F.array_join("terms.value", "|"), F.concat(F.lit("counts="), F.when(F.size("terms") > 0, F.array_join(F.transform("terms", lambda x: (-x["o"]).cast("string")), ",")).otherwise("0"))),
+        "preferred_terminology": (F.array_join("terms.value", "|"), F.concat(F.lit("counts="), F.when(F.size("terms") > 0, F.array_join(F.transform("terms", lambda x: x["n"].cast("string")), ",")).otherwise("0"))),
         "prohibited_phrases": (F.lit(""), F.lit("none_configured")),
         "paragraph_range": (span("paragraphs", "plo", "phi"), counted("paragraphs", "paragraphs")),
         "sentence_percentile_range": (span("sentences", "s10", "s90"), counted("sentences", "sentences")),
@@ -287,7 +311,7 @@ def invariants(docs: DataFrame, kinds: tuple[str, ...] | None = None) -> DataFra
         "person_policy": (F.col("person_policy"), F.concat_ws(",", *[counted(k, k) for k in sorted(L.PRONOUNS)])),
     }
     one = lambda k, v, e: F.struct(F.lit(k).alias("kind"), v.alias("value"), F.lit("unknown" if k == "heading_capitalization" else "pass").alias("status"), e.alias("evidence"))
-    return rows.select("doc_id", F.inline(F.array(*[one(k, v, e) for k, (v, e) in shown.items() if kinds is None or k in kinds])))
+    return rows, F.array(*[one(k, v, e) for k, (v, e) in shown.items() if kinds is None or k in kinds])
 
 
 def profile_invariants(profile: DataFrame) -> DataFrame:

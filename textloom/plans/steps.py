@@ -99,9 +99,12 @@ def _capsules(d):
     nodes = E.line_nodes(d).withColumn("node_type", F.lit("paragraph")).withColumn("authorship_class", F.when((F.col("doc_id") + F.col("node_no")) % 9 == 0, "ai_assisted").otherwise("unknown"))
     spans = E.protected_spans(E.span_candidates(nodes)).withColumn("status", F.when(F.col("span_no") % 5 == 0, "EXCLUDED").otherwise("KEPT"))
     # several lists are made of these: written once, not worked out by each
-    nodes, spans, citations, kept = materialize(nodes, "nodes"), materialize(spans, "spans"), materialize(E.citations(nodes), "citations"), materialize(P.invariants(d), "invariants")
+    nodes = materialize(E.line_nodes(d).withColumn("node_type", F.lit("paragraph")).withColumn("authorship_class", F.when((F.col("doc_id") + F.col("node_no")) % 9 == 0, "ai_assisted").otherwise("unknown")), "nodes")
+    spans = materialize(E.protected_spans(E.span_candidates(nodes)).withColumn("status", F.when(F.col("span_no") % 5 == 0, "EXCLUDED").otherwise("KEPT")), "spans")
+    citations, style = materialize(E.citations(nodes), "citations"), materialize(P.style(d), "style")
     claims = materialize(E.claims(spans), "claims")
-    return nodes, W.capsules(nodes, claims, citations, spans, E.entities(claims, citations), kept, P.tendencies(d))
+    held = lambda name: style.select("doc_id", F.inline(name))
+    return nodes, W.capsules(nodes, claims, citations, spans, E.entities(claims, citations), held("invariants"), held("tendencies"))
 
 
 def _document_capsules(d):
