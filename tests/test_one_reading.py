@@ -60,3 +60,17 @@ def test_style_is_invariants_and_tendencies_from_one_reading(spark):
     assert plan(own).count("(?<=[.!?])") == plan(P.tendencies(d)).count("(?<=[.!?])")
     some = P.invariants(d, P.COMPARED)
     assert rows(some) == rows(P.invariants(d).where(F.col("kind").isin(*P.COMPARED)))
+
+
+def test_lines_without_spans_are_left_out_first(spark, monkeypatch):
+    texts = ['He said "it was a very long day" and', "“it was a very long night”", "10.1234/ab.c.", "see [3, 4]", "(Smith, 2020a)", "https://a.example/x", "5 kg", "3 March 2020", "plain", "", "٣ kg", "2020-01-02"]
+    nodes = spark.createDataFrame([(k, 1, i * 100, i * 100 + len(t), t) for k, i, t in [(i % 3, i, t) for i, t in enumerate(texts)]], "doc_id long, node_no int, start int, end int, text string")
+    got = E.span_candidates(nodes)
+    assert {r.kind for r in got.collect()} == {"quotation", "citation", "number", "date"}
+    assert "RLIKE(text" in plan(got).split("Filter", 1)[1].split("\n")[0]
+    cited = E.citations(nodes)
+    typed = nodes.withColumn("node_type", F.when(F.col("start") == 800, "quotation").otherwise("paragraph"))
+    assert rows(E.span_candidates(typed)) == sorted(rows(got) + [(2, "quotation", "plain", "", 800, 805)], key=repr)
+    monkeypatch.setattr(E, "_TELLING", "")  # every line is searched
+    monkeypatch.setattr(E, "_CITING", "")
+    assert rows(got) == rows(E.span_candidates(nodes)) and rows(cited) == rows(E.citations(nodes)) and len(rows(cited)) == 4

@@ -107,9 +107,14 @@ def citations(nodes: DataFrame) -> DataFrame:
 
 
 def quotations(nodes: DataFrame) -> DataFrame:
+#: What every citation has, and what every span has: few lines do, and only those are searched for patterns.
+_CITING, _TELLING = "[0-9]|://", '[0-9"“]|://'
+
+
     """Quoted runs of 20 characters and more inside nodes: doc_id, text, start, end."""
     t = F.col("text")
     inner = lambda x: T.strip(F.substring(x, F.lit(2), F.length(x) - 2))
+    nodes = nodes.where(t.rlike(_CITING))
     each = [_found(t, p, "quotation", text=inner, keep=lambda s: F.length(s["text"]) >= 20) for p in (QUOTE, CURLY_QUOTE)]
     rows = nodes.select("doc_id", F.col("start").alias("base"), F.inline(F.concat(*each)))
     return rows.select("doc_id", "text", (F.col("base") + F.col("start")).alias("start"), (F.col("base") + F.col("end")).alias("end")).dropDuplicates(["doc_id", "start", "end"])
@@ -155,6 +160,8 @@ def span_candidates(nodes: DataFrame) -> DataFrame:
 
 def protected_spans(candidates: DataFrame) -> DataFrame:
     """Greedy choice per document: by (start, end, kind), spans that start inside the last kept one are dropped."""
+    telling = t.rlike(_TELLING)
+    nodes = nodes.where(telling | F.coalesce(F.col("node_type") == "quotation", F.lit(True)) if "node_type" in nodes.columns else telling)
     rows = candidates.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind", "text", "label"))).alias("xs"))
     kept = T.sweep(F.col("xs"), F.lit(-1), lambda last, x: (F.when(x["start"] >= last, x["end"]).otherwise(last), F.when(x["start"] >= last, x)), "struct<start:int,end:int,kind:string,text:string,label:string>")["out"]
     return rows.select("doc_id", F.posexplode(kept).alias("k", "s")).select("doc_id", (F.col("k") + 1).alias("span_no"), "s.kind", "s.start", "s.end", "s.text", "s.label")
