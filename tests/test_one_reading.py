@@ -62,6 +62,13 @@ def test_style_is_invariants_and_tendencies_from_one_reading(spark):
     assert rows(some) == rows(P.invariants(d).where(F.col("kind").isin(*P.COMPARED)))
 
 
+def test_violations_of_versions_need_compared_kinds_only(spark):
+    from __spark_entry__ import queries
+
+    got = plan(queries()["j11_violations"](spark, "/root/testdata/sf0.001"))
+    assert "bracket_numbers" not in got and "not_extractable" not in got
+
+
 def test_lines_without_spans_are_left_out_first(spark, monkeypatch):
     texts = ['He said "it was a very long day" and', "“it was a very long night”", "10.1234/ab.c.", "see [3, 4]", "(Smith, 2020a)", "https://a.example/x", "5 kg", "3 March 2020", "plain", "", "٣ kg", "2020-01-02"]
     nodes = spark.createDataFrame([(k, 1, i * 100, i * 100 + len(t), t) for k, i, t in [(i % 3, i, t) for i, t in enumerate(texts)]], "doc_id long, node_no int, start int, end int, text string")

@@ -126,7 +126,7 @@ def _manifest(spark, sf):
 
 QUERIES = {
     "a21_invariants": over_documents(P.invariants),
-    "j11_violations": over_documents(lambda d: P.invariant_violations(P.invariants(_other(d)), P.invariants(d))),
+    "j11_violations": over_documents(lambda d: P.invariant_violations(P.invariants(_other(d), P.COMPARED), P.invariants(d, P.COMPARED))),
     "j11_profile_violations": over_documents(lambda d: P.invariant_violations(P.invariants(d, P.COMPARED).join(d.select("doc_id", "source"), "doc_id"), P.profile_invariants(P.profiles(voices(d))), ("source",))),
     "w07_capsules": over_documents(_document_capsules),
     "w07_blocks": over_documents(_block_capsules),
