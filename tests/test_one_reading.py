@@ -81,3 +81,25 @@ def test_lines_without_spans_are_left_out_first(spark, monkeypatch):
     monkeypatch.setattr(E, "_TELLING", "")  # every line is searched
     monkeypatch.setattr(E, "_CITING", "")
     assert rows(got) == rows(E.span_candidates(nodes)) and rows(cited) == rows(E.citations(nodes)) and len(rows(cited)) == 4
+
+
+def test_categories_with_all_anchors_are_settled_by_counting(spark, monkeypatch):
+    source = [(1, 1, "number", "5"), (1, 2, "number", "5"), (1, 3, "date", "2020-01-02"), (2, 1, "number", "7"), (3, 1, "number", "123456")]
+    candidate = [(1, 1, "number", "6"), (1, 2, "number", "5"), (1, 3, "number", "5"), (1, 4, "date", "2020-01-02"), (3, 1, "number", "123457"), (4, 1, "quote", "new")]
+    seen = []
+    similar = E.similar_texts
+    monkeypatch.setattr(E, "similar_texts", lambda s, c: seen.append((s.count(), c.count())) or similar(s, c))
+    frame = lambda x: spark.createDataFrame(x, "doc_id long, seq int, category string, text string")
+    got = rows(E.fact_diff(frame(source), frame(candidate)))
+    assert seen == [(1, 1)]  # document 3 alone
+    assert got == [(1, 3, 4, 0, 1, 0, 1.0), (2, 1, 0, 1, 0, 0, 0.0), (3, 1, 1, 0, 0, 1, 1.0), (4, 0, 1, 0, 1, 0, 1.0)]
+
+
+def test_groups_that_run_over_batches_are_matched_whole():
+    listed = [(1, "x", 0, 1, "ab", None), (1, "x", 0, 2, "ac", None), (1, "x", 1, 1, "ac", 0.75), (1, "x", 1, 1, "ab", 0.75), (1, "x", 1, 4, "ab", 1.0), (1, "x", 1, 4, "ac", 0.95), (1, "x", 1, 5, "ab", 1.0), (1, "y", 0, 1, "q", None), (2, "y", 0, 1, "q", None), (2, "y", 1, 1, "q", 1.0)]
+    names = ["doc_id", "category", "side", "seq", "text", "ratio"]
+    for size in (1, 2, 3, 100):
+        batches = [pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in listed[i : i + size]], schema=pa.schema([("doc_id", pa.int64()), ("category", pa.string()), ("side", pa.int32()), ("seq", pa.int32()), ("text", pa.string()), ("ratio", pa.float64())])) for i in range(0, len(listed), size)]
+        out = [tuple(r.values()) for b in E._matched(iter(batches)) for r in b.to_pylist()]
+        assert out == [(1, 2, 1), (2, 1, 0)]
+    assert list(E._matched(iter([]))) == []

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,15 +58,28 @@ def anchors(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.row_number().over(order).alias("seq"), F.col("kind").alias("category"), "text", F.col("start").alias("position"))
 
 
-def anchor_texts(docs: DataFrame) -> DataFrame:
-    """doc_id, category, text: the anchors of anchors() in no order and without places, so each pattern is one pass over a text."""
+def _held(kind: str) -> Column | None:
+    """Whether a text has what every anchor of a category has: quickly told, so most texts aren't searched for patterns."""
+    t = F.col("text")
+    return {"number": t.rlike("[0-9]"), "date": t.rlike("[0-9]"), "quote": t.contains('"'), "citation": t.contains("[") | t.contains("(")}.get(kind)
+
+
+def anchor_items(docs: DataFrame) -> DataFrame:
+    """doc_id, seq, category, text: the anchors of anchors() without places, seq counting within a category, each pattern in one pass."""
 
     def found(kind: str, pattern: str) -> Column:
         texts = F.regexp_extract_all("text", F.lit(pattern), F.lit(1 if kind == "quote" else 0))
-        return F.transform(texts, lambda x: F.struct(F.lit(kind).alias("category"), x.alias("text")))
+        held = _held(kind)
+        texts = texts if held is None else F.when(held, texts).otherwise(F.array().cast("array<string>"))
+        return F.transform(texts, lambda x, i: F.struct((i + 1).alias("seq"), F.lit(kind).alias("category"), x.alias("text")))
 
     each = [found(k, p) for k, p in ANCHORS]
-    return docs.select("doc_id", F.inline(F.concat(*each)))
+    return docs.where("text IS NOT NULL").select("doc_id", F.inline(F.concat(*each)))
+
+
+def anchor_texts(docs: DataFrame) -> DataFrame:
+    """doc_id, category, text: the anchors of anchors() in no order and without places, so each pattern is one pass over a text."""
+    return anchor_items(docs).select("doc_id", "category", "text")
 
 
 def exact_drift(source: DataFrame, candidate: DataFrame) -> DataFrame:
@@ -91,9 +107,14 @@ def lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(held).alias("k", "text")).select("doc_id", (F.col("k") + 1).alias("node_no"), "text")
 
 
+#: What every citation has, and what every span has: few lines do, and only those are searched for patterns.
+_CITING, _TELLING = "[0-9]|://", '[0-9"“]|://'
+
+
 def citations(nodes: DataFrame) -> DataFrame:
     """doc_id, citation_no, kind, text, start, end, in order of the text; repeated places count once."""
     t = F.col("text")
+    nodes = nodes.where(t.rlike(_CITING))
     inner = lambda x: F.substring(x, F.lit(2), F.length(x) - 2)
     doi = lambda x: F.regexp_replace(x, r"\.+$", "")
     each = [
@@ -107,14 +128,9 @@ def citations(nodes: DataFrame) -> DataFrame:
 
 
 def quotations(nodes: DataFrame) -> DataFrame:
-#: What every citation has, and what every span has: few lines do, and only those are searched for patterns.
-_CITING, _TELLING = "[0-9]|://", '[0-9"“]|://'
-
-
     """Quoted runs of 20 characters and more inside nodes: doc_id, text, start, end."""
     t = F.col("text")
     inner = lambda x: T.strip(F.substring(x, F.lit(2), F.length(x) - 2))
-    nodes = nodes.where(t.rlike(_CITING))
     each = [_found(t, p, "quotation", text=inner, keep=lambda s: F.length(s["text"]) >= 20) for p in (QUOTE, CURLY_QUOTE)]
     rows = nodes.select("doc_id", F.col("start").alias("base"), F.inline(F.concat(*each)))
     return rows.select("doc_id", "text", (F.col("base") + F.col("start")).alias("start"), (F.col("base") + F.col("end")).alias("end")).dropDuplicates(["doc_id", "start", "end"])
@@ -144,6 +160,8 @@ def span_candidates(nodes: DataFrame) -> DataFrame:
     doi = lambda x: F.regexp_replace(x, r"\.+$", "")
     unit = lambda x: F.regexp_extract(x, r"^\d+(?:[.,]\d+)?\s*(.*)$", 1)
     kinds = [k for k, _ in CITATIONS]
+    telling = t.rlike(_TELLING)
+    nodes = nodes.where(telling | F.coalesce(F.col("node_type") == "quotation", F.lit(True)) if "node_type" in nodes.columns else telling)
     each = [
         *[_found(t, p, "quotation", text=lambda x: T.strip(inner(x)), keep=lambda s: F.length(s["text"]) >= 20) for p in (QUOTE, CURLY_QUOTE)],
         _found(t, CITATIONS[0][1], "citation", text=doi, label=lambda x: F.lit(kinds[0]), cut=lambda m: m["start"] + F.length(doi(m["text"]))), _found(t, CITATIONS[1][1], "citation", label=lambda x: F.lit(kinds[1])),
@@ -160,8 +178,6 @@ def span_candidates(nodes: DataFrame) -> DataFrame:
 
 def protected_spans(candidates: DataFrame) -> DataFrame:
     """Greedy choice per document: by (start, end, kind), spans that start inside the last kept one are dropped."""
-    telling = t.rlike(_TELLING)
-    nodes = nodes.where(telling | F.coalesce(F.col("node_type") == "quotation", F.lit(True)) if "node_type" in nodes.columns else telling)
     rows = candidates.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind", "text", "label"))).alias("xs"))
     kept = T.sweep(F.col("xs"), F.lit(-1), lambda last, x: (F.when(x["start"] >= last, x["end"]).otherwise(last), F.when(x["start"] >= last, x)), "struct<start:int,end:int,kind:string,text:string,label:string>")["out"]
     return rows.select("doc_id", F.posexplode(kept).alias("k", "s")).select("doc_id", (F.col("k") + 1).alias("span_no"), "s.kind", "s.start", "s.end", "s.text", "s.label")
@@ -325,7 +341,7 @@ def similar_texts(source: DataFrame, candidate: DataFrame, keys: tuple[str, ...]
     c = one(candidate, "c").withColumn("band", band("c"))
     total = F.length("s") + F.length("c")
     able = (2 * F.least(F.length("s"), F.length("c")) > MATCHED * total) & (2 * F.size(F.array_intersect("s_marked", "c_marked")) > MATCHED * total)
-    met = s.join(c, [*keys, "band"]).where((F.col("s") == F.col("c")) | able).select(*keys, "s", "c")
+    met = s.join(c, [*keys, "band"]).where((F.col("s") != F.col("c")) & able).select(*keys, "s", "c")
 
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -333,62 +349,95 @@ def similar_texts(source: DataFrame, candidate: DataFrame, keys: tuple[str, ...]
 
         return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
 
-    equal = met.where("s = c").withColumn("ratio", F.lit(1.0))
-    return equal.unionByName(met.where("s <> c").withColumn("ratio", ratio("s", "c")).where(F.col("ratio") > MATCHED))
+    both = source.select(*keys, "text").distinct().join(candidate.select(*keys, "text").distinct(), [*keys, "text"])
+    equal = both.select(*keys, F.col("text").alias("s"), F.col("text").alias("c"), F.lit(1.0).alias("ratio"))
+    return equal.unionByName(met.withColumn("ratio", ratio("s", "c")).where(F.col("ratio") > MATCHED))
 
 
-def _matched(key, s: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-    """One document's anchors of one category in order, and the pairs that may match: how many match and contradict."""
+def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many anchors match and contradict, per document and category; one row at a time, groups following each other.
+
+    A group's rows (side, seq, text, ratio) are the candidate's anchors (0) in order, then, in order of the source, each
+    anchor's (1) texts that it may match. Only a group's places are kept, never its pairs.
+    """
+    group, at, best = None, None, None
     places: dict[str, list[int]] = {}
-    for at, text in s[s.side == 1].sort_values("seq")[["seq", "text"]].itertuples(index=False):
-        places.setdefault(text, []).append(at)
-    near: dict[str, list[tuple[str, float]]] = {}
-    for a, b, r in e[["s", "c", "ratio"]].itertuples(index=False):
-        near.setdefault(a, []).append((b, r))
-    used = dict.fromkeys(places, 0)
+    used: dict[str, int] = {}
     matched = contradicted = 0
-    for text in s[s.side == 0].sort_values("seq").text:
-        # the highest ratio, of equal ones the first in the candidate's order
-        free = [(-r, places[b][used[b]], b) for b, r in near.get(text, ()) if used[b] < len(places[b])]
-        if free:
-            r, _, b = min(free)
-            used[b] += 1
+    done: list[tuple[int, int, int]] = []
+
+    def settle() -> None:
+        nonlocal best, matched, contradicted
+        if best is not None:
+            used[best[2]] += 1
             matched += 1
-            contradicted += -r < AGREES
-    return pd.DataFrame([(key[0], matched, contradicted)], columns=["doc_id", "matched", "contradicted"])
+            contradicted += -best[0] < AGREES
+        best = None
+
+    def table() -> pa.RecordBatch:
+        out = [pa.array(x, pa.int64()) for x in zip(*done)]
+        done.clear()
+        return pa.RecordBatch.from_arrays(out, ["doc_id", "matched", "contradicted"])
+
+    for batch in batches:
+        for doc, category, side, seq, text, r in zip(*[batch.column(i).to_pylist() for i in range(6)]):
+            if (doc, category) != group:
+                settle()
+                if matched:
+                    done.append((group[0], matched, contradicted))
+                group, at, places, used, matched, contradicted = (doc, category), None, {}, {}, 0, 0
+            if side == 0:
+                places.setdefault(text, []).append(seq)
+                used[text] = 0
+                continue
+            if seq != at:
+                settle()
+                at = seq
+            # the highest ratio, of equal ones the first in the candidate's order
+            if used[text] < len(places[text]):
+                offer = (-r, places[text][used[text]], text)
+                best = offer if best is None else min(best, offer)
+        if done:
+            yield table()
+    settle()
+    if matched:
+        done.append((group[0], matched, contradicted))
+    if done:
+        yield table()
 
 
 def fact_diff(source: DataFrame, candidate: DataFrame) -> DataFrame:
-    """Greedy fuzzy diff of anchors per document: omissions, additions, contradictions, preservation.
+    """Greedy fuzzy diff of anchors (doc_id, seq, category, text) per document: omissions, additions, contradictions, preservation.
 
     In order of the source, an anchor takes the free candidate of its category with the highest sequence ratio above
-    0.7, of equal ones the first; under 0.9 the two contradict. Documents whose two versions have the same anchors are settled by comparing
-    them as wholes. Of the others similar_texts() finds the pairs that may match, and the order is kept in one group
-    per document and category, which holds its anchors and those pairs only.
+    0.7, of equal ones the first; under 0.9 the two contradict. Equal texts have the highest ratio, so a category of which
+    the candidate has every anchor of the source as often is settled by counting: each takes one that is equal to it. Of the others
+    similar_texts() finds the pairs that may match, and one pass over the sorted pairs keeps the order.
     """
     return _fact_diff(materialize(source, "anchors"), materialize(candidate, "anchors"))
 
 
 def _fact_diff(source: DataFrame, candidate: DataFrame) -> DataFrame:
     """fact_diff() of written tables: each is read several times."""
-    gathered = lambda df, name: df.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("category", F.lower("text").alias("text")))).alias(name))
-    both = gathered(source, "s").join(gathered(candidate, "c"), "doc_id", "full")
-    n = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
-    both = both.select("doc_id", F.coalesce(F.col("s") == F.col("c"), F.lit(False)).alias("same"), F.when(F.col("s").isNull(), 0).otherwise(n("s")).alias("n_source"), F.when(F.col("c").isNull(), 0).otherwise(n("c")).alias("n_candidate"))
-    both = materialize(both, "facts")
-    open_ = both.where("NOT same").select("doc_id")
-    part = lambda df, side: df.join(open_, "doc_id", "left_semi").select("doc_id", "category", "seq", F.lower("text").alias("text"), F.lit(side).alias("side"))
-    s, c = materialize(part(source, 0), "open"), materialize(part(candidate, 1), "open")
-    pairs = similar_texts(s, c)
-    pairs = pairs.select(*[F.col(x).alias(x) for x in pairs.columns])  # both sides of the cogroup come from one table
-    rows = s.unionByName(c)
-    rows = rows.select(*[F.col(x).alias(x) for x in rows.columns])
-    done = rows.groupBy("doc_id", "category").cogroup(pairs.groupBy("doc_id", "category")).applyInPandas(_matched, "doc_id long, matched long, contradicted long")
+    keys = ["doc_id", "category"]
+    sided = lambda df, s: df.select(*keys, F.lower("text").alias("text"), F.lit(s).alias("s"), F.lit(1 - s).alias("c"))
+    texts = sided(source, 1).unionByName(sided(candidate, 0)).groupBy(*keys, "text").agg(F.sum("s").alias("s"), F.sum("c").alias("c"))
+    kinds = texts.groupBy(*keys).agg(F.sum("s").alias("n_source"), F.sum("c").alias("n_candidate"), F.sum(F.greatest(F.col("s") - F.col("c"), F.lit(0))).alias("lacking"))
+    kinds = materialize(kinds, "facts")
+    open_ = kinds.where("lacking > 0 AND n_candidate > 0").select(*keys)
+    part = lambda df: df.join(open_, keys, "left_semi").select(*keys, "seq", F.lower("text").alias("text"))
+    s, c = materialize(part(source), "open"), materialize(part(candidate), "open")
+    pairs = similar_texts(s, c).select(F.col("doc_id").alias("doc_id"), F.col("category").alias("category"), F.col("s").alias("text"), "c", "ratio")
+    offers = s.join(pairs, [*keys, "text"]).select(*keys, F.lit(1).alias("side"), "seq", F.col("c").alias("text"), "ratio")
+    # written before it is dealt out: a join below that turns into a broadcast would leave the dealing out
+    rows = materialize(offers.unionByName(c.select(*keys, F.lit(0).alias("side"), "seq", "text", F.lit(None).cast("double").alias("ratio"))), "offers")
+    done = rows.repartition(*keys).sortWithinPartitions(*keys, "side", "seq").mapInArrow(_matched, "doc_id long, matched long, contradicted long")
     sums = done.groupBy("doc_id").agg(F.sum("matched").alias("matched"), F.sum("contradicted").alias("contradicted"))
-    whole = both.join(sums, "doc_id", "left")
-    hit = F.when(F.col("same"), F.col("n_source")).otherwise(F.coalesce("matched", F.lit(0)))
-    kept = F.when(F.col("same") | (F.col("n_source") == 0), 1.0).otherwise(F.round(hit / F.col("n_source"), 4))
-    return whole.select("doc_id", "n_source", "n_candidate", (F.col("n_source") - hit).alias("omissions"), (F.col("n_candidate") - hit).alias("additions"), F.when(F.col("same"), 0).otherwise(F.coalesce("contradicted", F.lit(0))).alias("contradictions"), kept.alias("preservation"))
+    settled = F.sum(F.when(F.col("lacking") == 0, F.col("n_source")).otherwise(0))
+    whole = kinds.groupBy("doc_id").agg(F.sum("n_source").alias("n_source"), F.sum("n_candidate").alias("n_candidate"), settled.alias("settled")).join(sums, "doc_id", "left")
+    hit = F.col("settled") + F.coalesce("matched", F.lit(0))
+    kept = F.when(F.col("n_source") == 0, 1.0).otherwise(F.round(hit / F.col("n_source"), 4))
+    return whole.select("doc_id", "n_source", "n_candidate", (F.col("n_source") - hit).alias("omissions"), (F.col("n_candidate") - hit).alias("additions"), F.coalesce("contradicted", F.lit(0)).alias("contradictions"), kept.alias("preservation"))
 
 
 def revalidated(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -56,7 +56,7 @@ QUERIES = {
     "e10_entities": over_documents(_entities),
     "e11_relationships": over_documents(lambda d: E.relationships(_claims(d), _entities(d))),
     "s07_line_nodes": over_documents(lambda d: _nodes(d).select("doc_id", "node_no", "start", "end", "line", F.md5("text").alias("digest"))),
-    "j01_fact_diff": over_documents(lambda d: E.fact_diff(E.anchors(d), E.anchors(_candidate(d)))),
+    "j01_fact_diff": over_documents(lambda d: E.fact_diff(E.anchor_items(d), E.anchor_items(_candidate(d)))),
     "j02_exact_fact_diff": over_documents(lambda d: E.exact_diff(E.anchors(d).withColumn("text", F.lower("text")), E.anchors(_candidate(d)).withColumn("text", F.lower("text")), ["doc_id", "category", "text"])),
     "j03_claim_diff": over_documents(lambda d: E.exact_diff(_claims(d).select("doc_id", "proposition", F.col("claim_no").alias("seq")), _claims(_candidate(d)).select("doc_id", "proposition", F.col("claim_no").alias("seq")), ["doc_id", "proposition"])),
     "j04_j05_contradictions": _over_claims(E.contradictions),

@@ -96,8 +96,6 @@ def _final(spark, sf):
 
 
 def _capsules(d):
-    nodes = E.line_nodes(d).withColumn("node_type", F.lit("paragraph")).withColumn("authorship_class", F.when((F.col("doc_id") + F.col("node_no")) % 9 == 0, "ai_assisted").otherwise("unknown"))
-    spans = E.protected_spans(E.span_candidates(nodes)).withColumn("status", F.when(F.col("span_no") % 5 == 0, "EXCLUDED").otherwise("KEPT"))
     # several lists are made of these: written once, not worked out by each
     nodes = materialize(E.line_nodes(d).withColumn("node_type", F.lit("paragraph")).withColumn("authorship_class", F.when((F.col("doc_id") + F.col("node_no")) % 9 == 0, "ai_assisted").otherwise("unknown")), "nodes")
     spans = materialize(E.protected_spans(E.span_candidates(nodes)).withColumn("status", F.when(F.col("span_no") % 5 == 0, "EXCLUDED").otherwise("KEPT")), "spans")
