@@ -103,3 +103,16 @@ def test_groups_that_run_over_batches_are_matched_whole():
         out = [tuple(r.values()) for b in E._matched(iter(batches)) for r in b.to_pylist()]
         assert out == [(1, 2, 1), (2, 1, 0)]
     assert list(E._matched(iter([]))) == []
+
+
+def test_anchor_items_are_the_anchors_of_a_category_in_order(spark):
+    from pyspark.sql import Window
+
+    texts = [*TEXTS, 'Anna Miller paid $1,000 and 5% on 2024-01-02, or May 3, 2020 (1/2/24): "so it is" [1] "it was" (Smith, 2020) New Old Person, "" 7', "Bob Stone", '"abc', "[x (y", "May 3, 2020"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    nth = F.row_number().over(Window.partitionBy("doc_id", "category").orderBy("seq"))
+    want = rows(E.anchors(d).select("doc_id", nth.alias("seq"), "category", "text"))
+    got = E.anchor_items(d)
+    assert rows(got) == want and {r[2] for r in want} == {k for k, _ in E.ANCHORS} and "Window" not in plan(got)
+    after = d.withColumn("text", F.replace("text", F.lit("[1]"), F.lit("[2]")))
+    assert [tuple(r) for r in E.revalidated(d, after).where("NOT ok").collect()] == [(len(TEXTS), False, "fact_anchor_drift:omissions=2,additions=2,contradictions=0;citation_drift:expected=2,current=2")]

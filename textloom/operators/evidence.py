@@ -448,7 +448,7 @@ def revalidated(before: DataFrame, after: DataFrame) -> DataFrame:
     """
     both = before.select("doc_id", "text").join(after.select("doc_id", F.col("text").alias("new")), "doc_id", "left")
     both = materialize(both.where(~F.col("text").eqNullSafe(F.col("new"))), "changed")
-    a, b = materialize(anchors(both.select("doc_id", "text")), "anchors"), materialize(anchors(both.select("doc_id", F.col("new").alias("text"))), "anchors")
+    a, b = materialize(anchor_items(both.select("doc_id", "text")), "anchors"), materialize(anchor_items(both.select("doc_id", F.col("new").alias("text"))), "anchors")
     facts = _fact_diff(a, b).withColumn("fact", F.when(F.col("omissions") + F.col("additions") + F.col("contradictions") > 0, F.format_string("fact_anchor_drift:omissions=%d,additions=%d,contradictions=%d", "omissions", "additions", "contradictions")))
     cited = lambda df, name: df.where("category = 'citation'").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("seq", "text"))).alias(name))
     none = F.array().cast("array<string>")
