@@ -116,3 +116,20 @@ def test_anchor_items_are_the_anchors_of_a_category_in_order(spark):
     assert rows(got) == want and {r[2] for r in want} == {k for k, _ in E.ANCHORS} and "Window" not in plan(got)
     after = d.withColumn("text", F.replace("text", F.lit("[1]"), F.lit("[2]")))
     assert [tuple(r) for r in E.revalidated(d, after).where("NOT ok").collect()] == [(len(TEXTS), False, "fact_anchor_drift:omissions=2,additions=2,contradictions=0;citation_drift:expected=2,current=2")]
+
+
+def test_blocks_with_their_texts_are_not_dealt_out_again(spark, monkeypatch):
+    from textloom.operators import review as R
+    from textloom.operators import workflow as W
+    from textloom.plans import steps
+
+    texts = ["a\nb\n\n# c\nd", "", "one", "x\n \ny\nx"]
+    nodes = E.line_nodes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).withColumn("node_type", F.lit("paragraph"))
+    documents = nodes.select("doc_id").distinct().select("doc_id", *[F.array(F.lit(c)).alias(c) for c in W.CAPSULE_LISTS])
+    held = W.capsule_blocks(R.block_contexts(nodes, keep=("text",)), nodes, documents)
+    assert rows(held) == rows(W.capsule_blocks(R.block_contexts(nodes), nodes, documents)) and held.count() == 8
+    seen = []
+    monkeypatch.setattr(W, "capsule_blocks", lambda contexts, *x: seen.append(contexts.columns) or held)
+    monkeypatch.setattr(steps, "_capsules", lambda d: (nodes, documents))
+    steps._block_capsules(nodes)
+    assert "text" in seen[0]

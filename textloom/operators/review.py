@@ -84,14 +84,14 @@ def profile_coverage(packages: DataFrame, least_words: int = 1000) -> DataFrame:
     return rows.select("profile", "text_coverage", "structure_coverage", "unresolved", F.array_join("features", ",").alias("features"), status.alias("status"), F.when(enough, "sufficient").otherwise("insufficient").alias("sufficiency"), "words")
 
 
-def block_contexts(nodes: DataFrame, reach: int = 2) -> DataFrame:
-    """doc_id, node_no, before, after, heading, first: neighbours' texts, the nearest heading above, the first block."""
+def block_contexts(nodes: DataFrame, reach: int = 2, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, node_no, before, after, heading, first: neighbours' texts, the nearest heading above, the first block; and columns to keep."""
     rows = nodes.where(F.col("text") != "")
     order = Window.partitionBy("doc_id").orderBy("node_no")
     near = lambda a, b: F.array_join(F.collect_list("text").over(order.rowsBetween(a, b)), " | ")
     above = F.last(F.when(F.col("node_type") == "heading", F.col("text")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
     first = F.first("text").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return rows.select("doc_id", "node_no", near(-reach, -1).alias("before"), near(1, reach).alias("after"), above.alias("heading"), first.alias("first"))
+    return rows.select("doc_id", "node_no", *keep, near(-reach, -1).alias("before"), near(1, reach).alias("after"), above.alias("heading"), first.alias("first"))
 
 
 def repair_decisions(pairs: DataFrame, attempts: int = 3, least: float = 0.85, most_modifications: int = 10) -> DataFrame:

@@ -62,11 +62,13 @@ CAPSULE_LISTS = ("claims", "open_loops", "spans", "citations", "entities", "inva
 def capsule_blocks(contexts: DataFrame, nodes: DataFrame, documents: DataFrame) -> DataFrame:
     """Per block: doc_id, node_no, capsule_id, text, before, after, heading, first; its document's lists are in documents.
 
-    contexts: what block_contexts() gives of the nodes; documents: what capsules() gives. The id is made of the block, its
+    contexts: what block_contexts() gives of the nodes, where it keeps their text without a join of blocks; documents: what capsules() gives. The id is made of the block, its
     surroundings and a digest of the document's lists, so it changes with any of them, and the lists stay with the document.
     """
     digest = F.sha2(F.concat_ws("\x00", *[F.concat_ws("\x01", c) for c in CAPSULE_LISTS]), 256)
-    rows = contexts.join(nodes.select("doc_id", "node_no", "text"), ["doc_id", "node_no"]).join(documents.select("doc_id", digest.alias("lists")), "doc_id")
+    rows = contexts if "text" in contexts.columns else contexts.join(nodes.select("doc_id", "node_no", "text"), ["doc_id", "node_no"])
+    # blocks stay where their document's contexts were made: only the documents' digests come to them
+    rows = rows.join(documents.select("doc_id", digest.alias("lists")), "doc_id")
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("doc_id", "node_no", "text", "before", "after", "heading", "first", "lists")]
     capsule = F.concat(F.lit("cap-"), F.substring(F.sha2(F.concat_ws("\x00", *parts), 256), 1, 24))
     return rows.select("doc_id", "node_no", capsule.alias("capsule_id"), "text", "before", "after", "heading", "first")

@@ -112,7 +112,7 @@ def _document_capsules(d):
 
 def _block_capsules(d):
     nodes, documents = _capsules(d)
-    rows = W.capsule_blocks(R.block_contexts(nodes), nodes, documents)
+    rows = W.capsule_blocks(R.block_contexts(nodes, keep=("text",)), nodes, documents)
     return rows.select("doc_id", "node_no", F.length("capsule_id").alias("id_length"), F.md5("text").alias("text"), F.md5("before").alias("before"), F.md5("after").alias("after"), F.md5("first").alias("first"))
 
 
